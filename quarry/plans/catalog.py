@@ -8,6 +8,7 @@ from quarry.plans.registry import REGISTRY
 
 MODULES = [
     "quarry.plans.catalog_templates",
+    "quarry.plans.catalog_analysis",
 ]
 
 for _m in MODULES:
