@@ -9,6 +9,7 @@ from quarry.plans.registry import REGISTRY
 MODULES = [
     "quarry.plans.catalog_templates",
     "quarry.plans.catalog_analysis",
+    "quarry.plans.catalog_profile",
 ]
 
 for _m in MODULES:
