@@ -10,6 +10,7 @@ MODULES = [
     "quarry.plans.catalog_templates",
     "quarry.plans.catalog_analysis",
     "quarry.plans.catalog_profile",
+    "quarry.plans.catalog_quality",
 ]
 
 for _m in MODULES:
