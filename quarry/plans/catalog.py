@@ -11,6 +11,7 @@ MODULES = [
     "quarry.plans.catalog_analysis",
     "quarry.plans.catalog_profile",
     "quarry.plans.catalog_quality",
+    "quarry.plans.catalog_sources",
 ]
 
 for _m in MODULES:
