@@ -12,17 +12,30 @@ Results equal linear interpolation (pandas ``quantile``, DuckDB
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def range_partitioned(df: DataFrame, order: list[Column], partitions: int | None = None) -> DataFrame:
+    """``df`` range-partitioned on ``order`` with its partition index in
+    ``_pid``, persisted (memory, spilling to disk).
+
+    Every evaluation of ``repartitionByRange`` samples its bounds again, so
+    two branches of one plan that both read an unpersisted range exchange can
+    see different ranges.  Persisting pins one partitioning for all branches;
+    a lost block is recomputed through the same shuffle dependency (same
+    partitioner), so the pinning survives executor loss.
+    """
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def prefix_sum(df: DataFrame, order: list[Column], value: Column, name: str, partitions: int | None = None) -> DataFrame:
     """Inclusive running sum of ``value`` in ``order`` over the whole table,
     computed range-partition by range-partition plus partition offsets."""
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id()).withColumn("_val", value)
+    ranged = range_partitioned(df.withColumn("_val", value), order, partitions)
     local = ranged.withColumn(
         "_cs", F.sum("_val").over(W.partitionBy("_pid").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow))
     )

@@ -12,6 +12,7 @@ MODULES = [
     "quarry.plans.catalog_profile",
     "quarry.plans.catalog_quality",
     "quarry.plans.catalog_sources",
+    "quarry.plans.catalog_logs",
 ]
 
 for _m in MODULES:

@@ -2,29 +2,20 @@
 
 ``Window.orderBy(...)`` with no ``partitionBy`` plans a ``SinglePartition``
 exchange: every row goes through one task.  :func:`global_row_number` instead
-range-partitions the rows on the order keys, numbers rows inside each range, and
-adds the row count of all earlier ranges (one row per partition — a table whose
-size is bounded by the partition count, so broadcasting it is safe).
+numbers rows with :func:`quarry.functions.quantiles.prefix_sum`: rows are
+range-partitioned on the order keys, numbered inside each range, and offset by
+the row count of all earlier ranges (a table with one row per partition).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarry.functions.quantiles import prefix_sum
+
 
 def global_row_number(df: DataFrame, order: list[Column], name: str = "rank", partitions: int | None = None) -> DataFrame:
     """1-based position of each row in ``order`` (which should end in a unique
     key so the numbering is deterministic)."""
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id())
-    local = ranged.withColumn("_rn", F.row_number().over(W.partitionBy("_pid").orderBy(*order)))
-    counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
-    offsets = counts.select(
-        "_pid",
-        F.coalesce(F.sum("_cnt").over(W.orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
-    )
-    out = local.join(F.broadcast(offsets), "_pid").withColumn(name, (F.col("_off") + F.col("_rn")).cast("int"))
-    return out.drop("_pid", "_rn", "_off")
+    return prefix_sum(df, order, F.lit(1), name, partitions).withColumn(name, F.col(name).cast("int"))
