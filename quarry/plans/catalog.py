@@ -13,6 +13,7 @@ MODULES = [
     "quarry.plans.catalog_quality",
     "quarry.plans.catalog_sources",
     "quarry.plans.catalog_logs",
+    "quarry.plans.catalog_reconcile",
 ]
 
 for _m in MODULES:
