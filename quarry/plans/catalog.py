@@ -14,6 +14,7 @@ MODULES = [
     "quarry.plans.catalog_sources",
     "quarry.plans.catalog_logs",
     "quarry.plans.catalog_reconcile",
+    "quarry.plans.catalog_questions",
 ]
 
 for _m in MODULES:
