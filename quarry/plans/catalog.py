@@ -15,6 +15,7 @@ MODULES = [
     "quarry.plans.catalog_logs",
     "quarry.plans.catalog_reconcile",
     "quarry.plans.catalog_questions",
+    "quarry.plans.catalog_streaming",
 ]
 
 for _m in MODULES:

@@ -133,11 +133,11 @@ def o11_task_durations(spark, sf_dir):
 @query(
     "o12_token_budget_breach",
     """WITH r AS (SELECT usage_id, task_id, created_at, sum(prompt_tokens + completion_tokens) OVER (PARTITION BY task_id ORDER BY created_at, usage_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running_tokens FROM v_tok)
-SELECT task_id, arg_min(usage_id, (created_at, usage_id)) AS usage_id, arg_min(running_tokens, (created_at, usage_id)) AS running_tokens FROM r WHERE running_tokens > 10000 GROUP BY task_id""",
+SELECT task_id, arg_min(usage_id, (created_at, usage_id)) AS usage_id, arg_min(running_tokens, (created_at, usage_id)) AS running_tokens FROM r WHERE running_tokens > 3000 GROUP BY task_id""",
 )
 def o12_token_budget_breach(spark, sf_dir):
-    """First usage where a task's running tokens pass a 10,000 budget."""
-    return O.token_budget_breach(Views(spark, sf_dir).v_tok, 10000)
+    """First usage where a task's running tokens pass a 3,000 budget."""
+    return O.token_budget_breach(Views(spark, sf_dir).v_tok, 3000)
 
 
 @query(
