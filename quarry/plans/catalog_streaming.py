@@ -116,7 +116,7 @@ def st7_budget_guard_stream(spark, sf_dir):
 @query(
     "st8_retention_stream",
     f"""WITH t AS (SELECT task_id, arg_max(status, ts) AS status, max(ts) AS last_ts FROM v_log GROUP BY task_id)
-SELECT task_id, epoch_ms(last_ts) AS last_event_ms, status FROM t
+SELECT task_id, CAST(floor(epoch_us(last_ts) / 1000) AS BIGINT) AS last_event_ms, status FROM t
 WHERE status IN ('succeeded', 'failed', 'cancelled') AND last_ts + INTERVAL {RETENTION_DAYS * 24} HOUR < (SELECT max(ts) FROM events)""",
 )
 def st8_retention_stream(spark, sf_dir):
