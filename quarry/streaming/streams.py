@@ -123,9 +123,11 @@ def request_metrics(http_stream: DataFrame) -> DataFrame:
 LIMITER_OUT = "key long, event_id long, t double, allowed boolean, retry_after long"
 
 
-def _limit_events(key, rows: pd.DataFrame, accepted: list[float], limit: int, window: float):
+def _limit_events(key, rows, accepted: list[float], limit: int, window: float):
     out = []
-    for t, eid in zip(rows["t"].tolist(), rows["event_id"].tolist()):
+    ts = rows["t"].tolist() if hasattr(rows["t"], "tolist") else rows["t"]
+    ids = rows["event_id"].tolist() if hasattr(rows["event_id"], "tolist") else rows["event_id"]
+    for t, eid in zip(ts, ids):
         cutoff = t - window
         while accepted and accepted[0] <= cutoff:
             accepted.pop(0)
@@ -158,19 +160,29 @@ def sliding_rate_limiter_stream(stream: DataFrame, key: str, limit: int = RATE_L
 def sliding_rate_limiter_batch(df: DataFrame, key: str, limit: int = RATE_LIMIT, window: float = RATE_WINDOW_SECONDS) -> DataFrame:
     """ST5 batch twin.  A pause of at least ``window`` empties a key's bucket,
     so each key's history is cut into sessions at such pauses (skew-safe lag
-    and running sum) and every (key, session) is one ``applyInPandas`` group:
-    a busy key is split wherever the rule itself forgets its past."""
+    and running sum); rows are clustered by (key, session) and sorted by time,
+    and every partition is streamed once through ``mapInPandas`` with the
+    limiter state reset at each new (key, session).  Memory per task is the
+    state (≤ limit times), not a group; a busy key is split wherever the rule
+    itself forgets its past."""
     src = df.select(F.col(key).cast("long").alias("key"), F.col("event_id").cast("long"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
     lagged = keyed_lag(src, ["key"], ["t", "event_id"], ["t"])
     flagged = lagged.withColumn("_new", F.when(F.col("prev_t").isNull() | (F.col("t") - F.col("prev_t") >= window), 1).otherwise(0))
     sess = keyed_running_sum(flagged, ["key"], ["t", "event_id"], "_new", "session")
-
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["t", "event_id"])
-        out, _ = _limit_events(int(rows["key"].iloc[0]), rows, [], limit, window)
-        return pd.DataFrame(out, columns=["key", "event_id", "t", "allowed", "retry_after"])
-
-    return sess.select("key", "event_id", "t", "session").groupBy("key", "session").applyInPandas(fn, LIMITER_OUT)
+    clustered = sess.select("key", "event_id", "t", "session").repartition("key", "session").sortWithinPartitions("key", "session", "t", "event_id")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, accepted = None, []
+        for pdf in batches:
+            out = []
+            for k, s, eid, t in zip(pdf["key"].tolist(), pdf["session"].tolist(), pdf["event_id"].tolist(), pdf["t"].tolist()):
+                if (k, s) != current:
+                    current, accepted = (k, s), []
+                rows, accepted = _limit_events(k, {"t": [t], "event_id": [eid]}, accepted, limit, window)
+                out.extend(rows)
+            yield pd.DataFrame(out, columns=["key", "event_id", "t", "allowed", "retry_after"])
+
+    return clustered.mapInPandas(run, LIMITER_OUT)
 
 
 # ---------------------------------------------------------------- ST6 ------

@@ -90,3 +90,12 @@ def test_sql_guard(spark):
 def test_header_normalise_rejects(spark):
     with pytest.raises(ValueError):
         io.normalise_headers(spark.createDataFrame([(1, 2)], "a int, `A ` int"))
+
+
+def test_limiter_stream_equals_batch(spark):
+    import __spark_entry__ as E
+
+    sf = "/root/testdata/sf0.001"
+    stream = {(r["event_id"], r["allowed"], r["retry_after"]) for r in E.queries()["st5_sliding_rate_limiter"](spark, sf).collect()}
+    batch = {(r["event_id"], r["allowed"], r["retry_after"]) for r in E.queries()["st5_rate_limiter_batch"](spark, sf).collect()}
+    assert stream == batch and any(not a for _, a, _ in stream)
