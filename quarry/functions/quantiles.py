@@ -59,11 +59,10 @@ def grouped_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[fl
 
     key_order = [F.col(k).asc_nulls_first() for k in keys]
     ranked = prefix_sum(v, key_order + [F.col("_v").asc()], F.lit(1), "_g")
-    counts = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    if keys:
-        starts = prefix_sum(counts, key_order, F.col("_n"), "_end").withColumn("_start", F.col("_end") - F.col("_n"))
-    else:
-        starts = counts.withColumn("_start", F.lit(0).cast("bigint"))
+    # ranks are contiguous inside a group (order = keys, value), so a group's
+    # size and first rank come from one aggregate over the ranked rows
+    grp = ranked.groupBy(*keys) if keys else ranked.groupBy()
+    starts = grp.agg(F.count(F.lit(1)).alias("_n"), (F.min("_g") - 1).alias("_start"))
     plist = F.array(*[F.struct(F.lit(float(p)).alias("p"), F.lit(nm).alias("nm")) for p, nm in zip(probs, names)])
     targets = (
         starts.select(*keys, "_n", "_start", F.explode(plist).alias("_q"))
