@@ -47,6 +47,31 @@ def prefix_sum(df: DataFrame, order: list[Column], value: Column, name: str, par
     return out.drop("_pid", "_val", "_cs", "_off")
 
 
+def global_rank(df: DataFrame, order: list[Column], name: str, partitions: int | None = None) -> DataFrame:
+    """1-based position of every row in ``order`` over the whole table.
+
+    Rows are range-partitioned and sorted inside each partition; the position
+    inside a partition comes from ``monotonically_increasing_id`` (partition
+    index in the upper bits, row counter in the lower 33), so no second
+    shuffle or window is needed; partition offsets come from a table with one
+    row per partition (broadcast)."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pid = F.spark_partition_id()
+    numbered = (
+        df.repartitionByRange(n, *order)
+        .sortWithinPartitions(*order)
+        .withColumn("_pid", pid)
+        .withColumn("_rn", F.monotonically_increasing_id() - F.shiftleft(pid.cast("long"), 33) + 1)
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    )
+    sizes = numbered.groupBy("_pid").agg(F.max("_rn").alias("_cnt"))
+    offsets = sizes.select(
+        "_pid", F.coalesce(F.sum("_cnt").over(W.orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_off")
+    )
+    out = numbered.join(F.broadcast(offsets), "_pid").withColumn(name, F.col("_off") + F.col("_rn"))
+    return out.drop("_pid", "_rn", "_off")
+
+
 def grouped_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], names: list[str] | None = None, approx: bool = False) -> DataFrame:
     """One row per key group with one column per probability (nulls of
     ``value`` ignored).  Groups are ordered on ``keys`` only to lay ranks out;
@@ -58,7 +83,7 @@ def grouped_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[fl
         return v.groupBy(*keys).agg(*aggs) if keys else v.agg(*aggs)
 
     key_order = [F.col(k).asc_nulls_first() for k in keys]
-    ranked = prefix_sum(v, key_order + [F.col("_v").asc()], F.lit(1), "_g")
+    ranked = global_rank(v, key_order + [F.col("_v").asc()], "_g")
     # ranks are contiguous inside a group (order = keys, value), so a group's
     # size and first rank come from one aggregate over the ranked rows
     grp = ranked.groupBy(*keys) if keys else ranked.groupBy()
