@@ -49,6 +49,22 @@ def st2_cursor_replay_stream(spark, sf_dir):
     return parts[0].unionByName(parts[1])
 
 
+@query(
+    "st2_replay_until_terminal",
+    """WITH s AS (SELECT task_id, min(sequence_id) FILTER (WHERE event_type IN ('task_completed', 'task_failed', 'task_cancelled')) AS stop
+ FROM v_log WHERE sequence_id > 100 GROUP BY task_id)
+SELECT l.task_id, l.sequence_id, l.event_type, l.status FROM v_log l JOIN s ON l.task_id = s.task_id
+WHERE l.sequence_id > 100 AND (s.stop IS NULL OR l.sequence_id <= s.stop)""",
+)
+def st2_replay_until_terminal(spark, sf_dir):
+    """Per-task replay after cursor 100 that stops at the first terminal event
+    (stream sliced by sequence id, stateful flag per task)."""
+    st = ST.StreamTables(spark, sf_dir, ST.landing_zone(spark, sf_dir, time_col="event_id"))
+    out, ck = scratch_path(spark, "st2r-out"), scratch_path(spark, "st2r-ck")
+    ST.append_to_table(ST.replay_until_terminal_stream(v_log(st), 100), out, ck)
+    return spark.read.parquet(out)
+
+
 @query("st3_live_status", "SELECT task_id, arg_max(status, sequence_id) AS status, max(sequence_id) AS last_sequence_id, count(*) AS events FROM v_log GROUP BY task_id")
 def st3_live_status(spark, sf_dir):
     """Streaming current status per task (complete mode) equals O2."""

@@ -39,7 +39,8 @@ def landing_zone(spark: SparkSession, sf_dir: str, table: str = "events", time_c
     quantiles of the time column — a fixed-size result."""
     path = scratch_path(spark, f"landing-{table}")
     df = load(spark, sf_dir, table)
-    t = F.unix_micros(F.col(time_col).cast("timestamp"))
+    numeric = df.schema[time_col].dataType.typeName() in ("long", "integer", "short", "double")
+    t = F.col(time_col).cast("long") if numeric else F.unix_micros(F.col(time_col).cast("timestamp"))
     probs = [i / files for i in range(1, files)]
     bounds = df.agg(F.percentile_approx(t, probs, 10000).alias("b")).first()["b"] if files > 1 else []
     edges = [None, *bounds, None]
@@ -97,6 +98,29 @@ def cursor_reader(stream: DataFrame, out: str, checkpoint: str, run: int) -> Non
     run_available_now(stream.writeStream.foreachBatch(write), checkpoint)
 
 
+def replay_until_terminal_stream(log_stream: DataFrame, after_sequence: int = 0) -> DataFrame:
+    """ST2 replay rule: per task, events after the cursor in sequence order,
+    stopping after the first terminal event (later events are not sent).
+    State per task = one flag."""
+    src = log_stream.where(F.col("sequence_id") > after_sequence).select("task_id", "sequence_id", "event_type", "status")
+
+    def fn(k, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        done = state.get[0] if state.exists else False
+        rows = pd.concat(list(pdfs)).sort_values("sequence_id")
+        keep = []
+        for seq, et, st in zip(rows["sequence_id"].tolist(), rows["event_type"].tolist(), rows["status"].tolist()):
+            if done:
+                break
+            keep.append((int(k[0]), int(seq), et, st))
+            done = et in TERMINAL_EVENTS
+        state.update((done,))
+        yield pd.DataFrame(keep, columns=["task_id", "sequence_id", "event_type", "status"])
+
+    return src.groupBy("task_id").applyInPandasWithState(
+        fn, "task_id long, sequence_id long, event_type string, status string", "done boolean", "append", GroupStateTimeout.NoTimeout
+    )
+
+
 # ---------------------------------------------------------------- ST3/ST4 --
 def complete_to_table(agg: DataFrame, out: str, checkpoint: str) -> None:
     """Complete-mode aggregate kept as a Parquet table (overwritten per batch)."""
