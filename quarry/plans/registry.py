@@ -50,10 +50,22 @@ class OperatorRegistry:
         return self._entries[name]
 
     def run(self, name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-        return self._entries[name].fn(spark, sf_dir)
+        return self.queries()[name](spark, sf_dir)
 
     def queries(self) -> dict[str, QueryFn]:
-        return {k: e.fn for k, e in self._entries.items()}
+        """Callables that first apply the session settings the operators rely
+        on (UTC, AQE, shared checkpoint folder), then build the query."""
+        from quarry.session import configure_session
+
+        def wrap(fn: QueryFn) -> QueryFn:
+            def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+                configure_session(spark)
+                return fn(spark, sf_dir)
+
+            run.__name__, run.__doc__ = fn.__name__, fn.__doc__
+            return run
+
+        return {k: wrap(e.fn) for k, e in self._entries.items()}
 
     def oracles(self) -> dict[str, str]:
         return {k: e.sql for k, e in self._entries.items() if e.sql}
