@@ -93,7 +93,9 @@ def cursor_reader(stream: DataFrame, out: str, checkpoint: str, run: int) -> Non
     is appended with the run number, so a restart shows what it re-read."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("run", F.lit(run)).withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out)
+        # one directory per batch id, overwritten: a batch replayed after a
+        # failure (before its offsets were committed) replaces its own output
+        batch.withColumn("run", F.lit(run)).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     run_available_now(stream.writeStream.foreachBatch(write), checkpoint)
 
