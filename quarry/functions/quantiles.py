@@ -18,6 +18,23 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+_PINNED: list[DataFrame] = []
+
+
+def _pin(df: DataFrame) -> DataFrame:
+    _PINNED.append(df)
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def release_pinned() -> int:
+    """Unpersist every frame pinned by the rank/quantile/sequence helpers.
+    Call after the results that used them have been written or collected."""
+    n = len(_PINNED)
+    while _PINNED:
+        _PINNED.pop().unpersist()
+    return n
+
+
 def range_partitioned(df: DataFrame, order: list[Column], partitions: int | None = None) -> DataFrame:
     """``df`` range-partitioned on ``order`` with its partition index in
     ``_pid``, persisted (memory, spilling to disk).
@@ -29,7 +46,7 @@ def range_partitioned(df: DataFrame, order: list[Column], partitions: int | None
     partitioner), so the pinning survives executor loss.
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    return _pin(df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id()))
 
 
 def prefix_sum(df: DataFrame, order: list[Column], value: Column, name: str, partitions: int | None = None) -> DataFrame:
@@ -57,12 +74,11 @@ def global_rank(df: DataFrame, order: list[Column], name: str, partitions: int |
     row per partition (broadcast)."""
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pid = F.spark_partition_id()
-    numbered = (
+    numbered = _pin(
         df.repartitionByRange(n, *order)
         .sortWithinPartitions(*order)
         .withColumn("_pid", pid)
         .withColumn("_rn", F.monotonically_increasing_id() - F.shiftleft(pid.cast("long"), 33) + 1)
-        .persist(StorageLevel.MEMORY_AND_DISK)
     )
     sizes = numbered.groupBy("_pid").agg(F.max("_rn").alias("_cnt"))
     offsets = sizes.select(
