@@ -209,7 +209,8 @@ def p11_grain_inference(spark, sf_dir):
     "p11_grain_inference_events",
     f"""SELECT 'detail' AS grain_type, 'event_id' AS grain_columns,
  {_cands_list('events', [['event_id'], ['user_id'], ['event_id', 'ts'], ['user_id', 'ts']])} AS primary_key_candidates, 'ts' AS time_field,
- CAST(min(ts) AS TIMESTAMP) AS time_min, CAST(max(ts) AS TIMESTAMP) AS time_max, CAST(NULL AS BIGINT) AS duplicate_key_count FROM events""",
+ CAST(min(ts) AS TIMESTAMP) AS time_min, CAST(max(ts) AS TIMESTAMP) AS time_max,
+ (SELECT CAST(coalesce(sum(CASE WHEN n > 1 THEN n END), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM events GROUP BY event_id)) AS duplicate_key_count FROM events""",
 )
 def p11_grain_inference_events(spark, sf_dir):
     """Grain of the event log: detail rows keyed by event_id."""
