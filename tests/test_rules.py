@@ -99,3 +99,43 @@ def test_limiter_stream_equals_batch(spark):
     stream = {(r["event_id"], r["allowed"], r["retry_after"]) for r in E.queries()["st5_sliding_rate_limiter"](spark, sf).collect()}
     batch = {(r["event_id"], r["allowed"], r["retry_after"]) for r in E.queries()["st5_rate_limiter_batch"](spark, sf).collect()}
     assert stream == batch and any(not a for _, a, _ in stream)
+
+
+def test_upsert_keeps_created_at(spark):
+    from quarry.operators import logs as O
+
+    base = spark.createDataFrame([(1, "a", "2024-01-01"), (2, "b", "2024-01-02")], "k int, v string, created_at string")
+    upd = spark.createDataFrame([(1, "a", "2025-01-01"), (2, "B", "2025-01-01"), (3, "c", "2025-01-01")], "k int, v string, created_at string")
+    got = {r["k"]: r for r in O.upsert_by_key(base, upd, ["k"], "created_at").collect()}
+    assert got[1]["change"] == "unchanged" and got[2]["change"] == "update" and got[3]["change"] == "insert"
+    assert got[2]["created_at"] == "2024-01-02" and got[2]["v"] == "B" and got[3]["created_at"] == "2025-01-01"
+
+
+def test_payload_rows_and_redaction(spark):
+    import json
+
+    from quarry.operators import logs as O
+
+    payload = json.dumps({"execution_result": {"kind": "group", "source": "sql", "tables": [{"name": "t", "rows": [{"a": 1}, {"a": 2}]}]},
+                          "report_markdown": "x" * 50, "dataset_preview": [{"a": 1}] * 3, "note": "ok"})
+    df = spark.createDataFrame([(payload, "y" * 700)], "p string, long_text string")
+    m = O.payload_metrics(df, None, "p").first()
+    assert m["output_rows"] == 2 and m["output_bytes"] == len(payload.encode("utf-8"))
+    r = df.select(O.redact_payload(F.col("p")).alias("r"), O.redact_payload(F.col("long_text")).alias("t")).first()
+    red = json.loads(r["r"])
+    assert red["dataset_preview"] == {"redacted": True, "row_count": 3}
+    assert red["execution_result"]["tables"] == [{"name": "t", "row_count": 2}]
+    assert red["report_markdown"] == {"redacted": True, "characters": 50}
+    assert len(r["t"]) == 600 and r["t"].endswith("...")
+
+
+def test_retention_cutoff_at_least_one_day(spark):
+    from quarry.operators import logs as O
+
+    log = spark.createDataFrame([(1, 1, "succeeded", "2024-01-10 00:00:00"), (2, 2, "running", "2024-01-01 00:00:00")],
+                                "task_id long, sequence_id long, status string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    tasks = O.task_table(log.withColumn("tenant_id", F.lit("t")))
+    kept, expired = O.log_retention_cascade(log, tasks, "2024-01-10 12:00:00", 0)
+    assert expired.count() == 0 and kept.count() == 2
+    kept, expired = O.log_retention_cascade(log, tasks, "2024-01-20 00:00:00", 3)
+    assert [r[0] for r in expired.collect()] == [1] and kept.count() == 1
