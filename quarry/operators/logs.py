@@ -262,20 +262,28 @@ def http_request_metrics(events: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def redact_payload(payload: Column) -> Column:
-    """Replace preview rows, profile, result rows and report text by counts
-    and names; compact JSON, cut to 597 chars + '...' when above 600."""
+    """In a JSON object payload, replace the preview rows, profile, result
+    rows and report text by counts and names (other keys keep their place and
+    value); compact JSON, cut to 597 chars + '...' when above 600.  Text that
+    is not a JSON object is only cut."""
+    obj = F.from_json(payload, "map<string,variant>")
     preview_n = F.json_array_length(F.get_json_object(payload, "$.dataset_preview"))
     prof = F.from_json(F.get_json_object(payload, "$.profile"), "struct<row_count:bigint,column_count:bigint,columns:array<struct<name:string>>>")
     res = F.from_json(F.get_json_object(payload, "$.execution_result"), "struct<kind:string,source:string,tables:array<struct<name:string,rows:array<string>>>>")
     report = F.get_json_object(payload, "$.report_markdown")
-    keys = F.json_object_keys(payload)
-    other = F.map_filter(F.from_json(payload, "map<string,string>"), lambda k, v: ~k.isin("dataset_preview", "profile", "execution_result", "report_markdown"))
-    red = F.struct(
-        F.when(preview_n.isNotNull(), F.struct(F.lit(True).alias("redacted"), preview_n.alias("row_count"))).alias("dataset_preview"),
-        F.when(prof.isNotNull(), F.struct(prof["row_count"].alias("row_count"), prof["column_count"].alias("column_count"), F.transform(prof["columns"], lambda x: x["name"]).alias("columns"))).alias("profile"),
-        F.when(res.isNotNull(), F.struct(res["kind"].alias("kind"), res["source"].alias("source"), F.transform(res["tables"], lambda t: F.struct(t["name"].alias("name"), F.size(t["rows"]).alias("row_count"))).alias("tables"))).alias("execution_result"),
-        F.when(report.isNotNull(), F.struct(F.lit(True).alias("redacted"), F.length(report).alias("characters"))).alias("report_markdown"),
-        other.alias("other"),
+    as_variant = lambda c: F.parse_json(F.to_json(c))
+    red_preview = as_variant(F.struct(F.lit(True).alias("redacted"), preview_n.alias("row_count")))
+    red_profile = as_variant(F.struct(prof["row_count"].alias("row_count"), prof["column_count"].alias("column_count"), F.transform(prof["columns"], lambda x: x["name"]).alias("columns")))
+    red_result = as_variant(F.struct(res["kind"].alias("kind"), res["source"].alias("source"),
+                                     F.transform(res["tables"], lambda t: F.struct(t["name"].alias("name"), F.size(t["rows"]).alias("row_count"))).alias("tables")))
+    red_report = as_variant(F.struct(F.lit(True).alias("redacted"), F.length(report).alias("characters")))
+    redacted = F.transform_values(
+        obj,
+        lambda k, v: F.when((k == "dataset_preview") & preview_n.isNotNull(), red_preview)
+        .when((k == "profile") & prof.isNotNull(), red_profile)
+        .when((k == "execution_result") & res.isNotNull(), red_result)
+        .when((k == "report_markdown") & report.isNotNull(), red_report)
+        .otherwise(v),
     )
-    compact = F.when(keys.isNotNull(), F.to_json(red)).otherwise(payload)
+    compact = F.when(obj.isNotNull(), F.to_json(redacted)).otherwise(payload)
     return F.when(F.length(compact) > PAYLOAD_MAX_CHARS, F.concat(F.substring(compact, 1, PAYLOAD_KEEP_CHARS), F.lit("..."))).otherwise(compact)

@@ -126,6 +126,7 @@ def test_payload_rows_and_redaction(spark):
     assert red["dataset_preview"] == {"redacted": True, "row_count": 3}
     assert red["execution_result"]["tables"] == [{"name": "t", "row_count": 2}]
     assert red["report_markdown"] == {"redacted": True, "characters": 50}
+    assert red["note"] == "ok" and list(red)[-1] == "note"
     assert len(r["t"]) == 600 and r["t"].endswith("...")
 
 
