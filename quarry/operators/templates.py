@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from quarry.functions.columns import (
     guarded_corr,
     latest_complete_period,
+    latest_from_counts,
     month_label,
     num,
     num0,
@@ -42,11 +43,12 @@ def _stack(agg_row: DataFrame, rows: list[tuple[Column, ...]], names: list[str])
 
 # ---------------------------------------------------------------- T1 -------
 def payment_renewal_summary(df: DataFrame, period: str | None = None, month: int | None = None, **roles) -> DataFrame:
-    """Six measures of problem invoices and high-risk MRR.
+    """Six measures of problem invoices and high-risk MRR in ONE pass of
+    conditional aggregates, stacked to rows.
 
     As in the reference, the scope month of problem rows is F5 of the problem
-    rows, while the high-risk-MRR row uses F5 of all rows; both rows carry
-    their own ``scope``."""
+    rows, while the high-risk-MRR row uses F5 of all rows; both come from one
+    monthly count table and each row carries its own ``scope`` label."""
     pay = role(df, "payment_status", roles.get("payment"), required=True)
     inv = role(df, "invoice", roles.get("invoice"), required=True)
     overdue = role(df, "overdue_days", roles.get("overdue"))
@@ -55,38 +57,50 @@ def payment_renewal_summary(df: DataFrame, period: str | None = None, month: int
     time_col = role(df, "time", roles.get("time"))
     cust = role(df, "customer", roles.get("customer"))
 
-    w = df.withColumn("_issue", text_mask(pay, "payment_issue")).withColumn("_inv", num0(inv))
-    issue = w.where("_issue")
-    scoped_issue = scope_month_or_latest(issue, time_col, period, month)
-    scoped_all = scope_month_or_latest(w, time_col, period, month)
+    w = with_period(df, time_col).withColumn("_issue", text_mask(pay, "payment_issue"))
+    p = F.col("_period")
+    explicit = parse_period(period) if period else None
+    if explicit:
+        s_issue = s_all = p == F.lit(explicit).cast("date")
+        lab_issue = lab_all = F.lit(explicit[:7])
+        scoped = w
+    elif month and 1 <= int(month) <= 12:
+        s_issue = s_all = F.month(p) == int(month)
+        lab_issue = lab_all = F.lit(f"{int(month)} 月")
+        scoped = w
+    else:
+        counts = w.where(p.isNotNull()).groupBy("_period").agg(F.count_if("_issue").alias("_ni"), F.count(F.lit(1)).alias("_na"))
+        latest = latest_from_counts(counts, "_period", "_ni", "_li").crossJoin(latest_from_counts(counts, "_period", "_na", "_la"))
+        scoped = w.crossJoin(F.broadcast(latest))
+        s_issue = F.col("_li").isNull() | (p == F.col("_li"))
+        s_all = F.col("_la").isNull() | (p == F.col("_la"))
+        lab_issue = F.coalesce(month_label(F.col("_li")), F.lit(ALL_PERIODS_LABEL))
+        lab_all = F.coalesce(month_label(F.col("_la")), F.lit(ALL_PERIODS_LABEL))
+    issue = F.col("_issue")
     high = text_mask(risk, "high_risk") if risk else F.lit(False)
     med_high = text_mask(risk, "medium_high") if risk else F.lit(False)
-
-    def measures(frame: DataFrame, scope: Column, label: str, cond: Column, value: str) -> DataFrame:
-        return frame.agg(
-            scope.alias("scope"),
-            F.lit(label).alias("measure"),
-            F.count_if(cond).alias("records"),
-            _count_distinct_or_rows(cust, cond).alias("customers"),
-            F.round(F.coalesce(F.sum(F.when(cond, F.col(value))), F.lit(0.0)), 2).alias("amount"),
-        )
-
-    scoped_label = F.coalesce(F.first("scope_label"), F.lit(ALL_PERIODS_LABEL))
-    parts = [
-        measures(issue, F.lit(ALL_PERIODS_LABEL), "problem_invoices", F.lit(True), "_inv"),
-        measures(scoped_issue, scoped_label, "problem_invoices_in_scope", F.lit(True), "_inv"),
-    ]
+    amount, mrr_v = num0(inv), (num0(mrr) if mrr else F.lit(0.0))
+    measures = [("problem_invoices", F.lit(ALL_PERIODS_LABEL), issue, amount), ("problem_invoices_in_scope", lab_issue, issue & s_issue, amount)]
     if overdue:
-        parts.append(measures(issue, F.lit(ALL_PERIODS_LABEL), "overdue_45_days", num0(overdue) >= 45, "_inv"))
+        measures.append(("overdue_45_days", F.lit(ALL_PERIODS_LABEL), issue & (num0(overdue) >= 45), amount))
     if risk:
-        parts.append(measures(scoped_issue, scoped_label, "high_risk_problem", high, "_inv"))
-        parts.append(measures(scoped_issue, scoped_label, "high_medium_risk_problem", med_high, "_inv"))
+        measures.append(("high_risk_problem", lab_issue, issue & s_issue & high, amount))
+        measures.append(("high_medium_risk_problem", lab_issue, issue & s_issue & med_high, amount))
     if mrr and risk:
-        parts.append(measures(scoped_all.withColumn("_mrr", num0(mrr)), scoped_label, "high_risk_mrr", high, "_mrr"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        measures.append(("high_risk_mrr", lab_all, s_all & high, mrr_v))
+    aggs = []
+    for i, (_, label, cond, value) in enumerate(measures):
+        aggs += [
+            F.first(label).alias(f"l{i}"),
+            F.count_if(cond).alias(f"r{i}"),
+            _count_distinct_or_rows(cust, cond).alias(f"c{i}"),
+            F.round(F.coalesce(F.sum(F.when(cond, value)), F.lit(0.0)), 2).alias(f"a{i}"),
+        ]
+    rows = [
+        (F.coalesce(F.col(f"l{i}"), F.lit(ALL_PERIODS_LABEL)), F.lit(name), F.col(f"r{i}"), F.col(f"c{i}"), F.col(f"a{i}"))
+        for i, (name, _, _, _) in enumerate(measures)
+    ]
+    return _stack(scoped.agg(*aggs), rows, ["scope", "measure", "records", "customers", "amount"])
 
 
 def collection_priority(df: DataFrame, period: str | None = None, month: int | None = None, n: int = 20, **roles) -> DataFrame:
@@ -135,8 +149,8 @@ def customer_success_priority(df: DataFrame, period: str | None = None, month: i
 
 
 # ---------------------------------------------------------------- T3-T6 ----
-def dimension_risk(df: DataFrame, dimension: str, period: str | None = None, month: int | None = None, **roles) -> DataFrame:
-    """Per dimension value (nulls kept), default all rows."""
+def _risk_frame(df: DataFrame, period: str | None, month: int | None, roles: dict) -> tuple[DataFrame, list[Column]]:
+    """Scoped rows and the aggregate list shared by T3–T6."""
     metric = role(df, "metric", roles.get("metric"))
     if metric is None:
         metric = next(f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "long", "integer", "float", "decimal"))
@@ -158,10 +172,18 @@ def dimension_risk(df: DataFrame, dimension: str, period: str | None = None, mon
     ]
     if nps:
         aggs.append(F.round(F.avg(num0(nps)), 2).alias("avg_nps"))
-    g = w.groupBy(dimension).agg(*aggs)
+    return w, aggs
+
+
+def _with_rates(g: DataFrame) -> DataFrame:
     g = g.withColumn("high_risk_rate", F.round(F.coalesce(F.try_divide(F.col("high_risk_records"), F.col("records")), F.lit(0.0)), 4))
-    g = g.withColumn("churn_rate", F.round(F.coalesce(F.try_divide(F.col("churn_records"), F.col("records")), F.lit(0.0)), 4))
-    return g
+    return g.withColumn("churn_rate", F.round(F.coalesce(F.try_divide(F.col("churn_records"), F.col("records")), F.lit(0.0)), 4))
+
+
+def dimension_risk(df: DataFrame, dimension: str, period: str | None = None, month: int | None = None, **roles) -> DataFrame:
+    """Per dimension value (nulls kept), default all rows."""
+    w, aggs = _risk_frame(df, period, month, roles)
+    return _with_rates(w.groupBy(dimension).agg(*aggs))
 
 
 def channel_performance_risk(df: DataFrame, **kw) -> DataFrame:
@@ -174,19 +196,23 @@ def industry_market_selection(df: DataFrame, **kw) -> DataFrame:
     return dimension_risk(df, role(df, "industry", kw.pop("industry", None), required=True), **kw)
 
 
-def segment_plan_strategy(df: DataFrame, **kw) -> DataFrame:
-    """T3 by segment and by plan, stacked as (dimension_type, dimension_value)."""
-    dims = [d for d in (role(df, "segment", kw.pop("segment", None)), role(df, "plan", kw.pop("plan", None))) if d]
+def segment_plan_strategy(df: DataFrame, period: str | None = None, month: int | None = None, **roles) -> DataFrame:
+    """T3 by segment and by plan in ONE pass with GROUPING SETS; stacked as
+    (dimension_type, dimension_value).  ``grouping()`` tells a set's own null
+    key apart from the other set's rolled-up column."""
+    dims = [d for d in (role(df, "segment", roles.pop("segment", None)), role(df, "plan", roles.pop("plan", None))) if d]
     if not dims:
         raise ValueError("segment_plan_strategy needs a segment or plan column")
-    parts = []
-    for d in dims:
-        t = dimension_risk(df, d, **kw)
-        parts.append(t.select(F.lit(d).alias("dimension_type"), F.col(d).cast("string").alias("dimension_value"), *[c for c in t.columns if c != d]))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    w, aggs = _risk_frame(df, period, month, roles)
+    flags = [F.grouping(d).alias(f"_g{i}") for i, d in enumerate(dims)]
+    g = w.groupingSets([[d] for d in dims], *dims).agg(*aggs, *flags)
+    dtype, dval = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for i, d in enumerate(reversed(dims)):
+        j = len(dims) - 1 - i
+        dtype = F.when(F.col(f"_g{j}") == 0, F.lit(d)).otherwise(dtype)
+        dval = F.when(F.col(f"_g{j}") == 0, F.col(d).cast("string")).otherwise(dval)
+    out = g.select(dtype.alias("dimension_type"), dval.alias("dimension_value"), *[a for a in g.columns if a not in dims and not a.startswith("_g")])
+    return _with_rates(out)
 
 
 # ---------------------------------------------------------------- T7 -------
