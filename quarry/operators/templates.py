@@ -485,3 +485,23 @@ def pipeline_by(df: DataFrame, by: str = "stage", **roles) -> DataFrame:
     if by == "owner":
         aggs.append(F.round(F.sum(F.when(F.col("_won"), F.col("_amount")).otherwise(0.0)), 2).alias("won_amount"))
     return w.groupBy(key).agg(*aggs)
+
+
+def pipeline_breakdown(df: DataFrame, **roles) -> DataFrame:
+    """T15b–d in ONE pass: GROUPING SETS over owner, stage and type, stacked
+    as (dimension_type, dimension_value); won amount is kept for every set."""
+    w, r = _pipe_work(df, roles)
+    dims = [r[k] for k in ("owner", "stage", "type") if r[k]]
+    flags = [F.grouping(d).alias(f"_g{i}") for i, d in enumerate(dims)]
+    g = w.groupingSets([[d] for d in dims], *dims).agg(
+        F.count(F.lit(1)).alias("deals"),
+        F.round(F.sum("_amount"), 2).alias("total_pipeline"),
+        F.round(F.sum("_weighted"), 2).alias("weighted_pipeline"),
+        F.round(F.sum(F.when(F.col("_won"), F.col("_amount")).otherwise(0.0)), 2).alias("won_amount"),
+        *flags,
+    )
+    dtype, dval = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for j in reversed(range(len(dims))):
+        dtype = F.when(F.col(f"_g{j}") == 0, F.lit(dims[j])).otherwise(dtype)
+        dval = F.when(F.col(f"_g{j}") == 0, F.col(dims[j]).cast("string")).otherwise(dval)
+    return g.select(dtype.alias("dimension_type"), dval.alias("dimension_value"), "deals", "total_pipeline", "weighted_pipeline", "won_amount")

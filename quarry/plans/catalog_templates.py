@@ -309,3 +309,16 @@ def t15c_pipeline_by_stage(spark, sf_dir):
 def t15d_pipeline_by_type(spark, sf_dir):
     """Pipeline per deal type."""
     return T.pipeline_by(Views(spark, sf_dir).v_pipe, by="type")
+
+
+@query(
+    "t15_pipeline_breakdown",
+    f"""WITH {_PIPE_W}
+SELECT CASE WHEN grouping(owner) = 0 THEN 'owner' WHEN grouping(stage) = 0 THEN 'stage' ELSE 'deal_type' END AS dimension_type,
+ CAST(CASE WHEN grouping(owner) = 0 THEN owner WHEN grouping(stage) = 0 THEN stage ELSE deal_type END AS VARCHAR) AS dimension_value,
+ count(*) AS deals, round(sum(a), 2) AS total_pipeline, round(sum(wt), 2) AS weighted_pipeline, round(sum(CASE WHEN won THEN a ELSE 0 END), 2) AS won_amount
+FROM pw GROUP BY GROUPING SETS ((owner), (stage), (deal_type))""",
+)
+def t15_pipeline_breakdown(spark, sf_dir):
+    """Owner, stage and type breakdowns in one GROUPING SETS pass."""
+    return T.pipeline_breakdown(Views(spark, sf_dir).v_pipe)
