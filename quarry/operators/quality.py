@@ -1,7 +1,8 @@
 """Q1–Q17: the data-quality audit.
 
 Plan shape (independent of the number of columns or rules):
-  * one aggregate for per-column missing/distinct counts (P1),
+  * one aggregate for per-column missing counts and the distinct counts the
+    rules need (exact only for text columns; min = max elsewhere),
   * one sort for all IQR quartiles (:mod:`quarry.functions.quantiles`) plus
     one pass counting outliers against the broadcast bound table,
   * one grouped count per duplicate rule (whole row, each business key),
@@ -21,7 +22,6 @@ from pyspark.sql.types import DateType, NumericType, StringType, TimestampNTZTyp
 
 from quarry.functions.columns import latest_complete_period, month_of, num, percent_normalise, resolve_column
 from quarry.functions.quantiles import grouped_quantiles
-from quarry.operators.profile import column_stats
 
 # Keyword lists the audit uses to find business columns.
 QUALITY_KEYWORDS = {
@@ -108,6 +108,44 @@ def _with_future_flag(df: DataFrame) -> tuple[DataFrame, str | None]:
     return out.drop("_p", "latest_period"), t
 
 
+def _audit_stats(df: DataFrame, approx: bool = False) -> DataFrame:
+    """Per column: missing count/rate, and the distinct count the rules need.
+    Exact distinct counts (which Spark evaluates by expanding every row once
+    per distinct column) are only needed for text columns (high-cardinality
+    rule); for the others "at most one value" is min = max over non-null
+    values, so their unique_count is 0, 1, or 2 meaning "more than one"."""
+    aggs = [F.count(F.lit(1)).alias("_rows")]
+    for i, f in enumerate(df.schema.fields):
+        x = F.col(f.name)
+        tn = f.dataType.typeName()
+        if tn in ("double", "float"):
+            miss, val = x.isNull() | F.isnan(x), F.when(~F.isnan(x), x)
+        else:
+            miss, val = x.isNull(), x
+        aggs.append(F.count_if(miss).alias(f"m{i}"))
+        if isinstance(f.dataType, StringType):
+            aggs.append((F.approx_count_distinct(val) if approx else F.count_distinct(val)).alias(f"u{i}"))
+        elif tn in ("map", "variant", "binary"):
+            aggs.append(F.lit(2).alias(f"u{i}"))
+        else:
+            aggs.append(
+                F.when(F.count(val) == 0, 0).when(F.min(val) == F.max(val), 1).otherwise(2).alias(f"u{i}")
+            )
+    one = df.agg(*aggs)
+    rows = [
+        F.struct(
+            F.lit(i).alias("position"),
+            F.lit(f.name).alias("column"),
+            F.col(f"m{i}").alias("missing_count"),
+            F.round(F.coalesce(F.try_divide(F.col(f"m{i}"), F.col("_rows")), F.lit(0.0)), 4).alias("missing_rate"),
+            F.col(f"u{i}").cast("bigint").alias("unique_count"),
+            F.col("_rows").alias("row_count"),
+        )
+        for i, f in enumerate(df.schema.fields)
+    ]
+    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
 def quality_issues(df: DataFrame, approx: bool = False) -> DataFrame:
     """Q15 (with Q1–Q14): one row per fired issue, or a single "no issue" row."""
     spark = df.sparkSession
@@ -130,8 +168,8 @@ def quality_issues(df: DataFrame, approx: bool = False) -> DataFrame:
             F.lit("high").alias("severity"), F.lit("duplicate_key_rows").alias("metric"), F.col("v").cast("double").alias("value"),
         ))
 
-    # Q3–Q5 from the single column-stats aggregate
-    stats = column_stats(df, approx=approx)
+    # Q3–Q5 from one aggregate over all columns
+    stats = _audit_stats(df, approx=approx)
     text_cols = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
     nonnull = F.greatest(F.col("row_count") - F.col("missing_count"), F.lit(1))
     base_pos = F.lit(10) + F.col("position") * 10
