@@ -40,10 +40,10 @@ def normalise_headers(df: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- S3/S4/S7 -
 def dataset_admission(df: DataFrame, name: str, max_rows: int | None = None, max_cols: int | None = None) -> DataFrame:
     """S3: one row per rule (row cap, column cap) with the observed value and
-    whether it passes.  Caps are off (None) by default; the row count stops
-    at cap + 1 (``limit``) so a huge table is not fully counted."""
-    counted = df.limit(max_rows + 1) if max_rows is not None else df
-    rows = counted.agg(F.count(F.lit(1)).alias("observed"))
+    whether it passes.  Caps are off (None) by default.  The row count is a
+    plain distributed count (partial counts per task; Parquet answers it from
+    footers) — an unordered ``limit`` would funnel rows into one task."""
+    rows = df.agg(F.count(F.lit(1)).alias("observed"))
     row_rule = rows.select(
         F.lit(name).alias("dataset"), F.lit("max_rows").alias("rule"), F.lit(max_rows).cast("bigint").alias("limit"), "observed",
         (F.lit(max_rows).isNull() | (F.col("observed") <= F.lit(max_rows))).alias("passed"),
