@@ -35,6 +35,16 @@ def release_pinned() -> int:
     return n
 
 
+def range_partition_count(spark, partitions: int | None = None) -> int:
+    """Partition count of the range layouts: the argument, else the session
+    setting ``quarry.range.partitions``, else ``spark.sql.shuffle.partitions``.
+    AQE neither coalesces nor splits an explicit count, so on a cluster size it
+    to the data (about input bytes / 128 MB)."""
+    if partitions:
+        return int(partitions)
+    return int(spark.conf.get("quarry.range.partitions", None) or spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def range_partitioned(df: DataFrame, order: list[Column], partitions: int | None = None) -> DataFrame:
     """``df`` range-partitioned on ``order`` with its partition index in
     ``_pid``, persisted (memory, spilling to disk).
@@ -45,7 +55,7 @@ def range_partitioned(df: DataFrame, order: list[Column], partitions: int | None
     a lost block is recomputed through the same shuffle dependency (same
     partitioner), so the pinning survives executor loss.
     """
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = range_partition_count(df.sparkSession, partitions)
     return _pin(df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id()))
 
 
@@ -72,7 +82,7 @@ def global_rank(df: DataFrame, order: list[Column], name: str, partitions: int |
     index in the upper bits, row counter in the lower 33), so no second
     shuffle or window is needed; partition offsets come from a table with one
     row per partition (broadcast)."""
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = range_partition_count(df.sparkSession, partitions)
     pid = F.spark_partition_id()
     numbered = _pin(
         df.repartitionByRange(n, *order)
