@@ -77,3 +77,19 @@ def test_group_sum_equals_total(spark):
     parts = sum(r["sales"] for r in T.order_status_impact(v.v_sales).collect())
     total = T.sales_overview_status(v.v_sales).first()["sales"]
     assert abs(parts - total) < 0.05
+
+
+def test_hot_key_running_sum_and_quantiles(spark):
+    from pyspark.sql import Window as W
+
+    from quarry.functions.sequential import keyed_running_sum
+
+    df = spark.range(0, 5000).select(
+        F.when(F.col("id") % 10 < 7, 1).otherwise(F.col("id") % 5).alias("k"), F.col("id").alias("s"), ((F.col("id") * 7) % 13).alias("v")
+    )
+    got = keyed_running_sum(df, ["k"], ["s"], "v", "rs", partitions=16)
+    ref = df.withColumn("rs2", F.sum("v").over(W.partitionBy("k").orderBy("s").rowsBetween(W.unboundedPreceding, 0)))
+    assert got.join(ref, ["k", "s"]).where(F.col("rs") != F.col("rs2")).count() == 0
+    q = {r["k"]: (r["q25"], r["q50"]) for r in grouped_quantiles(df, ["k"], "v", [0.25, 0.5]).collect()}
+    exp = {r[0]: (r[1], r[2]) for r in df.groupBy("k").agg(F.percentile("v", 0.25), F.percentile("v", 0.5)).collect()}
+    assert q.keys() == exp.keys() and all(abs(q[k][i] - exp[k][i]) < 1e-9 for k in q for i in (0, 1))
