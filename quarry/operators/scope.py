@@ -103,7 +103,25 @@ def late_outlier_periods(df: DataFrame, time_col: str) -> DataFrame:
     )
 
 
-def _explicit_scope(w: DataFrame, period: str | None, month: int | None) -> tuple[DataFrame, Column] | None:
+def last_period(period) -> str | None:
+    """Several requested periods: templates use the last valid one."""
+    if isinstance(period, (list, tuple)):
+        valid = [x for x in period if x and parse_period(x)]
+        return valid[-1] if valid else None
+    return period
+
+
+def start_end_periods(periods: list[str], start: str | None = None, end: str | None = None) -> tuple[str | None, str | None]:
+    """Explicit start/end win; else the min (and, with two or more, the max)
+    of the requested periods."""
+    parsed = sorted(p for p in (parse_period(x) for x in periods or []) if p)
+    s = parse_period(start) if start else (parsed[0] if parsed else None)
+    e = parse_period(end) if end else (parsed[-1] if len(parsed) >= 2 else None)
+    return s, e
+
+
+def _explicit_scope(w: DataFrame, period, month: int | None) -> tuple[DataFrame, Column] | None:
+    period = last_period(period)
     p = parse_period(period) if period else None
     if p:
         return w.where(F.col("_period") == F.lit(p).cast("date")), F.lit(p[:7])

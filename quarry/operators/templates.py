@@ -24,7 +24,7 @@ from quarry.functions.columns import (
     role,
     text_mask,
 )
-from quarry.operators.scope import ALL_PERIODS_LABEL, parse_period, scope_month_or_all, scope_month_or_latest, with_period
+from quarry.operators.scope import ALL_PERIODS_LABEL, last_period, parse_period, scope_month_or_all, scope_month_or_latest, start_end_periods, with_period
 from quarry.plans.rank import global_row_number
 
 
@@ -59,6 +59,7 @@ def payment_renewal_summary(df: DataFrame, period: str | None = None, month: int
 
     w = with_period(df, time_col).withColumn("_issue", text_mask(pay, "payment_issue"))
     p = F.col("_period")
+    period = last_period(period)
     explicit = parse_period(period) if period else None
     if explicit:
         s_issue = s_all = p == F.lit(explicit).cast("date")
@@ -216,7 +217,7 @@ def segment_plan_strategy(df: DataFrame, period: str | None = None, month: int |
 
 
 # ---------------------------------------------------------------- T7 -------
-def expansion_panel(df: DataFrame, start: str | None = None, end: str | None = None, **roles) -> DataFrame:
+def expansion_panel(df: DataFrame, start: str | None = None, end: str | None = None, periods: list[str] | None = None, **roles) -> DataFrame:
     """Customers present in the first and the last month, with delta.
 
     First month = explicit start or min month; last = explicit end or F5.
@@ -229,7 +230,7 @@ def expansion_panel(df: DataFrame, start: str | None = None, end: str | None = N
     company = role(df, "company", roles.get("company"))
     order_key = roles.get("order_key") or cust
     w = with_period(df, time_col).where(F.col("_period").isNotNull()).withColumn("_mrr", num0(mrr))
-    s, e = (parse_period(start) if start else None), (parse_period(end) if end else None)
+    s, e = start_end_periods(periods or [], start, end)
     bounds = w.agg(F.min("_period").alias("_min"))
     bounds = bounds.crossJoin(latest_complete_period(w, "_period"))
     bounds = bounds.select(

@@ -140,3 +140,12 @@ def test_retention_cutoff_at_least_one_day(spark):
     assert expired.count() == 0 and kept.count() == 2
     kept, expired = O.log_retention_cascade(log, tasks, "2024-01-20 00:00:00", 3)
     assert [r[0] for r in expired.collect()] == [1] and kept.count() == 1
+
+
+def test_multiple_periods():
+    from quarry.operators.scope import last_period, start_end_periods
+
+    assert last_period(["2025-11", "bad", "2025-12"]) == "2025-12"
+    assert start_end_periods(["2025-12", "2025-11"]) == ("2025-11-01", "2025-12-01")
+    assert start_end_periods(["2025-11"]) == ("2025-11-01", None)
+    assert start_end_periods(["2025-11", "2025-12"], end="2026-01") == ("2025-11-01", "2026-01-01")
