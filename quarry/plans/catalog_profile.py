@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from quarry.operators import profile as P
 from quarry.plans.catalog_analysis import rnd
 from quarry.plans.registry import query

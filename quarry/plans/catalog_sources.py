@@ -7,14 +7,12 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.columns import MASK_PATTERNS, month_of, num, num0, percent_normalise, text_mask
+from quarry.functions.columns import month_of, num, num0, percent_normalise, text_mask
 from quarry.operators import scope as S
-from quarry.plans.catalog_analysis import rnd
 from quarry.plans.registry import query
 from quarry.plans.sqlparts import latest, mask
 from quarry.session import scratch_path
 from quarry.sources import io
-from quarry.sources.tables import TABLES
 from quarry.sources.views import Views
 
 # ---------------------------------------------------------------- S --------

@@ -6,7 +6,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.operators import logs as O
 from quarry.plans.catalog_logs import _HTTP
 from quarry.plans.registry import query
 from quarry.session import scratch_path
