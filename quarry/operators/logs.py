@@ -23,17 +23,20 @@ DEFAULT_TOKEN_BUDGET = 50000
 TASK_TIMEOUT_SECONDS = 120
 EVENT_RETENTION_DAYS = 7
 PAYLOAD_MAX_CHARS = 600
-PAYLOAD_KEEP_CHARS = 597
 FINISHED = ["succeeded", "failed", "cancelled"]
 RETRYABLE = ["failed", "cancelled"]
 RESUMABLE = ["queued", "running"]
 CJK_CLASS = "[^一-鿿]"
 
 
-def replay_from_cursor(log: DataFrame, task_id, cursor: int = 0, limit: int = 500, task_col: str = "task_id", seq: str = "sequence_id") -> DataFrame:
-    """O1: events of a task after the cursor, ascending, limit clamp(1, 500)."""
-    n = max(1, min(int(limit), 500))
-    return log.where((F.col(task_col) == task_id) & (F.col(seq) > cursor)).orderBy(seq).limit(n)
+def _page(ordered: DataFrame, limit: int | None) -> DataFrame:
+    return ordered if limit is None else ordered.limit(max(1, int(limit)))
+
+
+def replay_from_cursor(log: DataFrame, task_id, cursor: int = 0, limit: int | None = 500, task_col: str = "task_id", seq: str = "sequence_id") -> DataFrame:
+    """O1: events of a task after the cursor, ascending: a page of ``limit``
+    (the next one starts after its last ``seq``), or all with None."""
+    return _page(log.where((F.col(task_col) == task_id) & (F.col(seq) > cursor)).orderBy(seq), limit)
 
 
 def latest_status(log: DataFrame, task_col: str = "task_id", seq: str = "sequence_id") -> DataFrame:
@@ -182,17 +185,21 @@ def log_retention_cascade(log: DataFrame, tasks: DataFrame, now: str, retention_
     return kept, expired
 
 
-def task_listing(tasks: DataFrame, tenant: str | None = None, limit: int = 100) -> DataFrame:
-    """Tenant scope, newest first, limit clamp(1, 100)."""
+def task_listing(tasks: DataFrame, tenant: str | None = None, limit: int | None = 100, after: tuple | None = None) -> DataFrame:
+    """Tenant scope, newest first; a page of ``limit`` (None: all) that
+    starts after the (updated_at, task_id) ``after`` of the last page."""
     t = tasks.where(F.col("tenant_id") == tenant) if tenant else tasks
-    return t.orderBy(F.col("updated_at").desc(), F.col("task_id")).limit(max(1, min(int(limit), 100)))
+    if after:
+        when, task = F.lit(after[0]).cast(t.schema["updated_at"].dataType), after[1]
+        t = t.where((F.col("updated_at") < when) | ((F.col("updated_at") == when) & (F.col("task_id") > task)))
+    return _page(t.orderBy(F.col("updated_at").desc(), F.col("task_id")), limit)
 
 
-def usage_visible_to_owner(usage: DataFrame, tasks: DataFrame, tenant: str, limit: int = 100) -> DataFrame:
+def usage_visible_to_owner(usage: DataFrame, tasks: DataFrame, tenant: str, limit: int | None = 100) -> DataFrame:
     """Usage rows whose task belongs to the caller (left-semi join),
     newest first."""
     mine = tasks.where(F.col("tenant_id") == tenant).select("task_id")
-    return usage.join(mine, "task_id", "left_semi").orderBy(F.col("created_at").desc(), F.col("usage_id")).limit(limit)
+    return _page(usage.join(mine, "task_id", "left_semi").orderBy(F.col("created_at").desc(), F.col("usage_id")), limit)
 
 
 def eval_rollup(cases: DataFrame, run_col: str, passed_col: str) -> DataFrame:
@@ -213,30 +220,26 @@ def upsert_by_key(base: DataFrame, updates: DataFrame, key: list[str], created_c
     inserted, changed rows take the update (keeping the original created_at),
     identical rows are skipped.  Adds ``change`` = insert/update/unchanged."""
     value_cols = [c for c in base.columns if c not in key and c != created_col]
-    b = base.select(*key, *[F.col(c).alias(f"_b_{c}") for c in base.columns if c not in key])
+    b = base.select(*key, *[F.col(c).alias(f"_b_{c}") for c in base.columns if c not in key], F.lit(True).alias("_in_b"))
     u = updates.select(*key, *[F.col(c).alias(f"_u_{c}") for c in updates.columns if c not in key], F.lit(True).alias("_in_u"))
     j = b.join(u, key, "full_outer")
     same = F.lit(True)
     for c in value_cols:
         same = same & F.col(f"_b_{c}").eqNullSafe(F.col(f"_u_{c}"))
-    in_b = F.col(f"_b_{value_cols[0]}").isNotNull() | F.lit(False)
-    has_base = F.lit(False)
-    for c in [c for c in base.columns if c not in key]:
-        has_base = has_base | F.col(f"_b_{c}").isNotNull()
-    change = F.when(F.col("_in_u").isNull(), "unchanged").when(~has_base, "insert").when(same, "unchanged").otherwise("update")
+    change = F.when(F.col("_in_u").isNull(), "unchanged").when(F.col("_in_b").isNull(), "insert").when(same, "unchanged").otherwise("update")
     out = [*[F.col(k) for k in key]]
     for c in [c for c in base.columns if c not in key]:
         if c == created_col:
             out.append(F.coalesce(F.col(f"_b_{c}"), F.col(f"_u_{c}")).alias(c))
         else:
             out.append(F.when(F.col("_in_u").isNotNull(), F.col(f"_u_{c}")).otherwise(F.col(f"_b_{c}")).alias(c))
-    del in_b
     return j.select(*out, change.alias("change"))
 
 
 def safe_log_id(c: Column) -> Column:
-    """Key sanitising of O20: non [alnum - _] → '-', first 80 chars, or 'unknown'."""
-    s = F.substring(F.regexp_replace(c.cast("string"), r"[^\p{L}\p{N}_-]", "-"), 1, 80)
+    """Key sanitising of O20: non [alnum - _] → '-', or 'unknown' if empty.
+    Long keys stay whole, so two cases never share a log row."""
+    s = F.regexp_replace(c.cast("string"), r"[^\p{L}\p{N}_-]", "-")
     return F.when(F.length(s) > 0, s).otherwise("unknown")
 
 
@@ -261,11 +264,11 @@ def http_request_metrics(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     return counts, durations
 
 
-def redact_payload(payload: Column) -> Column:
+def redact_payload(payload: Column, display_chars: int | None = None) -> Column:
     """In a JSON object payload, replace the preview rows, profile, result
     rows and report text by counts and names (other keys keep their place and
-    value); compact JSON, cut to 597 chars + '...' when above 600.  Text that
-    is not a JSON object is only cut."""
+    value); compact JSON.  Other text stays as it is.  With ``display_chars``
+    a longer value is cut to that many characters, the last three '...'."""
     obj = F.from_json(payload, "map<string,variant>")
     preview_n = F.json_array_length(F.get_json_object(payload, "$.dataset_preview"))
     prof = F.from_json(F.get_json_object(payload, "$.profile"), "struct<row_count:bigint,column_count:bigint,columns:array<struct<name:string>>>")
@@ -286,4 +289,6 @@ def redact_payload(payload: Column) -> Column:
         .otherwise(v),
     )
     compact = F.when(obj.isNotNull(), F.to_json(redacted)).otherwise(payload)
-    return F.when(F.length(compact) > PAYLOAD_MAX_CHARS, F.concat(F.substring(compact, 1, PAYLOAD_KEEP_CHARS), F.lit("..."))).otherwise(compact)
+    if display_chars is None:
+        return compact
+    return F.when(F.length(compact) > display_chars, F.concat(F.substring(compact, 1, display_chars - 3), F.lit("..."))).otherwise(compact)

@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, NumericType, StringType, TimestampNTZType, TimestampType
 
-from quarry.functions.columns import latest_complete_period, month_of, num, percent_normalise, resolve_column
+from quarry.functions.columns import latest_complete_period, month_of, num, percent_normalise, best_match
 from quarry.functions.quantiles import grouped_quantiles
 
 # Keyword lists the audit uses to find business columns.
@@ -53,7 +53,7 @@ ISSUE_SCHEMA = "position int, issue_type string, column string, severity string,
 
 
 def _roles(df: DataFrame) -> dict[str, str | None]:
-    return {k: resolve_column(df.columns, v) for k, v in QUALITY_KEYWORDS.items()}
+    return {k: best_match(df.columns, v) for k, v in QUALITY_KEYWORDS.items()}
 
 
 def business_keys(df: DataFrame) -> list[list[str]]:
@@ -175,7 +175,7 @@ def quality_issues(df: DataFrame, approx: bool = False) -> DataFrame:
     base_pos = F.lit(10) + F.col("position") * 10
     missing = stats.select(
         (base_pos + 0).alias("position"), F.lit("missing").alias("issue_type"), "column",
-        F.when(F.col("missing_rate") >= MISSING_HIGH_RATE, "high").otherwise("warning").alias("severity"),
+        F.when(F.col("missing_count") >= MISSING_HIGH_RATE * F.col("row_count"), "high").otherwise("warning").alias("severity"),
         F.lit("missing_rate").alias("metric"), F.col("missing_rate").alias("value"), (F.col("missing_count") > 0).alias("_fire"),
     )
     constant = stats.select(
@@ -234,9 +234,9 @@ def quality_issues(df: DataFrame, approx: bool = False) -> DataFrame:
     return fired.unionByName(none).withColumn("position", F.col("position").cast("int"))
 
 
-def quality_detail_rows(df: DataFrame, key: list[str], per_issue: int = 20, total: int = 50) -> DataFrame:
-    """Q16: up to ``per_issue`` sample rows per row-level issue (by ``key``),
-    ``total`` overall in issue order.  Each row carries the array of issues
+def quality_detail_rows(df: DataFrame, key: list[str], per_issue: int | None = None) -> DataFrame:
+    """Q16: the rows of every row-level issue in issue order, all or the first
+    ``per_issue`` (by ``key``) of each.  Each row carries the array of issues
     it matches; duplicate flags come from joins with the duplicate groups."""
     cols = df.columns
     flagged, tcol = _with_future_flag(df)
@@ -253,8 +253,9 @@ def quality_detail_rows(df: DataFrame, key: list[str], per_issue: int = 20, tota
     named += [(it, F.coalesce(pred, F.lit(False))) for it, _, _, _, pred in _row_rules(df)]
     tags = F.array(*[F.when(pred, F.struct(F.lit(i).alias("p"), F.lit(name).alias("issue_type"))) for i, (name, pred) in enumerate(named)])
     exploded = flagged.select(*key, F.explode(F.filter(tags, lambda x: x.isNotNull())).alias("_t")).select("_t.p", "_t.issue_type", *key)
-    ranked = exploded.withColumn("_rn", F.row_number().over(W.partitionBy("p").orderBy(*key))).where(F.col("_rn") <= per_issue)
-    return ranked.orderBy("p", *key).limit(total).select(F.col("p").alias("issue_position"), "issue_type", *key)
+    if per_issue is not None:
+        exploded = exploded.withColumn("_rn", F.row_number().over(W.partitionBy("p").orderBy(*key))).where(F.col("_rn") <= per_issue)
+    return exploded.orderBy("p", *key).select(F.col("p").alias("issue_position"), "issue_type", *key)
 
 
 def severity_summary(issues: DataFrame) -> DataFrame:

@@ -4,8 +4,6 @@ tables; nothing is compared on the driver."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,19 +11,19 @@ from pyspark.sql import functions as F
 EXACT_TOLERANCE = 1e-6
 ABS_TOLERANCE = 0.05
 REL_TOLERANCE = 0.001
-NUMBER_PATTERN = r"-?\d+(?:\.\d+)?"
+NUMBER_PATTERN = r"(?i)-?\d+(?:,\d{3})*(?:\.\d+)?(?:e[+-]?\d+)?"
 
 
 def _reconcile(expected: DataFrame, actual: DataFrame, key: list[str], value: str, within) -> DataFrame:
-    e = expected.select(*key, F.col(value).alias("expected"))
-    a = actual.select(*key, F.col(value).alias("actual"))
-    j = e.join(a, key, "full_outer").withColumn("_e", F.col("expected").isNotNull()).withColumn("_a", F.col("actual").isNotNull())
+    e = expected.select(*key, F.col(value).alias("expected"), F.lit(True).alias("_e"))
+    a = actual.select(*key, F.col(value).alias("actual"), F.lit(True).alias("_a"))
+    j = e.join(a, key, "full_outer")
     ed, ad = F.col("expected").try_cast("double"), F.col("actual").try_cast("double")
     numeric = ed.isNotNull() & ad.isNotNull()
     equal = F.when(numeric, within(ad, ed)).otherwise(F.col("expected").cast("string") == F.col("actual").cast("string"))
     status = (
-        F.when(F.col("actual").isNull() & F.col("expected").isNotNull(), "missing_actual")
-        .when(F.col("expected").isNull() & F.col("actual").isNotNull(), "unexpected")
+        F.when(F.col("_a").isNull(), "missing_actual")
+        .when(F.col("_e").isNull(), "unexpected")
         .when(F.col("expected").isNull() & F.col("actual").isNull(), "match")
         .when(equal, "match")
         .otherwise("mismatch")
@@ -46,21 +44,36 @@ def reconcile_tolerance(expected: DataFrame, actual: DataFrame, key: list[str],
 def any_row_contains(results: DataFrame, row_id: str, expectations: DataFrame) -> DataFrame:
     """V3: for each expectation (exp_id, column, value) set, does any result row
     hold all its column=value pairs?  Results are unpivoted to (row, column,
-    text value) and equi-joined with the pairs; a row matches when it hits
+    value) and equi-joined with the pairs, numbers by steps of the tolerance
+    and their neighbours, other values as text; a row matches when it hits
     every pair of the expectation."""
     cols = [c for c in results.columns if c != row_id]
     longf = results.select(
         row_id, F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols])).alias("_kv")
     ).select(row_id, "_kv.column", "_kv.value")
     need = expectations.groupBy("exp_id").agg(F.count(F.lit(1)).alias("_need"))
-    hits = expectations.join(longf, ["column", "value"]).groupBy("exp_id", row_id).agg(F.count(F.lit(1)).alias("_hit"))
+    number = F.col("value").try_cast("double")
+    finite = number.isNotNull() & ~F.isnan(number) & (F.abs(number) < 1e15)
+    step = F.floor(number / EXACT_TOLERANCE)
+    text = F.concat(F.lit("="), F.col("value"))
+    left = longf.select(row_id, "column", F.when(finite, number).alias("_x"), F.when(finite, step.cast("string")).otherwise(text).alias("_k"))
+    near = F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: (step + i).cast("string"))
+    right = expectations.select(
+        "exp_id", "column", "value", F.when(finite, number).alias("_y"), F.explode(F.when(finite, near).otherwise(F.array(text))).alias("_k")
+    )
+    same = F.col("_x").isNull() | (F.abs(F.col("_x") - F.col("_y")) < EXACT_TOLERANCE)
+    pairs = right.join(left, ["column", "_k"]).where(same)
+    hits = pairs.groupBy("exp_id", row_id).agg(F.count_distinct("column", "value").alias("_hit"))
     full = hits.join(need, "exp_id").where(F.col("_hit") == F.col("_need")).select("exp_id").distinct().withColumn("found", F.lit(True))
     return need.join(full, "exp_id", "left").select("exp_id", F.coalesce(F.col("found"), F.lit(False)).alias("found"))
 
 
-def number_in_text(text: Column, expected: Column, tolerance: float = ABS_TOLERANCE) -> Column:
-    """V4: does the text mention a number within tolerance of ``expected``."""
-    nums = F.transform(F.regexp_extract_all(text, F.lit(NUMBER_PATTERN), 0), lambda s: s.try_cast("double"))
+def number_in_text(text: Column, expected: Column, tolerance: float | Column | None = None) -> Column:
+    """V4: does the text mention a number (thousands commas and exponents
+    allowed) within tolerance of ``expected``; default max(0.05, 0.1 %)."""
+    if tolerance is None:
+        tolerance = F.greatest(F.lit(ABS_TOLERANCE), F.abs(expected) * REL_TOLERANCE)
+    nums = F.transform(F.regexp_extract_all(text, F.lit(NUMBER_PATTERN), 0), lambda s: F.replace(s, F.lit(",")).try_cast("double"))
     return F.coalesce(F.exists(nums, lambda x: F.abs(x - expected) <= tolerance), F.lit(False))
 
 
@@ -87,6 +100,3 @@ def evidence_filter(findings: DataFrame, parent: str, evidence: str) -> tuple[Da
     per = findings.groupBy(parent).agg(F.count(F.lit(1)).alias("findings"), F.count_if(has).alias("kept"))
     return kept, per.withColumn("warning", F.col("kept") == 0)
 
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

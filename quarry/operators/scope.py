@@ -14,6 +14,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
 
 from quarry.functions.columns import latest_complete_period, month_label, month_of
 
@@ -68,18 +69,32 @@ def with_period(df: DataFrame, time_col: str | None, name: str = "_period") -> D
 
 def period_scope(df: DataFrame, time_col: str, period: str | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
     """rows of one month, or of an inclusive month range."""
-    m = month_of(df, time_col)
     if period:
         p = parse_period(period)
-        return df.where(m == F.lit(p).cast("date"))
-    s = parse_period(start) if start else None
-    e = parse_period(end) if end else None
+        return df.where(in_months(df, time_col, p, p) if p else F.lit(False))
+    return df.where(in_months(df, time_col, parse_period(start) if start else None, parse_period(end) if end else None))
+
+
+def in_months(df: DataFrame, time_col: str, first: str | None, last: str | None) -> Column:
+    """Rows of the months ``first`` to ``last``.  On date and timestamp columns
+    a half-open range of the plain column, which the scan can prune by; text
+    has to be parsed first."""
+    kind = df.schema[time_col].dataType
     pred = F.lit(True)
-    if s:
-        pred = pred & (m >= F.lit(s).cast("date"))
-    if e:
-        pred = pred & (m <= F.lit(e).cast("date"))
-    return df.where(pred)
+    if isinstance(kind, (DateType, TimestampType, TimestampNTZType)):
+        if first:
+            pred = pred & (F.col(time_col) >= F.lit(first).cast("date").cast(kind))
+        if last:
+            year, month = int(last[:4]), int(last[5:7])
+            after = f"{year + month // 12:04d}-{month % 12 + 1:02d}-01"
+            pred = pred & (F.col(time_col) < F.lit(after).cast("date").cast(kind))
+        return pred
+    m = month_of(df, time_col)
+    if first:
+        pred = pred & (m >= F.lit(first).cast("date"))
+    if last:
+        pred = pred & (m <= F.lit(last).cast("date"))
+    return pred
 
 
 def month_of_year_scope(df: DataFrame, time_col: str, month: int) -> DataFrame:
@@ -120,25 +135,33 @@ def start_end_periods(periods: list[str], start: str | None = None, end: str | N
     return s, e
 
 
-def _explicit_scope(w: DataFrame, period, month: int | None) -> tuple[DataFrame, Column] | None:
+def _explicit_scope(w: DataFrame, time_col: str | None, period, month: int | None) -> DataFrame | None:
+    """Rows of the asked-for month with their label; every row (label 全期间)
+    if the table has no valid month at all; None without a valid request.  The
+    second branch is an empty relation, and not scanned, if there is a month."""
     period = last_period(period)
     p = parse_period(period) if period else None
+    if not p and not (month and 1 <= int(month) <= 12):
+        return None
+    everything = w.withColumn("scope_label", F.lit(ALL_PERIODS_LABEL))
+    if not time_col or time_col not in w.columns or w.schema["_period"].dataType != DateType():
+        return everything
     if p:
-        return w.where(F.col("_period") == F.lit(p).cast("date")), F.lit(p[:7])
-    if month and 1 <= int(month) <= 12:
-        return w.where(F.month("_period") == int(month)), F.lit(f"{int(month)} 月")
-    return None
+        hit = w.where(in_months(w, time_col, p, p)).withColumn("scope_label", F.lit(p[:7]))
+    else:
+        hit = w.where(F.month("_period") == int(month)).withColumn("scope_label", F.lit(f"{int(month)} 月"))
+    no_month = w.agg(F.max("_period").alias("_m")).where(F.col("_m").isNull()).select(F.lit(True).alias("_none"))  # one row or none
+    return hit.unionByName(everything.crossJoin(F.broadcast(no_month)).drop("_none"))
 
 
 def scope_month_or_latest(df: DataFrame, time_col: str | None, period: str | None = None, month: int | None = None) -> DataFrame:
-    """explicit period > month-of-year > latest complete month; with no
-    usable month at all, every row (label 全期间).  Adds ``_period`` and
+    """with no usable month in the table, every row (label 全期间); else
+    explicit period > month-of-year > latest complete month.  Adds ``_period`` and
     ``scope_label`` columns."""
     w = with_period(df, time_col)
-    explicit = _explicit_scope(w, period, month)
+    explicit = _explicit_scope(w, time_col, period, month)
     if explicit is not None:
-        scoped, label = explicit
-        return scoped.withColumn("scope_label", label)
+        return explicit
     latest = latest_complete_period(w, "_period")
     joined = w.crossJoin(F.broadcast(latest))
     return joined.where(F.col("latest_period").isNull() | (F.col("_period") == F.col("latest_period"))).select(
@@ -149,10 +172,9 @@ def scope_month_or_latest(df: DataFrame, time_col: str | None, period: str | Non
 def scope_month_or_all(df: DataFrame, time_col: str | None, period: str | None = None, month: int | None = None) -> DataFrame:
     """F8: like F7, but the default is every row."""
     w = with_period(df, time_col)
-    explicit = _explicit_scope(w, period, month)
+    explicit = _explicit_scope(w, time_col, period, month)
     if explicit is not None:
-        scoped, label = explicit
-        return scoped.withColumn("scope_label", label)
+        return explicit
     return w.withColumn("scope_label", F.lit(ALL_PERIODS_LABEL))
 
 

@@ -17,7 +17,7 @@ def _tasks(v):
     return O.task_table(v.v_log)
 
 
-@query("o1_replay_from_cursor", "SELECT * FROM v_log WHERE task_id = 8 AND sequence_id > 100 ORDER BY sequence_id LIMIT 500")
+@query("o1_replay_from_cursor", "SELECT * FROM v_log WHERE task_id = 8 AND sequence_id > 100 ORDER BY sequence_id LIMIT 1000")
 def o1_replay_from_cursor(spark, sf_dir):
     """Events of task 8 after cursor 100."""
     return O.replay_from_cursor(Views(spark, sf_dir).v_log, 8, 100, 1000)
@@ -286,9 +286,9 @@ def o21_http_duration_metrics(spark, sf_dir):
 
 @query(
     "o22_redact_payload",
-    "SELECT conv_id, turn, CASE WHEN length(text) > 600 THEN left(text, 597) || '...' ELSE text END AS summary FROM conversations",
+    "SELECT conv_id, turn, text AS payload, CASE WHEN length(text) > 600 THEN left(text, 597) || '...' ELSE text END AS summary FROM conversations",
 )
 def o22_redact_payload(spark, sf_dir):
-    """Trace summaries of conversation turns, redacted and cut at 600 chars."""
+    """Conversation turns as payloads, redacted: whole, and cut for display."""
     c = Views(spark, sf_dir).conversations
-    return c.select("conv_id", "turn", O.redact_payload(F.col("text")).alias("summary"))
+    return c.select("conv_id", "turn", O.redact_payload(F.col("text")).alias("payload"), O.redact_payload(F.col("text"), O.PAYLOAD_MAX_CHARS).alias("summary"))

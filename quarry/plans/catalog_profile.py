@@ -53,7 +53,7 @@ def _types_sql(table: str, cols: list[tuple[str, str]], key: str) -> str:
             parts.append(f"SELECT {i} AS position, '{c}' AS column, '{t}' AS dtype, '{k}' AS logical_type")
             continue
         parts.append(
-            f"""SELECT {i}, '{c}', '{t}', (WITH f AS (SELECT {c} AS v FROM {table} WHERE {c} IS NOT NULL ORDER BY {key} LIMIT 100),
+            f"""SELECT {i}, '{c}', '{t}', (WITH f AS (SELECT {c} AS v FROM {table} WHERE {c} IS NOT NULL),
  s AS (SELECT count({c}) AS nn, count(DISTINCT {c}) AS u FROM {table})
  SELECT CASE WHEN nn = 0 THEN 'unknown' WHEN (SELECT avg(CASE WHEN TRY_CAST(trim(v) AS TIMESTAMP) IS NOT NULL THEN 1.0 ELSE 0.0 END) FROM f) >= 0.8 THEN 'datetime'
  WHEN u / greatest(1, nn) <= 0.5 OR u <= 30 THEN 'categorical' ELSE 'text' END FROM s)"""
@@ -157,7 +157,7 @@ def _cand_sql(table: str, cands: list[list[str]]) -> str:
         parts.append(
             f"SELECT {j} AS position, '{'+'.join(cols)}' AS key_columns FROM {table} HAVING count_if(NOT ({nn})) = 0 AND count(DISTINCT ({', '.join(cols)})) = count(*)"
         )
-    return "SELECT * FROM (" + " UNION ALL ".join(parts) + ") ORDER BY position LIMIT 5"
+    return "SELECT * FROM (" + " UNION ALL ".join(parts) + ") ORDER BY position"
 
 
 @query("p8_key_candidates", _cand_sql("events", [["event_id"], ["user_id"], ["event_id", "ts"], ["user_id", "ts"]]))
@@ -217,16 +217,13 @@ def p11_grain_inference_events(spark, sf_dir):
 
 @query(
     "p12_known_values",
-    "WITH s AS (SELECT \"column\", value FROM (SELECT \"column\", value, row_number() OVER (PARTITION BY \"column\" ORDER BY c_custkey) AS pos FROM ("
-    + " UNION ALL ".join(f"SELECT c_custkey, '{c}' AS column, CAST({c} AS VARCHAR) AS value FROM customer WHERE {c} IS NOT NULL" for c in ["c_name", "c_mktsegment"])
-    + ")) WHERE pos <= 5), t AS (SELECT \"column\", value FROM ("
-    + _top_sql("customer", ["c_name", "c_mktsegment"])
-    + ")), u AS (SELECT \"column\", trim(value) AS value FROM (SELECT * FROM s UNION ALL SELECT * FROM t) WHERE length(trim(value)) > 0)"
-    " SELECT \"column\", lower(value) AS value_key, min(value) AS value FROM u GROUP BY \"column\", lower(value)",
+    "SELECT \"column\", lower(value) AS value_key, min(value) AS value FROM ("
+    + " UNION ALL ".join(f"SELECT '{c}' AS column, trim(CAST({c} AS VARCHAR)) AS value FROM customer WHERE {c} IS NOT NULL" for c in ["c_name", "c_mktsegment"])
+    + ") WHERE length(value) > 0 GROUP BY \"column\", lower(value)",
 )
 def p12_known_values(spark, sf_dir):
-    """Known values of customer name and segment (samples ∪ top values)."""
-    return P.known_values(Views(spark, sf_dir).customer, ["c_custkey"], ["c_name", "c_mktsegment"])
+    """All distinct values of customer name and segment."""
+    return P.known_values(Views(spark, sf_dir).customer, ["c_name", "c_mktsegment"])
 
 
 @query(

@@ -140,12 +140,11 @@ def _detail_sql() -> str:
  EXISTS (SELECT 1 FROM (SELECT customer_id, month FROM v_dirty GROUP BY customer_id, month HAVING count(*) > 1) g WHERE g.customer_id IS NOT DISTINCT FROM d.customer_id AND g.month IS NOT DISTINCT FROM d.month) AS dup_k1
  FROM v_dirty d)"""
     tags = " UNION ALL ".join(f"SELECT {i} AS p, '{name}' AS issue_type, order_id FROM fl WHERE {pred}" for i, (name, pred) in enumerate(preds))
-    return f"""WITH f5 AS (SELECT {latest('v_dirty')} AS lp), {flagged}, t AS ({tags}),
-r AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY order_id) AS rn FROM t)
-SELECT CAST(p AS INTEGER) AS issue_position, issue_type, order_id FROM r WHERE rn <= 20 ORDER BY p, order_id LIMIT 50"""
+    return f"""WITH f5 AS (SELECT {latest('v_dirty')} AS lp), {flagged}, t AS ({tags})
+SELECT CAST(p AS INTEGER) AS issue_position, issue_type, order_id FROM t ORDER BY p, order_id"""
 
 
 @query("q16_quality_detail_rows", _detail_sql())
 def q16_quality_detail_rows(spark, sf_dir):
-    """Up to 20 sample rows per issue, 50 overall, keyed by order_id."""
+    """Every row of every row-level issue, keyed by order_id."""
     return Q.quality_detail_rows(Views(spark, sf_dir).v_dirty, ["order_id"])

@@ -189,18 +189,16 @@ def r8_link_columns(spark, sf_dir):
 
 @query(
     "r9_link_values",
-    """WITH s AS (SELECT 'n_name' AS "column", n_name AS value FROM nation WHERE n_name IS NOT NULL ORDER BY n_nationkey LIMIT 5),
-t AS (SELECT 'n_name' AS "column", value FROM (SELECT CAST(n_name AS VARCHAR) AS value, count(*) AS c FROM nation WHERE n_name IS NOT NULL GROUP BY 1 ORDER BY c DESC, value LIMIT 5)),
-kv AS (SELECT "column", min(trim(value)) AS value FROM (SELECT * FROM s UNION ALL SELECT * FROM t) WHERE length(trim(value)) > 0 GROUP BY "column", lower(trim(value))),
+    """WITH kv AS (SELECT 'n_name' AS "column", min(trim(n_name)) AS value FROM nation WHERE length(trim(n_name)) > 0 GROUP BY lower(trim(n_name))),
 c AS (SELECT q.q_id, kv."column", kv.value, length(lower(kv.value)) + CASE WHEN contains(lower(q.question), lower(kv."column")) THEN 100 ELSE 0 END AS score
  FROM v_q q, kv WHERE length(kv.value) BETWEEN 2 AND 80 AND (CASE WHEN regexp_matches(lower(kv.value), '^[a-z0-9_.-]+$')
  THEN regexp_matches(lower(q.question), '(^|[^a-z0-9_])' || replace(lower(kv.value), '.', '\\.') || '([^a-z0-9_]|$)') ELSE contains(lower(q.question), lower(kv.value)) END))
 SELECT q_id, "column", arg_max(value, (score, value)) AS value FROM c GROUP BY q_id, "column\"""",
 )
 def r9_link_values(spark, sf_dir):
-    """Known nation values named in each question (broadcast theta join)."""
+    """Nation names in each question, from all distinct values."""
     v = Views(spark, sf_dir)
-    known = P.known_values(v.nation, ["n_nationkey"], ["n_name"])
+    known = P.known_values(v.nation, ["n_name"])
     return R.link_values(v.v_q, "q_id", "question", known, ["n_name"])
 
 

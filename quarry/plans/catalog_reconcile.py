@@ -71,7 +71,7 @@ def v3_any_row_contains(spark, sf_dir):
 
 @query(
     "v4_number_in_text",
-    """SELECT doc_id, coalesce(list_bool_or(list_transform(regexp_extract_all(text, '-?\\d+(?:\\.\\d+)?'), lambda s: abs(TRY_CAST(s AS DOUBLE) - 100) <= 5)), false) AS mentions FROM documents""",
+    """SELECT doc_id, coalesce(list_bool_or(list_transform(regexp_extract_all(text, '-?[0-9]+(?:,[0-9][0-9][0-9])*(?:[.][0-9]+)?(?:[eE][+-]?[0-9]+)?'), lambda s: abs(TRY_CAST(replace(s, ',', '') AS DOUBLE) - 100) <= 5)), false) AS mentions FROM documents""",
 )
 def v4_number_in_text(spark, sf_dir):
     """Does each document mention a number within 5 of 100 (whole text)."""

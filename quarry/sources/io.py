@@ -13,7 +13,6 @@ from pyspark.sql.types import ArrayType, DateType, DecimalType, DoubleType, Floa
 # Default caps of the reference (rows, columns, result rows).
 MAX_ROWS = 250_000
 MAX_COLUMNS = 200
-MAX_RESULT_ROWS = 200
 
 
 # ---------------------------------------------------------------- S1/S2 ----
@@ -57,13 +56,14 @@ def dataset_admission(df: DataFrame, name: str, max_rows: int | None = None, max
 
 
 def preview(df: DataFrame, order_by: list[str], n: int = 20) -> DataFrame:
-    """First n rows by a key; n clamped to 1…100 as the reference's API."""
-    return df.orderBy(*order_by).limit(max(1, min(int(n), 100)))
+    """First n rows by a key, 1 at least."""
+    return df.orderBy(*order_by).limit(max(1, int(n)))
 
 
-def result_cap(df: DataFrame, order_by: list, n: int = MAX_RESULT_ROWS) -> DataFrame:
-    """Result limited to clamp(n, 1, 200) in a deterministic order."""
-    return df.orderBy(*order_by).limit(max(1, min(int(n), MAX_RESULT_ROWS)))
+def result_cap(df: DataFrame, order_by: list, n: int | None = None) -> DataFrame:
+    """The rows in a deterministic order, all of them or the first n."""
+    ordered = df.orderBy(*order_by)
+    return ordered if n is None else ordered.limit(max(1, int(n)))
 
 
 # ---------------------------------------------------------------- S5/S6 ----
@@ -134,36 +134,90 @@ def dataset_retention(catalog: DataFrame, created_at: str, cutoff: str, days: in
 
 
 # ---------------------------------------------------------------- S11 ------
-# Words the reference forbids, plus Spark-side file readers and
-# reflection functions (Spark runs ``FROM parquet.`path``` and ``reflect``).
-FORBIDDEN_SQL = re.compile(
-    r"\b(copy|attach|install|load|pragma|create|insert|update|delete|drop|alter|export|import|read_csv|read_parquet|read_json"
-    r"|merge|truncate|msck|reflect|java_method|try_reflect)\b"
-    r"|\b(parquet|orc|csv|json|text|avro|binaryfile|delta|jdbc)\s*\.|`",
-    re.IGNORECASE,
-)
-
-
-def validate_select(sql: str) -> str:
-    body = sql.strip().rstrip(";").strip()
-    if not body.lower().startswith("select"):
-        raise ValueError("Only SELECT statements are allowed.")
-    if ";" in body:
-        raise ValueError("Multiple SQL statements are not allowed.")
-    if FORBIDDEN_SQL.search(body):
-        raise ValueError("SQL contains a forbidden operation.")
-    return body
-
-
-def guarded_select(df: DataFrame, sql: str, limit: int = MAX_RESULT_ROWS) -> DataFrame:
-    """User SELECT over a view named ``dataset``.  The text is checked
-    before Spark parses it, file-path queries are switched off, the frame is
-    bound as a uniquely named view and the result is wrapped in a LIMIT."""
-    body = validate_select(sql)
+# Statements, readers and reflection that a user SELECT may not name.
+FORBIDDEN_SQL = (
+    "copy attach install load pragma create insert update delete drop alter export import read_csv read_parquet read_json "
+    "merge truncate msck reflect java_method try_reflect"
+).split()
+
+_TOKEN = re.compile(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|--[^\n]*|/\*.*?\*/|\w+|\S", re.DOTALL)
+
+
+def checked_select(sql: str, view: str) -> str:
+    """The text with the relation ``dataset`` bound to ``view``; raises
+    ValueError unless it is one SELECT (or WITH) that reads nothing else than
+    ``dataset`` and its own common table expressions.  Literals are not touched."""
+    tokens = [(m.group(), m.start(), m.end()) for m in _TOKEN.finditer(sql)]
+    tokens = [t for t in tokens if not t[0].startswith(("--", "/*"))]
+    while tokens and tokens[-1][0] == ";":
+        tokens.pop()
+    words = [t[0].lower() for t in tokens]
+    if not words or words[0] not in ("select", "with"):
+        raise ValueError("only a SELECT may run")
+    bad = sorted({w for w in words if w in FORBIDDEN_SQL or w in (";", "`")})
+    if bad:
+        raise ValueError(f"not allowed in a SELECT: {', '.join(bad)}")
+    own = {words[i] for i in range(len(words) - 2) if words[i + 1] == "as" and words[i + 2] == "(" and words[i - 1] in ("with", ",", "recursive")}
+    out, at, depth, listing = [], 0, 0, {}
+    # a relation stands after FROM, JOIN or TABLE, or after a comma of that FROM list
+    closing = {"where", "group", "order", "having", "select", "union", "on", "using", "limit", "window", "lateral", "intersect", "except", "qualify"}
+    for i, (text, start, end) in enumerate(tokens):
+        w = words[i]
+        before = words[i - 1] if i else ""
+        relation = before in ("from", "join", "table") or (before == "," and listing.get(depth))
+        if w == "from" and words[max(i - 3, 0) : i].count("distinct"):
+            relation = False  # IS [NOT] DISTINCT FROM: followed by a value
+            listing.setdefault(depth, False)
+        elif w == "from":
+            listing[depth] = True
+        elif w in closing:
+            listing[depth] = False
+        if w == "(":
+            depth += 1
+            listing[depth] = False
+        elif w == ")":
+            depth -= 1
+        elif relation and before == "from" and words[max(i - 4, 0) : i - 1].count("distinct") and "is" in words[max(i - 4, 0) : i - 1]:
+            pass
+        elif relation and before == "from" and _inside_call(words, i):
+            pass  # EXTRACT(x FROM y), TRIM(x FROM y), SUBSTRING(x FROM y)
+        elif relation and w not in ("(", "lateral", "select"):
+            if w not in own | {"dataset"} or (i + 1 < len(words) and words[i + 1] in (".", "(")):
+                raise ValueError(f"only dataset may be read, not {text}")
+            if w == "dataset":
+                out += [sql[at:start], f"{view} AS dataset" if i + 1 >= len(words) or words[i + 1] not in ("as",) and not _alias(words, i + 1) else view]
+                at = end
+    last = tokens[-1][2]
+    return "".join(out) + sql[at:last]
+
+
+def _alias(words: list[str], i: int) -> bool:
+    """A plain word after a relation is its alias, unless it goes on with the query."""
+    follows = "where group order having join inner left right full cross on using limit union natural semi anti window intersect except lateral qualify tablesample offset".split()
+    return i < len(words) and re.fullmatch(r"[a-z_]\w*", words[i]) is not None and words[i] not in follows
+
+
+def _inside_call(words: list[str], i: int) -> bool:
+    """Whether the FROM before token i belongs to EXTRACT, TRIM or the like."""
+    depth = 0
+    for j in range(i - 2, -1, -1):
+        depth += (words[j] == ")") - (words[j] == "(")
+        if depth < 0:
+            return j > 0 and words[j - 1] in ("extract", "trim", "substring", "substr", "overlay", "position")
+    return False
+
+
+def guarded_select(df: DataFrame, sql: str, limit: int | None = None) -> DataFrame:
+    """A user's SELECT over the relation ``dataset`` and nothing else.
+    The frame is bound as a uniquely named view for the time of analysis only;
+    all rows come back unless a ``limit`` is given."""
     spark = df.sparkSession
-    spark.conf.set("spark.sql.runSQLOnFiles", "false")
     view = f"dataset_{uuid.uuid4().hex}"
+    text = checked_select(sql, view)
     df.createOrReplaceTempView(view)
-    text = re.sub(r"\bdataset\b", view, body)
-    n = max(1, min(int(limit), MAX_RESULT_ROWS))
-    return spark.sql(f"SELECT * FROM ({text}) AS safe_result LIMIT {n}")
+    try:
+        found = spark.sql(text)
+        found.schema  # noqa: B018  analysed while the view exists
+    finally:
+        spark.catalog.dropTempView(view)
+    return found if limit is None else found.limit(max(1, int(limit)))

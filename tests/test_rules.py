@@ -11,9 +11,13 @@ from quarry.sources import io
 from quarry.streaming import streams as ST
 
 
-def test_pvalue_known_value():
-    assert A.pearson_pvalue(0.5, 10) == pytest.approx(0.141113, abs=1e-6)
-    assert A.pearson_pvalue(0.0, 30) == pytest.approx(1.0, abs=1e-12)
+def test_pvalue_known_value(spark):
+    df = spark.createDataFrame([(0.5, 10), (0.0, 10), (1.0, 9), (None, 2), (0.02, 1_000_000), (-0.95, 4)], "correlation double, rows_used long")
+    got = [r["p_value"] for r in A.correlation_pvalue(df).collect()]
+    assert got[0] == pytest.approx(0.141113, abs=1e-6)
+    assert got[1:4] == [1.0, 0.0, None]
+    assert got[4] == pytest.approx(5.5e-89, rel=0.02)
+    assert got[5] == pytest.approx(0.05, abs=1e-9)  # two degrees of freedom: 1 - |r|
 
 
 def test_pvalue_udf(spark):
@@ -121,13 +125,13 @@ def test_payload_rows_and_redaction(spark):
     df = spark.createDataFrame([(payload, "y" * 700)], "p string, long_text string")
     m = O.payload_metrics(df, None, "p").first()
     assert m["output_rows"] == 2 and m["output_bytes"] == len(payload.encode("utf-8"))
-    r = df.select(O.redact_payload(F.col("p")).alias("r"), O.redact_payload(F.col("long_text")).alias("t")).first()
+    r = df.select(O.redact_payload(F.col("p")).alias("r"), O.redact_payload(F.col("long_text"), 600).alias("t"), O.redact_payload(F.col("long_text")).alias("w")).first()
     red = json.loads(r["r"])
     assert red["dataset_preview"] == {"redacted": True, "row_count": 3}
     assert red["execution_result"]["tables"] == [{"name": "t", "row_count": 2}]
     assert red["report_markdown"] == {"redacted": True, "characters": 50}
     assert red["note"] == "ok" and list(red)[-1] == "note"
-    assert len(r["t"]) == 600 and r["t"].endswith("...")
+    assert len(r["t"]) == 600 and r["t"].endswith("...") and len(r["w"]) == 700
 
 
 def test_retention_cutoff_at_least_one_day(spark):
