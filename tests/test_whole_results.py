@@ -1,5 +1,8 @@
 """Results stay whole above the old limits, and nulls keep their meaning."""
 
+import contextlib
+import io as contextlib_io
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,7 +101,10 @@ def test_scopes_without_a_month_take_everything(spark):
 def test_period_range_is_pushed_to_the_scan(spark):
     orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
     for df in (S.period_scope(orders, "o_orderdate", "1998-12"), S.scope_month_or_all(orders, "o_orderdate", "1998-12")):
-        plan = df._jdf.queryExecution().executedPlan().toString()
+        out = contextlib_io.StringIO()
+        with contextlib.redirect_stdout(out):
+            df.explain("formatted")
+        plan = out.getvalue()
         assert "GreaterThanOrEqual(o_orderdate,1998-12-01" in plan and "LessThan(o_orderdate,1999-01-01" in plan
 
 
