@@ -23,24 +23,42 @@ class PieceCache:
         self.limit = limit
         self.known: dict[str, bytes] = {}
 
+    def _encode_new(self, words: Iterable[str]) -> dict[str, bytes]:
+        """Codes of pieces after a space.  A full stop or comma after a letter
+        is a match of its own, so such a piece is its word and the mark."""
+        whole = {w: w[:-1] if len(w) > 1 and w[-1] in ".," and w[-2].isalpha() else w for w in words}
+        bare = [b for b in set(whole.values()) if b not in self.known]
+        codes = dict(zip(bare, self.encode_many([" " + b for b in bare]), strict=True))
+        mark = dict(zip(".,", self.encode_many([".", ","]), strict=True))
+        out = {}
+        for w, b in whole.items():
+            code = codes.get(b) or self.known.get(b)
+            out[w] = code if w is b else code + mark[w[-1]]
+        return codes | out
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Encoded ids of every text, as bytes, in order."""
-        out = []
+        """Encoded ids of every text, as bytes, in order.  Pieces that are not
+        known yet are encoded together, once for all texts."""
+        if len(self.known) > self.limit:
+            self.known.clear()
+        get = self.known.get
+        parts: list[list] = []
+        new: dict[str, bytes | None] = {}
+        heads: list[str] = []
         for text in texts:
-            if not text:
-                out.append(b"")
-                continue
-            if _UNSAFE.search(text):
-                out.append(next(iter(self.encode_many([text]))))
+            if not text or _UNSAFE.search(text):
+                parts.append([])
+                heads.append(text or "")
                 continue
             first, *rest = text.split(" ")
-            known = self.known
-            missing = set(rest).difference(known)
-            if missing:
-                if len(known) + len(missing) > self.limit:
-                    known.clear()
-                    missing = set(rest)
-                new = list(missing)
-                known.update(zip(new, self.encode_many([" " + x for x in new]), strict=True))
-            out.append((next(iter(self.encode_many([first]))) if first else b"") + b"".join(map(known.__getitem__, rest)))
-        return out
+            heads.append(first)
+            got = list(map(get, rest))
+            if None in got:
+                got = [w if g is None else g for w, g in zip(rest, got, strict=True)]
+                new.update(dict.fromkeys(x for x in got if type(x) is str))
+            parts.append(got)
+        if new:
+            new = self._encode_new(new)
+            self.known.update(new)
+            parts = [[new[x] if type(x) is str else x for x in got] for got in parts]
+        return [h + b"".join(got) for h, got in zip(self.encode_many(heads), parts, strict=True)]
