@@ -1,6 +1,6 @@
 """Registered streaming queries ST1–ST8.  Each runs its stream with
-``availableNow`` over a time-ordered landing zone of ``events`` in the shared
-folder and returns the sink read back as a batch DataFrame."""
+``availableNow`` over the files of ``events`` and returns the sink, which lies
+in the shared folder, read back as a batch DataFrame."""
 
 from __future__ import annotations
 
@@ -18,12 +18,12 @@ RETENTION_DAYS = 1
 
 
 def _stream_tables(spark, sf_dir):
-    return ST.StreamTables(spark, sf_dir, ST.landing_zone(spark, sf_dir))
+    return ST.StreamTables(spark, sf_dir)
 
 
 @query("st1_event_log_append", "SELECT * FROM v_log")
 def st1_event_log_append(spark, sf_dir):
-    """The log appended by a stream (4 micro-batches) equals the batch log."""
+    """The log appended by a stream equals the batch log."""
     out, ck = scratch_path(spark, "st1-out"), scratch_path(spark, "st1-ck")
     ST.event_log_append(v_log(_stream_tables(spark, sf_dir)), out, ck)
     return spark.read.parquet(out)
@@ -57,8 +57,8 @@ WHERE l.sequence_id > 100 AND (s.stop IS NULL OR l.sequence_id <= s.stop)""",
 )
 def st2_replay_until_terminal(spark, sf_dir):
     """Per-task replay after cursor 100 that stops at the first terminal event
-    (stream sliced by sequence id, stateful flag per task)."""
-    st = ST.StreamTables(spark, sf_dir, ST.landing_zone(spark, sf_dir, time_col="event_id"))
+    (stateful flag per task)."""
+    st = _stream_tables(spark, sf_dir)
     out, ck = scratch_path(spark, "st2r-out"), scratch_path(spark, "st2r-ck")
     ST.append_to_table(ST.replay_until_terminal_stream(v_log(st), 100), out, ck)
     return spark.read.parquet(out)
@@ -66,20 +66,20 @@ def st2_replay_until_terminal(spark, sf_dir):
 
 @query("st3_live_status", "SELECT task_id, arg_max(status, sequence_id) AS status, max(sequence_id) AS last_sequence_id, count(*) AS events FROM v_log GROUP BY task_id")
 def st3_live_status(spark, sf_dir):
-    """Streaming current status per task (complete mode) equals O2."""
+    """Streaming current status per task (update mode, upserted) equals O2."""
     out, ck = scratch_path(spark, "st3-out"), scratch_path(spark, "st3-ck")
-    ST.complete_to_table(ST.live_status(v_log(_stream_tables(spark, sf_dir))), out, ck)
-    return spark.read.parquet(out)
+    ST.upsert_to_table(ST.live_status(v_log(_stream_tables(spark, sf_dir))), out, ck)
+    return ST.latest_rows(spark, out, ["task_id"])
 
 
 @query("st4_request_metrics_stream", f"WITH {_HTTP} SELECT method, route, status, count(*) AS requests FROM h GROUP BY ALL")
 def st4_request_metrics_stream(spark, sf_dir):
-    """Streaming request counters (complete mode) equal O21."""
+    """Streaming request counters (update mode, upserted) equal O21."""
     from quarry.plans.catalog_logs import _http
 
     out, ck = scratch_path(spark, "st4-out"), scratch_path(spark, "st4-ck")
-    ST.complete_to_table(ST.request_metrics(_http(_stream_tables(spark, sf_dir))), out, ck)
-    return spark.read.parquet(out)
+    ST.upsert_to_table(ST.request_metrics(_http(_stream_tables(spark, sf_dir))), out, ck)
+    return ST.latest_rows(spark, out, ["method", "route", "status"])
 
 
 @query("st5_sliding_rate_limiter")

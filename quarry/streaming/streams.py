@@ -1,28 +1,33 @@
 """ST1–ST8: the event log as a Structured Streaming source.
 
-Sources are file streams over Parquet in the shared folder (never a machine
-temp dir); every query has its own checkpoint, which is the reader's durable
+Sources are file streams over the given Parquet files; sinks lie in the shared
+folder; every query has its own checkpoint, which is the reader's durable
 cursor: a restart resumes after the last committed batch (ST2).  Stateful
 rules run in ``applyInPandasWithState`` with Arrow batches per key and
-bounded state (the limiter keeps at most ``limit`` times per key; the budget
-guard two numbers; the retention rule is timed out by the watermark).
+small state per key (the limiter keeps at most ``limit`` times, the budget
+guard two numbers).  Every key has an event-time timeout: when the watermark
+passes its last event by ``state_days``, its state is dropped, so state is
+bounded by the keys that were active in that time.  Rows older than the
+watermark are dropped (``numRowsDroppedByWatermark`` counts them).  Rows of one
+key are ordered within a batch, whose size ``files_per_trigger`` bounds.
 Every registered stream runs with ``trigger(availableNow=True)`` and is read
 back as a batch DataFrame.
 """
 
 from __future__ import annotations
 
+import collections
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quarry.functions.sequential import keyed_lag, keyed_running_sum
-from quarry.session import scratch_path
-from quarry.sources.tables import Tables, load
+from quarry.sources.tables import Tables
 
 # Terminal event types of a task, heartbeat period, limiter.
 TERMINAL_EVENTS = ["task_completed", "task_failed", "task_cancelled"]
@@ -30,45 +35,31 @@ HEARTBEAT_SECONDS = 15
 RATE_LIMIT = 120
 RATE_WINDOW_SECONDS = 60
 
+FILES_PER_TRIGGER = 256  # files that one batch admits
+STATE_DAYS = 7  # a key without events for so long (event time) is forgotten
+
 
 # ---------------------------------------------------------------- sources --
-def landing_zone(spark: SparkSession, sf_dir: str, table: str = "events", time_col: str = "ts", files: int = 4) -> str:
-    """Copy a driver table into a fresh shared-folder directory as ``files``
-    Parquet files in time order (one append per time slice, so modification
-    times follow event time).  The slice bounds are ``files − 1`` approximate
-    quantiles of the time column — a fixed-size result."""
-    path = scratch_path(spark, f"landing-{table}")
-    df = load(spark, sf_dir, table)
-    numeric = df.schema[time_col].dataType.typeName() in ("long", "integer", "short", "double")
-    t = F.col(time_col).cast("long") if numeric else F.unix_micros(F.col(time_col).cast("timestamp"))
-    probs = [i / files for i in range(1, files)]
-    bounds = df.agg(F.percentile_approx(t, probs, 10000).alias("b")).first()["b"] if files > 1 else []
-    edges = [None, *bounds, None]
-    for lo, hi in zip(edges[:-1], edges[1:]):
-        pred = F.lit(True)
-        if lo is not None:
-            pred = pred & (t > lo)
-        if hi is not None:
-            pred = pred & (t <= hi)
-        df.where(pred).coalesce(1).write.mode("append").parquet(path)
-    return path
-
-
-def event_stream(spark: SparkSession, path: str, table_schema, files_per_trigger: int = 1) -> DataFrame:
+def event_stream(spark: SparkSession, path: str, table_schema, files_per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
+    """The table's own files as a stream; nothing is copied.  A batch admits
+    ``files_per_trigger`` files, oldest first, which bounds its size.  The path
+    is given as a pattern, as a plain one would have to be a folder."""
+    path = path if any(c in path for c in "*?[{") else f"{path[:-1]}[{path[-1]}]"
     return spark.readStream.schema(table_schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
 class StreamTables(Tables):
-    """Tables whose ``events`` is a stream over a landing zone, so the batch
+    """Tables whose ``events`` is a stream over the given files, so the batch
     view builders (``v_log``, ``v_tok``) apply to the stream unchanged."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, landing: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, path: str | None = None, files_per_trigger: int = FILES_PER_TRIGGER):
         super().__init__(spark, sf_dir)
-        self._landing = landing
+        self._path = path or f"{sf_dir.rstrip('/')}/events.parquet"
+        self._files = files_per_trigger
 
     def __getattr__(self, name: str) -> DataFrame:
         if name == "events":
-            return event_stream(self.spark, self._landing, load(self.spark, self.sf_dir, "events").schema)
+            return event_stream(self.spark, self._path, self.spark.read.parquet(self._path).schema, self._files)
         return super().__getattr__(name)
 
 
@@ -80,6 +71,18 @@ def run_available_now(query_builder, checkpoint: str) -> None:
         raise q.exception()
 
 
+def _timed(stream: DataFrame, time_col: str, delay: str) -> DataFrame:
+    """Adds the watermarked event time ``event_time`` and ``event_ms``."""
+    timed = stream.withColumn("event_time", F.col(time_col).cast("timestamp")).withWatermark("event_time", delay)
+    return timed.withColumn("event_ms", F.unix_millis("event_time"))
+
+
+def _forget_after(state: GroupState, last_ms: int, state_days: float) -> None:
+    """Drops the key's state once the watermark passes its last event by
+    ``state_days``."""
+    state.setTimeoutTimestamp(max(int(last_ms + state_days * 86_400_000), state.getCurrentWatermarkMs() + 1))
+
+
 # ---------------------------------------------------------------- ST1 ------
 def event_log_append(stream: DataFrame, out: str, checkpoint: str) -> None:
     """ST1: durable ordered append of the log to a Parquet table (the order
@@ -100,14 +103,19 @@ def cursor_reader(stream: DataFrame, out: str, checkpoint: str, run: int) -> Non
     run_available_now(stream.writeStream.foreachBatch(write), checkpoint)
 
 
-def replay_until_terminal_stream(log_stream: DataFrame, after_sequence: int = 0) -> DataFrame:
+def replay_until_terminal_stream(log_stream: DataFrame, after_sequence: int = 0, delay: str = "7 days", state_days: float = STATE_DAYS) -> DataFrame:
     """ST2 replay rule: per task, events after the cursor in sequence order,
     stopping after the first terminal event (later events are not sent).
-    State per task = one flag."""
-    src = log_stream.where(F.col("sequence_id") > after_sequence).select("task_id", "sequence_id", "event_type", "status")
+    State per task = one flag and the time of its last event."""
+    src = _timed(log_stream.where(F.col("sequence_id") > after_sequence), "ts", delay).select(
+        "task_id", "sequence_id", "event_type", "status", "event_time", "event_ms"
+    )
 
     def fn(k, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        done = state.get[0] if state.exists else False
+        if state.hasTimedOut:
+            state.remove()
+            return
+        done, last = state.get if state.exists else (False, 0)
         rows = pd.concat(list(pdfs)).sort_values("sequence_id")
         keep = []
         for seq, et, st in zip(rows["sequence_id"].tolist(), rows["event_type"].tolist(), rows["status"].tolist()):
@@ -115,22 +123,34 @@ def replay_until_terminal_stream(log_stream: DataFrame, after_sequence: int = 0)
                 break
             keep.append((int(k[0]), int(seq), et, st))
             done = et in TERMINAL_EVENTS
-        state.update((done,))
+        last = max(last, int(rows["event_ms"].max()))
+        state.update((done, last))
+        _forget_after(state, last, state_days)
         yield pd.DataFrame(keep, columns=["task_id", "sequence_id", "event_type", "status"])
 
     return src.groupBy("task_id").applyInPandasWithState(
-        fn, "task_id long, sequence_id long, event_type string, status string", "done boolean", "append", GroupStateTimeout.NoTimeout
+        fn, "task_id long, sequence_id long, event_type string, status string", "done boolean, last_ms long", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
 # ---------------------------------------------------------------- ST3/ST4 --
-def complete_to_table(agg: DataFrame, out: str, checkpoint: str) -> None:
-    """Complete-mode aggregate kept as a Parquet table (overwritten per batch)."""
+def upsert_to_table(agg: DataFrame, out: str, checkpoint: str) -> None:
+    """Keeps an aggregate as a table of changes: every batch writes the groups
+    that it changed (update mode) to a directory of its own, overwritten if the
+    batch is replayed.  :func:`latest_rows` reads the current rows."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+    run_available_now(agg.writeStream.outputMode("update").foreachBatch(write), checkpoint)
+
 
-    run_available_now(agg.writeStream.outputMode("complete").foreachBatch(write), checkpoint)
+def latest_rows(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
+    """The newest version of every key of an upserted table."""
+    changes = spark.read.parquet(out)
+    values = [c for c in changes.columns if c not in (*keys, "batch_id")]
+    newest = changes.groupBy(*keys).agg(F.max_by(F.struct(*values), F.col("batch_id")).alias("_v"))
+    return newest.select(*keys, *[F.col("_v")[c].alias(c) for c in values])
 
 
 def live_status(log_stream: DataFrame) -> DataFrame:
@@ -149,38 +169,50 @@ def request_metrics(http_stream: DataFrame) -> DataFrame:
 LIMITER_OUT = "key long, event_id long, t double, allowed boolean, retry_after long"
 
 
-def _limit_events(key, rows, accepted: list[float], limit: int, window: float):
-    out = []
-    ts = rows["t"].tolist() if hasattr(rows["t"], "tolist") else rows["t"]
-    ids = rows["event_id"].tolist() if hasattr(rows["event_id"], "tolist") else rows["event_id"]
-    for t, eid in zip(ts, ids):
-        cutoff = t - window
-        while accepted and accepted[0] <= cutoff:
-            accepted.pop(0)
-        if len(accepted) >= limit:
-            retry = max(1, int(window - (t - accepted[0])) + 1)
-            out.append((key, eid, t, False, retry))
-        else:
-            accepted.append(t)
-            out.append((key, eid, t, True, 0))
-    return out, accepted
-
-
-def sliding_rate_limiter_stream(stream: DataFrame, key: str, limit: int = RATE_LIMIT, window: float = RATE_WINDOW_SECONDS) -> DataFrame:
+def _limit_events(t: np.ndarray, accepted: list[float], limit: int, window: float) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """Allowed flags and retry times of ascending times ``t``.  Only the last
+    ``limit`` accepted times matter: a request is denied while the oldest of
+    them is inside the window, so whole stretches are decided at once."""
+    allowed = np.zeros(len(t), bool)
+    retry = np.zeros(len(t), np.int64)
+    kept = collections.deque((x for x in accepted), maxlen=limit)
+    at = 0
+    while at < len(t):
+        if len(kept) < limit or kept[0] <= t[at] - window:
+            kept.append(float(t[at]))
+            allowed[at] = True
+            at += 1
+            continue
+        until = max(at + 1, int(np.searchsorted(t - window, kept[0])))  # denied until the oldest leaves the window
+        retry[at:until] = np.maximum(1, (window - (t[at:until] - kept[0])).astype(np.int64) + 1)
+        at = until
+    return allowed, retry, [x for x in kept if len(t) == 0 or x > t[-1] - window]
+
+
+def sliding_rate_limiter_stream(
+    stream: DataFrame, key: str, limit: int = RATE_LIMIT, window: float = RATE_WINDOW_SECONDS, delay: str = "7 days"
+) -> DataFrame:
     """ST5: per key, drop accepted times ≤ t − window; deny when ``limit``
     remain (retry after max(1, int(window − age of oldest) + 1)); denied
     requests are not recorded.  State per key = accepted times inside the
-    window (≤ limit values).  Event time replaces the wall clock."""
-    src = stream.select(F.col(key).cast("long").alias("key"), F.col("event_id").cast("long"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
+    window (≤ limit values), dropped when the window has passed.  Event time
+    replaces the wall clock."""
+    src = _timed(stream, "ts", delay).select(
+        F.col(key).cast("long").alias("key"), F.col("event_id").cast("long"), (F.unix_micros("event_time") / 1e6).alias("t"), "event_time", "event_ms"
+    )
 
     def fn(k, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         accepted = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(pdfs)).sort_values(["t", "event_id"])
-        out, accepted = _limit_events(int(k[0]), rows, accepted, limit, window)
+        allowed, retry, accepted = _limit_events(rows["t"].to_numpy(), accepted, limit, window)
         state.update((accepted,))
-        yield pd.DataFrame(out, columns=["key", "event_id", "t", "allowed", "retry_after"])
+        _forget_after(state, int(rows["event_ms"].max()), window / 86_400)
+        yield pd.DataFrame({"key": int(k[0]), "event_id": rows["event_id"], "t": rows["t"], "allowed": allowed, "retry_after": retry})
 
-    return src.groupBy("key").applyInPandasWithState(fn, LIMITER_OUT, "accepted array<double>", "append", GroupStateTimeout.NoTimeout)
+    return src.groupBy("key").applyInPandasWithState(fn, LIMITER_OUT, "accepted array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def sliding_rate_limiter_batch(df: DataFrame, key: str, limit: int = RATE_LIMIT, window: float = RATE_WINDOW_SECONDS) -> DataFrame:
@@ -200,13 +232,11 @@ def sliding_rate_limiter_batch(df: DataFrame, key: str, limit: int = RATE_LIMIT,
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, accepted = None, []
         for pdf in batches:
-            out = []
-            for k, s, eid, t in zip(pdf["key"].tolist(), pdf["session"].tolist(), pdf["event_id"].tolist(), pdf["t"].tolist()):
-                if (k, s) != current:
-                    current, accepted = (k, s), []
-                rows, accepted = _limit_events(k, {"t": [t], "event_id": [eid]}, accepted, limit, window)
-                out.extend(rows)
-            yield pd.DataFrame(out, columns=["key", "event_id", "t", "allowed", "retry_after"])
+            for group, rows in pdf.groupby(["key", "session"], sort=False):
+                if group != current:
+                    current, accepted = group, []
+                allowed, retry, accepted = _limit_events(rows["t"].to_numpy(), accepted, limit, window)
+                yield rows[["key", "event_id", "t"]].assign(allowed=allowed, retry_after=retry)
 
     return clustered.mapInPandas(run, LIMITER_OUT)
 
@@ -221,11 +251,16 @@ def idle_heartbeat_batch(log: DataFrame, period: int = HEARTBEAT_SECONDS) -> Dat
     return lagged.groupBy("task_id").agg(F.sum(hb).cast("bigint").alias("heartbeats"))
 
 
-def idle_heartbeat_stream(log_stream: DataFrame, period: int = HEARTBEAT_SECONDS) -> DataFrame:
+def idle_heartbeat_stream(
+    log_stream: DataFrame, period: int = HEARTBEAT_SECONDS, delay: str = "7 days", state_days: float = STATE_DAYS
+) -> DataFrame:
     """ST6 streaming: state per task = (time and type of its last event)."""
-    src = log_stream.select("task_id", "sequence_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), "event_type")
+    src = _timed(log_stream, "ts", delay).select("task_id", "sequence_id", (F.unix_micros("event_time") / 1e6).alias("t"), "event_type", "event_time", "event_ms")
 
     def fn(k, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last_t, last_type = state.get if state.exists else (None, None)
         rows = pd.concat(list(pdfs)).sort_values("sequence_id")
         hb = 0
@@ -234,18 +269,24 @@ def idle_heartbeat_stream(log_stream: DataFrame, period: int = HEARTBEAT_SECONDS
                 hb += max(math.floor((t - last_t) / period), 0)
             last_t, last_type = t, et
         state.update((last_t, last_type))
+        _forget_after(state, int(rows["event_ms"].max()), state_days)
         yield pd.DataFrame({"task_id": [int(k[0])], "heartbeats": [hb]})
 
-    return src.groupBy("task_id").applyInPandasWithState(fn, "task_id long, heartbeats long", "last_t double, last_type string", "append", GroupStateTimeout.NoTimeout)
+    return src.groupBy("task_id").applyInPandasWithState(fn, "task_id long, heartbeats long", "last_t double, last_type string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # ---------------------------------------------------------------- ST7 ------
-def budget_guard_stream(usage_stream: DataFrame, budget: int) -> DataFrame:
+def budget_guard_stream(usage_stream: DataFrame, budget: int, delay: str = "7 days", state_days: float = STATE_DAYS) -> DataFrame:
     """ST7: emit once per task when its running token total passes the
     budget.  State per task = (running total, emitted)."""
-    src = usage_stream.select("task_id", "usage_id", "created_at", (F.col("prompt_tokens") + F.col("completion_tokens")).alias("tokens"))
+    src = _timed(usage_stream, "created_at", delay).select(
+        "task_id", "usage_id", "created_at", (F.col("prompt_tokens") + F.col("completion_tokens")).alias("tokens"), "event_time", "event_ms"
+    )
 
     def fn(k, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         total, emitted = state.get if state.exists else (0, False)
         rows = pd.concat(list(pdfs)).sort_values(["created_at", "usage_id"])
         out = []
@@ -255,9 +296,10 @@ def budget_guard_stream(usage_stream: DataFrame, budget: int) -> DataFrame:
                 out.append((int(k[0]), int(uid), total))
                 emitted = True
         state.update((total, emitted))
+        _forget_after(state, int(rows["event_ms"].max()), state_days)
         yield pd.DataFrame(out, columns=["task_id", "usage_id", "running_tokens"])
 
-    return src.groupBy("task_id").applyInPandasWithState(fn, "task_id long, usage_id long, running_tokens long", "total long, emitted boolean", "append", GroupStateTimeout.NoTimeout)
+    return src.groupBy("task_id").applyInPandasWithState(fn, "task_id long, usage_id long, running_tokens long", "total long, emitted boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # ---------------------------------------------------------------- ST8 ------
