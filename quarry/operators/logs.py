@@ -175,14 +175,19 @@ def incomplete_tasks(tasks: DataFrame) -> DataFrame:
     return tasks.select("task_id", "status", action.alias("action"), new_status.alias("new_status"))
 
 
-def log_retention_cascade(log: DataFrame, tasks: DataFrame, now: str, retention_days: int = EVENT_RETENTION_DAYS) -> tuple[DataFrame, DataFrame]:
+def log_retention_cascade(log: DataFrame, tasks: DataFrame, now: str, retention_days: int = EVENT_RETENTION_DAYS,
+                          children: dict[str, DataFrame] | None = None) -> tuple[DataFrame, ...]:
     """Finished tasks last updated before ``now − max(1, days)`` are
     expired with all their events.  Returns (kept events, deleted task ids):
-    a left-anti join keeps, the expired key set is the delete list."""
+    a left-anti join keeps, the expired key set is the delete list.  With
+    ``children`` (token usage, payload metrics, spans, ... by ``task_id``) also
+    their kept rows, by name."""
     cutoff = F.lit(now).cast("timestamp") - F.make_interval(days=F.lit(max(1, retention_days)))
     expired = tasks.where(F.col("status").isin(FINISHED) & (F.col("updated_at").cast("timestamp") < cutoff)).select("task_id")
     kept = log.join(expired, "task_id", "left_anti")
-    return kept, expired
+    if children is None:
+        return kept, expired
+    return kept, expired, {name: rows.join(expired, "task_id", "left_anti") for name, rows in children.items()}
 
 
 def task_listing(tasks: DataFrame, tenant: str | None = None, limit: int | None = 100, after: tuple | None = None) -> DataFrame:

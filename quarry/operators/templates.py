@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from quarry.functions.columns import (
     guarded_corr,
@@ -89,14 +90,19 @@ def payment_renewal_summary(df: DataFrame, period: str | None = None, month: int
         measures.append(("high_medium_risk_problem", lab_issue, issue & s_issue & med_high, amount))
     if mrr and risk:
         measures.append(("high_risk_mrr", lab_all, s_all & high, mrr_v))
-    aggs = []
+    # per customer first, then over customers: distinct counts without a row
+    # copy for every measure
+    per, aggs = [], []
     for i, (_, label, cond, value) in enumerate(measures):
+        per += [F.first(label).alias(f"l{i}"), F.count_if(cond).alias(f"r{i}"), F.sum(F.when(cond, value)).alias(f"a{i}")]
+        hit = (F.col(f"r{i}") > 0) & F.col("_cust").isNotNull()
         aggs += [
-            F.first(label).alias(f"l{i}"),
-            F.count_if(cond).alias(f"r{i}"),
-            _count_distinct_or_rows(cust, cond).alias(f"c{i}"),
-            F.round(F.coalesce(F.sum(F.when(cond, value)), F.lit(0.0)), 2).alias(f"a{i}"),
+            F.first(f"l{i}", ignorenulls=True).alias(f"l{i}"),
+            F.coalesce(F.sum(f"r{i}"), F.lit(0)).alias(f"r{i}"),
+            (F.count_if(hit) if cust else F.coalesce(F.sum(f"r{i}"), F.lit(0))).alias(f"c{i}"),
+            F.round(F.coalesce(F.sum(f"a{i}"), F.lit(0.0)), 2).alias(f"a{i}"),
         ]
+    scoped = scoped.groupBy((F.col(cust) if cust else F.lit(0)).alias("_cust")).agg(*per)
     rows = [
         (F.coalesce(F.col(f"l{i}"), F.lit(ALL_PERIODS_LABEL)), F.lit(name), F.col(f"r{i}"), F.col(f"c{i}"), F.col(f"a{i}"))
         for i, (name, _, _, _) in enumerate(measures)
@@ -184,7 +190,8 @@ def _with_rates(g: DataFrame) -> DataFrame:
 def dimension_risk(df: DataFrame, dimension: str, period: str | None = None, month: int | None = None, **roles) -> DataFrame:
     """Per dimension value (nulls kept), default all rows."""
     w, aggs = _risk_frame(df, period, month, roles)
-    return _with_rates(w.groupBy(dimension).agg(*aggs))
+    g = _with_rates(w.groupBy(dimension).agg(*aggs))
+    return g.orderBy(F.col("metric_sum").desc_nulls_last(), F.col("high_risk_rate").desc(), F.col(dimension).asc_nulls_last())
 
 
 def channel_performance_risk(df: DataFrame, **kw) -> DataFrame:
@@ -213,7 +220,9 @@ def segment_plan_strategy(df: DataFrame, period: str | None = None, month: int |
         dtype = F.when(F.col(f"_g{j}") == 0, F.lit(d)).otherwise(dtype)
         dval = F.when(F.col(f"_g{j}") == 0, F.col(d).cast("string")).otherwise(dval)
     out = g.select(dtype.alias("dimension_type"), dval.alias("dimension_value"), *[a for a in g.columns if a not in dims and not a.startswith("_g")])
-    return _with_rates(out)
+    g = _with_rates(out)
+    first = F.when(F.col("dimension_type") == dims[0], 0).otherwise(1)
+    return g.orderBy(first, F.col("metric_sum").desc_nulls_last(), F.col("high_risk_rate").desc(), F.col("dimension_value").asc_nulls_last())
 
 
 # ---------------------------------------------------------------- T7 -------
@@ -282,7 +291,8 @@ def top_movers(panel: DataFrame, customer: str, n: int = 20) -> DataFrame:
 # ---------------------------------------------------------------- T8 -------
 def health_signal_correlations(df: DataFrame, **roles) -> DataFrame:
     """The seven named health pairs, pairwise-complete, n ≥ 3, r to 4 dp,
-    computed in ONE aggregate; ordered by |r| desc."""
+    computed in ONE aggregate; ordered by |r| desc.  If no named pair has a
+    correlation, all pairs of numeric columns take their place."""
     cols = df.columns
     usage = role(df, "usage", roles.get("usage"))
     active = role(df, "active", roles.get("active"))
@@ -321,15 +331,43 @@ def health_signal_correlations(df: DataFrame, **roles) -> DataFrame:
         both = ca.isNotNull() & cb.isNotNull()
         exprs += [guarded_corr(ca, cb).alias(f"r{i}"), F.count_if(both).alias(f"n{i}")]
         rows.append((F.lit(label), F.lit(a), F.lit(risk if b == "__risk__" else b), F.round(F.col(f"r{i}"), 4), F.col(f"n{i}")))
-    if not rows:
+    names = ["relation", "field_a", "field_b", "r", "n"]
+    found = None
+    if rows:
+        stacked = _stack(df.agg(*exprs), rows, names)
+        found = stacked.where((F.col("n") >= 3) & F.col("r").isNotNull())
+    numeric = sorted(f.name for f in df.schema.fields if isinstance(f.dataType, NumericType))
+    every = [(a, b) for i, a in enumerate(numeric) for b in numeric[i + 1 :]]
+    if every:
+        exprs, rows = [], []
+        for i, (a, b) in enumerate(every):
+            both = num(a).isNotNull() & num(b).isNotNull()
+            exprs += [guarded_corr(num(a), num(b)).alias(f"r{i}"), F.count_if(both).alias(f"n{i}")]
+            rows.append((F.lit(f"{a} vs {b}"), F.lit(a), F.lit(b), F.round(F.col(f"r{i}"), 4), F.col(f"n{i}")))
+        rest = _stack(df.agg(*exprs), rows, names).where(F.col("r").isNotNull())
+        if found is not None:
+            # an empty relation, which is not computed, if a named pair was found
+            none = found.agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") == 0).drop("_c")
+            rest = found.unionByName(rest.crossJoin(F.broadcast(none)))
+        found = rest
+    if found is None:
         return df.sparkSession.createDataFrame([], "relation string, field_a string, field_b string, r double, n bigint")
-    stacked = _stack(df.agg(*exprs), rows, ["relation", "field_a", "field_b", "r", "n"])
-    return stacked.where((F.col("n") >= 3) & F.col("r").isNotNull()).orderBy(F.abs("r").desc(), "relation")
+    return found.orderBy(F.abs("r").desc(), "relation")
 
 
 # ---------------------------------------------------------------- T9-T14 ---
+def _by_sales(g: DataFrame, dim: str) -> DataFrame:
+    return g.orderBy(F.col("sales").desc_nulls_last(), F.col(dim).asc_nulls_last())
+
+
+def _with_share(g: DataFrame) -> DataFrame:
+    """Share of all sales; the total comes from the grouped rows."""
+    total = g.agg(F.greatest(F.sum("_raw"), F.lit(1.0)).alias("_total"))  # one row
+    return g.crossJoin(F.broadcast(total)).withColumn("sales_share", F.round(F.col("sales") / F.col("_total"), 4)).drop("_total", "_raw")
+
+
 def _sales_group(df: DataFrame, dim: str, sales: str, profit: str | None) -> DataFrame:
-    aggs = [F.count(F.lit(1)).alias("orders"), F.round(F.sum(num0(sales)), 2).alias("sales")]
+    aggs = [F.count(F.lit(1)).alias("orders"), F.round(F.sum(num0(sales)), 2).alias("sales"), F.sum(num0(sales)).alias("_raw")]
     if profit:
         aggs.append(F.round(F.sum(num0(profit)), 2).alias("profit"))
     g = df.groupBy(dim).agg(*aggs)
@@ -368,11 +406,7 @@ def order_status_impact(df: DataFrame, **roles) -> DataFrame:
     status = role(df, "status", roles.get("status"), required=True)
     sales = role(df, "sales", roles.get("sales"), required=True)
     profit = role(df, "profit", roles.get("profit"))
-    return _sales_group(df, status, sales, profit)
-
-
-def _total_sales_row(df: DataFrame, sales: str) -> DataFrame:
-    return df.agg(F.greatest(F.sum(num0(sales)), F.lit(1.0)).alias("_total"))
+    return _by_sales(_sales_group(df, status, sales, profit).drop("_raw"), status)
 
 
 def product_pareto(df: DataFrame, n: int = 20, **roles) -> DataFrame:
@@ -382,8 +416,7 @@ def product_pareto(df: DataFrame, n: int = 20, **roles) -> DataFrame:
     product = role(df, "product", roles.get("product"), required=True)
     sales = role(df, "sales", roles.get("sales"), required=True)
     profit = role(df, "profit", roles.get("profit"))
-    g = _sales_group(df, product, sales, profit).crossJoin(F.broadcast(_total_sales_row(df, sales)))
-    g = g.withColumn("sales_share", F.round(F.col("sales") / F.col("_total"), 4)).drop("_total")
+    g = _with_share(_sales_group(df, product, sales, profit))
     top = g.orderBy(F.col("sales").desc(), F.col(product).asc_nulls_last()).limit(n)
     from pyspark.sql import Window as W
 
@@ -395,7 +428,8 @@ def discount_profit_by_rate(df: DataFrame, **roles) -> DataFrame:
     """Per raw discount value (nulls kept): orders, mean profit rate."""
     disc = role(df, "discount", roles.get("discount"), required=True)
     pr = role(df, "profit_rate", roles.get("profit_rate"), required=True)
-    return df.groupBy(disc).agg(F.count(F.lit(1)).alias("orders"), F.round(F.avg(num0(pr)), 4).alias("avg_profit_rate"))
+    g = df.groupBy(disc).agg(F.count(F.lit(1)).alias("orders"), F.round(F.avg(num0(pr)), 4).alias("avg_profit_rate"))
+    return g.orderBy(F.col(disc).asc_nulls_last())
 
 
 def discount_profit_corr(df: DataFrame, **roles) -> DataFrame:
@@ -423,8 +457,7 @@ def payment_mix(df: DataFrame, **roles) -> DataFrame:
     pay = role(df, "pay_method", roles.get("payment"), required=True)
     sales = role(df, "sales", roles.get("sales"), required=True)
     profit = role(df, "profit", roles.get("profit"))
-    g = _sales_group(df, pay, sales, profit).crossJoin(F.broadcast(_total_sales_row(df, sales)))
-    return g.withColumn("sales_share", F.round(F.col("sales") / F.col("_total"), 4)).drop("_total")
+    return _by_sales(_with_share(_sales_group(df, pay, sales, profit)), pay)
 
 
 def sales_channel_strategy(df: DataFrame, **roles) -> DataFrame:
@@ -445,7 +478,7 @@ def sales_channel_strategy(df: DataFrame, **roles) -> DataFrame:
     if status:
         g = g.withColumn("cancel_rate", F.round(F.when(F.col(ch).isNotNull(), F.col("_c")), 4))
         g = g.withColumn("return_rate", F.round(F.when(F.col(ch).isNotNull(), F.col("_r")), 4)).drop("_c", "_r")
-    return g
+    return _by_sales(g, ch)
 
 
 # ---------------------------------------------------------------- T15 ------
@@ -485,7 +518,7 @@ def pipeline_by(df: DataFrame, by: str = "stage", **roles) -> DataFrame:
     ]
     if by == "owner":
         aggs.append(F.round(F.sum(F.when(F.col("_won"), F.col("_amount")).otherwise(0.0)), 2).alias("won_amount"))
-    return w.groupBy(key).agg(*aggs)
+    return w.groupBy(key).agg(*aggs).orderBy(F.col("total_pipeline").desc_nulls_last(), F.col(key).asc_nulls_last())
 
 
 def pipeline_breakdown(df: DataFrame, **roles) -> DataFrame:

@@ -154,3 +154,30 @@ def test_guarded_select(spark):
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("dataset_")]
     many = spark.range(700).select(F.col("id").alias("n"))
     assert io.guarded_select(many, "SELECT n FROM dataset").count() == 700
+
+
+def test_all_pairs_stand_in_for_missing_health_signals(spark):
+    from quarry.operators import templates as T
+
+    df = spark.createDataFrame([(1, 2.0, 5.0), (2, 4.0, 1.0), (3, 6.0, 4.0)], "a int, b double, c double")
+    got = [(r["relation"], r["r"], r["n"]) for r in T.health_signal_correlations(df).collect()]
+    assert got[0] == ("a vs b", 1.0, 3) and {x[0] for x in got} == {"a vs b", "a vs c", "b vs c"}
+    named = spark.createDataFrame([(1, 2.0, 5.0), (2, 4.0, 1.0), (3, 6.0, 4.0)], "nps int, csat double, z double")
+    assert [r["relation"] for r in T.health_signal_correlations(named).collect()] == ["csat vs nps"]
+
+
+def test_retention_cascades_to_child_tables(spark):
+    log = spark.createDataFrame([(1, 1), (2, 2)], "task_id int, sequence_id int")
+    tasks = spark.createDataFrame([(1, "succeeded", "2024-01-01 00:00:00"), (2, "running", "2024-01-01 00:00:00")], "task_id int, status string, updated_at string")
+    kept, gone, rest = O.log_retention_cascade(log, tasks, "2024-02-01 00:00:00", 7, {"usage": log, "spans": log})
+    assert [r["task_id"] for r in gone.collect()] == [1]
+    assert [[r["task_id"] for r in t.collect()] for t in (kept, rest["usage"], rest["spans"])] == [[2], [2], [2]]
+
+
+def test_results_come_in_order(spark):
+    from quarry.operators import templates as T
+
+    rows = [("a", 1.0, "x"), ("b", 9.0, "y"), ("c", 4.0, "x"), ("b", 1.0, None)]
+    df = spark.createDataFrame(rows, "status string, sales double, pay_method string")
+    got = [r["sales"] for r in T.order_status_impact(df, status="status", sales="sales").collect()]
+    assert got == sorted(got, reverse=True)
