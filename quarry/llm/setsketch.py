@@ -11,13 +11,15 @@ far below the threshold are dropped and the rest is verified on full sets.
 
 Equal sets are one class.  In each band bucket the classes are first compared
 with a hub only (the member that meets most others).  Members already in one
-component need no more comparison; what the hubs leave is compared in further
-rounds and at last in full, so no candidate is lost and no group is paired
-with itself.
+component need no more comparison; what the hubs leave in different components
+meets again by its rarest elements, which no pair at the threshold can miss, so
+no candidate is lost and no group is paired with itself.  Buckets hold sizes that the threshold lets meet: a set stands in
+two neighbouring size classes of ratio 3/4.
 
 Empty sets are linked with nothing and kept.  Rows without doc_id take part
-in no link: component_id null, kept.  Repeated rows keep their rows.  Two
-bands of ``BANDS`` miss a pair at similarity 0.75 with odds of 1 in 30 million.
+in no link: component_id null, kept.  Repeated rows keep their rows.  All
+bands miss a pair at similarity 0.75 with odds below one in a million, pairs
+above it with smaller ones; long bands keep texts apart that share a passage.
 Other columns are not read.
 """
 
@@ -27,18 +29,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import freeze, select_docs
 from quarry.llm.graph import components
 
 WORDS, PERCENT = 5, 75
-BANDS, ROWS = 32, 3
+BANDS, ROWS = 72, 6
 REGISTERS = BANDS * ROWS
 BASE, RATE, LIMIT = 1.001, 20.0, 65535
 _ODDS = 14.0  # log odds against the threshold at which an estimate drops a pair
-_HUB_ROUNDS = 4
+_ESTIMATE = 128  # registers that travel with a pair
 _DRAW = np.random.Generator(np.random.PCG64(7))
 _MUL = _DRAW.integers(1, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _DRAW.integers(0, 1 << 63, REGISTERS, dtype=np.uint64)
@@ -64,8 +66,8 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
 def registers(elements: np.ndarray) -> np.ndarray:
     """Truncated, exponentially spaced minima of a non-empty set."""
     low = np.full(REGISTERS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(elements), 4096):
-        part = elements[at : at + 4096]
+    for at in range(0, len(elements), 256):
+        part = elements[at : at + 256]
         low = np.minimum(low, (_MUL[:, None] * part[None, :] + _ADD[:, None]).min(axis=1))
     draw = -np.log1p(-((low >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53) / RATE
     return np.clip(np.floor(1 - np.log(draw) / np.log(BASE)), 0, LIMIT).astype("<u2")
@@ -84,7 +86,7 @@ def overlap_odds(more: np.ndarray, less: np.ndarray, na: np.ndarray, nb: np.ndar
         return -np.log1p(-np.clip(x, 0, 1) * (BASE - 1) / BASE) / np.log(BASE)
 
     up, down = p(u - v * j), p(v - u * j)
-    same = REGISTERS - more - less
+    same = _ESTIMATE - more - less
     tiny = 1e-12
     like = (
         more[:, None] * np.log(np.maximum(up, tiny))
@@ -116,37 +118,48 @@ def sketch(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, h1 long, h2 long, regs binary")
 
 
-def _bands(classes: DataFrame) -> DataFrame:
-    """band (hash), node: every band of every class."""
+def _buckets(classes: DataFrame, percent: int) -> DataFrame:
+    """bucket (hash of band and size class), node, degree (members of its
+    bands) for the bands that several classes share."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
         width = 2 * ROWS
-        for b in batches:
-            keys = [
-                np.uint64(xxhash.xxh3_64_intdigest(r[k * width : (k + 1) * width], seed=k)).astype(np.int64)
-                for r in b["regs"]
-                for k in range(BANDS)
-            ]
-            yield pd.DataFrame({"band": keys, "node": np.repeat(b["node"].to_numpy(), BANDS)})
-
-    rows = classes.select("node", "regs").mapInPandas(run, "band long, node long")
-    shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
-    return rows.join(shared, "band")
+        for whole in batches:
+            for at in range(0, len(whole), 1000):
+                b = whole.iloc[at : at + 1000]
+                keys = [
+                    xxhash.xxh3_64_intdigest(r[k * width : (k + 1) * width], seed=k) for r in b["regs"] for k in range(BANDS)
+                ]
+                yield pd.DataFrame(
+                    {
+                        "band": np.array(keys, np.uint64).astype(np.int64),
+                        "node": np.repeat(b["node"].to_numpy(), BANDS),
+                        "size": np.repeat(b["n_shingles"].to_numpy(), BANDS),
+                    }
+                )
+
+    rows = classes.select("node", "n_shingles", "regs").mapInPandas(run, "band long, node long, size long")
+    shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    rows = freeze(rows.join(shared, "band"), "near-bands")
+    degree = rows.groupBy("node").agg(F.sum("n").alias("degree"))
+    step = F.floor(F.log(F.col("size").cast("double")) / float(np.log(100 / percent)))
+    rows = rows.select("node", "band", F.explode(F.array(step, step + 1)).alias("_s"))
+    return rows.join(degree, "node").select(F.xxhash64("band", "_s").alias("bucket"), "node", "degree")
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs whose sizes allow the threshold and whose sketches do not speak
     against it."""
-    side = lambda x: classes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("regs").alias(f"r{x}"))
+    side = lambda x: classes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n{x}"), F.substring("regs", 1, 2 * _ESTIMATE).alias(f"r{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     both = both.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                x, y = (np.frombuffer(b"".join(b[c]), "<u2").reshape(-1, REGISTERS) for c in ("ra", "rb"))
+                x, y = (np.frombuffer(b"".join(b[c]), "<u2").reshape(-1, _ESTIMATE) for c in ("ra", "rb"))
                 n = [b[c].to_numpy(np.float64) for c in ("na", "nb")]
                 odds = overlap_odds((x > y).sum(axis=1), (x < y).sum(axis=1), *n, percent / 100)
                 yield b.loc[odds <= _ODDS, ["a", "b"]]
@@ -154,13 +167,11 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.mapInPandas(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs that meet the threshold on full sets, made anew from the texts of
-    the candidates alone."""
-    pairs = freeze(pairs, "near-pairs")
-    nodes = freeze(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-nodes")
+def _sets(docs: DataFrame, nodes: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """node, set: the full sets of the classes that share a bucket, made anew
+    from their representatives' texts."""
 
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
         for b in batches:
@@ -172,9 +183,47 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int,
                     out.append((doc, h[0], h[1], s.tobytes()))
                 yield pd.DataFrame(out, columns=["node", "h1", "h2", "set"])
 
-    texts = select_docs(docs.select("doc_id", "text"), nodes, "left_semi")
-    full = texts.mapInPandas(sets, "node long, h1 long, h2 long, set binary")
-    full = freeze(full.join(classes.select("node", "h1", "h2"), ["node", "h1", "h2"]).select("node", "set").dropDuplicates(["node"]), "near-sets")
+    texts = select_docs(docs.select("doc_id", "text"), nodes.withColumnRenamed("node", "doc_id"), "left_semi")
+    full = texts.mapInPandas(run, "node long, h1 long, h2 long, set binary")
+    # repeated rows and other texts of the same doc_id drop out
+    return full.join(classes.select("node", "h1", "h2"), ["node", "h1", "h2"]).groupBy("node").agg(F.first("set").alias("set"))
+
+
+def _rare_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that may meet the threshold.
+
+    Sets of n elements that do share an element among the first
+    n - ceil(n * percent / 100) + 1 of either, in any common order of elements.
+    Rarest first keeps texts apart that share a passage of many documents."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in batches:
+            for at in range(0, len(whole), 500):
+                b = whole.iloc[at : at + 500]
+                n = np.array([len(x) // 8 for x in b["set"]], np.int64)
+                yield pd.DataFrame(
+                    {
+                        "node": np.repeat(b["node"].to_numpy(), n),
+                        "component": np.repeat(b["component"].to_numpy(), n),
+                        "n": np.repeat(n, n),
+                        "e": np.frombuffer(b"".join(b["set"]), "<i8"),
+                    }
+                )
+
+    rows = sets.select("node", "component", "set").mapInPandas(run, "node long, component long, n long, e long")
+    often = rows.groupBy("e").agg(F.count(F.lit(1)).alias("often"))
+    first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    place = F.row_number().over(Window.partitionBy("node").orderBy("often", "e"))
+    rare = rows.join(often, "e").withColumn("_r", place).where((F.col("_r") <= first) & (F.col("often") > 1))
+    rare = freeze(rare.select("node", "component", "n", "e"), "near-rare")
+    other = rare.select("e", F.col("node").alias("b"), F.col("component").alias("_c"), F.col("n").alias("_n"))
+    near = (F.col("node") < F.col("b")) & (F.col("component") != F.col("_c"))
+    sizes = 100 * F.least("n", "_n") >= percent * F.greatest("n", "_n")
+    return rare.join(other, "e").where(near & sizes).select(F.col("node").alias("a"), "b").distinct()
+
+
+def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Pairs that meet the threshold on full sets."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -186,7 +235,6 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int,
             yield b.loc[keep, ["a", "b"]]
 
     side = lambda x: full.select(F.col("node").alias(x), F.col("set").alias(f"s{x}"))
-    # in partitions of few rows, as each row carries two whole sets
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(run, "a long, b long")
 
 
@@ -197,50 +245,22 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs")
     )
     classes = freeze(classes, "near-classes")
-    members = freeze(_bands(classes), "near-bands")
-    degree = members.groupBy("node").agg(F.sum("size").alias("degree"))
-    members = members.join(degree, "node").select("band", "node", "degree")
-    links = tested = None
-    turn = 0
-    while True:
-        if links is None:
-            label = classes.select("node", F.col("node").alias("component"))
-        else:
-            label = components(links)
-            label = classes.select("node").distinct().join(label, "node", "left")
-            label = freeze(label.select("node", F.coalesce("component", "node").alias("component")), "near-labels")
-        open_ = members.join(label, "node")
-        mixed = open_.groupBy("band").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo < _hi")
-        open_ = freeze(open_.join(mixed.select("band"), "band", "left_semi"), "near-open")
-        # pairs of different components that share a bucket
-        parts = open_.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
-        sums = parts.groupBy("band").agg((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("x"), F.sum("n").alias("n"))
-        crossing, left = (v or 0 for v in sums.agg(F.sum("x"), F.sum("n")).first())
-        if not crossing:
-            break
-        last = turn and (turn == _HUB_ROUNDS or crossing <= 8 * left)
-        if last:
-            o = open_.select("band", F.col("node").alias("y"), F.col("component").alias("_c"))
-            pairs = open_.join(o, "band").where((F.col("component") != F.col("_c")) & (F.col("node") < F.col("y")))
-            pairs = pairs.select(F.col("node").alias("x"), "y")
-        else:
-            # hubs of later rounds change with the round, so that other members are tried
-            rank = F.col("degree") if turn == 0 else F.xxhash64("node", F.lit(turn))
-            hubs = open_.groupBy("band").agg(F.max_by(F.struct("node", "component"), F.struct(rank, -F.col("node"))).alias("h"))
-            pairs = open_.join(hubs, "band").where(F.col("component") != F.col("h.component"))
-            pairs = pairs.select(F.col("node").alias("x"), F.col("h.node").alias("y"))
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = freeze(pairs, "near-candidates")
-        new = freeze(_verified(_likely(pairs, classes, percent), docs, classes, words, percent), "near-links")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        links = new if links is None else links.unionByName(new)
-        turn += 1
-        if last:
-            break
-    if links is None:
-        links = docs.sparkSession.createDataFrame([], "a long, b long")
+    members = freeze(_buckets(classes, percent), "near-buckets")
+    # one comparison for each member of a bucket: with its hub, the member that meets most others
+    hubs = members.groupBy("bucket").agg(F.max_by("node", F.struct("degree", -F.col("node"))).alias("hub"), F.count(F.lit(1)).alias("n"))
+    starred = members.join(hubs.where(F.col("n") > 1), "bucket")
+    pairs = starred.where(F.col("node") != F.col("hub")).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    pairs = freeze(pairs, "near-hubs")
+    nodes = freeze(starred.select("node").distinct(), "near-nodes")
+    full = freeze(_sets(docs, nodes, classes, words), "near-sets")
+    links = freeze(_verified(_likely(pairs, classes, percent), full, percent), "near-links")
+    label = components(links)
+    # what the hubs leave: buckets of several components, by their rarest elements
+    open_ = members.select("bucket", "node").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = open_.groupBy("bucket").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo < _hi")
+    left = open_.join(mixed.select("bucket"), "bucket", "left_semi").select("node", "component").distinct()
+    rest = freeze(_rare_pairs(full.join(left, "node"), percent).join(pairs, ["a", "b"], "left_anti"), "near-rest")
+    links = links.unionByName(freeze(_verified(_likely(rest, classes, percent), full, percent), "near-links"))
     found = components(links).select(F.col("node").alias("_node"), "component")
     named = rows.join(classes.select("h1", "h2", F.col("node").alias("_node")), ["h1", "h2"], "left").join(found, "_node", "left")
     component = F.when(F.col("regs").isNull(), F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.coalesce("component", "_node"))
