@@ -13,6 +13,7 @@ a column that already has the name of an output is replaced.
 
 from __future__ import annotations
 
+import array
 import base64
 from collections.abc import Iterator
 from functools import lru_cache
@@ -64,7 +65,6 @@ class Codec:
         self.processor = sentencepiece.SentencePieceProcessor(model_proto=serialise_model(self.ranks))
         self.pattern = regex.compile(pattern)
         self.to_chars = {b: 0x100 + b for b in range(256)}
-        self.words: dict[str, bytes] = {}
         self.cache = PieceCache(self._encode_many)
         tokens = sorted(self.ranks, key=self.ranks.__getitem__)
         self.token_bytes = np.frombuffer(b"".join(tokens), np.uint8)
@@ -73,22 +73,17 @@ class Codec:
 
     def _encode_many(self, texts: list[str]) -> Iterator[bytes]:
         found = [self.pattern.findall(t) for t in texts]
-        new = [w for w in set().union(*found).difference(self.words)] if found else []
-        if len(self.words) + len(new) > self.cache.limit:
-            self.words.clear()
-            new = list(set().union(*found))
-        hard = []
-        for w in new:
+        words, hard = {}, []
+        for w in set().union(*found):
             raw = w.encode()
             rank = self.ranks.get(raw)
             if rank is None:
                 hard.append((w, raw.decode("latin-1").translate(self.to_chars)))
             else:
-                self.words[w] = rank.to_bytes(4, "little")
+                words[w] = rank.to_bytes(4, "little")
         if hard:
             for (w, _), ids in zip(hard, self.processor.encode([c for _, c in hard], num_threads=1), strict=True):
-                self.words[w] = np.array(ids, "<i4").tobytes()
-        words = self.words
+                words[w] = array.array("i", ids).tobytes()
         return (b"".join([words[w] for w in ws]) for ws in found)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:

@@ -17,6 +17,7 @@ Other columns are not read.  An empty table gives a store without records.
 
 from __future__ import annotations
 
+import array
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -80,6 +81,17 @@ def access(levels: list[bytes], bitmaps: list[bytes], ranks: list[bytes], i: int
     return value
 
 
+def _byte_chars() -> dict[int, str]:
+    """The characters that byte-level vocabularies write bytes with: printable
+    Latin-1 bytes stand for themselves, the others follow from U+0100."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(0x100 + i) for i, b in enumerate(others)}
+
+
+BYTE_CHARS = _byte_chars()
+
+
 class Encoder:
     """Text -> ids with a ``tokenizers`` file, distinct pieces once."""
 
@@ -88,11 +100,24 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(tokenizer)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.cache = PieceCache(self._encode_many)
 
-    def _encode_many(self, texts: list[str]) -> Iterator[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return (np.array(e.ids, "<u4").tobytes() for e in found)
+    def _encode_many(self, texts: list[str]) -> list[bytes]:
+        """A space and letters are one match of the split pattern, so the model
+        takes such a word directly; other pieces go through the whole tokenizer."""
+        plain = [t[:1] == " " and t[1:].isalpha() for t in texts]
+        whole = iter(self.tokenizer.encode_batch_fast([t for t, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False))
+        tokenize, blank = self.model.tokenize, BYTE_CHARS[32]
+        out = []
+        for t, p in zip(texts, plain, strict=True):
+            if p:
+                # ASCII letters stand for themselves
+                mapped = blank + t[1:] if t.isascii() else t.encode().decode("latin-1").translate(BYTE_CHARS)
+                out.append(array.array("I", [x.id for x in tokenize(mapped)]).tobytes())
+            else:
+                out.append(array.array("I", next(whole).ids).tobytes())
+        return out
 
     def encode(self, texts: list[str | None], end_id: int) -> list[bytes]:
         end = np.array([end_id], "<u4").tobytes()
