@@ -7,8 +7,14 @@ join the scored n-grams, and partial sums of log probability flow back to
 their documents.  A document's perplexity is compared with language-specific
 quantiles of the trusted documents' perplexities, from below as well: text
 that is too predictable is no prose.  Repetition is predictable only from
-itself: the share of different n-grams in a document is held against the low
-quantile of trusted documents of its language and size (power of two).
+itself: the share of different n-grams in a document (its variety) is held
+against that of the trusted documents.  The root of its negative logarithm
+grows in proportion to the logarithm of the size, so one line a language, fitted
+to the medians of the powers of two, and a high quantile of the distances from
+it, in units of the spread expected at a size (NOISE, and the chance of few
+counts), bound every size, also those without trusted documents.  A line leans on
+that of all languages as if ``POOLED`` more documents lay on it, so a language
+with few trusted documents is bounded too.
 
 Orders 3, 2, 1 back off to a uniform character.  The top order counts
 occurrences, the lower ones different left neighbours; discounts D1, D2, D3+
@@ -17,7 +23,8 @@ a text.  Nearly all word n-grams of these corpora occur once; characters keep
 the model small beside the corpus and see spelling, case and symbols.
 
 Null and empty texts have no perplexity and are rejected.  A language without
-trusted text judges nothing: its documents are kept, with null perplexity.
+trusted text judges nothing: its documents are kept, with null perplexity and,
+to read only, the least variety of all languages' line.
 Null is a language of its own.  Every row gives one row; repeated rows stay.
 Labels without a match do nothing; a document is trusted if any of its label
 rows has quality 1.  Extra columns are not read.
@@ -38,7 +45,9 @@ from quarry.llm.common import BROADCAST_IDS, freeze
 LOW, HIGH = 0.001, 0.999  # quantiles of the trusted documents, widened by:
 MARGIN = 0.02  # of the log perplexity
 VARIETY_MARGIN = 0.1  # of the log share of different n-grams
-MIN_TRUSTED = 100  # trusted documents of a size that bound the variety there
+POOLED = 30  # documents that the line of all languages counts as in a language's fit
+NOISE = 0.05  # spread of the root in long texts
+SLOPE, SLOPE_WEIGHT = 0.25, 1.0  # of prose; decides where trusted documents have one size
 _CHARS = 1 << 21  # characters whose n-grams are sorted together
 _SUMS = 1 << 21  # partial sums a task holds before it sends them on
 _BITS = 21
@@ -254,28 +263,68 @@ def _counts(packed: bytes, k: int) -> np.ndarray:
     return n
 
 
+def _lines(points: DataFrame) -> DataFrame:
+    """lang, base, slope of the line through the weighted points (x, y, w)."""
+    w, x, y = F.col("w"), F.col("x"), F.col("y")
+    sums = points.groupBy("lang").agg(F.sum("w").alias("w"), *[F.sum(v).alias(n) for n, v in (("x", w * x), ("y", w * y), ("xx", w * x * x), ("xy", w * x * y))])
+    spread = F.greatest(F.col("xx") - x * x / w, F.lit(0.0))
+    slope = (F.col("xy") - x * y / w + SLOPE * SLOPE_WEIGHT) / (spread + SLOPE_WEIGHT)
+    sums = sums.withColumn("slope", F.greatest(slope, F.lit(0.01)))
+    return sums.select("lang", ((y - F.col("slope") * x) / w).alias("base"), "slope")
+
+
+def _spread(n: Column) -> Column:
+    """Expected spread of the root of the negative log variety."""
+    return F.sqrt(NOISE * NOISE + 1 / n)
+
+
+def variety_lines(ppl: DataFrame) -> DataFrame:
+    """lang, base, slope, off for every language of ``ppl``: the root of the
+    negative log variety is at most base + slope * log size + off spreads.  No
+    rows without trusted text."""
+    x, y = F.log("n_grams"), F.sqrt(-F.col("variety"))
+    good = ppl.where("trusted and log_ppl is not null").select("lang", x.alias("x"), y.alias("y"), F.floor(F.log2("n_grams")).alias("size"))
+    middle = [F.percentile_approx(c, 0.5, F.lit(100_000)).alias(c) for c in ("x", "y")]
+    own = good.groupBy("lang", "size").agg(*middle, F.count(F.lit(1)).cast("double").alias("w")).drop("size")  # at most 63 rows a language
+    pool = good.groupBy("size").agg(*middle, F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(good.agg(F.count(F.lit(1)).alias("all"))))
+    pool = pool.select("x", "y", (POOLED * F.col("n") / F.col("all")).alias("w"))
+    langs = ppl.select("lang").distinct()
+    lines = _lines(own.unionByName(langs.crossJoin(F.broadcast(pool))))
+    every = _lines(pool.withColumn("lang", F.lit(""))).select(F.col("base").alias("base0"), F.col("slope").alias("slope0"))  # one row
+    off = good.join(F.broadcast(lines), "lang").crossJoin(F.broadcast(every))
+    high = lambda base, slope: F.percentile_approx((F.col("y") - F.col(base) - F.col(slope) * F.col("x")) / _spread(F.exp("x")), HIGH, F.lit(100_000))
+    mine, all_ = off.groupBy("lang").agg(high("base", "slope").alias("mine")), off.agg(high("base0", "slope0").alias("all"))
+    lines = lines.join(F.broadcast(mine), "lang", "left").crossJoin(F.broadcast(all_))
+    return lines.select("lang", "base", "slope", F.greatest("mine", "all").alias("off"))
+
+
+def _least_variety() -> Column:
+    """Log variety that a document of ``n_grams`` must reach.  Past the place
+    where the line asks for fewer different n-grams the longer a text is, it
+    must have as many as there: its start has them already."""
+    slope, n = F.col("slope"), F.greatest("n_grams", F.lit(1))
+    y = F.greatest(F.col("base") + slope * F.log(n) + F.col("off") * _spread(n), F.lit(0.0))
+    turn = F.least(y, 1 / (2 * slope))
+    return -(y - turn) / slope - turn * turn - VARIETY_MARGIN
+
+
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, lang, n_grams, perplexity, low, high, keep for every row."""
+    """doc_id, lang, n_grams, perplexity, low, high, variety, least_variety,
+    keep for every row."""
     marked = trusted_docs(docs, labels)
     scored = freeze(score_grams(freeze(count_grams(marked), "kn-grams")), "kn-scores")
     ppl = freeze(perplexities(marked, scored), "kn-docs")
-    ppl = ppl.withColumn("size", F.floor(F.log2(F.greatest("n_grams", F.lit(1))))).withColumn(
-        "variety", F.log(F.greatest("n_types", F.lit(1)) / F.greatest("n_grams", F.lit(1)))
-    )
+    ppl = ppl.withColumn("variety", F.log(F.greatest("n_types", F.lit(1)) / F.greatest("n_grams", F.lit(1))))
     good = ppl.where("trusted and log_ppl is not null")
     q = F.percentile_approx("log_ppl", F.array(F.lit(LOW), F.lit(HIGH)), F.lit(100_000))
     bounds = good.groupBy("lang").agg(q.alias("q"))
     bounds = bounds.select("lang", (F.col("q")[0] * (1 - MARGIN)).alias("lo"), (F.col("q")[1] * (1 + MARGIN)).alias("hi"))
-    least = F.percentile_approx("variety", LOW, F.lit(100_000)) - VARIETY_MARGIN
-    varied = good.groupBy("lang", "size").agg(least.alias("least"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= MIN_TRUSTED)
     keep = (F.col("n_grams") > 0) & (
-        F.col("log_ppl").isNull()
-        | F.col("lo").isNull()
-        | (F.col("log_ppl").between(F.col("lo"), F.col("hi")) & (F.col("least").isNull() | (F.col("variety") >= F.col("least"))))
+        F.col("log_ppl").isNull() | F.col("lo").isNull() | (F.col("log_ppl").between(F.col("lo"), F.col("hi")) & (F.col("variety") >= F.col("least")))
     )
     lang = F.when(F.col("lang") != "-", F.substr("lang", F.lit(2)))
-    # one row a language, and one a language and size: at most 63 sizes
-    judged = ppl.join(F.broadcast(bounds), "lang", "left").join(F.broadcast(varied.drop("_n")), ["lang", "size"], "left")
+    # one row a language on either side
+    judged = ppl.join(F.broadcast(bounds), "lang", "left").join(F.broadcast(variety_lines(ppl)), "lang", "left").withColumn("least", _least_variety())
     return judged.select(
         "doc_id",
         lang.alias("lang"),

@@ -129,3 +129,27 @@ def test_held_out_junk(spark):
     clean = [r["keep"] for r in got if r["quality"] == 1]
     junk = [r["keep"] for r in got if r["quality"] == 0]
     assert sum(clean) >= 0.93 * len(clean) and sum(junk) <= 0.3 * len(junk)
+
+
+def test_word_repeats_in_rare_sizes_and_languages(spark):
+    """Junk that mostly repeats the word before, in sizes with few trusted
+    documents or none and in a language with few.  A language with none is kept,
+    but its junk lies below the least variety."""
+    sf = "/root/testdata/sf0.01"
+    table, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    real = [(r["doc_id"], r["text"], r["lang"]) for r in table.select("doc_id", "text", "lang").collect()]
+    good = {r["doc_id"] for r in labels.collect() if r["quality"] == 1}
+    junk = [(f"{w} " * n, lang) for w, lang in (("For", "en"), ("Haus", "de"), ("zu", "rare"), ("na", "none")) for n in (200, 4000, 200_000)]
+    extra = [(10**6 + i, t, lang) for i, (t, lang) in enumerate(junk)]
+    clean = [(t, "rare" if i < 4 else "none") for i, (d, t, lang) in enumerate(r for r in real if r[0] in good and r[2] == "es")]
+    extra += [(2 * 10**6 + i, t, lang) for i, (t, lang) in enumerate(clean)]
+    more = spark.createDataFrame([(2 * 10**6 + i, 1, 0) for i in range(4)], LABELS)
+    df = spark.createDataFrame(real + extra, "doc_id long, text string, lang string").repartition(8)
+    got = kn.classify(df, labels.select("doc_id", "quality", "toxic").unionByName(more)).collect()
+    assert all(r["least_variety"] is not None for r in got)
+    low = {r["doc_id"]: r["variety"] < r["least_variety"] for r in got}
+    repeats = [d for d, t, _ in real if len(w := t.split()) > 20 and sum(a == b for a, b in zip(w, w[1:])) > len(w) / 2]
+    assert len(repeats) >= 15 and all(low[d] for d in repeats)
+    assert all(low[10**6 + i] for i in range(len(junk)))
+    assert not any(r["keep"] for r in got if 10**6 <= r["doc_id"] < 2 * 10**6 and r["lang"] != "none")
+    assert sum(low[d] for d in good) <= 0.01 * len(good) and sum(low[2 * 10**6 + i] for i in range(len(clean))) <= 1
