@@ -1,17 +1,23 @@
-"""Mixing sources to target weights by Pfair scheduling, DataFrame functions only.
+"""Mixing sources to target weights, DataFrame functions only.
 
 A source's documents, in doc_id order, are cut into blocks of ``block_chars``
-characters.  Weights are whole parts of a cycle of W slots.  Block j of a
-source with weight w is released at floor(j / w) and due at ceil((j + 1) / w);
-in every slot the released block with the earliest deadline goes out (ties by
-source).  Unit blocks on one sequence meet all deadlines this way, so after
-any t slots every source has sent between t*w - 1 and t*w + 1 blocks.  Windows
-repeat every W slots, so one cycle is scheduled and block j of a source goes
-to slot ``(j div parts) * W + slot[j mod parts]``: no global sequence runs
-through one task.
+characters.  Weights are parts of about 2^28.  Laid side by side, heaviest
+first, the sources form a binary tree by the bits of their middles.  Where two
+children have parts a and b, after n blocks the first has sent n * a / (a + b),
+rounded, and the second the others; so the place of block j of a child in its
+parent's sequence has a closed form in whole numbers, and one fold up the path
+of at most 30 nodes gives the slot of any block: exact weights, whatever the
+number of sources, and no cycle or global sequence that runs through one task.
+A node is at most half a block off its parent's share, and of the parent's own
+error it gets its share: after any t slots a source has sent t*w blocks, off by
+1/2 + w/w1 * (1/2 + w1/w2 * (1/2 + ...)) at most, w1, w2, ... the weights above
+it below the root.  That is under one block for up to three sources.
+:func:`cycle_slots` is the earliest-deadline-first schedule of a short cycle of
+whole parts, with Pfair's bound of one block; it takes a step a slot and source.
 
 Every document comes out at least once; a source that ends early starts again
-(``epoch`` 1, 2, ...) until the last source has sent all its blocks.
+(``epoch`` 1, 2, ...) until the last source has sent all its blocks.  Sources
+of weight 0 come once, after all others.
 
 A null source is a source of its own.  Documents without an id come first,
 equal ids by length.  Null texts have 0 characters.  Repeated rows stay.  An
@@ -25,7 +31,9 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import bucket_of, buckets_for, freeze, id_bounds
 
-PARTS = 1000  # slots of a cycle, about
+BITS = 28
+PARTS = 1 << BITS  # of all weights, about
+_RUN = 4096  # sends of a source that one row lists
 BLOCK_CHARS = 1 << 16
 TEMPER = 0.9  # default weights: share of characters to this power
 
@@ -52,7 +60,8 @@ def place_in_blocks(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFram
 
 
 def target_parts(placed: DataFrame, weights: dict[str | None, float] | None = None) -> DataFrame:
-    """_source, parts: whole parts of the cycle, 1 at least."""
+    """_source, parts: whole parts of about ``PARTS``, 1 at least for a weight
+    above 0."""
     sizes = placed.groupBy("_source").agg(F.sum("n").alias("_n"))
     if weights is None:
         w = F.pow(F.greatest(F.col("_n"), F.lit(1)).cast("double"), TEMPER)
@@ -63,9 +72,39 @@ def target_parts(placed: DataFrame, weights: dict[str | None, float] | None = No
             w = F.when(F.col("_source") == key, F.lit(float(value))).otherwise(w)
     sizes = sizes.withColumn("_w", w)
     total = sizes.agg(F.sum("_w").alias("_all"))  # one row
-    return sizes.crossJoin(F.broadcast(total)).select(
-        "_source", F.greatest(F.lit(1), F.round(F.col("_w") / F.col("_all") * PARTS)).cast("int").alias("parts")
-    )
+    share = F.coalesce(F.try_divide(F.col("_w"), F.col("_all")), F.lit(0.0)) * PARTS
+    parts = F.when(F.col("_w") > 0, F.greatest(F.lit(1), F.round(share))).otherwise(0)
+    return sizes.crossJoin(F.broadcast(total)).select("_source", parts.cast("long").alias("parts"))
+
+
+def paths(parts: DataFrame) -> DataFrame:
+    """_source, parts, path: (a, b, second) of every node from the source up to
+    the root, where a and b are the parts of its children and ``second`` tells
+    on which side the source lies.  Nodes with one child are left out."""
+    before = F.sum("parts").over(Window.orderBy(F.col("parts").desc(), "_source"))  # one row a source
+    # twice the middle: different for any two sources, below 2 * (PARTS + sources)
+    placed = parts.where("parts > 0").select("_source", "parts", (2 * before - F.col("parts")).alias("_m"))
+    deep = BITS + 4
+    nodes = placed.select("_source", "parts", "_m", F.explode(F.sequence(F.lit(0), F.lit(deep - 1))).alias("_k"))
+    nodes = nodes.select("_source", "parts", "_k", F.expr("shiftright(_m, _k + 1)").alias("_node"), F.expr("shiftright(_m, _k) & 1").alias("_side"))
+    sums = nodes.groupBy("_k", "_node").agg(*[F.coalesce(F.sum(F.when(F.col("_side") == i, F.col("parts"))), F.lit(0)).alias(c) for i, c in enumerate("ab")])
+    split = nodes.join(sums.where("a > 0 and b > 0"), ["_k", "_node"])
+    step = F.struct("_k", "a", "b", (F.col("_side") == 1).alias("second"))
+    path = split.groupBy("_source").agg(F.sort_array(F.collect_list(step)).alias("path"))
+    empty = F.array().cast("array<struct<_k:int,a:bigint,b:bigint,second:boolean>>")
+    return parts.where("parts > 0").join(path, "_source", "left").select("_source", "parts", F.coalesce("path", empty).alias("path"))
+
+
+def slot_of(path: Column, j: Column) -> Column:
+    """Slot of block number j of the source with this path.  The first child's
+    n-th block is where n * a / (a + b), rounded, grows; the second's elsewhere."""
+    div = lambda x, y: F.call_function("div", x, y)
+
+    def up(at: Column, s: Column) -> Column:
+        odd = (2 * at + 1) * (s["a"] + s["b"])
+        return F.when(s["second"], div(odd, 2 * s["b"])).otherwise(div(odd + 2 * s["a"] - 1, 2 * s["a"]) - 1)
+
+    return F.aggregate(path, j.cast("bigint"), up)
 
 
 def cycle_slots(parts: DataFrame) -> DataFrame:
@@ -106,30 +145,26 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_c
     """doc_id, source, block, epoch, slot, at (characters before it in its
     source), n_chars; the mixture's order is (slot, at, doc_id)."""
     placed = freeze(place_in_blocks(docs, block_chars), "mix-placed")
-    slots = freeze(cycle_slots(target_parts(placed, weights)), "mix-slots")  # W rows
+    parts = freeze(target_parts(placed, weights), "mix-parts")
     blocks = placed.groupBy("_source").agg((F.max("block") + 1).alias("blocks"))
-    plan = blocks.join(slots.select(F.col("source").alias("_source"), "parts", "j", "slot", "cycle"), "_source")
+    plan = freeze(paths(parts).join(blocks, "_source"), "mix-paths")
     # the slot after each source's last new block; the mixture ends after the latest
-    last = F.col("j") == F.pmod(F.col("blocks") - 1, F.col("parts"))
-    end = plan.where(last).agg(F.max(F.floor((F.col("blocks") - 1) / F.col("parts")) * F.col("cycle") + F.col("slot") + 1).alias("end"))
-    per = plan.crossJoin(F.broadcast(end))  # W rows with one number
-    # every sending of a block: number q of its source, in slot (q div parts) * cycle + slot[q mod parts]
-    sends = per.select(
-        "_source",
-        "blocks",
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("end") - 1) / F.col("cycle")))).alias("c"),
-        "parts",
-        "j",
-        "slot",
-        "cycle",
-        "end",
-    ).select(
-        "_source",
-        F.pmod(F.col("c") * F.col("parts") + F.col("j"), F.col("blocks")).alias("block"),
-        F.floor((F.col("c") * F.col("parts") + F.col("j")) / F.col("blocks")).cast("int").alias("epoch"),
-        (F.col("c") * F.col("cycle") + F.col("slot")).alias("slot"),
-        "end",
-    ).where(F.col("slot") < F.col("end"))
+    end = plan.agg(F.coalesce(F.max(slot_of(F.col("path"), F.col("blocks") - 1) + 1), F.lit(0).cast("bigint")).alias("end"), F.sum("parts").alias("all"))
+    # every sending of a block, number q of its source; no source is two blocks off, so two more are tried than its share of the slots
+    runs = plan.crossJoin(F.broadcast(end)).withColumn("most", F.ceil(F.col("end") * (F.col("parts") / F.col("all"))) + 2)
+    runs = runs.withColumn("run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.call_function("div", F.col("most"), F.lit(_RUN)))))
+    sends = (
+        runs.withColumn("q", F.explode(F.sequence(F.col("run") * _RUN, F.col("run") * _RUN + _RUN - 1)))
+        .where("q <= most")
+        .withColumn("slot", slot_of(F.col("path"), F.col("q")))
+        .where("slot < end")
+        .select("_source", F.pmod("q", "blocks").alias("block"), F.call_function("div", F.col("q"), F.col("blocks")).cast("int").alias("epoch"), "slot")
+    )
+    # sources of weight 0, one after the other
+    left = parts.where("parts = 0").join(blocks, "_source").crossJoin(F.broadcast(end))
+    first = F.sum("blocks").over(Window.orderBy("_source")) - F.col("blocks") + F.col("end")  # one row a source
+    left = left.select("_source", "blocks", first.alias("_first")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    sends = sends.unionByName(left.select("_source", "block", F.lit(0).alias("epoch"), (F.col("_first") + F.col("block")).alias("slot")))
     source = F.when(F.col("_source") != "-", F.substr("_source", F.lit(2)))
     return placed.join(sends, ["_source", "block"]).select(
         "doc_id", source.alias("source"), "block", "epoch", "slot", "at", F.col("n").alias("n_chars")

@@ -83,3 +83,50 @@ def test_query(spark):
     table = spark.read.parquet(f"{SF}/documents.parquet").collect()
     got = queries.QUERIES["op5_pfair_mixture"](spark, SF).collect()
     fair(got, [(r["doc_id"], r["source"], len(r["text"])) for r in table])
+
+
+def test_long_tail_keeps_the_weights(spark):
+    """A third of the characters in one source, the others in 600 equal ones."""
+    tail, each = 600, 2
+    table = [(i, "x" * 100, "hot") for i in range(tail * each // 2)] + [(10**6 + i, "x" * 100, f"s{i % tail}") for i in range(tail * each)]
+    df = spark.createDataFrame(table, "doc_id long, text string, source string").repartition(4)
+    chars = {s: sum(100 for r in table if r[2] == s) for s in {r[2] for r in table}}
+    total = sum(c**mixing.TEMPER for c in chars.values())
+    true = {s: c**mixing.TEMPER / total for s, c in chars.items()}
+    got = mixing.mix(df, block_chars=100).collect()
+    slots = fair(got, [(i, s, len(t)) for i, t, s in table])
+    assert [t for t, _ in slots] == list(range(len(slots)))
+    assert len(slots) < 1.05 * max(c / 100 / true[s] for s, c in chars.items()) + tail
+    sent = Counter()
+    for t, s in slots:
+        sent[s] += 1
+        if t % 37 == 0 or t == len(slots) - 1:
+            assert all(abs(sent[x] - (t + 1) * w) < 1.5 for x, w in true.items())
+
+
+def test_small_and_missing_weights(spark):
+    table = [(i, "x" * 100, "abcd"[min(i // 200, 3)]) for i in range(602)]  # d has two documents
+    df = spark.createDataFrame(table, "doc_id long, text string, source string")
+    got = mixing.mix(df, {"a": 0.6, "b": 0.399, "c": 0.001}, block_chars=10_000).collect()
+    slots = fair(got, [(i, s, len(t)) for i, t, s in table])
+    sent = Counter(s for _, s in slots)
+    n = len(slots) - 1  # d, left out, comes once, at the end
+    assert sent["d"] == 1 and slots[-1][1] == "d" and sum(r["source"] == "d" for r in got) == 2
+    assert sent["c"] == 2 and abs(sent["a"] - 0.6 * n) < 1 and abs(sent["b"] - 0.399 * n) < 1
+
+
+def test_slots_are_a_permutation_near_the_weights(spark):
+    import random
+
+    rng = random.Random(4)
+    for sizes in ([1, 10**6], [2**27, 2**26, 1], [int(10 ** rng.uniform(0, 7)) + 1 for _ in range(40)], [7] * 33):
+        parts = {f"+s{i:02}": p for i, p in enumerate(sizes)}
+        total = sum(sizes)
+        df = mixing.paths(spark.createDataFrame(list(parts.items()), "_source string, parts long"))
+        q = df.selectExpr("*", f"explode(sequence(0L, cast(ceil(2000D * parts / {total}) + 2 as bigint))) as q")
+        sends = sorted((r["slot"], r["_source"]) for r in q.select("_source", mixing.slot_of(q["path"], q["q"]).alias("slot")).where("slot < 2000").collect())
+        assert [t for t, _ in sends] == list(range(2000))
+        sent = Counter()
+        for t, s in sends:
+            sent[s] += 1
+            assert all(abs(sent[x] - (t + 1) * p / total) < (1 if len(sizes) <= 3 else 1.5) for x, p in parts.items())
