@@ -17,8 +17,11 @@ BUDGET = 3000
 RETENTION_DAYS = 1
 
 
-def _stream_tables(spark, sf_dir):
-    return ST.StreamTables(spark, sf_dir)
+BY_ID, BY_TIME = ("event_id",), ("ts", "event_id")
+
+
+def _stream_tables(spark, sf_dir, order=()):
+    return ST.StreamTables(spark, sf_dir, files_per_trigger=ST.FILES_PER_TRIGGER, order=order)
 
 
 @query("st1_event_log_append", "SELECT * FROM v_log")
@@ -58,7 +61,7 @@ WHERE l.sequence_id > 100 AND (s.stop IS NULL OR l.sequence_id <= s.stop)""",
 def st2_replay_until_terminal(spark, sf_dir):
     """Per-task replay after cursor 100 that stops at the first terminal event
     (stateful flag per task)."""
-    st = _stream_tables(spark, sf_dir)
+    st = _stream_tables(spark, sf_dir, BY_ID)
     out, ck = scratch_path(spark, "st2r-out"), scratch_path(spark, "st2r-ck")
     ST.append_to_table(ST.replay_until_terminal_stream(v_log(st), 100), out, ck)
     return spark.read.parquet(out)
@@ -86,7 +89,7 @@ def st4_request_metrics_stream(spark, sf_dir):
 def st5_sliding_rate_limiter(spark, sf_dir):
     """Per-user sliding-window limiter (3 per day) as a stateful stream."""
     out, ck = scratch_path(spark, "st5-out"), scratch_path(spark, "st5-ck")
-    ST.append_to_table(ST.sliding_rate_limiter_stream(_stream_tables(spark, sf_dir).events, "user_id", LIMIT, WINDOW), out, ck)
+    ST.append_to_table(ST.sliding_rate_limiter_stream(_stream_tables(spark, sf_dir, BY_TIME).events, "user_id", LIMIT, WINDOW), out, ck)
     return spark.read.parquet(out)
 
 
@@ -112,7 +115,7 @@ def st6_idle_heartbeat(spark, sf_dir):
 def st6_idle_heartbeat_stream(spark, sf_dir):
     """Heartbeats per task from the stateful stream (summed over batches)."""
     out, ck = scratch_path(spark, "st6-out"), scratch_path(spark, "st6-ck")
-    ST.append_to_table(ST.idle_heartbeat_stream(v_log(_stream_tables(spark, sf_dir))), out, ck)
+    ST.append_to_table(ST.idle_heartbeat_stream(v_log(_stream_tables(spark, sf_dir, BY_ID))), out, ck)
     return spark.read.parquet(out).groupBy("task_id").agg(F.sum("heartbeats").cast("bigint").alias("heartbeats"))
 
 
@@ -124,7 +127,7 @@ SELECT task_id, arg_min(usage_id, (created_at, usage_id)) AS usage_id, arg_min(r
 def st7_budget_guard_stream(spark, sf_dir):
     """Budget breach emitted once per task by a stateful stream (equals O12)."""
     out, ck = scratch_path(spark, "st7-out"), scratch_path(spark, "st7-ck")
-    ST.append_to_table(ST.budget_guard_stream(v_tok(_stream_tables(spark, sf_dir)), BUDGET), out, ck)
+    ST.append_to_table(ST.budget_guard_stream(v_tok(_stream_tables(spark, sf_dir, BY_TIME)), BUDGET), out, ck)
     return spark.read.parquet(out)
 
 
@@ -137,5 +140,5 @@ WHERE status IN ('succeeded', 'failed', 'cancelled') AND last_ts + INTERVAL {RET
 def st8_retention_stream(spark, sf_dir):
     """Finished tasks forgotten by watermark timeout (1 day after last event)."""
     out, ck = scratch_path(spark, "st8-out"), scratch_path(spark, "st8-ck")
-    ST.append_to_table(ST.retention_stream(v_log(_stream_tables(spark, sf_dir)), RETENTION_DAYS), out, ck)
+    ST.append_to_table(ST.retention_stream(v_log(ST.StreamTables(spark, sf_dir, files_per_trigger=None)), RETENTION_DAYS), out, ck)
     return spark.read.parquet(out)

@@ -5,11 +5,14 @@ folder; every query has its own checkpoint, which is the reader's durable
 cursor: a restart resumes after the last committed batch (ST2).  Stateful
 rules run in ``applyInPandasWithState`` with Arrow batches per key and
 small state per key (the limiter keeps at most ``limit`` times, the budget
-guard two numbers).  Every key has an event-time timeout: when the watermark
-passes its last event by ``state_days``, its state is dropped, so state is
-bounded by the keys that were active in that time.  Rows older than the
-watermark are dropped (``numRowsDroppedByWatermark`` counts them).  Rows of one
-key are ordered within a batch, whose size ``files_per_trigger`` bounds.
+guard two numbers).  The replay of a stored log drops no row and forgets no
+key; if the log has more files than a batch admits, :class:`StreamTables` puts
+it in order first, so a key's rows come in order across batches too.  For a live
+stream, ``delay`` sets a watermark: rows older than it are dropped
+(``numRowsDroppedByWatermark`` counts them); with ``state_days`` a key's state
+is dropped when the watermark passes its last event by so much, which bounds the
+state by the keys active in that time.  Rows of one key are ordered within a
+batch, whose size ``files_per_trigger`` bounds.
 Every registered stream runs with ``trigger(availableNow=True)`` and is read
 back as a batch DataFrame.
 """
@@ -27,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quarry.functions.sequential import keyed_lag, keyed_running_sum
+from quarry.session import scratch_path
 from quarry.sources.tables import Tables
 
 # Terminal event types of a task, heartbeat period, limiter.
@@ -36,30 +40,62 @@ RATE_LIMIT = 120
 RATE_WINDOW_SECONDS = 60
 
 FILES_PER_TRIGGER = 256  # files that one batch admits
-STATE_DAYS = 7  # a key without events for so long (event time) is forgotten
 
 
 # ---------------------------------------------------------------- sources --
-def event_stream(spark: SparkSession, path: str, table_schema, files_per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
+def event_stream(spark: SparkSession, path: str, table_schema, files_per_trigger: int | None = FILES_PER_TRIGGER) -> DataFrame:
     """The table's own files as a stream; nothing is copied.  A batch admits
-    ``files_per_trigger`` files, oldest first, which bounds its size.  The path
-    is given as a pattern, as a plain one would have to be a folder."""
+    ``files_per_trigger`` files (None: all), oldest first, which bounds its
+    size.  The path is given as a pattern, as a plain one would have to be a
+    folder."""
     path = path if any(c in path for c in "*?[{") else f"{path[:-1]}[{path[-1]}]"
-    return spark.readStream.schema(table_schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    reader = spark.readStream.schema(table_schema)
+    return (reader if files_per_trigger is None else reader.option("maxFilesPerTrigger", files_per_trigger)).parquet(path)
+
+
+def ordered_copy(spark: SparkSession, path: str, order: tuple[str, ...]) -> str:
+    """The table's rows in as many files, each a range of ``order``, whose times
+    of change ascend with the ranges, as a file stream takes the oldest first."""
+    log, out = spark.read.parquet(path), scratch_path(spark, "ordered-log")
+    log.repartitionByRange(len(log.inputFiles()), *order).write.parquet(out)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(out).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    parts = [x.getPath() for x in fs.listStatus(hadoop.Path(out)) if x.getPath().getName().startswith("part-")]
+    parts.sort(key=lambda x: int(x.getName().split("-")[1]))
+    newest = max(fs.getFileStatus(x).getModificationTime() for x in parts) // 1000 * 1000
+    for i, part in enumerate(reversed(parts)):
+        fs.setTimes(part, newest - 1000 * i, -1)
+    times = [fs.getFileStatus(x).getModificationTime() for x in parts]
+    if any(a >= b for a, b in zip(times, times[1:])):
+        raise RuntimeError(f"the store of {out} keeps no given file times, which order the replay")
+    return out
 
 
 class StreamTables(Tables):
     """Tables whose ``events`` is a stream over the given files, so the batch
-    view builders (``v_log``, ``v_tok``) apply to the stream unchanged."""
-
-    def __init__(self, spark: SparkSession, sf_dir: str, path: str | None = None, files_per_trigger: int = FILES_PER_TRIGGER):
+    view builders (``v_log``, ``v_tok``) apply to the stream unchanged.  With
+    ``order`` (columns of ``events``), a log of several batches is copied in that
+    order first; one batch needs no copy."""
+
+    def __init__(
+        self,
+        spark: SparkSession,
+        sf_dir: str,
+        path: str | None = None,
+        files_per_trigger: int | None = FILES_PER_TRIGGER,
+        order: tuple[str, ...] = (),
+    ):
         super().__init__(spark, sf_dir)
         self._path = path or f"{sf_dir.rstrip('/')}/events.parquet"
         self._files = files_per_trigger
+        self._order = order
 
     def __getattr__(self, name: str) -> DataFrame:
         if name == "events":
-            return event_stream(self.spark, self._path, self.spark.read.parquet(self._path).schema, self._files)
+            log = self.spark.read.parquet(self._path)
+            several = self._files is not None and len(log.inputFiles()) > self._files
+            path = ordered_copy(self.spark, self._path, self._order) if several and self._order else self._path
+            return event_stream(self.spark, path, log.schema, self._files)
         return super().__getattr__(name)
 
 
@@ -71,16 +107,23 @@ def run_available_now(query_builder, checkpoint: str) -> None:
         raise q.exception()
 
 
-def _timed(stream: DataFrame, time_col: str, delay: str) -> DataFrame:
-    """Adds the watermarked event time ``event_time`` and ``event_ms``."""
-    timed = stream.withColumn("event_time", F.col(time_col).cast("timestamp")).withWatermark("event_time", delay)
+def _timed(stream: DataFrame, time_col: str, delay: str | None) -> DataFrame:
+    """Adds the event time ``event_time``, watermarked if there is a ``delay``,
+    and ``event_ms``."""
+    timed = stream.withColumn("event_time", F.col(time_col).cast("timestamp"))
+    timed = timed if delay is None else timed.withWatermark("event_time", delay)
     return timed.withColumn("event_ms", F.unix_millis("event_time"))
 
 
-def _forget_after(state: GroupState, last_ms: int, state_days: float) -> None:
+def _timeout(state_days: float | None) -> str:
+    return GroupStateTimeout.NoTimeout if state_days is None else GroupStateTimeout.EventTimeTimeout
+
+
+def _forget_after(state: GroupState, last_ms: int, state_days: float | None) -> None:
     """Drops the key's state once the watermark passes its last event by
-    ``state_days``."""
-    state.setTimeoutTimestamp(max(int(last_ms + state_days * 86_400_000), state.getCurrentWatermarkMs() + 1))
+    ``state_days`` (None: never)."""
+    if state_days is not None:
+        state.setTimeoutTimestamp(max(int(last_ms + state_days * 86_400_000), state.getCurrentWatermarkMs() + 1))
 
 
 # ---------------------------------------------------------------- ST1 ------
@@ -103,7 +146,7 @@ def cursor_reader(stream: DataFrame, out: str, checkpoint: str, run: int) -> Non
     run_available_now(stream.writeStream.foreachBatch(write), checkpoint)
 
 
-def replay_until_terminal_stream(log_stream: DataFrame, after_sequence: int = 0, delay: str = "7 days", state_days: float = STATE_DAYS) -> DataFrame:
+def replay_until_terminal_stream(log_stream: DataFrame, after_sequence: int = 0, delay: str | None = None, state_days: float | None = None) -> DataFrame:
     """ST2 replay rule: per task, events after the cursor in sequence order,
     stopping after the first terminal event (later events are not sent).
     State per task = one flag and the time of its last event."""
@@ -129,7 +172,7 @@ def replay_until_terminal_stream(log_stream: DataFrame, after_sequence: int = 0,
         yield pd.DataFrame(keep, columns=["task_id", "sequence_id", "event_type", "status"])
 
     return src.groupBy("task_id").applyInPandasWithState(
-        fn, "task_id long, sequence_id long, event_type string, status string", "done boolean, last_ms long", "append", GroupStateTimeout.EventTimeTimeout
+        fn, "task_id long, sequence_id long, event_type string, status string", "done boolean, last_ms long", "append", _timeout(state_days)
     )
 
 
@@ -190,13 +233,14 @@ def _limit_events(t: np.ndarray, accepted: list[float], limit: int, window: floa
 
 
 def sliding_rate_limiter_stream(
-    stream: DataFrame, key: str, limit: int = RATE_LIMIT, window: float = RATE_WINDOW_SECONDS, delay: str = "7 days"
+    stream: DataFrame, key: str, limit: int = RATE_LIMIT, window: float = RATE_WINDOW_SECONDS, delay: str | None = None
 ) -> DataFrame:
     """ST5: per key, drop accepted times ≤ t − window; deny when ``limit``
     remain (retry after max(1, int(window − age of oldest) + 1)); denied
     requests are not recorded.  State per key = accepted times inside the
-    window (≤ limit values), dropped when the window has passed.  Event time
-    replaces the wall clock."""
+    window (≤ limit values), dropped, if there is a ``delay``, when the window
+    has passed.  Event time replaces the wall clock."""
+    state_days = None if delay is None else window / 86_400
     src = _timed(stream, "ts", delay).select(
         F.col(key).cast("long").alias("key"), F.col("event_id").cast("long"), (F.unix_micros("event_time") / 1e6).alias("t"), "event_time", "event_ms"
     )
@@ -209,10 +253,10 @@ def sliding_rate_limiter_stream(
         rows = pd.concat(list(pdfs)).sort_values(["t", "event_id"])
         allowed, retry, accepted = _limit_events(rows["t"].to_numpy(), accepted, limit, window)
         state.update((accepted,))
-        _forget_after(state, int(rows["event_ms"].max()), window / 86_400)
+        _forget_after(state, int(rows["event_ms"].max()), state_days)
         yield pd.DataFrame({"key": int(k[0]), "event_id": rows["event_id"], "t": rows["t"], "allowed": allowed, "retry_after": retry})
 
-    return src.groupBy("key").applyInPandasWithState(fn, LIMITER_OUT, "accepted array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+    return src.groupBy("key").applyInPandasWithState(fn, LIMITER_OUT, "accepted array<double>", "append", _timeout(state_days))
 
 
 def sliding_rate_limiter_batch(df: DataFrame, key: str, limit: int = RATE_LIMIT, window: float = RATE_WINDOW_SECONDS) -> DataFrame:
@@ -252,7 +296,7 @@ def idle_heartbeat_batch(log: DataFrame, period: int = HEARTBEAT_SECONDS) -> Dat
 
 
 def idle_heartbeat_stream(
-    log_stream: DataFrame, period: int = HEARTBEAT_SECONDS, delay: str = "7 days", state_days: float = STATE_DAYS
+    log_stream: DataFrame, period: int = HEARTBEAT_SECONDS, delay: str | None = None, state_days: float | None = None
 ) -> DataFrame:
     """ST6 streaming: state per task = (time and type of its last event)."""
     src = _timed(log_stream, "ts", delay).select("task_id", "sequence_id", (F.unix_micros("event_time") / 1e6).alias("t"), "event_type", "event_time", "event_ms")
@@ -272,11 +316,11 @@ def idle_heartbeat_stream(
         _forget_after(state, int(rows["event_ms"].max()), state_days)
         yield pd.DataFrame({"task_id": [int(k[0])], "heartbeats": [hb]})
 
-    return src.groupBy("task_id").applyInPandasWithState(fn, "task_id long, heartbeats long", "last_t double, last_type string", "append", GroupStateTimeout.EventTimeTimeout)
+    return src.groupBy("task_id").applyInPandasWithState(fn, "task_id long, heartbeats long", "last_t double, last_type string", "append", _timeout(state_days))
 
 
 # ---------------------------------------------------------------- ST7 ------
-def budget_guard_stream(usage_stream: DataFrame, budget: int, delay: str = "7 days", state_days: float = STATE_DAYS) -> DataFrame:
+def budget_guard_stream(usage_stream: DataFrame, budget: int, delay: str | None = None, state_days: float | None = None) -> DataFrame:
     """ST7: emit once per task when its running token total passes the
     budget.  State per task = (running total, emitted)."""
     src = _timed(usage_stream, "created_at", delay).select(
@@ -299,7 +343,7 @@ def budget_guard_stream(usage_stream: DataFrame, budget: int, delay: str = "7 da
         _forget_after(state, int(rows["event_ms"].max()), state_days)
         yield pd.DataFrame(out, columns=["task_id", "usage_id", "running_tokens"])
 
-    return src.groupBy("task_id").applyInPandasWithState(fn, "task_id long, usage_id long, running_tokens long", "total long, emitted boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    return src.groupBy("task_id").applyInPandasWithState(fn, "task_id long, usage_id long, running_tokens long", "total long, emitted boolean", "append", _timeout(state_days))
 
 
 # ---------------------------------------------------------------- ST8 ------
@@ -307,7 +351,9 @@ def retention_stream(log_stream: DataFrame, days: float, delay: str = "0 seconds
     """ST8: forget finished tasks whose last event is older than the
     watermark minus ``days``: state per task = (last event time, status); an
     event-time timeout at last + days emits the task once and drops its
-    state, so state stays bounded by the tasks active in the window."""
+    state, so state stays bounded by the tasks active in the window.  A batch is
+    folded in any order; a stored log is read as one batch (no
+    ``files_per_trigger``), as a row behind the watermark would be dropped."""
     src = log_stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).select("task_id", "sequence_id", "ts", "status")
     span_ms = int(days * 86400 * 1000)
 
@@ -318,12 +364,18 @@ def retention_stream(log_stream: DataFrame, days: float, delay: str = "0 seconds
             if status in ("succeeded", "failed", "cancelled"):
                 yield pd.DataFrame({"task_id": [int(k[0])], "last_event_ms": [int(last_ms)], "status": [status]})
             return
-        rows = pd.concat(list(pdfs)).sort_values("sequence_id")
+        newest = None
+        for rows in pdfs:
+            rows = rows[rows["ts"].notna()]
+            if len(rows):
+                last = rows.sort_values(["ts", "sequence_id"]).iloc[-1]
+                last = (last["ts"], last["sequence_id"], last["status"])
+                newest = last if newest is None else max(newest, last, key=lambda x: x[:2])
         last_ms, status = state.get if state.exists else (None, None)
-        for ts, st in zip(rows["ts"].tolist(), rows["status"].tolist()):
-            ms = int(pd.Timestamp(ts).value // 1_000_000)
-            if last_ms is None or ms >= last_ms:
-                last_ms, status = ms, st
+        if newest is not None and (last_ms is None or newest[0].value // 1_000_000 >= last_ms):
+            last_ms, status = int(newest[0].value // 1_000_000), newest[2]
+        if last_ms is None:
+            return
         state.update((last_ms, status))
         state.setTimeoutTimestamp(last_ms + span_ms)
         yield pd.DataFrame({"task_id": pd.Series([], dtype="int64"), "last_event_ms": pd.Series([], dtype="int64"), "status": pd.Series([], dtype="str")})

@@ -81,3 +81,54 @@ def test_rows_of_a_batch_may_come_in_any_order(spark):
     out, ck = scratch_path(spark, "order-out"), scratch_path(spark, "order-ck")
     ST.append_to_table(ST.replay_until_terminal_stream(ST.event_stream(spark, path, df.schema), 5), out, ck)
     assert sorted(r["sequence_id"] for r in spark.read.parquet(out).collect()) == list(range(6, 41))
+
+
+def test_replay_of_a_long_log_of_shuffled_files(spark, monkeypatch):
+    """30 days in shuffled files, one a batch; user 1 pauses for 20 days, user 2
+    goes on after its terminal event: the registered streams equal plain rules."""
+    from quarry.plans import catalog_streaming as CS
+    from quarry.sources.views import Views
+
+    rng = random.Random(9)
+    kinds = ["view"] * 6 + ["click"] * 3 + ["error", "purchase"]
+    n, step = 360, 7200  # two hours apart
+    rows = []
+    for i in range(n):
+        days = i * step / 86400
+        user = rng.choice((1, 2, 3, 4, 5) if not 4 < days < 24 else (2, 3, 4, 5))
+        user = 6 if i % 97 == 0 else user
+        kind = "purchase" if (user, i) == (1, 0) or i == n - 40 else "view" if user == 1 else rng.choice(kinds)
+        rows.append((i, user, kind, float(rng.randrange(300)), 1_704_067_200 + i * step + rng.randrange(3600), "{}"))
+    sf = scratch_path(spark, "sf-shuffled")
+    starts = list(range(0, n, 30))
+    rng.shuffle(starts)
+    schema = "event_id long, user_id long, event_type string, value double, t long, props string"
+    for s in starts:
+        part = spark.createDataFrame(rows[s : s + 30], schema).withColumn("ts", F.timestamp_seconds("t")).drop("t")
+        part.coalesce(1).write.mode("append").parquet(f"{sf}/events.parquet")
+    monkeypatch.setattr(ST, "FILES_PER_TRIGGER", 1)
+    v = Views(spark, sf)
+    log = sorted((r["task_id"], r["sequence_id"], r["event_type"], r["status"]) for r in v.v_log.collect())
+    want, done = [], set()
+    for r in log:
+        if r[1] > 100 and r[0] not in done:
+            want.append(r)
+            done |= {r[0]} if r[2] in ST.TERMINAL_EVENTS else set()
+    assert sorted(tuple(r) for r in CS.st2_replay_until_terminal(spark, sf).collect()) == want
+    as_set = lambda df: {tuple(r) for r in df.collect()}
+    assert as_set(CS.st5_sliding_rate_limiter(spark, sf)) == as_set(CS.st5_rate_limiter_batch(spark, sf))
+    assert as_set(CS.st6_idle_heartbeat_stream(spark, sf)) == as_set(CS.st6_idle_heartbeat(spark, sf))
+    total, over = {}, {}
+    for r in sorted(v.v_tok.collect(), key=lambda r: (r["created_at"], r["usage_id"])):
+        k = r["task_id"]
+        total[k] = total.get(k, 0) + r["prompt_tokens"] + r["completion_tokens"]
+        if total[k] > CS.BUDGET:
+            over.setdefault(k, (k, r["usage_id"], total[k]))
+    assert over and as_set(CS.st7_budget_guard_stream(spark, sf)) == set(over.values())
+    last = {}
+    for r in v.v_log.orderBy("ts").collect():
+        last[r["task_id"]] = (r["ts"], r["status"])
+    end = max(t for t, _ in last.values())
+    gone = {(k, st) for k, (t, st) in last.items() if st in ("succeeded", "failed") and (end - t).total_seconds() > CS.RETENTION_DAYS * 86400}
+    got = CS.st8_retention_stream(spark, sf).collect()
+    assert {(r["task_id"], r["status"]) for r in got} == gone and len(got) == len(gone)
