@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +24,28 @@ def freeze(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def whole_groups(batches: Iterator[pd.DataFrame], cols: list[str]) -> Iterator[pd.DataFrame]:
+    """Batches of rows sorted by ``cols``, cut so that no group is split."""
+    rest: list[pd.DataFrame] = []
+    for b in batches:
+        if not len(b):
+            continue
+        last = np.ones(len(b), bool)
+        for c in cols:
+            last &= (b[c] == b[c].iat[-1]).to_numpy(bool)
+        cut = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
+        if not cut and rest and all(rest[-1][c].iat[-1] == b[c].iat[-1] for c in cols):
+            rest.append(b)
+            continue
+        if cut:
+            rest.append(b.iloc[:cut])
+        if rest:
+            yield pd.concat(rest, ignore_index=True) if len(rest) > 1 else rest[0].reset_index(drop=True)
+        rest = [b.iloc[cut:]]
+    if rest:
+        yield pd.concat(rest, ignore_index=True)
+
+
 def select_docs(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     """``docs`` whose ``doc_id`` is (``left_semi``) or is not (``left_anti``)
     among the materialised ``ids``.  The ids are broadcast only if their count
@@ -28,6 +54,17 @@ def select_docs(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return docs.join(F.broadcast(ids) if small else ids, "doc_id", how)
 
 
+def select_texts(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """node, text: one text for each row of ``reps`` (materialised: node, doc_id,
+    th), found by doc_id and hash, so other texts of the id are left out and
+    repeated rows count once."""
+    small = reps.count() <= BROADCAST_IDS // 4
+    mine = reps.select("node", F.col("doc_id").alias("_d"), F.col("th").alias("_t"))
+    same = (F.col("doc_id") == F.col("_d")) & (F.xxhash64("text") == F.col("_t"))
+    found = docs.select("doc_id", "text").join(F.broadcast(mine) if small else mine, same)
+    return found.select("node", "text").dropDuplicates(["node"])
+
+
 def id_bounds(df: DataFrame, col: str, buckets: int) -> DataFrame:
     """One row: ``_bounds``, at most ``buckets - 1`` ascending quantiles of
     ``col`` over all rows (an empty array for an empty table)."""

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, chat, kneser_ney, line_runs, mixing, order_minhash, pii, pivot_index, setsketch, token_store
+from quarry.llm import bpe, chat, kneser_ney, line_runs, mixing, ngram_join, order_minhash, pii, pivot_index, setsketch, token_store
 from quarry.llm.common import freeze
 from quarry.session import configure_session, scratch_path
 from quarry.sources.tables import load
@@ -96,6 +96,10 @@ def op10_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_runs.remove_repeated_lines(load(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op13_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_sets(load(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: (lambda spark, sf_dir, f=f: f(configure_session(spark), sf_dir))
     for f in (
@@ -109,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_bootstrapped_pii,
         op9_order_minhash,
         op10_line_runs,
+        op13_ngram_jaccard,
     )
 }
 
