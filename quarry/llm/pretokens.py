@@ -16,7 +16,7 @@ _UNSAFE = re.compile(r"(?:\s|\A) (?:\s|\Z)")
 _PAIRS = [" " + chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) != " "]
 
 
-def _plain(text: str) -> bool:
+def is_plain(text: str) -> bool:
     """Whether every space of the text starts a new match."""
     if "  " in text or text[0] == " " or text[-1] == " ":
         return False
@@ -60,7 +60,7 @@ class PieceCache:
         gaps: list[tuple[list, list[str], list[int]]] = []
         new: dict[str, bytes | None] = {}
         for text in texts:
-            if not text or not _plain(text):
+            if not text or not is_plain(text):
                 parts.append([])
                 heads.append(text or "")
                 continue

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, chat, hard_negatives, kneser_ney, line_runs, mixing, ngram_join, order_minhash, pii, pivot_index, setsketch, token_store
+from quarry.llm import bpe, chat, hard_negatives, kneser_ney, line_runs, mixing, ngram_join, order_minhash, pii, pivot_index, setsketch, token_alignment, token_store
 from quarry.llm.common import freeze
 from quarry.session import configure_session, scratch_path
 from quarry.sources.tables import load
@@ -96,6 +96,12 @@ def op10_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_runs.remove_repeated_lines(load(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_merge_path_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    out = token_alignment.align(load(spark, sf_dir, "documents"), a, b, digest=True)
+    return out.withColumnRenamed("groups", "groups_sha256")
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     rows = hard_negatives.labelled_vectors(load(spark, sf_dir, "embeddings"), moved)
@@ -119,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_bootstrapped_pii,
         op9_order_minhash,
         op10_line_runs,
+        op11_merge_path_alignment,
         op12_hard_negatives,
         op13_ngram_jaccard,
     )

@@ -95,15 +95,15 @@ BYTE_CHARS = _byte_chars()
 class Encoder:
     """Text -> ids with a ``tokenizers`` file, distinct pieces once."""
 
-    def __init__(self, tokenizer: str):
+    def __init__(self, tokenizer: str, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
         self.model = self.tokenizer.model
-        self.cache = PieceCache(self._encode_many)
+        self.cache = PieceCache(self.encode_many)
 
-    def _encode_many(self, texts: list[str]) -> list[bytes]:
+    def encode_many(self, texts: list[str]) -> list[bytes]:
         """A space and letters are one match of the split pattern, so the model
         takes such a word directly; other pieces go through the whole tokenizer."""
         plain = [t[:1] == " " and t[1:].isalpha() for t in texts]
