@@ -7,13 +7,15 @@ Documents link when ``100 * intersection >= percent * union``.
 Equal sets are one class.  Sets that link share ``ceil(percent * n / 100)``
 elements of a set of n at least, so k = n minus that may be missing.  Of the
 elements in hash order, the first k + f share f common ones at least, f(n) being
-a hundredth of ``100 - percent`` of n, plus one.  Among these the rarest
+half of ``100 - percent`` hundredths of n, plus one.  Among these the rarest
 k + f(n) - f(least partner) + 1 must hold a common one again: first elements by
-rarity, though only a fifth of the elements (at 90 percent) are ever counted.
-Classes that share such an element may link.  The connected groups of this
-relation (or, if a group would fall into more than ``MOST_BLOCKS`` blocks, the
-classes of each element) are joined exactly by :mod:`quarry.llm.prefix_tree`, on
-full sets; links found there are the result's links.
+rarity, though only a seventh of the elements (at 90 percent) are ever counted.
+Classes that share such an element, of sizes that the threshold lets meet (a set
+stands in two neighbouring size classes), may link.  The connected groups of
+this relation (or, if a group would fall into more than ``MOST_BLOCKS`` blocks,
+the classes of each element) are joined exactly by
+:mod:`quarry.llm.prefix_tree`, on full sets; links found there are the result's
+links.
 
 Texts that are null, empty or without words have an empty set, linked with
 nothing.  Rows without doc_id take part in no link: component_id null.  Rows of
@@ -28,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm import prefix_tree
@@ -48,7 +50,7 @@ def least_common(n: int | np.ndarray, percent: int) -> int | np.ndarray:
 
 def surplus(n: int | np.ndarray, percent: int) -> int | np.ndarray:
     """f: common elements that the counted part of a set of ``n`` holds at least."""
-    return np.minimum(1 + n * (100 - percent) // 100, least_common(n, percent))
+    return np.minimum(1 + n * (100 - percent) // 200, least_common(n, percent))
 
 
 def _steps(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
@@ -88,48 +90,37 @@ def prefixes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
 
 
 def _elements(classes: DataFrame) -> DataFrame:
-    """node, n, m (size of the part), e: a row for each element of a part."""
+    """node, e: a row for each element of a part."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
             for at in range(0, len(whole), 500):
                 b = whole.iloc[at : at + 500]
                 m = np.array([len(x) // 8 for x in b["part"]], np.int64)
-                yield pd.DataFrame(
-                    {
-                        "node": np.repeat(b["node"].to_numpy(), m),
-                        "n": np.repeat(b["n"].to_numpy(), m),
-                        "m": np.repeat(m, m),
-                        "e": np.frombuffer(b"".join(b["part"]), "<i8"),
-                    }
-                )
+                yield pd.DataFrame({"node": np.repeat(b["node"].to_numpy(), m), "e": np.frombuffer(b"".join(b["part"]), "<i8")})
 
-    return classes.select("node", "n", "part").mapInPandas(run, "node long, n long, m long, e long")
-
-
-def _surplus(n: Column, percent: int) -> tuple[Column, Column]:
-    least = F.ceil(n * percent / 100)
-    return F.least(1 + F.floor(n * (100 - percent) / 100), least), least
+    return classes.select("node", "part").mapInPandas(run, "node long, e long")
 
 
 def shared_elements(classes: DataFrame, percent: int) -> DataFrame:
     """node, n, e: the elements by which classes may link, of two classes or more."""
     rows = _elements(classes)
     often = rows.groupBy("e").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
-    both = rows.join(often, "e")
-    f, least = _surplus(F.col("n"), percent)
-    f_least = _surplus(least, percent)[0]
     by_rarity = Window.partitionBy("node").orderBy("often", "e")  # at most a set's elements
     whole = Window.partitionBy("node")
-    ranked = both.select("node", "n", "m", "e", F.row_number().over(by_rarity).alias("_r"), F.count(F.lit(1)).over(whole).alias("_c"))
-    # the elements of one class alone come first
-    take = F.col("n") - least + f - f_least + 1 - (F.col("m") - F.col("_c"))
-    return ranked.where(F.col("_r") <= take).select("node", "n", "e")
+    ranked = rows.join(often, "e").select("node", "e", F.row_number().over(by_rarity).alias("_r"), F.count(F.lit(1)).over(whole).alias("_c"))
+    # k + f elements less f(least partner) - 1; those of one class alone, which are not here, come first
+    least = F.ceil(F.col("n") * percent / 100)
+    f_least = F.least(1 + F.floor(least * (100 - percent) / 200), F.ceil(least * percent / 100))
+    return ranked.join(classes.select("node", "n"), "node").where(F.col("_r") <= F.col("_c") + 1 - f_least).select("node", "n", "e")
 
 
 def link_classes(classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Links (a, b) of classes (node, n, part, doc_id and th of a text)."""
-    rows = freeze(shared_elements(classes, percent), "ngram-shared")
+    step = F.floor(F.log(F.col("n").cast("double")) / (float(np.log(100 / percent)) if percent < 100 else 1e-9))
+    sized = F.explode(F.array(step, step + 1)).alias("_s")
+    rows = shared_elements(classes, percent).select("node", "e", sized).select("node", F.xxhash64("e", "_s").alias("e"))
+    rows = freeze(rows, "ngram-shared")
     hubs = rows.groupBy("e").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("_c")).where("_c > 1").select("e", "hub")
     star = rows.join(hubs, "e").where(F.col("node") != F.col("hub"))
     near = components(star.select(F.col("node").alias("a"), F.col("hub").alias("b")))
