@@ -1,13 +1,14 @@
-"""Exact quantiles that scale: sort-based, never one group in one task.
+"""Exact quantiles by bracket and select, global ranks and running sums.
 
 ``percentile(x, p)`` in Spark keeps a value→count map per group and merges
-them in one task per group — for a global aggregate or one hot key that is the
-whole column on one executor.  Here the values are range-partitioned on
-``(keys, value)``, numbered with per-partition prefix offsets, and the rows at
-the interpolation ranks are fetched with an equi-join on the global rank.
-Results equal linear interpolation (pandas ``quantile``, DuckDB
-``quantile_cont``, Spark ``percentile``).  ``approx=True`` switches to
-``percentile_approx`` (fixed-size sketch) for very large inputs.
+them in one task per group: for a global aggregate or one hot key that is the
+whole column on one executor.  Here a mergeable sketch of fixed size first
+brackets each wanted rank between two values.  A second scan counts the values
+below the bracket and keeps only those inside (a few ten-thousandths of a
+group, as value and count, so ties cost one row); only these are put in order.
+Nothing is sorted whole, shuffled by value or kept.  Results equal linear
+interpolation (pandas ``quantile``, DuckDB ``quantile_cont``, Spark
+``percentile``).  ``approx=True`` returns the sketch's own answer.
 """
 
 from __future__ import annotations
@@ -98,47 +99,131 @@ def global_rank(df: DataFrame, order: list[Column], name: str, partitions: int |
     return out.drop("_pid", "_rn", "_off")
 
 
+ACCURACY = 10_000  # of the sketch: a rank is off by one part in so many at most
+_MARGIN = 3 / ACCURACY
+
+
+def _bracket(value: Column, probs: list[float]) -> Column:
+    """Array of two values a probability, around the wanted ranks."""
+    ends = [F.lit(e) for p in probs for e in (max(0.0, p - _MARGIN), min(1.0, p + _MARGIN))]
+    return F.percentile_approx(value, F.array(*ends), F.lit(ACCURACY))
+
+
+def _rank(n: Column, p: float) -> tuple[Column, Column]:
+    """Position among n ordered values (from 0), and the rank below it."""
+    at = F.lit(float(p)) * (n - 1)
+    return at, F.floor(at)
+
+
+def _between(low: Column, high: Column, at: Column, rank: Column) -> Column:
+    return low + (at - rank) * (high - low)
+
+
 def grouped_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], names: list[str] | None = None, approx: bool = False) -> DataFrame:
-    """One row per key group with one column per probability (nulls of
-    ``value`` ignored).  Groups are ordered on ``keys`` only to lay ranks out;
-    a hot group is spread over many range partitions."""
+    """One row per key group with one column per probability (nulls and NaN of
+    ``value`` ignored; a group without values has no row).  A group of any size
+    is aggregated map-side twice: into its sketch, and into its counts."""
     names = names or [f"q{int(round(p * 100))}" for p in probs]
-    v = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    x = F.col(value).cast("double")
+    v = df.where(x.isNotNull() & ~F.isnan(x)).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], x.alias("_v"))
+    ks = [f"_k{i}" for i in range(len(keys))]
+    back = [F.col(a).alias(k) for a, k in zip(ks, keys)]
     if approx:
-        aggs = [F.percentile_approx("_v", p, 10000).alias(nm) for p, nm in zip(probs, names)]
-        return v.groupBy(*keys).agg(*aggs) if keys else v.agg(*aggs)
-
-    key_order = [F.col(k).asc_nulls_first() for k in keys]
-    ranked = global_rank(v, key_order + [F.col("_v").asc()], "_g")
-    # ranks are contiguous inside a group (order = keys, value), so a group's
-    # size and first rank come from one aggregate over the ranked rows
-    grp = ranked.groupBy(*keys) if keys else ranked.groupBy()
-    starts = grp.agg(F.count(F.lit(1)).alias("_n"), (F.min("_g") - 1).alias("_start"))
-    plist = F.array(*[F.struct(F.lit(float(p)).alias("p"), F.lit(nm).alias("nm")) for p, nm in zip(probs, names)])
-    targets = (
-        starts.select(*keys, "_n", "_start", F.explode(plist).alias("_q"))
-        .withColumn("_pos", F.col("_q.p") * (F.col("_n") - 1))
-        .withColumn("_lo", F.floor("_pos"))
-        .withColumn("_hi", F.ceil("_pos"))
-        .withColumn("_side", F.explode(F.array(F.lit(0), F.lit(1))))
-        .withColumn("_g", F.col("_start") + F.when(F.col("_side") == 0, F.col("_lo")).otherwise(F.col("_hi")) + 1)
-    )
-    picked = targets.join(ranked.select("_g", "_v"), "_g")
-    per_q = picked.groupBy(*keys, "_q", "_pos", "_lo").agg(
-        F.max(F.when(F.col("_side") == 0, F.col("_v"))).alias("_vlo"),
-        F.max(F.when(F.col("_side") == 1, F.col("_v"))).alias("_vhi"),
-    )
-    per_q = per_q.withColumn("_val", F.col("_vlo") + (F.col("_pos") - F.col("_lo")) * (F.col("_vhi") - F.col("_vlo")))
-    pivot = [F.max(F.when(F.col("_q.nm") == nm, F.col("_val"))).alias(nm) for nm in names]
-    out = per_q.groupBy(*keys).agg(*pivot) if keys else per_q.agg(*pivot)
-    return out
+        aggs = [F.percentile_approx("_v", p, ACCURACY).alias(nm) for p, nm in zip(probs, names)]
+        return v.groupBy(*ks).agg(*aggs).select(*back, *names)
+
+    sketch = v.groupBy(*ks).agg(_bracket(F.col("_v"), probs).alias("_b"), F.count(F.lit(1)).alias("_n"))
+    if ks:
+        named = sketch.select(*[F.col(k).alias(f"_s{k}") for k in ks], "_b", "_n")
+        both = v.join(named, [F.col(k).eqNullSafe(F.col(f"_s{k}")) for k in ks])
+    else:
+        both = v.crossJoin(F.broadcast(sketch))  # one row
+    parts = []
+    for i in range(len(probs)):
+        side = F.when(F.col("_v") < F.col("_b")[2 * i], -1).when(F.col("_v") > F.col("_b")[2 * i + 1], 1).otherwise(0)
+        parts.append(F.struct(F.lit(i).alias("_p"), side.alias("_side"), F.when(side == 0, F.col("_v")).alias("_in")))
+    rows = both.select(*ks, "_n", "_v", F.explode(F.array(*parts)).alias("_e")).select(*ks, "_n", "_v", "_e.*")
+    counted = rows.groupBy(*ks, "_p", "_side", "_in").agg(F.count(F.lit(1)).alias("_c"), F.max("_v").alias("_hi"), F.min("_v").alias("_lo"), F.max("_n").alias("_n"))
+    upto = F.sum("_c").over(W.partitionBy(*ks, "_p").orderBy("_side", "_in").rowsBetween(W.unboundedPreceding, 0))
+    placed = counted.withColumn("_upto", upto)
+
+    def at_rank(rank: Column, here: Column) -> Column:
+        """The value of that rank, if this row holds it: outside the bracket only its neighbours are known."""
+        known = F.when(F.col("_side") == 0, F.col("_in"))
+        known = known.when((F.col("_side") < 0) & (rank == F.col("_upto") - 1), F.col("_hi"))
+        known = known.when((F.col("_side") > 0) & (rank == F.col("_upto") - F.col("_c")), F.col("_lo"))
+        holds = here & (rank >= F.col("_upto") - F.col("_c")) & (rank < F.col("_upto"))
+        return F.max(F.when(holds, known.otherwise(F.raise_error(F.lit("rank outside the sketch's bracket")).cast("double"))))
+
+    out = []
+    for i, (p, nm) in enumerate(zip(probs, names)):
+        at, rank = _rank(F.col("_n"), p)
+        here = F.col("_p") == i
+        low, high = at_rank(rank, here), at_rank(F.ceil(at), here)
+        n = F.max("_n")
+        at_n, rank_n = _rank(n, p)
+        out.append(_between(low, high, at_n, rank_n).alias(nm))
+    return placed.groupBy(*ks).agg(*out).select(*back, *names)
+
+
+def quantile_row(df: DataFrame, values: dict[str, Column], probs: list[float], approx: bool = False) -> DataFrame:
+    """One row: ``_q``, an array with one array of quantiles (in ``probs`` order,
+    null without values) for each of ``values`` (in their order).  Columns stay
+    columns: no row is multiplied but for the few inside a bracket."""
+    x = [F.when(~F.isnan(c.cast("double")), c.cast("double")).alias(f"_x{i}") for i, c in enumerate(values.values())]
+    wide = df.select(*x)
+    size, m = len(x), len(probs)
+    if approx:
+        row = wide.agg(*[F.percentile_approx(f"_x{i}", F.array(*map(F.lit, probs)), F.lit(ACCURACY)).alias(f"_a{i}") for i in range(size)])
+        return row.select(F.array(*[F.col(f"_a{i}") for i in range(size)]).alias("_q"))
+    sketch = wide.agg(*[_bracket(F.col(f"_x{i}"), probs).alias(f"_b{i}") for i in range(size)])
+    both = wide.crossJoin(F.broadcast(sketch))  # one row
+    side = lambda i, j: (F.col(f"_b{i}")[2 * j], F.col(f"_b{i}")[2 * j + 1], F.col(f"_x{i}"))
+    counts, inside = [], []
+    for i in range(size):
+        counts.append(F.count(f"_x{i}").alias(f"_n{i}"))
+        for j in range(m):
+            lo, hi, v = side(i, j)
+            counts += [
+                F.count_if(v < lo).alias(f"_c{i}_{j}"),
+                F.max(F.when(v < lo, v)).alias(f"_u{i}_{j}"),
+                F.min(F.when(v > hi, v)).alias(f"_o{i}_{j}"),
+            ]
+            inside.append(F.when(v.between(lo, hi), F.struct(F.lit(i * m + j).alias("k"), v.alias("v"))))
+    counts = both.agg(*counts)
+    few = both.select(F.explode(F.filter(F.array(*inside), lambda s: s.isNotNull())).alias("_e")).select("_e.*")
+    few = few.groupBy("k", "v").agg(F.count(F.lit(1)).alias("c"))
+    upto = F.sum("c").over(W.partitionBy("k").orderBy("v").rowsBetween(W.unboundedPreceding, 0))
+    known = counts.select(F.map_from_arrays(F.array(*[F.lit(k) for k in range(size * m)]), F.array(*[F.struct(F.col(f"_n{k // m}").alias("n"), F.col(f"_c{k // m}_{k % m}").alias("c"), F.col(f"_u{k // m}_{k % m}").alias("u"), F.col(f"_o{k // m}_{k % m}").alias("o")) for k in range(size * m)])).alias("_known"))
+    prob = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.pmod("k", F.lit(m)).cast("int") + 1)
+    placed = few.withColumn("upto", upto).crossJoin(F.broadcast(known)).withColumn("s", F.col("_known")[F.col("k")])
+    at = prob * (F.col("s.n") - 1)
+    last = F.col("upto") + F.col("s.c")
+
+    def holds(rank: Column) -> Column:
+        return F.max(F.when((rank >= last - F.col("c")) & (rank < last), F.col("v")))
+
+    picked = placed.groupBy("k").agg(holds(F.floor(at)).alias("low"), holds(F.ceil(at)).alias("high"), F.max("upto").alias("held"))
+    picked = picked.agg(F.map_from_entries(F.collect_list(F.struct("k", F.struct("low", "high", "held")))).alias("_picked"))
+    row = known.crossJoin(F.broadcast(picked))
+
+    def quantile(k: int) -> Column:
+        s, g = F.col("_known")[k], F.col("_picked")[k]
+        at, rank = _rank(s["n"], probs[k % m])
+        lost = F.raise_error(F.lit("rank outside the sketch's bracket")).cast("double")
+
+        def value(found: Column, r: Column) -> Column:
+            held = F.coalesce(g["held"], F.lit(0))
+            return F.when(found.isNotNull(), found).when(r == s["c"] - 1, s["u"]).when(r == s["c"] + held, s["o"]).otherwise(lost)
+
+        return F.when(s["n"] > 0, _between(value(g["low"], rank), value(g["high"], F.ceil(at)), at, rank))
+
+    return row.select(F.array(*[F.array(*[quantile(i * m + j) for j in range(m)]) for i in range(size)]).alias("_q"))
 
 
 def column_quantiles(df: DataFrame, columns: list[str], probs: list[float], names: list[str] | None = None, approx: bool = False) -> DataFrame:
-    """Quantiles of several columns in ONE sort: unpivot to (column, value),
-    then :func:`grouped_quantiles` keyed by column name."""
-    longf = df.select(
-        F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])).alias("_kv")
-    ).select("_kv.column", "_kv.value")
-    longf = longf.where(~F.isnan("value"))
-    return grouped_quantiles(longf, ["column"], "value", probs, names, approx)
+    """One row per column: ``column`` and its quantiles (null without values)."""
+    names = names or [f"q{int(round(p * 100))}" for p in probs]
+    row = quantile_row(df, {c: F.col(c) for c in columns}, probs, approx)
+    each = F.explode(F.arrays_zip(F.array(*map(F.lit, columns)).alias("column"), F.col("_q").alias("q"))).alias("_e")
+    return row.select(each).select(F.col("_e.column").alias("column"), *[F.col("_e.q")[i].alias(n) for i, n in enumerate(names)])

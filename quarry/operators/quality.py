@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, NumericType, StringType, TimestampNTZType, TimestampType
 
 from quarry.functions.columns import latest_complete_period, month_of, num, percent_normalise, best_match
-from quarry.functions.quantiles import grouped_quantiles
+from quarry.functions.quantiles import quantile_row
 
 # Keyword lists the audit uses to find business columns.
 QUALITY_KEYWORDS = {
@@ -192,19 +192,22 @@ def quality_issues(df: DataFrame, approx: bool = False) -> DataFrame:
     for p in (missing, constant, highcard):
         parts.append(p.where("_fire").drop("_fire"))
 
-    # Q6 IQR outliers over every numeric-coercible column: one sort, one count
+    # Q6 IQR outliers over every numeric-coercible column: bracket, select, count
     coercible = _coercible(df)
     if coercible:
         pos_of = F.create_map(*[x for i, c in enumerate(cols) for x in (F.lit(c), F.lit(i))])
-        arr = F.array(*[F.struct(F.lit(c).alias("column"), num(c).alias("value")) for c in coercible])
-        longf = df.select(F.explode(arr).alias("_kv")).select("_kv.column", "_kv.value").where(F.col("value").isNotNull())
-        q = grouped_quantiles(longf, ["column"], "value", [0.25, 0.75], ["q1", "q3"], approx=approx)
-        b = q.select("column", (F.col("q3") - F.col("q1")).alias("iqr"), (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("lo"), (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("hi"))
-        # one row per column: bounded by the schema, safe to broadcast
-        o = longf.join(F.broadcast(b), "column").groupBy("column").agg(
-            F.count(F.lit(1)).alias("n"), F.first("iqr").alias("iqr"),
-            F.count_if((F.col("value") < F.col("lo")) | (F.col("value") > F.col("hi"))).alias("k"),
-        )
+        x = {c: num(c) for c in coercible}
+        both = df.crossJoin(F.broadcast(quantile_row(df, x, [0.25, 0.75], approx).withColumnRenamed("_q", "_quartiles")))  # one row
+        one = []
+        for i, (c, v) in enumerate(x.items()):
+            q1, q3 = F.col("_quartiles")[i][0], F.col("_quartiles")[i][1]
+            reach = 1.5 * (q3 - q1)
+            one.append(
+                F.struct(
+                    F.lit(c).alias("column"), F.count(v).alias("n"), F.first(q3 - q1).alias("iqr"), F.count_if((v < q1 - reach) | (v > q3 + reach)).alias("k")
+                )
+            )
+        o = both.agg(F.array(*one).alias("_m")).select(F.inline("_m"))
         parts.append(o.where((F.col("n") >= IQR_MIN_VALUES) & (F.col("iqr") > 0) & (F.col("k") > 0)).select(
             (F.lit(13) + pos_of[F.col("column")] * 10).cast("int").alias("position"), F.lit("iqr_outliers").alias("issue_type"), "column",
             F.when(F.col("k") / F.col("n") < OUTLIER_HIGH_SHARE, "warning").otherwise("high").alias("severity"),

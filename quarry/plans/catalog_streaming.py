@@ -10,6 +10,7 @@ from quarry.plans.catalog_logs import _HTTP
 from quarry.plans.registry import query
 from quarry.session import scratch_path
 from quarry.sources.views import Views, v_log, v_tok
+from quarry.streaming import ordered
 from quarry.streaming import streams as ST
 
 LIMIT, WINDOW = 3, 86400.0
@@ -17,11 +18,28 @@ BUDGET = 3000
 RETENTION_DAYS = 1
 
 
-BY_ID, BY_TIME = ("event_id",), ("ts", "event_id")
 
 
-def _stream_tables(spark, sf_dir, order=()):
-    return ST.StreamTables(spark, sf_dir, files_per_trigger=ST.FILES_PER_TRIGGER, order=order)
+def _by_id():
+    return ST.by_id("event_id")
+
+
+def _by_time():
+    return ST.micros("ts")
+
+
+def _stream_tables(spark, sf_dir):
+    return ST.StreamTables(spark, sf_dir, files_per_trigger=ST.FILES_PER_TRIGGER)
+
+
+def _replayed(spark, sf_dir, name, order, build, after_end_ms=2):
+    """``build(stream tables, delay_ms, end)`` over the stored log to its end;
+    the delay covers the disorder of the log's files, so no row is late."""
+    tables, out, ck = _stream_tables(spark, sf_dir), scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-ck")
+    delay_ms, last = ordered.log_disorder(spark.read.parquet(tables.path), order)
+    end_us = last + (delay_ms + after_end_ms) * 1000
+    ordered.replay_to_end(spark, lambda end: build(tables, delay_ms, end), out, ck, end_us)
+    return spark.read.parquet(out)
 
 
 @query("st1_event_log_append", "SELECT * FROM v_log")
@@ -61,10 +79,7 @@ WHERE l.sequence_id > 100 AND (s.stop IS NULL OR l.sequence_id <= s.stop)""",
 def st2_replay_until_terminal(spark, sf_dir):
     """Per-task replay after cursor 100 that stops at the first terminal event
     (stateful flag per task)."""
-    st = _stream_tables(spark, sf_dir, BY_ID)
-    out, ck = scratch_path(spark, "st2r-out"), scratch_path(spark, "st2r-ck")
-    ST.append_to_table(ST.replay_until_terminal_stream(v_log(st), 100), out, ck)
-    return spark.read.parquet(out)
+    return _replayed(spark, sf_dir, "st2r", _by_id(), lambda t, delay, end: ST.replay_until_terminal_stream(v_log(t), 100, delay, end))
 
 
 @query("st3_live_status", "SELECT task_id, arg_max(status, sequence_id) AS status, max(sequence_id) AS last_sequence_id, count(*) AS events FROM v_log GROUP BY task_id")
@@ -88,9 +103,9 @@ def st4_request_metrics_stream(spark, sf_dir):
 @query("st5_sliding_rate_limiter")
 def st5_sliding_rate_limiter(spark, sf_dir):
     """Per-user sliding-window limiter (3 per day) as a stateful stream."""
-    out, ck = scratch_path(spark, "st5-out"), scratch_path(spark, "st5-ck")
-    ST.append_to_table(ST.sliding_rate_limiter_stream(_stream_tables(spark, sf_dir, BY_TIME).events, "user_id", LIMIT, WINDOW), out, ck)
-    return spark.read.parquet(out)
+    return _replayed(
+        spark, sf_dir, "st5", _by_time(), lambda t, delay, end: ST.sliding_rate_limiter_stream(t.events, "user_id", LIMIT, WINDOW, delay, end)
+    )
 
 
 @query("st5_rate_limiter_batch")
@@ -113,10 +128,9 @@ def st6_idle_heartbeat(spark, sf_dir):
 
 @query("st6_idle_heartbeat_stream", _HB_SQL)
 def st6_idle_heartbeat_stream(spark, sf_dir):
-    """Heartbeats per task from the stateful stream (summed over batches)."""
-    out, ck = scratch_path(spark, "st6-out"), scratch_path(spark, "st6-ck")
-    ST.append_to_table(ST.idle_heartbeat_stream(v_log(_stream_tables(spark, sf_dir, BY_ID))), out, ck)
-    return spark.read.parquet(out).groupBy("task_id").agg(F.sum("heartbeats").cast("bigint").alias("heartbeats"))
+    """Heartbeats per task from the stateful stream (summed over releases)."""
+    parts = _replayed(spark, sf_dir, "st6", _by_id(), lambda t, delay, end: ST.idle_heartbeat_stream(v_log(t), delay_ms=delay, end=end))
+    return parts.groupBy("task_id").agg(F.sum("heartbeats").cast("bigint").alias("heartbeats"))
 
 
 @query(
@@ -126,9 +140,7 @@ SELECT task_id, arg_min(usage_id, (created_at, usage_id)) AS usage_id, arg_min(r
 )
 def st7_budget_guard_stream(spark, sf_dir):
     """Budget breach emitted once per task by a stateful stream (equals O12)."""
-    out, ck = scratch_path(spark, "st7-out"), scratch_path(spark, "st7-ck")
-    ST.append_to_table(ST.budget_guard_stream(v_tok(_stream_tables(spark, sf_dir, BY_TIME)), BUDGET), out, ck)
-    return spark.read.parquet(out)
+    return _replayed(spark, sf_dir, "st7", _by_time(), lambda t, delay, end: ST.budget_guard_stream(v_tok(t), BUDGET, delay, end))
 
 
 @query(
@@ -139,6 +151,5 @@ WHERE status IN ('succeeded', 'failed', 'cancelled') AND last_ts + INTERVAL {RET
 )
 def st8_retention_stream(spark, sf_dir):
     """Finished tasks forgotten by watermark timeout (1 day after last event)."""
-    out, ck = scratch_path(spark, "st8-out"), scratch_path(spark, "st8-ck")
-    ST.append_to_table(ST.retention_stream(v_log(ST.StreamTables(spark, sf_dir, files_per_trigger=None)), RETENTION_DAYS), out, ck)
-    return spark.read.parquet(out)
+    # the mark stands where the watermark reaches the newest event
+    return _replayed(spark, sf_dir, "st8", _by_time(), lambda t, delay, end: ST.retention_stream(v_log(t), RETENTION_DAYS, delay, end), 0)

@@ -2,39 +2,35 @@
 
 Sources are file streams over the given Parquet files; sinks lie in the shared
 folder; every query has its own checkpoint, which is the reader's durable
-cursor: a restart resumes after the last committed batch (ST2).  Stateful
-rules run in ``applyInPandasWithState`` with Arrow batches per key and
-small state per key (the limiter keeps at most ``limit`` times, the budget
-guard two numbers).  The replay of a stored log drops no row and forgets no
-key; if the log has more files than a batch admits, :class:`StreamTables` puts
-it in order first, so a key's rows come in order across batches too.  For a live
-stream, ``delay`` sets a watermark: rows older than it are dropped
-(``numRowsDroppedByWatermark`` counts them); with ``state_days`` a key's state
-is dropped when the watermark passes its last event by so much, which bounds the
-state by the keys active in that time.  Rows of one key are ordered within a
-batch, whose size ``files_per_trigger`` bounds.
-Every registered stream runs with ``trigger(availableNow=True)`` and is read
-back as a batch DataFrame.
+cursor: a restart resumes after the last committed batch (ST2).  Rules that
+need a key's rows in order (ST2, ST5-ST8) buffer them until the watermark has
+passed and release them by event-time timers (:mod:`quarry.streaming.ordered`),
+so files may come in any order; rows behind the watermark are dropped and
+counted.  State per key is the rows of the last ``delay`` and a few numbers (the
+limiter: at most ``limit`` times).  Every registered stream runs with
+``trigger(availableNow=True)`` and is read back as a batch DataFrame.
 """
 
 from __future__ import annotations
 
 import collections
-import math
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from quarry.functions.sequential import keyed_lag, keyed_running_sum
+from quarry.functions.quantiles import range_partition_count
+from quarry.functions.sequential import keyed_lag
 from quarry.session import scratch_path
 from quarry.sources.tables import Tables
+from quarry.streaming.ordered import Rule, append_to_table, ordered_state, run_available_now  # noqa: F401
 
-# Terminal event types of a task, heartbeat period, limiter.
+# Terminal event types and final statuses of a task, heartbeat period, limiter.
 TERMINAL_EVENTS = ["task_completed", "task_failed", "task_cancelled"]
+FINISHED = ["succeeded", "failed", "cancelled"]
 HEARTBEAT_SECONDS = 15
 RATE_LIMIT = 120
 RATE_WINDOW_SECONDS = 60
@@ -53,77 +49,29 @@ def event_stream(spark: SparkSession, path: str, table_schema, files_per_trigger
     return (reader if files_per_trigger is None else reader.option("maxFilesPerTrigger", files_per_trigger)).parquet(path)
 
 
-def ordered_copy(spark: SparkSession, path: str, order: tuple[str, ...]) -> str:
-    """The table's rows in as many files, each a range of ``order``, whose times
-    of change ascend with the ranges, as a file stream takes the oldest first."""
-    log, out = spark.read.parquet(path), scratch_path(spark, "ordered-log")
-    log.repartitionByRange(len(log.inputFiles()), *order).write.parquet(out)
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    fs = hadoop.Path(out).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    parts = [x.getPath() for x in fs.listStatus(hadoop.Path(out)) if x.getPath().getName().startswith("part-")]
-    parts.sort(key=lambda x: int(x.getName().split("-")[1]))
-    newest = max(fs.getFileStatus(x).getModificationTime() for x in parts) // 1000 * 1000
-    for i, part in enumerate(reversed(parts)):
-        fs.setTimes(part, newest - 1000 * i, -1)
-    times = [fs.getFileStatus(x).getModificationTime() for x in parts]
-    if any(a >= b for a, b in zip(times, times[1:])):
-        raise RuntimeError(f"the store of {out} keeps no given file times, which order the replay")
-    return out
-
-
 class StreamTables(Tables):
     """Tables whose ``events`` is a stream over the given files, so the batch
-    view builders (``v_log``, ``v_tok``) apply to the stream unchanged.  With
-    ``order`` (columns of ``events``), a log of several batches is copied in that
-    order first; one batch needs no copy."""
-
-    def __init__(
-        self,
-        spark: SparkSession,
-        sf_dir: str,
-        path: str | None = None,
-        files_per_trigger: int | None = FILES_PER_TRIGGER,
-        order: tuple[str, ...] = (),
-    ):
+    view builders (``v_log``, ``v_tok``) apply to the stream unchanged."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, path: str | None = None, files_per_trigger: int | None = FILES_PER_TRIGGER):
         super().__init__(spark, sf_dir)
-        self._path = path or f"{sf_dir.rstrip('/')}/events.parquet"
+        self.path = path or f"{sf_dir.rstrip('/')}/events.parquet"
         self._files = files_per_trigger
-        self._order = order
 
     def __getattr__(self, name: str) -> DataFrame:
         if name == "events":
-            log = self.spark.read.parquet(self._path)
-            several = self._files is not None and len(log.inputFiles()) > self._files
-            path = ordered_copy(self.spark, self._path, self._order) if several and self._order else self._path
-            return event_stream(self.spark, path, log.schema, self._files)
+            return event_stream(self.spark, self.path, self.spark.read.parquet(self.path).schema, self._files)
         return super().__getattr__(name)
 
 
-def run_available_now(query_builder, checkpoint: str) -> None:
-    """Start a configured ``DataStreamWriter`` with availableNow and wait."""
-    q = query_builder.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    if q.exception() is not None:
-        raise q.exception()
-
-
-def _timed(stream: DataFrame, time_col: str, delay: str | None) -> DataFrame:
-    """Adds the event time ``event_time``, watermarked if there is a ``delay``,
-    and ``event_ms``."""
-    timed = stream.withColumn("event_time", F.col(time_col).cast("timestamp"))
-    timed = timed if delay is None else timed.withWatermark("event_time", delay)
-    return timed.withColumn("event_ms", F.unix_millis("event_time"))
-
+def micros(col: str) -> Column:
+    """A time as an order."""
+    return F.unix_micros(F.col(col).cast("timestamp"))
 
-def _timeout(state_days: float | None) -> str:
-    return GroupStateTimeout.NoTimeout if state_days is None else GroupStateTimeout.EventTimeTimeout
 
-
-def _forget_after(state: GroupState, last_ms: int, state_days: float | None) -> None:
-    """Drops the key's state once the watermark passes its last event by
-    ``state_days`` (None: never)."""
-    if state_days is not None:
-        state.setTimeoutTimestamp(max(int(last_ms + state_days * 86_400_000), state.getCurrentWatermarkMs() + 1))
+def by_id(col: str = "sequence_id") -> Column:
+    """An id as an order: a millisecond an id."""
+    return F.col(col) * 1000
 
 
 # ---------------------------------------------------------------- ST1 ------
@@ -146,34 +94,22 @@ def cursor_reader(stream: DataFrame, out: str, checkpoint: str, run: int) -> Non
     run_available_now(stream.writeStream.foreachBatch(write), checkpoint)
 
 
-def replay_until_terminal_stream(log_stream: DataFrame, after_sequence: int = 0, delay: str | None = None, state_days: float | None = None) -> DataFrame:
+def replay_until_terminal_stream(log_stream: DataFrame, after_sequence: int = 0, delay_ms: int = 0, end: DataFrame | None = None) -> DataFrame:
     """ST2 replay rule: per task, events after the cursor in sequence order,
     stopping after the first terminal event (later events are not sent).
-    State per task = one flag and the time of its last event."""
-    src = _timed(log_stream.where(F.col("sequence_id") > after_sequence), "ts", delay).select(
-        "task_id", "sequence_id", "event_type", "status", "event_time", "event_ms"
-    )
+    State per task = one flag."""
 
-    def fn(k, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        done, last = state.get if state.exists else (False, 0)
-        rows = pd.concat(list(pdfs)).sort_values("sequence_id")
-        keep = []
-        for seq, et, st in zip(rows["sequence_id"].tolist(), rows["event_type"].tolist(), rows["status"].tolist()):
-            if done:
-                break
-            keep.append((int(k[0]), int(seq), et, st))
-            done = et in TERMINAL_EVENTS
-        last = max(last, int(rows["event_ms"].max()))
-        state.update((done, last))
-        _forget_after(state, last, state_days)
-        yield pd.DataFrame(keep, columns=["task_id", "sequence_id", "event_type", "status"])
-
-    return src.groupBy("task_id").applyInPandasWithState(
-        fn, "task_id long, sequence_id long, event_type string, status string", "done boolean, last_ms long", "append", _timeout(state_days)
-    )
+    def step(task: int, rows: pd.DataFrame, state: tuple) -> tuple[list[tuple], tuple]:
+        if state[0]:
+            return [], state
+        stops = rows["event_type"].isin(TERMINAL_EVENTS).to_numpy()
+        n = int(stops.argmax()) + 1 if stops.any() else len(rows)
+        sent = rows.iloc[:n]
+        return [(int(task), int(q), e, s) for q, e, s in zip(sent["sequence_id"], sent["event_type"], sent["status"])], (bool(stops.any()),)
+
+    rule = Rule("done boolean", (False,), "task_id long, sequence_id long, event_type string, status string", step)
+    src = log_stream.where(F.col("sequence_id") > after_sequence)
+    return ordered_state(src, "task_id", by_id(), ["sequence_id", "event_type", "status"], ["sequence_id"], rule, delay_ms, end)
 
 
 # ---------------------------------------------------------------- ST3/ST4 --
@@ -218,71 +154,139 @@ def _limit_events(t: np.ndarray, accepted: list[float], limit: int, window: floa
     them is inside the window, so whole stretches are decided at once."""
     allowed = np.zeros(len(t), bool)
     retry = np.zeros(len(t), np.int64)
+    opened = t - window  # a request sees the accepted times after this
+    times, starts = t.tolist(), opened.tolist()
     kept = collections.deque((x for x in accepted), maxlen=limit)
     at = 0
-    while at < len(t):
-        if len(kept) < limit or kept[0] <= t[at] - window:
-            kept.append(float(t[at]))
+    while at < len(times):
+        if len(kept) < limit or kept[0] <= starts[at]:
+            kept.append(times[at])
             allowed[at] = True
             at += 1
             continue
-        until = max(at + 1, int(np.searchsorted(t - window, kept[0])))  # denied until the oldest leaves the window
+        # denied until the oldest leaves the window
+        until = max(at + 1, int(np.searchsorted(opened, kept[0])))
         retry[at:until] = np.maximum(1, (window - (t[at:until] - kept[0])).astype(np.int64) + 1)
         at = until
-    return allowed, retry, [x for x in kept if len(t) == 0 or x > t[-1] - window]
+    return allowed, retry, [x for x in kept if len(t) == 0 or x > starts[-1]]
 
 
 def sliding_rate_limiter_stream(
-    stream: DataFrame, key: str, limit: int = RATE_LIMIT, window: float = RATE_WINDOW_SECONDS, delay: str | None = None
+    stream: DataFrame, key: str, limit: int = RATE_LIMIT, window: float = RATE_WINDOW_SECONDS, delay_ms: int = 0, end: DataFrame | None = None
 ) -> DataFrame:
     """ST5: per key, drop accepted times ≤ t − window; deny when ``limit``
     remain (retry after max(1, int(window − age of oldest) + 1)); denied
     requests are not recorded.  State per key = accepted times inside the
-    window (≤ limit values), dropped, if there is a ``delay``, when the window
-    has passed.  Event time replaces the wall clock."""
-    state_days = None if delay is None else window / 86_400
-    src = _timed(stream, "ts", delay).select(
-        F.col(key).cast("long").alias("key"), F.col("event_id").cast("long"), (F.unix_micros("event_time") / 1e6).alias("t"), "event_time", "event_ms"
-    )
+    window (≤ limit values), forgotten when the window has passed.  Event time
+    replaces the wall clock."""
 
-    def fn(k, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        accepted = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(pdfs)).sort_values(["t", "event_id"])
-        allowed, retry, accepted = _limit_events(rows["t"].to_numpy(), accepted, limit, window)
-        state.update((accepted,))
-        _forget_after(state, int(rows["event_ms"].max()), state_days)
-        yield pd.DataFrame({"key": int(k[0]), "event_id": rows["event_id"], "t": rows["t"], "allowed": allowed, "retry_after": retry})
+    def step(k: int, rows: pd.DataFrame, state: tuple) -> tuple[list[tuple], tuple]:
+        t = rows["row_order"].to_numpy(np.float64) / 1e6
+        allowed, retry, accepted = _limit_events(t, list(state[0]), limit, window)
+        return list(zip([int(k)] * len(t), rows["event_id"].tolist(), t.tolist(), allowed.tolist(), retry.tolist())), (accepted,)
 
-    return src.groupBy("key").applyInPandasWithState(fn, LIMITER_OUT, "accepted array<double>", "append", _timeout(state_days))
+    rule = Rule("accepted array<double>", ([],), LIMITER_OUT, step, idle_us=int(window * 1e6))
+    src = stream.where(F.col(key).isNotNull()).withColumn("event_id", F.col("event_id").cast("long"))
+    return ordered_state(src, key, micros("ts"), ["event_id"], ["event_id"], rule, delay_ms, end)
 
 
-def sliding_rate_limiter_batch(df: DataFrame, key: str, limit: int = RATE_LIMIT, window: float = RATE_WINDOW_SECONDS) -> DataFrame:
-    """ST5 batch twin.  A pause of at least ``window`` empties a key's bucket,
-    so each key's history is cut into sessions at such pauses (skew-safe lag
-    and running sum); rows are clustered by (key, session) and sorted by time,
-    and every partition is streamed once through ``mapInPandas`` with the
-    limiter state reset at each new (key, session).  Memory per task is the
-    state (≤ limit times), not a group; a busy key is split wherever the rule
-    itself forgets its past."""
-    src = df.select(F.col(key).cast("long").alias("key"), F.col("event_id").cast("long"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
-    lagged = keyed_lag(src, ["key"], ["t", "event_id"], ["t"])
-    flagged = lagged.withColumn("_new", F.when(F.col("prev_t").isNull() | (F.col("t") - F.col("prev_t") >= window), 1).otherwise(0))
-    sess = keyed_running_sum(flagged, ["key"], ["t", "event_id"], "_new", "session")
-    clustered = sess.select("key", "event_id", "t", "session").repartition("key", "session").sortWithinPartitions("key", "session", "t", "event_id")
+_CHUNK_OUT = LIMITER_OUT + ", chunk int, first_key long, first_t double, last_key long, accepted array<double>"
+
+
+def _limit_chunks(rows: DataFrame, known: dict[int, list[float]], limit: int, window: float) -> DataFrame:
+    """Decisions of whole chunks (rows sorted by key and time within ``chunk``),
+    each from the accepted times that it is ``known`` or assumed (none) to begin
+    with, and one more row a chunk: its first and last key, and the accepted
+    times that it leaves for the last key."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, accepted = None, []
-        for pdf in batches:
-            for group, rows in pdf.groupby(["key", "session"], sort=False):
-                if group != current:
-                    current, accepted = group, []
-                allowed, retry, accepted = _limit_events(rows["t"].to_numpy(), accepted, limit, window)
-                yield rows[["key", "event_id", "t"]].assign(allowed=allowed, retry_after=retry)
+        chunk = key = first = accepted = None
+
+        def end() -> dict:
+            return {"chunk": [chunk], "first_key": [first[0]], "first_t": [first[1]], "last_key": [key], "accepted": [accepted]}
+
+        for b in batches:
+            if not len(b):
+                continue
+            keys, chunks, t = b["key"].to_numpy(), b["chunk"].to_numpy(), b["t"].to_numpy()
+            edges = np.flatnonzero((np.diff(keys) != 0) | (np.diff(chunks) != 0)) + 1
+            out, ends = [], []
+            for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(b)]):
+                if chunks[lo] != chunk:
+                    if chunk is not None:
+                        ends.append(end())
+                    chunk, key, first = int(chunks[lo]), int(keys[lo]), (int(keys[lo]), float(t[lo]))
+                    accepted = list(known.get(chunk, []))
+                elif keys[lo] != key:
+                    key, accepted = int(keys[lo]), []
+                allowed, retry, accepted = _limit_events(t[lo:hi], accepted, limit, window)
+                out.append((allowed, retry))
+            made = b[["key", "event_id", "t", "chunk"]].assign(allowed=np.concatenate([a for a, _ in out]), retry_after=np.concatenate([r for _, r in out]))
+            yield _whole(made)
+            for e in ends:
+                yield _whole(pd.DataFrame(e))
+        if chunk is not None:
+            yield _whole(pd.DataFrame(end()))
+
+    return rows.mapInPandas(run, _CHUNK_OUT)
+
+
+_CHUNK_TYPES = {"key": "Int64", "event_id": "Int64", "allowed": "boolean", "retry_after": "Int64", "first_key": "Int64", "last_key": "Int64"}
+
+
+def _whole(part: pd.DataFrame) -> pd.DataFrame:
+    """All columns of a chunk's output; what is missing is null."""
+    names = [c.split()[0] for c in _CHUNK_OUT.split(", ")]
+    accepted = list(part["accepted"]) if "accepted" in part else [None] * len(part)
+    return part.reindex(columns=names).astype(_CHUNK_TYPES).assign(accepted=pd.Series(accepted, index=part.index, dtype=object))
+
 
-    return clustered.mapInPandas(run, LIMITER_OUT)
+def sliding_rate_limiter_batch(df: DataFrame, key: str, limit: int = RATE_LIMIT, window: float = RATE_WINDOW_SECONDS) -> DataFrame:
+    """ST5 batch twin, split inside a key.  Rows are range-partitioned by (key,
+    time): a partition is a chunk, and a key of any size spans as many as it
+    fills.  All chunks run at once, each assuming that nothing was accepted just
+    before it.  Where the chunk before really leaves other times inside the
+    window, the chunk is run again from those, and so on until every chunk has
+    run from the state that its predecessor leaves: a fixed point, which is the
+    request-by-request rule.  A pause of a window, or a window without a denial,
+    makes the two agree, so most chunks run once; the driver holds one row a
+    chunk.  Rows without key or time have no decision."""
+    spark = df.sparkSession
+    src = df.select(F.col(key).cast("long").alias("key"), F.col("event_id").cast("long"), (micros("ts") / 1e6).alias("t"))
+    order = ["key", "t", "event_id"]
+    laid = src.where("key is not null and t is not null").repartitionByRange(range_partition_count(spark), *order).sortWithinPartitions(*order)
+    laid = laid.withColumn("chunk", F.spark_partition_id())
+    path = scratch_path(spark, "limiter")
+    laid.write.parquet(f"{path}/rows")  # written once: another run of the ranges could cut elsewhere
+    rows = spark.read.parquet(f"{path}/rows")
+    known: dict[int, list[float]] = {}
+    left: dict[int, tuple] = {}
+    newest: dict[int, int] = {}
+    todo = None
+    for turn in itertools.count():
+        some = rows if todo is None else rows.where(F.col("chunk").isin(todo))
+        dealt = some.repartition("chunk").sortWithinPartitions("chunk", *order)
+        _limit_chunks(dealt, known, limit, window).write.parquet(f"{path}/turns/turn={turn}")
+        done = spark.read.schema(_CHUNK_OUT).parquet(f"{path}/turns/turn={turn}").where("first_key is not null")
+        for r in done.select("chunk", "first_key", "first_t", "last_key", "accepted").collect():  # one row a chunk
+            left[r["chunk"]] = (r["first_key"], r["first_t"], r["last_key"], list(r["accepted"]))
+            newest[r["chunk"]] = turn
+        todo, before = [], None
+        for chunk in sorted(left):
+            first_key, first_t = left[chunk][:2]
+            same = before is not None and left[before][2] == first_key
+            true = [x for x in left[before][3] if x > first_t - window] if same else []
+            if true != known.get(chunk, []):
+                known[chunk] = true
+                todo.append(chunk)
+            before = chunk
+        if not todo:
+            break
+    out = spark.read.schema(_CHUNK_OUT + ", turn int").parquet(f"{path}/turns").where("first_key is null")
+    if any(newest.values()):
+        last = spark.createDataFrame(list(newest.items()), "chunk int, turn int")
+        out = out.join(F.broadcast(last), ["chunk", "turn"])
+    return out.select(*[c.split()[0] for c in LIMITER_OUT.split(", ")])
 
 
 # ---------------------------------------------------------------- ST6 ------
@@ -295,95 +299,52 @@ def idle_heartbeat_batch(log: DataFrame, period: int = HEARTBEAT_SECONDS) -> Dat
     return lagged.groupBy("task_id").agg(F.sum(hb).cast("bigint").alias("heartbeats"))
 
 
-def idle_heartbeat_stream(
-    log_stream: DataFrame, period: int = HEARTBEAT_SECONDS, delay: str | None = None, state_days: float | None = None
-) -> DataFrame:
+def idle_heartbeat_stream(log_stream: DataFrame, period: int = HEARTBEAT_SECONDS, delay_ms: int = 0, end: DataFrame | None = None) -> DataFrame:
     """ST6 streaming: state per task = (time and type of its last event)."""
-    src = _timed(log_stream, "ts", delay).select("task_id", "sequence_id", (F.unix_micros("event_time") / 1e6).alias("t"), "event_type", "event_time", "event_ms")
-
-    def fn(k, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last_t, last_type = state.get if state.exists else (None, None)
-        rows = pd.concat(list(pdfs)).sort_values("sequence_id")
-        hb = 0
-        for t, et in zip(rows["t"].tolist(), rows["event_type"].tolist()):
-            if last_t is not None and last_type not in TERMINAL_EVENTS:
-                hb += max(math.floor((t - last_t) / period), 0)
-            last_t, last_type = t, et
-        state.update((last_t, last_type))
-        _forget_after(state, int(rows["event_ms"].max()), state_days)
-        yield pd.DataFrame({"task_id": [int(k[0])], "heartbeats": [hb]})
-
-    return src.groupBy("task_id").applyInPandasWithState(fn, "task_id long, heartbeats long", "last_t double, last_type string", "append", _timeout(state_days))
+
+    def step(task: int, rows: pd.DataFrame, state: tuple) -> tuple[list[tuple], tuple]:
+        t = np.concatenate([[np.nan if state[0] is None else state[0]], rows["t"].to_numpy(np.float64)])
+        kind = pd.Series([state[1], *rows["event_type"]])
+        owed = np.maximum(np.floor(np.diff(t) / 1e6 / period), 0)
+        owed[np.isnan(owed) | kind.isin(TERMINAL_EVENTS).to_numpy()[:-1]] = 0
+        return [(int(task), int(owed.sum()))], (int(t[-1]), kind.iat[-1])
+
+    rule = Rule("last_t long, last_type string", (None, None), "task_id long, heartbeats long", step)
+    src = log_stream.withColumn("t", micros("ts"))
+    return ordered_state(src, "task_id", by_id(), ["sequence_id", "t", "event_type"], ["sequence_id"], rule, delay_ms, end)
 
 
 # ---------------------------------------------------------------- ST7 ------
-def budget_guard_stream(usage_stream: DataFrame, budget: int, delay: str | None = None, state_days: float | None = None) -> DataFrame:
+def budget_guard_stream(usage_stream: DataFrame, budget: int, delay_ms: int = 0, end: DataFrame | None = None) -> DataFrame:
     """ST7: emit once per task when its running token total passes the
     budget.  State per task = (running total, emitted)."""
-    src = _timed(usage_stream, "created_at", delay).select(
-        "task_id", "usage_id", "created_at", (F.col("prompt_tokens") + F.col("completion_tokens")).alias("tokens"), "event_time", "event_ms"
-    )
 
-    def fn(k, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        total, emitted = state.get if state.exists else (0, False)
-        rows = pd.concat(list(pdfs)).sort_values(["created_at", "usage_id"])
+    def step(task: int, rows: pd.DataFrame, state: tuple) -> tuple[list[tuple], tuple]:
+        total = state[0] + rows["tokens"].fillna(0).astype("int64").cumsum()
+        over = (total > budget).to_numpy()
         out = []
-        for uid, tok in zip(rows["usage_id"].tolist(), rows["tokens"].tolist()):
-            total += int(tok)
-            if total > budget and not emitted:
-                out.append((int(k[0]), int(uid), total))
-                emitted = True
-        state.update((total, emitted))
-        _forget_after(state, int(rows["event_ms"].max()), state_days)
-        yield pd.DataFrame(out, columns=["task_id", "usage_id", "running_tokens"])
+        if over.any() and not state[1]:
+            at = int(over.argmax())
+            out = [(int(task), int(rows["usage_id"].iat[at]), int(total.iat[at]))]
+        return out, (int(total.iat[-1]), bool(state[1] or over.any()))
 
-    return src.groupBy("task_id").applyInPandasWithState(fn, "task_id long, usage_id long, running_tokens long", "total long, emitted boolean", "append", _timeout(state_days))
+    rule = Rule("total long, emitted boolean", (0, False), "task_id long, usage_id long, running_tokens long", step)
+    src = usage_stream.withColumn("tokens", F.col("prompt_tokens") + F.col("completion_tokens"))
+    return ordered_state(src, "task_id", micros("created_at"), ["usage_id", "tokens"], ["usage_id"], rule, delay_ms, end)
 
 
 # ---------------------------------------------------------------- ST8 ------
-def retention_stream(log_stream: DataFrame, days: float, delay: str = "0 seconds") -> DataFrame:
-    """ST8: forget finished tasks whose last event is older than the
-    watermark minus ``days``: state per task = (last event time, status); an
-    event-time timeout at last + days emits the task once and drops its
-    state, so state stays bounded by the tasks active in the window.  A batch is
-    folded in any order; a stored log is read as one batch (no
-    ``files_per_trigger``), as a row behind the watermark would be dropped."""
-    src = log_stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).select("task_id", "sequence_id", "ts", "status")
-    span_ms = int(days * 86400 * 1000)
-
-    def fn(k, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            last_ms, status = state.get
-            state.remove()
-            if status in ("succeeded", "failed", "cancelled"):
-                yield pd.DataFrame({"task_id": [int(k[0])], "last_event_ms": [int(last_ms)], "status": [status]})
-            return
-        newest = None
-        for rows in pdfs:
-            rows = rows[rows["ts"].notna()]
-            if len(rows):
-                last = rows.sort_values(["ts", "sequence_id"]).iloc[-1]
-                last = (last["ts"], last["sequence_id"], last["status"])
-                newest = last if newest is None else max(newest, last, key=lambda x: x[:2])
-        last_ms, status = state.get if state.exists else (None, None)
-        if newest is not None and (last_ms is None or newest[0].value // 1_000_000 >= last_ms):
-            last_ms, status = int(newest[0].value // 1_000_000), newest[2]
-        if last_ms is None:
-            return
-        state.update((last_ms, status))
-        state.setTimeoutTimestamp(last_ms + span_ms)
-        yield pd.DataFrame({"task_id": pd.Series([], dtype="int64"), "last_event_ms": pd.Series([], dtype="int64"), "status": pd.Series([], dtype="str")})
-
-    return src.groupBy("task_id").applyInPandasWithState(
-        fn, "task_id long, last_event_ms long, status string", "last_ms long, status string", "append", GroupStateTimeout.EventTimeTimeout
-    )
+def retention_stream(log_stream: DataFrame, days: float, delay_ms: int = 0, end: DataFrame | None = None) -> DataFrame:
+    """ST8: forget tasks that have been silent for ``days`` (by the watermark),
+    and send them if they were finished: state per task = (last event time,
+    status), dropped with the task, so state stays bounded by the tasks active
+    in that time."""
 
+    def step(task: int, rows: pd.DataFrame, state: tuple) -> tuple[list[tuple], tuple]:
+        return [], (int(rows["row_order"].iat[-1]) // 1000, rows["status"].iat[-1])
 
-def append_to_table(stream: DataFrame, out: str, checkpoint: str) -> None:
-    run_available_now(stream.writeStream.format("parquet").option("path", out).outputMode("append"), checkpoint)
+    def leave(task: int, state: tuple) -> list[tuple]:
+        return [(int(task), *state)] if state[1] in FINISHED else []
+
+    rule = Rule("last_ms long, status string", (None, None), "task_id long, last_event_ms long, status string", step, int(days * 86_400_000_000), leave)
+    return ordered_state(log_stream, "task_id", micros("ts"), ["sequence_id", "status"], ["sequence_id"], rule, delay_ms, end)

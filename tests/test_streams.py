@@ -1,5 +1,6 @@
 """Streams over tables of many files, out of order, and with expired keys."""
 
+import math
 import random
 
 import numpy as np
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.session import scratch_path
+from quarry.streaming import ordered
 from quarry.streaming import streams as ST
 
 
@@ -51,17 +53,60 @@ def _events(spark, files):
     return path, df
 
 
-def test_limiter_over_many_batches_equals_the_batch_twin(spark):
-    path, df = _events(spark, 4)
+def _shuffled(spark, df, files, seed=4):
+    """The rows of ``df`` (event_id 0 ..) in files of neighbours, in random order."""
+    path, n = scratch_path(spark, "stream-shuffled"), df.count()
+    step = math.ceil(n / files)
+    starts = list(range(0, n, step))
+    random.Random(seed).shuffle(starts)
+    for at in starts:
+        df.where((F.col("event_id") >= at) & (F.col("event_id") < at + step)).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def test_limiter_over_shuffled_files_equals_the_rule(spark):
+    _, df = _events(spark, 1)
+    path = _shuffled(spark, df, 5)
+    delay, last = ordered.log_disorder(spark.read.parquet(path), ST.micros("ts"))
+    assert delay > 300_000  # files are far out of order
     out, ck = scratch_path(spark, "lim"), scratch_path(spark, "lim-ck")
-    stream = ST.event_stream(spark, path, df.schema, files_per_trigger=1)
-    ST.append_to_table(ST.sliding_rate_limiter_stream(stream, "user_id", 3, 60.0), out, ck)
+    build = lambda end: ST.sliding_rate_limiter_stream(ST.event_stream(spark, path, df.schema, 1), "user_id", 3, 60.0, delay, end)
+    assert ordered.replay_to_end(spark, build, out, ck, last + (delay + 2) * 1000) == 0
     got = {(r["key"], r["event_id"]): (r["allowed"], r["retry_after"]) for r in spark.read.parquet(out).collect()}
     twin = {(r["key"], r["event_id"]): (r["allowed"], r["retry_after"]) for r in ST.sliding_rate_limiter_batch(df, "user_id", 3, 60.0).collect()}
     rows = [(r["user_id"], float(r["ts"].timestamp()), r["event_id"]) for r in df.collect()]
     assert got == twin == plain_limiter(rows, 3, 60.0)
 
 
+def test_late_rows_are_counted(spark):
+    """With a delay shorter than the disorder, rows behind what was released are
+    dropped and counted; the rest is decided in order."""
+    _, df = _events(spark, 1)
+    path = scratch_path(spark, "stream-late")
+    for lo, hi in ((0, 200), (400, 500), (500, 600), (200, 400)):
+        df.where((F.col("event_id") >= lo) & (F.col("event_id") < hi)).coalesce(1).write.mode("append").parquet(path)
+    out, ck = scratch_path(spark, "late"), scratch_path(spark, "late-ck")
+    build = lambda end: ST.sliding_rate_limiter_stream(ST.event_stream(spark, path, df.schema, 1), "user_id", 3, 60.0, 1000, end)
+    late = ordered.replay_to_end(spark, build, out, ck, 1_700_003_100_000_000)
+    kept = {r["event_id"] for r in spark.read.parquet(out).collect()}
+    assert late == 200 and kept == {*range(200), *range(400, 600)}
+
+
+@pytest.mark.parametrize("limit,window,gap", [(3, 60.0, 5), (1, 12.0, 5), (4, 1000.0, 1)])
+def test_one_key_without_pause_is_spread_over_chunks(spark, limit, window, gap):
+    df = spark.range(900).select(
+        F.col("id").alias("event_id"),
+        F.when(F.col("id") % 30 == 0, F.lit(None)).when(F.col("id") % 10 == 0, 1).otherwise(7).cast("long").alias("user_id"),
+        F.timestamp_seconds(1_700_000_000 + F.floor(F.col("id") / 2) * gap).alias("ts"),
+    )
+    made = ST.sliding_rate_limiter_batch(df, "user_id", limit, window)
+    got = {(r["key"], r["event_id"]): (r["allowed"], r["retry_after"]) for r in made.collect()}
+    rows = [(r["user_id"], float(r["ts"].timestamp()), r["event_id"]) for r in df.where("user_id is not null").collect()]
+    assert got == plain_limiter(rows, limit, window)
+    chunks = spark.read.parquet(made.inputFiles()[0].split("/turns/")[0] + "/rows").where("key = 7").select("chunk").distinct()
+    assert chunks.count() >= 6
+
+
 def test_upserted_table_holds_the_newest_rows(spark):
     path, df = _events(spark, 3)
     out, ck = scratch_path(spark, "ups"), scratch_path(spark, "ups-ck")
@@ -79,7 +124,8 @@ def test_rows_of_a_batch_may_come_in_any_order(spark):
     df = spark.createDataFrame(rows, "task_id long, sequence_id long, t long, event_type string, status string").withColumn("ts", F.timestamp_seconds("t"))
     df.coalesce(1).write.parquet(path)
     out, ck = scratch_path(spark, "order-out"), scratch_path(spark, "order-ck")
-    ST.append_to_table(ST.replay_until_terminal_stream(ST.event_stream(spark, path, df.schema), 5), out, ck)
+    build = lambda end: ST.replay_until_terminal_stream(ST.event_stream(spark, path, df.schema), 5, end=end)
+    ordered.replay_to_end(spark, build, out, ck, 100_000)
     assert sorted(r["sequence_id"] for r in spark.read.parquet(out).collect()) == list(range(6, 41))
 
 
