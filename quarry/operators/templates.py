@@ -332,26 +332,23 @@ def health_signal_correlations(df: DataFrame, **roles) -> DataFrame:
         exprs += [guarded_corr(ca, cb).alias(f"r{i}"), F.count_if(both).alias(f"n{i}")]
         rows.append((F.lit(label), F.lit(a), F.lit(risk if b == "__risk__" else b), F.round(F.col(f"r{i}"), 4), F.col(f"n{i}")))
     names = ["relation", "field_a", "field_b", "r", "n"]
+    spark, kind = df.sparkSession, "relation string, field_a string, field_b string, r double, n bigint"
     found = None
     if rows:
-        stacked = _stack(df.agg(*exprs), rows, names)
-        found = stacked.where((F.col("n") >= 3) & F.col("r").isNotNull())
+        # one row a named pair, so the aggregate is run here: whether the other pairs are needed hangs on it
+        named = _stack(df.agg(*exprs), rows, names).where((F.col("n") >= 3) & F.col("r").isNotNull()).collect()
+        found = spark.createDataFrame([tuple(r) for r in named], kind) if named else None
     numeric = sorted(f.name for f in df.schema.fields if isinstance(f.dataType, NumericType))
     every = [(a, b) for i, a in enumerate(numeric) for b in numeric[i + 1 :]]
-    if every:
+    if found is None and every:
         exprs, rows = [], []
         for i, (a, b) in enumerate(every):
             both = num(a).isNotNull() & num(b).isNotNull()
             exprs += [guarded_corr(num(a), num(b)).alias(f"r{i}"), F.count_if(both).alias(f"n{i}")]
             rows.append((F.lit(f"{a} vs {b}"), F.lit(a), F.lit(b), F.round(F.col(f"r{i}"), 4), F.col(f"n{i}")))
-        rest = _stack(df.agg(*exprs), rows, names).where(F.col("r").isNotNull())
-        if found is not None:
-            # an empty relation, which is not computed, if a named pair was found
-            none = found.agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") == 0).drop("_c")
-            rest = found.unionByName(rest.crossJoin(F.broadcast(none)))
-        found = rest
+        found = _stack(df.agg(*exprs), rows, names).where(F.col("r").isNotNull())
     if found is None:
-        return df.sparkSession.createDataFrame([], "relation string, field_a string, field_b string, r double, n bigint")
+        return spark.createDataFrame([], kind)
     return found.orderBy(F.abs("r").desc(), "relation")
 
 
