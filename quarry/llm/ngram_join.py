@@ -12,7 +12,7 @@ k + f(n) - f(least partner) + 1 must hold a common one again: first elements by
 rarity, though only a seventh of the elements (at 90 percent) are ever counted.
 Classes that share such an element, of sizes that the threshold lets meet (a set
 stands in two neighbouring size classes), may link.  The connected groups of
-this relation (or, if a group would fall into more than ``MOST_BLOCKS`` blocks,
+this relation (or, if a group would fall into more than ``prefix_tree.MOST_BLOCKS`` blocks,
 the classes of each element) are joined exactly by
 :mod:`quarry.llm.prefix_tree`, on full sets; links found there are the result's
 links.
@@ -34,13 +34,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm import prefix_tree
-from quarry.llm.common import freeze, select_texts
+from quarry.llm.common import freeze
 from quarry.llm.graph import components
-from quarry.llm.setsketch import shingles
+from quarry.llm.shingles import full_sets, shingles, text_steps
 
 WORDS, PERCENT = 3, 90
-MOST_BLOCKS = 64
-_CHARS = 4 << 20  # of texts that one step of a task holds
 
 
 def least_common(n: int | np.ndarray, percent: int) -> int | np.ndarray:
@@ -53,14 +51,6 @@ def surplus(n: int | np.ndarray, percent: int) -> int | np.ndarray:
     return np.minimum(1 + n * (100 - percent) // 200, least_common(n, percent))
 
 
-def _steps(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    """Rows of a batch in steps of about ``_CHARS`` characters."""
-    size = b["text"].str.len().fillna(0).to_numpy(np.int64)
-    step = (np.cumsum(size) - size) // _CHARS
-    for at in np.split(np.arange(len(b)), np.flatnonzero(np.diff(step)) + 1):
-        yield b.iloc[at]
-
-
 def _set_hash(s: np.ndarray) -> np.ndarray:
     import xxhash
 
@@ -73,7 +63,7 @@ def prefixes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
-            for b in _steps(whole):
+            for b in text_steps(whole):
                 out = []
                 for text in b["text"]:
                     s = shingles(text if isinstance(text, str) else None, words)
@@ -121,30 +111,10 @@ def link_classes(classes: DataFrame, docs: DataFrame, words: int, percent: int)
     sized = F.explode(F.array(step, step + 1)).alias("_s")
     rows = shared_elements(classes, percent).select("node", "e", sized).select("node", F.xxhash64("e", "_s").alias("e"))
     rows = freeze(rows, "ngram-shared")
-    hubs = rows.groupBy("e").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("_c")).where("_c > 1").select("e", "hub")
-    star = rows.join(hubs, "e").where(F.col("node") != F.col("hub"))
-    near = components(star.select(F.col("node").alias("a"), F.col("hub").alias("b")))
-    near = freeze(near.join(classes.select("node", "n", "doc_id", "th"), "node"), "ngram-groups")
-    size = F.greatest(F.sum("n") / F.lit(prefix_tree.UNIT_ELEMENTS), F.count(F.lit(1)) / F.lit(prefix_tree.UNIT_SETS))
-    large = near.groupBy("component").agg(size.alias("_s")).where(F.col("_s") > MOST_BLOCKS).select("component")
-    large = freeze(near.join(large, "component", "left_semi").select("node"), "ngram-large")
-    whole = near.join(large, "node", "left_anti").select(F.xxhash64(F.lit(0), "component").alias("g"), "node")
-    each = rows.join(large, "node", "left_semi").join(hubs, "e").select(F.xxhash64(F.lit(1), "e").alias("g"), "node")
-    groups = whole.unionByName(each).select("g", "node", F.col("node").alias("label"))
-    return prefix_tree.join_groups(groups, full_sets(docs, near, words), percent, "ngram")
-
-
-def full_sets(docs: DataFrame, reps: DataFrame, words: int) -> DataFrame:
-    """node, n, set: sets of the texts that ``reps`` (node, doc_id, th) name."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for whole in batches:
-            for b in _steps(whole):
-                sets = [shingles(t, words) for t in b["text"]]
-                yield pd.DataFrame({"node": b["node"].to_numpy(), "n": [len(s) for s in sets], "set": [s.tobytes() for s in sets]})
-
-    texts = select_texts(docs, reps.select("node", "doc_id", "th"))
-    return freeze(texts.mapInPandas(run, "node long, n long, set binary"), "ngram-sets")
+    groups = freeze(prefix_tree.groups_of(rows, classes.select("node", "n"), "ngram"), "ngram-groups")
+    reps = freeze(groups.select("node").distinct().join(classes.select("node", "doc_id", "th"), "node"), "ngram-reps")
+    full = full_sets(docs, reps, words, "ngram-sets")
+    return prefix_tree.join_groups(groups.withColumn("label", F.col("node")), full, percent, "ngram")
 
 
 def near_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:

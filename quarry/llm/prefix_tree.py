@@ -22,8 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import freeze, whole_groups
+from quarry.llm.graph import components
 
 UNIT_ELEMENTS, UNIT_SETS = 1 << 20, 1024  # of a block, about
+MOST_BLOCKS = 64  # of a connected group
 _PIECE = 32  # elements of a path that are compared before a branch can be left
 
 
@@ -182,6 +184,23 @@ def links_of_unit(sets: list[np.ndarray], label: np.ndarray, side: np.ndarray, p
     return out
 
 
+def groups_of(rows: DataFrame, sizes: DataFrame, name: str) -> DataFrame:
+    """g, node: groups such that nodes that share a key are together in one.
+    ``rows``: node, e (materialised); ``sizes``: node, n.  A group is a connected
+    set of nodes, each in it once; one that would fall into more than
+    ``MOST_BLOCKS`` blocks is given key by key instead."""
+    hubs = rows.groupBy("e").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("_c")).where("_c > 1").select("e", "hub")
+    star = rows.join(hubs, "e").where(F.col("node") != F.col("hub"))
+    near = components(star.select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    near = freeze(near.join(sizes, "node"), f"{name}-connected")
+    size = F.greatest(F.sum("n") / F.lit(UNIT_ELEMENTS), F.count(F.lit(1)) / F.lit(UNIT_SETS))
+    large = near.groupBy("component").agg(size.alias("_s")).where(F.col("_s") > MOST_BLOCKS).select("component")
+    large = freeze(near.join(large, "component", "left_semi").select("node"), f"{name}-large")
+    whole = near.join(large, "node", "left_anti").select(F.xxhash64(F.lit(0), "component").alias("g"), "node")
+    each = rows.join(large, "node", "left_semi").join(hubs, "e").select(F.xxhash64(F.lit(1), "e").alias("g"), "node")
+    return whole.unionByName(each)
+
+
 def join_groups(groups: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
     """Links (a, b) between members of a group whose sets meet ``percent``:
     members of one group that reach each other by such links are joined by the

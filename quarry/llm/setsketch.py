@@ -11,13 +11,17 @@ far below the threshold are dropped and the rest is verified on full sets.
 
 Equal sets are one class.  In each band bucket the classes are first compared
 with a hub only (the member that meets most others).  Members already in one
-component need no more comparison; what the hubs leave in different components
-meets again by its rarest elements, which no pair at the threshold can miss, so
-no candidate is lost and no group is paired with itself.  Buckets hold sizes that the threshold lets meet: a set stands in
-two neighbouring size classes of ratio 3/4.
+component need no more comparison; the classes of buckets that still hold
+several components are joined on their full sets by
+:mod:`quarry.llm.prefix_tree`, which finds every link between different
+components, so no candidate is lost and no group is paired with itself in a
+shuffle.  Buckets hold sizes that the threshold lets meet: a set stands in two
+neighbouring size classes of ratio 3/4.
 
 Empty sets are linked with nothing and kept.  Rows without doc_id take part
-in no link: component_id null, kept.  Repeated rows keep their rows.  All
+in no link: component_id null, kept.  Different texts of one doc_id are different
+sets under one name.  Repeated rows keep their rows.  An empty table gives no
+rows.  A text's set is held whole by one task.  All
 bands miss a pair at similarity 0.75 with odds below one in a million, pairs
 above it with smaller ones; long bands keep texts apart that share a passage.
 Other columns are not read.
@@ -29,11 +33,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import freeze, select_docs
+from quarry.llm import prefix_tree
+from quarry.llm.common import freeze
 from quarry.llm.graph import components
+from quarry.llm.shingles import full_sets, shingles, text_steps
 
 WORDS, PERCENT = 5, 75
 BANDS, ROWS = 72, 6
@@ -44,23 +50,6 @@ _ESTIMATE = 128  # registers that travel with a pair
 _DRAW = np.random.Generator(np.random.PCG64(7))
 _MUL = _DRAW.integers(1, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _DRAW.integers(0, 1 << 63, REGISTERS, dtype=np.uint64)
-_P1, _P2, _29 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(29)
-
-
-def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's word runs."""
-    import xxhash
-
-    found = text.encode().lower().split() if text else []
-    if not found:
-        return np.zeros(0, np.uint64)
-    w = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
-    size = min(words, len(w))
-    h = np.full(len(w) - size + 1, size, np.uint64)
-    for i in range(size):
-        h = (h ^ (h >> _29)) * _P1 + w[i : len(w) - size + 1 + i]
-    h = (h ^ (h >> _29)) * _P2
-    return np.unique(h ^ (h >> _29))
 
 
 def registers(elements: np.ndarray) -> np.ndarray:
@@ -98,24 +87,26 @@ def overlap_odds(more: np.ndarray, less: np.ndarray, na: np.ndarray, nb: np.ndar
 
 
 def sketch(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, h1, h2 (hash of the set), regs (null if empty)."""
+    """doc_id, th (hash of the text), n_shingles, h1, h2 (hash of the set), regs
+    (null if empty)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
         for whole in batches:
-            for at in range(0, len(whole), 500):
-                b = whole.iloc[at : at + 500]
+            for b in text_steps(whole):
                 out = []
-                for doc, text in zip(b["doc_id"], b["text"], strict=True):
+                for text in b["text"]:
                     s = shingles(text if isinstance(text, str) else None, words)
-                    key = xxhash.xxh3_128_digest(s.tobytes())
-                    h = np.frombuffer(key, "<i8")
-                    out.append((doc, len(s), h[0], h[1], registers(s).tobytes() if len(s) else None))
-                frame = pd.DataFrame(out, columns=["doc_id", "n_shingles", "h1", "h2", "regs"])
-                yield frame.assign(doc_id=pd.array([None if pd.isna(x) else int(x) for x in b["doc_id"]], "Int64"))
+                    h = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8")
+                    out.append((len(s), h[0], h[1], registers(s).tobytes() if len(s) else None))
+                frame = pd.DataFrame(out, columns=["n_shingles", "h1", "h2", "regs"])
+                frame.insert(0, "doc_id", pd.array([None if pd.isna(x) else int(x) for x in b["doc_id"]], "Int64"))
+                frame.insert(1, "th", b["th"].to_numpy())
+                yield frame
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, h1 long, h2 long, regs binary")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    return rows.mapInPandas(run, "doc_id long, th long, n_shingles long, h1 long, h2 long, regs binary")
 
 
 def _buckets(classes: DataFrame, percent: int) -> DataFrame:
@@ -167,61 +158,6 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.mapInPandas(run, "a long, b long")
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, classes: DataFrame, words: int) -> DataFrame:
-    """node, set: the full sets of the classes that share a bucket, made anew
-    from their representatives' texts."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
-
-        for b in batches:
-            for at in range(0, len(b), 500):
-                out = []
-                for doc, text in b.iloc[at : at + 500][["doc_id", "text"]].itertuples(index=False):
-                    s = shingles(text, words)
-                    h = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8")
-                    out.append((doc, h[0], h[1], s.tobytes()))
-                yield pd.DataFrame(out, columns=["node", "h1", "h2", "set"])
-
-    texts = select_docs(docs.select("doc_id", "text"), nodes.withColumnRenamed("node", "doc_id"), "left_semi")
-    full = texts.mapInPandas(run, "node long, h1 long, h2 long, set binary")
-    # repeated rows and other texts of the same doc_id drop out
-    return full.join(classes.select("node", "h1", "h2"), ["node", "h1", "h2"]).groupBy("node").agg(F.first("set").alias("set"))
-
-
-def _rare_pairs(sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that may meet the threshold.
-
-    Sets of n elements that do share an element among the first
-    n - ceil(n * percent / 100) + 1 of either, in any common order of elements.
-    Rarest first keeps texts apart that share a passage of many documents."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for whole in batches:
-            for at in range(0, len(whole), 500):
-                b = whole.iloc[at : at + 500]
-                n = np.array([len(x) // 8 for x in b["set"]], np.int64)
-                yield pd.DataFrame(
-                    {
-                        "node": np.repeat(b["node"].to_numpy(), n),
-                        "component": np.repeat(b["component"].to_numpy(), n),
-                        "n": np.repeat(n, n),
-                        "e": np.frombuffer(b"".join(b["set"]), "<i8"),
-                    }
-                )
-
-    rows = sets.select("node", "component", "set").mapInPandas(run, "node long, component long, n long, e long")
-    often = rows.groupBy("e").agg(F.count(F.lit(1)).alias("often"))
-    first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    place = F.row_number().over(Window.partitionBy("node").orderBy("often", "e"))
-    rare = rows.join(often, "e").withColumn("_r", place).where((F.col("_r") <= first) & (F.col("often") > 1))
-    rare = freeze(rare.select("node", "component", "n", "e"), "near-rare")
-    other = rare.select("e", F.col("node").alias("b"), F.col("component").alias("_c"), F.col("n").alias("_n"))
-    near = (F.col("node") < F.col("b")) & (F.col("component") != F.col("_c"))
-    sizes = 100 * F.least("n", "_n") >= percent * F.greatest("n", "_n")
-    return rare.join(other, "e").where(near & sizes).select(F.col("node").alias("a"), "b").distinct()
-
-
 def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """Pairs that meet the threshold on full sets."""
 
@@ -241,29 +177,35 @@ def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
     rows = freeze(sketch(docs, words), "near-sketches")
-    classes = rows.where(F.col("regs").isNotNull() & F.col("doc_id").isNotNull()).groupBy("h1", "h2").agg(
-        F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs")
-    )
-    classes = freeze(classes, "near-classes")
+    one = rows.where(F.col("regs").isNotNull() & F.col("doc_id").isNotNull()).groupBy("h1", "h2")
+    named = one.agg(F.min(F.struct("doc_id", "th", "n_shingles", "regs")).alias("rep")).select("h1", "h2", "rep.*")
+    classes = freeze(named.withColumn("node", F.monotonically_increasing_id()), "near-classes")  # written once, so the numbers stay
     members = freeze(_buckets(classes, percent), "near-buckets")
     # one comparison for each member of a bucket: with its hub, the member that meets most others
     hubs = members.groupBy("bucket").agg(F.max_by("node", F.struct("degree", -F.col("node"))).alias("hub"), F.count(F.lit(1)).alias("n"))
     starred = members.join(hubs.where(F.col("n") > 1), "bucket")
     pairs = starred.where(F.col("node") != F.col("hub")).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     pairs = freeze(pairs, "near-hubs")
-    nodes = freeze(starred.select("node").distinct(), "near-nodes")
-    full = freeze(_sets(docs, nodes, classes, words), "near-sets")
+    nodes = starred.select("node").distinct().join(classes.select("node", "doc_id", "th"), "node")
+    full = full_sets(docs, freeze(nodes, "near-nodes"), words, "near-sets")
     links = freeze(_verified(_likely(pairs, classes, percent), full, percent), "near-links")
     label = components(links)
-    # what the hubs leave: buckets of several components, by their rarest elements
+    # what the hubs leave: buckets of several components, joined on full sets
     open_ = members.select("bucket", "node").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = open_.groupBy("bucket").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo < _hi")
-    left = open_.join(mixed.select("bucket"), "bucket", "left_semi").select("node", "component").distinct()
-    rest = freeze(_rare_pairs(full.join(left, "node"), percent).join(pairs, ["a", "b"], "left_anti"), "near-rest")
-    links = links.unionByName(freeze(_verified(_likely(rest, classes, percent), full, percent), "near-links"))
-    found = components(links).select(F.col("node").alias("_node"), "component")
-    named = rows.join(classes.select("h1", "h2", F.col("node").alias("_node")), ["h1", "h2"], "left").join(found, "_node", "left")
-    component = F.when(F.col("regs").isNull(), F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.coalesce("component", "_node"))
-    return named.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
+    mixed = open_.groupBy("bucket").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count(F.lit(1)).alias("_m"))
+    mixed = mixed.where("_lo < _hi and _m > 2").select("bucket")  # two members have been compared
+    left = freeze(open_.join(mixed, "bucket", "left_semi").select("node", F.col("bucket").alias("e"), F.col("component").alias("label")), "near-open")
+    groups = prefix_tree.groups_of(left.select("node", "e"), full.select("node", "n"), "near")
+    groups = groups.join(left.select("node", "label").distinct(), "node")
+    rest = prefix_tree.join_groups(groups, full, percent, "near")
+    links = links.unionByName(freeze(rest, "near-rest"))
+    found = components(links).select("node", "component")
+    linked = classes.join(found, "node")
+    least = linked.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    linked = linked.join(least, "component").select("h1", "h2", "component_id")
+    name = classes.select("h1", "h2", F.col("doc_id").alias("_own")).join(linked, ["h1", "h2"], "left")
+    name = name.select("h1", "h2", F.coalesce("component_id", "_own").alias("_named"))
+    component = F.when(F.col("regs").isNull(), F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("_named"))
+    return rows.join(name, ["h1", "h2"], "left").select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.col("component_id").eqNullSafe(F.col("doc_id"))
     )

@@ -68,6 +68,15 @@ def test_group_of_near_copies(spark):
     check(setsketch.near_duplicates(spark.createDataFrame(table, "doc_id long, text string")).collect(), table)
 
 
+def test_different_texts_of_one_id(spark):
+    """(5, A), (5, B), (9, near B): 9 hangs together with 5 through B."""
+    rng = random.Random(2)
+    a, b = (" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60)) for _ in range(2))
+    table = [(5, a), (5, b), (9, b + " end"), (11, a)]
+    got = setsketch.near_duplicates(spark.createDataFrame(table, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in got) == [(5, 5, True), (5, 5, True), (9, 5, False), (11, 5, False)]
+
+
 @pytest.mark.parametrize("overlap", [0.5, 0.75, 0.9])
 def test_registers_estimate_overlap(overlap):
     rng = np.random.default_rng(1)

@@ -73,7 +73,7 @@ def test_different_texts_of_one_id(spark):
 def test_groups_in_units(spark, monkeypatch, unit, most):
     """Groups of near copies, whole, in blocks, and element by element."""
     monkeypatch.setattr(prefix_tree, "UNIT_SETS", unit)
-    monkeypatch.setattr(ngram_join, "MOST_BLOCKS", most)
+    monkeypatch.setattr(prefix_tree, "MOST_BLOCKS", most)
     texts = family(3, 60) + family(4, 30, 200, 6) + family(5, 12, 12, 1)
     chain = family(6, 0, 200)[0].split()
     texts += [" ".join(chain[i * 4 : i * 4 + 100]) for i in range(20)]
