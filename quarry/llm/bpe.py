@@ -20,12 +20,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from quarry.llm.pretokens import PieceCache
 
-_TEXTS = 256  # texts of an Arrow batch that are encoded together
+_TEXTS = 256  # texts of an Arrow batch that are encoded together, at most
+_CHARS = 2 << 20  # characters of them, about
+_PIECES = 150_000  # pieces that a task remembers, in each of two generations
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -65,7 +68,7 @@ class Codec:
         self.processor = sentencepiece.SentencePieceProcessor(model_proto=serialise_model(self.ranks))
         self.pattern = regex.compile(pattern)
         self.to_chars = {b: 0x100 + b for b in range(256)}
-        self.cache = PieceCache(self._encode_many)
+        self.cache = PieceCache(self._encode_many, _PIECES)
         tokens = sorted(self.ranks, key=self.ranks.__getitem__)
         self.token_bytes = np.frombuffer(b"".join(tokens), np.uint8)
         self.token_len = np.array([len(t) for t in tokens], np.int64)
@@ -105,6 +108,17 @@ def codec(vocabulary: str, pattern: str) -> Codec:
     return Codec(vocabulary, pattern)
 
 
+def _steps(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``_TEXTS`` rows and about ``_CHARS`` characters."""
+    size = pa.compute.utf8_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
+    before = np.cumsum(size) - size
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, min(at + _TEXTS, int(np.searchsorted(before, before[at] + _CHARS))))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def _with(df: DataFrame, name: str, kind: T.DataType) -> tuple[T.StructType, list[str]]:
     kept = [f for f in df.schema.fields if f.name != name]
     return T.StructType([*kept, T.StructField(name, kind)]), [f.name for f in kept]
@@ -120,12 +134,12 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", out
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocabulary, pattern)
         for whole in batches:
-            for at in range(0, whole.num_rows, _TEXTS):
-                b = whole.slice(at, _TEXTS)
+            for b in _steps(whole, text):
                 parts = c.encode(b.column(text).to_pylist())
                 ends = np.cumsum([0] + [len(p) // 4 for p in parts], dtype=np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), "<i4")))
                 yield pa.RecordBatch.from_arrays([b.column(k) for k in kept] + [ids], names=[*kept, out])
+        c.cache.forget()  # a worker outlives its task
 
     return df.mapInArrow(run, schema)
 

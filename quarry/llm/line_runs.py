@@ -10,12 +10,14 @@ lines that reach it form an interval of that common prefix length in suffix
 order, and overlapping two ranks of a doubling level names it for any length.
 The union of these intervals' lines, taken from run starts and run ends, are
 the maximal repeated runs.  In document order the first copy of each stays;
-the lines of later copies are deleted.
+the lines of later copies are deleted, but for those in which a later copy
+overlaps the first.  Words are ``[^\\x20\\x09-\\x0D]+``.
 
 Documents stay, if need be with empty text; null texts stay null.  Blank lines
 stay.  Order is (doc_id, null first; hash of the text; line).  Rows with equal
 doc_id and text are one document and are treated alike.  Extra columns are
-passed through.
+passed through, whatever their names.  An empty table gives no rows.  The arrays
+of one text's lines are held whole by one task.
 """
 
 from __future__ import annotations
@@ -41,7 +43,7 @@ def _lines(docs: DataFrame) -> DataFrame:
     rows = docs.where(F.col("text").isNotNull()).select(
         F.coalesce("doc_id", F.lit(_NONE)).alias("d"), F.xxhash64("text").alias("t"), F.posexplode(solid).alias("idx", "line")
     )
-    words = F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1
+    words = F.regexp_count("line", F.lit(r"[^\x20\x09-\x0D]+"))
     return rows.select("d", "t", "idx", F.xxhash64("line").alias("ra"), F.xxhash64(F.lit(1), "line").alias("rb"), words.alias("w"))
 
 
@@ -157,7 +159,11 @@ def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         out = freeze(out, f"line-level{k}")
         named = out.where("len > 0").select("d", "t", "idx", "ra", "rb", "len")
         first = named.groupBy("len", "ra", "rb").agg(F.min(F.struct("d", "t", "idx")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        copies = named.join(first, ["len", "ra", "rb"]).where(F.struct("d", "t", "idx") > F.col("first")).select("d", "t", "idx", "len")
+        copies = named.join(first, ["len", "ra", "rb"]).where(F.struct("d", "t", "idx") > F.col("first"))
+        # a copy that overlaps the first one begins behind it
+        same = (F.col("d") == F.col("first.d")) & (F.col("t") == F.col("first.t"))
+        begin = F.when(same, F.greatest("idx", F.col("first.idx") + F.col("len"))).otherwise(F.col("idx"))
+        copies = copies.select("d", "t", begin.alias("idx"), (F.col("idx") + F.col("len") - begin).alias("len")).where("len > 0")
         later = copies if later is None else later.unionByName(copies)
         pairs = out.where("len = 0")
         ranks = _ranked(pairs, f"line-ranks{k + 1}")
@@ -173,12 +179,14 @@ def remove_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFr
     cut = repeated_windows(docs, min_words).select("d", "t", F.explode(F.sequence("idx", F.col("idx") + F.col("len") - 1)).alias("idx"))
     cut = cut.groupBy(F.col("d").alias("_d"), F.col("t").alias("_t")).agg(F.sort_array(F.collect_set("idx")).alias("_cut"))
     cut = freeze(cut, "line-cuts")
-    keyed = docs.withColumn("_kd", F.coalesce("doc_id", F.lit(_NONE))).withColumn("_kt", F.xxhash64("text"))
-    joined = keyed.join(cut, (F.col("_kd") == F.col("_d")) & (F.col("_kt") == F.col("_t")), "left")
+    # the table's own columns stay in a structure, so that their names cannot clash
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce("doc_id", F.lit(_NONE)).alias("_kd"), F.xxhash64("text").alias("_kt"))
+    # both sides are dealt by document at every size
+    joined = keyed.join(cut.hint("merge"), (F.col("_kd") == F.col("_d")) & (F.col("_kt") == F.col("_t")), "left")
     blank = F.lit(" \t\r\x0b\x0c")
     # lines with their numbers among the non-blank ones, folded once a document that loses lines
     kept = F.aggregate(
-        F.split("text", "\n"),
+        F.split(F.col("_row.text"), "\n"),
         F.struct(F.lit(0).alias("no"), F.array().cast("array<string>").alias("out")),
         lambda a, x: F.when(F.btrim(x, blank) == "", F.struct(a["no"].alias("no"), F.concat(a["out"], F.array(x)).alias("out"))).otherwise(
             F.struct(
@@ -188,7 +196,6 @@ def remove_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFr
         ),
         lambda a: a["out"],
     )
-    text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    out = joined.withColumn("_new", text)
-    cols = [F.col("_new").alias("text") if c == "text" else F.col(c) for c in docs.columns if c != "removed"]
-    return out.select(*cols, F.coalesce("_cut", F.array().cast("array<int>")).alias("removed"))
+    text = F.when(F.col("_cut").isNull(), F.col("_row.text")).otherwise(F.array_join(kept, "\n"))
+    cols = [text.alias("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns if c != "removed"]
+    return joined.select(*cols, F.coalesce("_cut", F.array().cast("array<int>")).alias("removed"))

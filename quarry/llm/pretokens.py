@@ -28,9 +28,13 @@ class PieceCache:
     ``limit`` pieces; a full one replaces the older, whose pieces come back when
     they are met again.  So a worker's memory is bounded."""
 
-    def __init__(self, encode_many: Callable[[list[str]], Iterable[bytes]], limit: int = 600_000):
+    def __init__(self, encode_many: Callable[[list[str]], Iterable[bytes]], limit: int = 600_000, whole: tuple[str, ...] = ()):
         self.encode_many = encode_many
         self.limit = limit
+        self.whole = whole  # texts with one of these go through undivided
+        self.forget()
+
+    def forget(self) -> None:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -60,7 +64,7 @@ class PieceCache:
         gaps: list[tuple[list, list[str], list[int]]] = []
         new: dict[str, bytes | None] = {}
         for text in texts:
-            if not text or not is_plain(text):
+            if not text or not is_plain(text) or any(w in text for w in self.whole):
                 parts.append([])
                 heads.append(text or "")
                 continue

@@ -101,7 +101,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(tokenizer)
         self.tokenizer.encode_special_tokens = special_as_text
         self.model = self.tokenizer.model
-        self.cache = PieceCache(self.encode_many)
+        added = [] if special_as_text else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.cache = PieceCache(self.encode_many, whole=tuple(added))
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """A space and letters are one match of the split pattern, so the model

@@ -31,10 +31,16 @@ def reference():
 @pytest.fixture(scope="module")
 def plain():
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return t
 
 
+def test_added_tokens_as_in_the_plain_call(plain):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y z", "<| endoftext |> <|endoftext|"]
+    coded = token_store.encoder(P.path("byte_bpe_50k.json")).encode(texts, 2)
+    assert np.frombuffer(coded[0], "<u4").tolist() == [64, 220, 50256, 275, 2]
+    assert [np.frombuffer(c, "<u4").tolist() for c in coded] == [[*plain.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+
+
 def test_codes_give_random_access():
     rng = np.random.default_rng(3)
     for ids in (rng.integers(0, 50_000, 3000), rng.integers(0, 1 << 31, 700), np.array([0]), np.array([255, 256, 65535, 65536, 2**32 - 1])):
