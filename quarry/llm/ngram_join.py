@@ -10,6 +10,9 @@ elements in hash order, the first k + f share f common ones at least, f(n) being
 half of ``100 - percent`` hundredths of n, plus one.  Among these the rarest
 k + f(n) - f(least partner) + 1 must hold a common one again: first elements by
 rarity, though only a seventh of the elements (at 90 percent) are ever counted.
+One more of them, and they hold two, if the least partner shares two of the
+first; so two classes of one element that nobody else has, and no other such
+element, do not link by it.
 Classes that share such an element, of sizes that the threshold lets meet (a set
 stands in two neighbouring size classes), may link.  The connected groups of
 this relation (or, if a group would fall into more than ``prefix_tree.MOST_BLOCKS`` blocks,
@@ -93,7 +96,8 @@ def _elements(classes: DataFrame) -> DataFrame:
 
 
 def shared_elements(classes: DataFrame, percent: int) -> DataFrame:
-    """node, n, e: the elements by which classes may link, of two classes or more."""
+    """node, n, e, sure: the elements by which classes may link, of two classes or
+    more; ``sure`` if partners share two of them at least."""
     rows = _elements(classes)
     often = rows.groupBy("e").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
     by_rarity = Window.partitionBy("node").orderBy("often", "e")  # at most a set's elements
@@ -102,15 +106,25 @@ def shared_elements(classes: DataFrame, percent: int) -> DataFrame:
     # k + f elements less f(least partner) - 1; those of one class alone, which are not here, come first
     least = F.ceil(F.col("n") * percent / 100)
     f_least = F.least(1 + F.floor(least * (100 - percent) / 200), F.ceil(least * percent / 100))
-    return ranked.join(classes.select("node", "n"), "node").where(F.col("_r") <= F.col("_c") + 1 - f_least).select("node", "n", "e")
+    sure = f_least > 1
+    take = F.col("_c") + 1 - f_least + sure.cast("int")
+    return ranked.join(classes.select("node", "n"), "node").where(F.col("_r") <= take).select("node", "n", "e", sure.alias("sure"))
 
 
 def link_classes(classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Links (a, b) of classes (node, n, part, doc_id and th of a text)."""
     step = F.floor(F.log(F.col("n").cast("double")) / (float(np.log(100 / percent)) if percent < 100 else 1e-9))
     sized = F.explode(F.array(step, step + 1)).alias("_s")
-    rows = shared_elements(classes, percent).select("node", "e", sized).select("node", F.xxhash64("e", "_s").alias("e"))
-    rows = freeze(rows, "ngram-shared")
+    rows = shared_elements(classes, percent).select("node", "e", "sure", sized).withColumn("key", F.xxhash64("e", "_s"))
+    rows = freeze(rows.select("node", "e", "key", "sure"), "ngram-shared")
+    keys = rows.groupBy("key").agg(
+        F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("c"), F.min("e").alias("e"), F.every("sure").alias("sure")
+    )
+    # a key of two classes counts if they share another element of their own, or one of more classes (which stays)
+    two = keys.where("c = 2 and sure")
+    again = two.groupBy("lo", "hi").agg((F.min("e") < F.max("e")).alias("again")).where("again").select("lo", "hi")
+    kept = keys.where("c > 2 or (c = 2 and not sure)").select("key").unionByName(two.join(again, ["lo", "hi"], "left_semi").select("key"))
+    rows = freeze(rows.join(kept, "key", "left_semi").select("node", F.col("key").alias("e")), "ngram-keys")
     groups = freeze(prefix_tree.groups_of(rows, classes.select("node", "n"), "ngram"), "ngram-groups")
     reps = freeze(groups.select("node").distinct().join(classes.select("node", "doc_id", "th"), "node"), "ngram-reps")
     full = full_sets(docs, reps, words, "ngram-sets")
