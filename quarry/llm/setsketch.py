@@ -175,7 +175,7 @@ def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
+    """doc_id, n_shingles, component_id, kept, text_hash for every row of ``docs``."""
     rows = freeze(sketch(docs, words), "near-sketches")
     one = rows.where(F.col("regs").isNotNull() & F.col("doc_id").isNotNull()).groupBy("h1", "h2")
     named = one.agg(F.min(F.struct("doc_id", "th", "n_shingles", "regs")).alias("rep")).select("h1", "h2", "rep.*")
@@ -206,6 +206,6 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     name = classes.select("h1", "h2", F.col("doc_id").alias("_own")).join(linked, ["h1", "h2"], "left")
     name = name.select("h1", "h2", F.coalesce("component_id", "_own").alias("_named"))
     component = F.when(F.col("regs").isNull(), F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("_named"))
-    return rows.join(name, ["h1", "h2"], "left").select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
-        "kept", F.col("component_id").eqNullSafe(F.col("doc_id"))
+    return rows.join(name, ["h1", "h2"], "left").select(
+        "doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), F.col("th").alias("text_hash")
     )
