@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and works on all its predecessor kept;
 all but the last return the columns of ``documents``.  :func:`run` writes each
 stage to the shared folder and rereads it.
 
-Null ids: the classifier judges them like others but cannot name them, so they
+Near-dedup drops a text of a doc_id, not the id's other texts.  Null ids: the classifier judges them like others but cannot name them, so they
 stay; near-dedup keeps them.  Documents that line dedup empties stay, empty.
 Repeated rows of one doc_id and text are judged alike.  Empty tables pass.
 """
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import bpe, kneser_ney, line_runs, mixing, setsketch
-from quarry.llm.common import freeze, select_docs
+from quarry.llm.common import BROADCAST_IDS, freeze, select_docs
 from quarry.session import configure_session
 from quarry.sources.tables import load
 
@@ -37,8 +37,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
     found = setsketch.near_duplicates(docs)
-    dropped = freeze(found.where(~F.col("kept")).select("doc_id").distinct(), "dropped")
-    return select_docs(docs, dropped, "left_anti").select(*docs.columns)
+    dropped = found.where(~F.col("kept")).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).distinct()
+    dropped = freeze(dropped, "dropped")
+    small = dropped.count() <= BROADCAST_IDS // 2  # 16 bytes a row
+    same = (docs["doc_id"] == F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_t"))
+    return docs.join(F.broadcast(dropped) if small else dropped, same, "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
