@@ -9,6 +9,9 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+ARROW_BATCH = "8m"  # of a batch that goes to Python
+
+
 def configure_session(spark: SparkSession) -> SparkSession:
     """Session settings every operator relies on.
 
@@ -20,6 +23,8 @@ def configure_session(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    # a Python worker and its executor hold a batch each: rows of long texts are many MB
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH)
     checkpoint_dir(spark)
     return spark
 
