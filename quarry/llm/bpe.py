@@ -24,6 +24,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from quarry.llm.common import lean
 from quarry.llm.pretokens import PieceCache
 
 _TEXTS = 256  # texts of an Arrow batch that are encoded together, at most
@@ -141,7 +142,7 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", out
                 yield pa.RecordBatch.from_arrays([b.column(k) for k in kept] + [ids], names=[*kept, out])
         c.cache.forget()  # a worker outlives its task
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def decode(df: DataFrame, vocabulary: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -160,4 +161,4 @@ def decode(df: DataFrame, vocabulary: str, pattern: str, ids: str = "ids", out:
                 done = pa.array([c.decode(flat[s:e]) for s, e in zip(starts, ends, strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column(k) for k in kept] + [done], names=[*kept, out])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)

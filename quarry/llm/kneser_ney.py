@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import BROADCAST_IDS, freeze
+from quarry.llm.common import BROADCAST_IDS, freeze, lean
 
 LOW, HIGH = 0.001, 0.999  # quantiles of the trusted documents, widened by:
 MARGIN = 0.02  # of the log perplexity
@@ -102,7 +102,7 @@ def count_grams(marked: DataFrame) -> DataFrame:
             gram, good = key[edge] >> 1, key[edge] & 1
             yield pd.DataFrame({"lang": lang, "gram": gram, "n": n, "c": n * good})
 
-    grams = marked.select("lang", "text", "trusted").mapInPandas(run, "lang string, gram long, n long, c long")
+    grams = marked.select("lang", "text", "trusted").mapInPandas(lean(run), "lang string, gram long, n long, c long")
     return grams.groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
 
 
@@ -195,7 +195,7 @@ def _sparse(marked: DataFrame) -> DataFrame:
             number += 1
             yield from rows
 
-    return marked.mapInPandas(run, "lang string, gram long, batch long, docs binary, counts binary")
+    return marked.mapInPandas(lean(run), "lang string, gram long, batch long, docs binary, counts binary")
 
 
 def perplexities(marked: DataFrame, scored: DataFrame) -> DataFrame:
@@ -252,7 +252,7 @@ def perplexities(marked: DataFrame, scored: DataFrame) -> DataFrame:
         return pd.DataFrame({"doc_id": doc, "lang": b["lang"].iloc[0], "n_grams": sizes, "n_types": types, "log_ppl": mean.astype("Float64"), "trusted": trusted == 1})
 
     met = _sparse(marked).join(scored, ["lang", "gram"], "left").select("lang", "gram", "batch", "docs", "counts", "logp")
-    sums = met.mapInPandas(partial, "batch long, lang string, head boolean, data binary")
+    sums = met.mapInPandas(lean(partial), "batch long, lang string, head boolean, data binary")
     return sums.groupBy("batch").applyInPandas(final, "doc_id long, lang string, n_grams long, n_types long, log_ppl double, trusted boolean")
 
 

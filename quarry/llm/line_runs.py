@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import freeze
+from quarry.llm.common import freeze, lean
 
 MIN_WORDS = 50
 _KEY = ["d", "t"]
@@ -147,14 +147,14 @@ def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     ranks = _ranked(lines.select("d", "t", "idx", "ra", "rb"), "line-ranks")
     rows = lines.join(ranks, ["ra", "rb"]).dropDuplicates(["d", "t", "idx"]).select("d", "t", "idx", "w", "rank")
     level = rows.repartition(*_KEY).sortWithinPartitions(*_KEY, "idx").mapInPandas(
-        _windows(min_words), "d long, t long, idx int, rank long, lens array<int>, need int"
+        lean(_windows(min_words)), "d long, t long, idx int, rank long, lens array<int>, need int"
     )
     level = freeze(level, "line-runs")
     later = None
     k = 0
     while True:
         out = level.repartition(*_KEY).sortWithinPartitions(*_KEY, "idx").mapInPandas(
-            _level(k), "d long, t long, idx int, lens array<int>, need int, ra long, rb long, len int"
+            lean(_level(k)), "d long, t long, idx int, lens array<int>, need int, ra long, rb long, len int"
         )
         out = freeze(out, f"line-level{k}")
         named = out.where("len > 0").select("d", "t", "idx", "ra", "rb", "len")

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm import prefix_tree
-from quarry.llm.common import freeze
+from quarry.llm.common import freeze, lean
 from quarry.llm.graph import components
 from quarry.llm.shingles import full_sets, shingles, text_steps
 
@@ -79,7 +79,7 @@ def prefixes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
                 yield made
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    return rows.mapInPandas(run, "doc_id long, th long, n long, h1 long, h2 long, part binary")
+    return rows.mapInPandas(lean(run), "doc_id long, th long, n long, h1 long, h2 long, part binary")
 
 
 def _elements(classes: DataFrame) -> DataFrame:
@@ -92,7 +92,7 @@ def _elements(classes: DataFrame) -> DataFrame:
                 m = np.array([len(x) // 8 for x in b["part"]], np.int64)
                 yield pd.DataFrame({"node": np.repeat(b["node"].to_numpy(), m), "e": np.frombuffer(b"".join(b["part"]), "<i8")})
 
-    return classes.select("node", "part").mapInPandas(run, "node long, e long")
+    return classes.select("node", "part").mapInPandas(lean(run), "node long, e long")
 
 
 def shared_elements(classes: DataFrame, percent: int) -> DataFrame:

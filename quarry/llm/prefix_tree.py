@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import freeze, whole_groups
+from quarry.llm.common import freeze, lean, whole_groups
 from quarry.llm.graph import components
 
 UNIT_ELEMENTS, UNIT_SETS = 1 << 20, 1024  # of a block, about
@@ -229,4 +229,4 @@ def join_groups(groups: DataFrame, sets: DataFrame, percent: int, name: str) ->
                     out += [(node[i], node[j]) for i, j in found]
             yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return full.select(*key, "side", "node", "label", "set").mapInPandas(run, "a long, b long")
+    return full.select(*key, "side", "node", "label", "set").mapInPandas(lean(run), "a long, b long")

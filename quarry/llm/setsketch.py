@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import prefix_tree
-from quarry.llm.common import freeze
+from quarry.llm.common import freeze, lean
 from quarry.llm.graph import components
 from quarry.llm.shingles import full_sets, shingles, text_steps
 
@@ -106,7 +106,7 @@ def sketch(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 yield frame
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    return rows.mapInPandas(run, "doc_id long, th long, n_shingles long, h1 long, h2 long, regs binary")
+    return rows.mapInPandas(lean(run), "doc_id long, th long, n_shingles long, h1 long, h2 long, regs binary")
 
 
 def _buckets(classes: DataFrame, percent: int) -> DataFrame:
@@ -131,7 +131,7 @@ def _buckets(classes: DataFrame, percent: int) -> DataFrame:
                     }
                 )
 
-    rows = classes.select("node", "n_shingles", "regs").mapInPandas(run, "band long, node long, size long")
+    rows = classes.select("node", "n_shingles", "regs").mapInPandas(lean(run), "band long, node long, size long")
     shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     rows = freeze(rows.join(shared, "band"), "near-bands")
     degree = rows.groupBy("node").agg(F.sum("n").alias("degree"))
@@ -155,7 +155,7 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
                 odds = overlap_odds((x > y).sum(axis=1), (x < y).sum(axis=1), *n, percent / 100)
                 yield b.loc[odds <= _ODDS, ["a", "b"]]
 
-    return both.mapInPandas(run, "a long, b long")
+    return both.mapInPandas(lean(run), "a long, b long")
 
 
 def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
@@ -171,7 +171,7 @@ def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
             yield b.loc[keep, ["a", "b"]]
 
     side = lambda x: full.select(F.col("node").alias(x), F.col("set").alias(f"s{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(run, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(lean(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from quarry.llm.common import freeze, select_texts
+from quarry.llm.common import freeze, lean, select_texts
 
 _P1, _P2, _29 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(29)
 _CHARS = 4 << 20  # of texts that one step of a task holds
@@ -48,4 +48,4 @@ def full_sets(docs: DataFrame, reps: DataFrame, words: int, name: str) -> DataFr
                 yield pd.DataFrame({"node": b["node"].to_numpy(), "n": [len(s) for s in sets], "set": [s.tobytes() for s in sets]})
 
     texts = select_texts(docs, reps.select("node", "doc_id", "th"))
-    return freeze(texts.mapInPandas(run, "node long, n long, set binary"), name)
+    return freeze(texts.mapInPandas(lean(run), "node long, n long, set binary"), name)
