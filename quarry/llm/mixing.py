@@ -1,39 +1,44 @@
-"""Mixing sources to target weights, DataFrame functions only.
+"""Mixing sources to target weights by Pfair scheduling, DataFrame functions only.
 
 A source's documents, in doc_id order, are cut into blocks of ``block_chars``
-characters.  Weights are parts of about 2^28.  Laid side by side, heaviest
-first, the sources form a binary tree by the bits of their middles.  Where two
-children have parts a and b, after n blocks the first has sent n * a / (a + b),
-rounded, and the second the others; so the place of block j of a child in its
-parent's sequence has a closed form in whole numbers, and one fold up the path
-of at most 30 nodes gives the slot of any block: exact weights, whatever the
-number of sources, and no cycle or global sequence that runs through one task.
-A node is at most half a block off its parent's share, and of the parent's own
-error it gets its share: after any t slots a source has sent t*w blocks, off by
-1/2 + w/w1 * (1/2 + w1/w2 * (1/2 + ...)) at most, w1, w2, ... the weights above
-it below the root.  That is under one block for up to three sources.
-:func:`cycle_slots` is the earliest-deadline-first schedule of a short cycle of
-whole parts, with Pfair's bound of one block; it takes a step a slot and source.
+characters.  Weights are whole parts of about 2^28 in all.  Block j of a source
+with share w of the parts is released at slot floor(j / w) and due by slot
+ceil((j + 1) / w); every slot takes the released block that is due first.  The
+shares add up to 1, so no slot is idle and no block is late, and after any t
+slots every source has sent t * w blocks, off by less than one, whatever the
+number of sources.
+
+The sequence of slots is cut into chunks.  What one chunk hands to the next is
+the number of blocks that each source has sent.  All chunks run at once from an
+assumed state: floor(t * w) blocks a source, and one more for those whose block
+in progress is due first.  A chunk whose assumed state is not what the chunk
+before it ends with runs again from that, until no state changes; the fixed
+point is the schedule from slot 0.  Two runs that start apart meet once the
+blocks they differ in are due, so few chunks run a third time.  A state has one
+number a source, so the sources, unlike blocks and chunks, must fit in a row.
 
 Every document comes out at least once; a source that ends early starts again
 (``epoch`` 1, 2, ...) until the last source has sent all its blocks.  Sources
 of weight 0 come once, after all others.
 
 A null source is a source of its own.  Documents without an id come first,
-equal ids by length.  Null texts have 0 characters.  Repeated rows stay.  An
-empty table gives an empty mixture.  Other columns are not read.
+equal ids by length.  Null texts have 0 characters.  A document longer than a
+block takes the slots of all blocks it fills and is listed at the first one.
+Repeated rows stay.  An empty table gives an empty mixture.  Other columns are
+not read.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import bucket_of, buckets_for, freeze, id_bounds
 
-BITS = 28
-PARTS = 1 << BITS  # of all weights, about
-_RUN = 4096  # sends of a source that one row lists
+PARTS = 1 << 28  # of all weights, about
+CHUNK = 1024  # slots a chunk has at least; four a source where that is more
 BLOCK_CHARS = 1 << 16
 TEMPER = 0.9  # default weights: share of characters to this power
 
@@ -77,68 +82,79 @@ def target_parts(placed: DataFrame, weights: dict[str | None, float] | None = No
     return sizes.crossJoin(F.broadcast(total)).select("_source", parts.cast("long").alias("parts"))
 
 
-def paths(parts: DataFrame) -> DataFrame:
-    """_source, parts, path: (a, b, second) of every node from the source up to
-    the root, where a and b are the parts of its children and ``second`` tells
-    on which side the source lies.  Nodes with one child are left out."""
-    before = F.sum("parts").over(Window.orderBy(F.col("parts").desc(), "_source"))  # one row a source
-    # twice the middle: different for any two sources, below 2 * (PARTS + sources)
-    placed = parts.where("parts > 0").select("_source", "parts", (2 * before - F.col("parts")).alias("_m"))
-    deep = BITS + 4
-    nodes = placed.select("_source", "parts", "_m", F.explode(F.sequence(F.lit(0), F.lit(deep - 1))).alias("_k"))
-    nodes = nodes.select("_source", "parts", "_k", F.expr("shiftright(_m, _k + 1)").alias("_node"), F.expr("shiftright(_m, _k) & 1").alias("_side"))
-    sums = nodes.groupBy("_k", "_node").agg(*[F.coalesce(F.sum(F.when(F.col("_side") == i, F.col("parts"))), F.lit(0)).alias(c) for i, c in enumerate("ab")])
-    split = nodes.join(sums.where("a > 0 and b > 0"), ["_k", "_node"])
-    step = F.struct("_k", "a", "b", (F.col("_side") == 1).alias("second"))
-    path = split.groupBy("_source").agg(F.sort_array(F.collect_list(step)).alias("path"))
-    empty = F.array().cast("array<struct<_k:int,a:bigint,b:bigint,second:boolean>>")
-    return parts.where("parts > 0").join(path, "_source", "left").select("_source", "parts", F.coalesce("path", empty).alias("path"))
-
-
-def slot_of(path: Column, j: Column) -> Column:
-    """Slot of block number j of the source with this path.  The first child's
-    n-th block is where n * a / (a + b), rounded, grows; the second's elsewhere."""
-    div = lambda x, y: F.call_function("div", x, y)
-
-    def up(at: Column, s: Column) -> Column:
-        odd = (2 * at + 1) * (s["a"] + s["b"])
-        return F.when(s["second"], div(odd, 2 * s["b"])).otherwise(div(odd + 2 * s["a"] - 1, 2 * s["a"]) - 1)
-
-    return F.aggregate(path, j.cast("bigint"), up)
-
-
-def cycle_slots(parts: DataFrame) -> DataFrame:
-    """source, parts, j, slot, cycle: the EDF schedule of one cycle.  The fold
-    runs over one row of W (about PARTS) slots, whatever the data's size, and
-    keeps the number of blocks that each source has sent."""
-    one = parts.agg(F.sum("parts").alias("cycle"), F.sort_array(F.collect_list(F.struct("_source", "parts"))).alias("sources"))
-    one = one.where(F.col("cycle").isNotNull()).withColumn("zeros", F.transform("sources", lambda s: F.lit(0)))
-
-    def earliest(state: Column, t: Column) -> Column:
-        def job(s: Column, i: Column) -> Column:
-            j = F.get(state["sent"], i)
-            due = F.ceil((j + 1) * F.col("cycle") / s["parts"])
-            released = (j < s["parts"]) & (F.floor(j * F.col("cycle") / s["parts"]) <= t)
-            return F.when(released, F.struct(due.alias("due"), i.alias("i"), j.alias("j")))
-
-        return F.array_min(F.transform(F.col("sources"), job))
-
-    def fill(state: Column, pick: Column) -> Column:
-        return F.struct(
-            F.transform(state["sent"], lambda n, i: F.when(i == pick["i"], n + 1).otherwise(n)).alias("sent"),
-            F.concat(state["out"], F.array(pick)).alias("out"),
-        )
-
-    kind = "array<struct<due:bigint,i:int,j:int>>"
-    start = F.struct(F.col("zeros").alias("sent"), F.array().cast(kind).alias("out"))
+def _div(a: Column, b: Column) -> Column:
+    return F.call_function("div", a, b)
 
-    def slot(state: Column, t: Column) -> Column:
-        return F.transform(F.array(earliest(state, t)), lambda pick: fill(state, pick))[0]
 
-    sent = F.aggregate(F.sequence(F.lit(0).cast("bigint"), F.col("cycle") - 1), start, slot, lambda s: s["out"])
-    return one.select("cycle", "sources", F.posexplode(sent).alias("slot", "x")).select(
-        F.col("sources")[F.col("x.i")]["_source"].alias("source"), F.col("sources")[F.col("x.i")]["parts"].alias("parts"), "x.j", "slot", "cycle"
+def _job(j: Column, i: Column) -> Column:
+    """Block j of source number i, in the order in which blocks are picked."""
+    parts = F.get("parts", i)
+    due = _div((j + 1) * F.col("all") + parts - 1, parts)
+    return F.struct(due.alias("due"), _div(j * F.col("all"), parts).alias("released"), i.alias("i"), j.alias("j"))
+
+
+def assumed_state(t: Column) -> Column:
+    """Blocks that each source may have sent before slot t: the whole ones, and
+    one more of the sources whose block in progress is due first."""
+    whole = F.transform("parts", lambda p: _div(t * p, F.col("all")))
+
+    def add(whole: Column) -> Column:
+        open_ = F.filter(F.transform(whole, _job), lambda x: F.pmod(t * F.get("parts", x["i"]), F.col("all")) > 0)
+        more = (t - F.aggregate(whole, F.lit(0).cast("bigint"), lambda a, n: a + n)).cast("int")
+        first = F.transform(F.slice(F.sort_array(open_), F.lit(1), more), lambda x: x["i"])
+        return F.transform(whole, lambda n, i: n + F.when(F.array_contains(first, i), 1).otherwise(0))
+
+    return F.transform(F.array(whole), add)[0]
+
+
+def _run_chunks(chunks: DataFrame) -> DataFrame:
+    """Earliest deadline first from ``sent``: ``picks`` (i, j) of every slot of
+    the chunk and ``end``, what each source has sent after it."""
+    kind = "array<struct<i:int,j:bigint>>"
+
+    def slot(state: Column, t: Column) -> Column:
+        def fill(pick: Column) -> Column:
+            jobs = F.transform(state["jobs"], lambda x: F.when(x["i"] == pick["i"], _job(x["j"] + 1, x["i"])).otherwise(x))
+            return F.struct(jobs.alias("jobs"), F.concat(state["picks"], F.array(F.struct(pick["i"], pick["j"])).cast(kind)).alias("picks"))
+
+        first = F.array_min(F.filter(state["jobs"], lambda x: x["released"] <= t))
+        return F.transform(F.array(first), fill)[0]
+
+    start = F.struct(F.transform("sent", _job).alias("jobs"), F.array().cast(kind).alias("picks"))
+    slots = F.sequence(F.col("chunk") * F.col("length"), (F.col("chunk") + 1) * F.col("length") - 1)
+    done = F.aggregate(slots, start, slot)
+    out = chunks.withColumn("_done", done)
+    return out.select("chunk", "sent", F.transform("_done.jobs", lambda x: x["j"]).alias("end"), "_done.picks")
+
+
+def schedule(parts: DataFrame, slots: int) -> DataFrame:
+    """_source, q, slot: which block of which source each of the first ``slots``
+    slots, or some more, sends.  ``parts``: _source, parts, all above 0."""
+    spark = parts.sparkSession
+    one = parts.groupBy().agg(F.sort_array(F.collect_list(F.struct("_source", "parts"))).alias("s"), F.sum("parts").alias("all"))
+    one = one.select(
+        F.transform("s", lambda x: x["_source"]).alias("names"),
+        F.transform("s", lambda x: x["parts"]).alias("parts"),
+        "all",
+        F.greatest(F.lit(CHUNK), 4 * F.size("s")).cast("bigint").alias("length"),
     )
+    one = F.broadcast(freeze(one, "mix-sources"))  # one row, one number a source
+    chunks = spark.range(-(-slots // CHUNK)).withColumnRenamed("id", "chunk").crossJoin(one).where(F.col("chunk") * F.col("length") < slots)
+    run = freeze(_run_chunks(chunks.withColumn("sent", assumed_state(F.col("chunk") * F.col("length")))), "mix-run")
+    runs, states = [run.withColumn("round", F.lit(0))], run.select("chunk", "sent", "end", F.lit(0).alias("round"))
+    while True:
+        before = states.select((F.col("chunk") + 1).alias("chunk"), F.col("end").alias("_true"))
+        wrong = states.join(before, "chunk").where(F.col("sent") != F.col("_true")).select("chunk", F.col("_true").alias("sent"))
+        run = freeze(_run_chunks(wrong.crossJoin(one)), "mix-run")
+        if run.isEmpty():
+            break
+        no = len(runs)
+        runs.append(run.withColumn("round", F.lit(no)))
+        new = run.select("chunk", "sent", "end", F.lit(no).alias("round"))
+        states = freeze(states.join(new, "chunk", "left_anti").unionByName(new), "mix-states")
+    every = reduce(DataFrame.unionByName, runs).join(states.select("chunk", "round"), ["chunk", "round"])
+    picks = every.crossJoin(one).select("names", (F.col("chunk") * F.col("length")).alias("_from"), F.posexplode("picks").alias("_at", "x"))
+    return picks.select(F.get("names", F.col("x.i")).alias("_source"), F.col("x.j").alias("q"), (F.col("_from") + F.col("_at")).alias("slot"))
 
 
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -147,23 +163,20 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_c
     placed = freeze(place_in_blocks(docs, block_chars), "mix-placed")
     parts = freeze(target_parts(placed, weights), "mix-parts")
     blocks = placed.groupBy("_source").agg((F.max("block") + 1).alias("blocks"))
-    plan = freeze(paths(parts).join(blocks, "_source"), "mix-paths")
-    # the slot after each source's last new block; the mixture ends after the latest
-    end = plan.agg(F.coalesce(F.max(slot_of(F.col("path"), F.col("blocks") - 1) + 1), F.lit(0).cast("bigint")).alias("end"), F.sum("parts").alias("all"))
-    # every sending of a block, number q of its source; no source is two blocks off, so two more are tried than its share of the slots
-    runs = plan.crossJoin(F.broadcast(end)).withColumn("most", F.ceil(F.col("end") * (F.col("parts") / F.col("all"))) + 2)
-    runs = runs.withColumn("run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.call_function("div", F.col("most"), F.lit(_RUN)))))
-    sends = (
-        runs.withColumn("q", F.explode(F.sequence(F.col("run") * _RUN, F.col("run") * _RUN + _RUN - 1)))
-        .where("q <= most")
-        .withColumn("slot", slot_of(F.col("path"), F.col("q")))
-        .where("slot < end")
-        .select("_source", F.pmod("q", "blocks").alias("block"), F.call_function("div", F.col("q"), F.col("blocks")).cast("int").alias("epoch"), "slot")
-    )
+    plan = freeze(parts.join(blocks, "_source"), "mix-plan")
+    some = plan.where("parts > 0")
+    total = some.agg(F.sum("parts").alias("all"))  # one row
+    # every source's last new block is due by then
+    last = some.crossJoin(F.broadcast(total)).agg(F.max(_div(F.col("blocks") * F.col("all") + F.col("parts") - 1, F.col("parts")))).first()[0] or 0
+    sends = freeze(schedule(some, last).join(some.select("_source", "blocks"), "_source"), "mix-sends")
+    end = sends.where(F.col("q") == F.col("blocks") - 1).agg(F.coalesce(F.max("slot") + 1, F.lit(0).cast("bigint")).alias("end"))
+    sends = sends.crossJoin(F.broadcast(end)).where("slot < end")
+    sends = sends.select("_source", F.pmod("q", "blocks").alias("block"), _div(F.col("q"), F.col("blocks")).cast("int").alias("epoch"), "slot")
     # sources of weight 0, one after the other
-    left = parts.where("parts = 0").join(blocks, "_source").crossJoin(F.broadcast(end))
-    first = F.sum("blocks").over(Window.orderBy("_source")) - F.col("blocks") + F.col("end")  # one row a source
-    left = left.select("_source", "blocks", first.alias("_first")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    left = plan.where("parts = 0").groupBy().agg(F.sort_array(F.collect_list(F.struct("_source", "blocks"))).alias("s")).crossJoin(F.broadcast(end))
+    before = lambda i: F.aggregate(F.slice("s", F.lit(1), i), F.col("end"), lambda a, x: a + x["blocks"])
+    left = left.select(F.explode(F.transform("s", lambda x, i: F.struct(x["_source"], x["blocks"], before(i).alias("_first")))).alias("x")).select("x.*")
+    left = left.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
     sends = sends.unionByName(left.select("_source", "block", F.lit(0).alias("epoch"), (F.col("_first") + F.col("block")).alias("slot")))
     source = F.when(F.col("_source") != "-", F.substr("_source", F.lit(2)))
     return placed.join(sends, ["_source", "block"]).select(

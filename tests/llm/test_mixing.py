@@ -1,5 +1,6 @@
 """Pfair mixing: bounds on every prefix, whole results."""
 
+import random
 from collections import Counter
 
 import pytest
@@ -10,26 +11,34 @@ from quarry.llm import mixing, queries
 SF = "/root/testdata/sf0.001"
 
 
-def plain_schedule(parts):
+def plain_schedule(parts, slots):
     """Earliest deadline first, slot by slot."""
-    total, sent, out = sum(parts.values()), dict.fromkeys(parts, 0), []
-    for t in range(total):
-        ready = [(-(-(sent[s] + 1) * total // p), s) for s, p in parts.items() if sent[s] < p and sent[s] * total // p <= t]
-        _, s = min(ready)
+    total, sent, out = sum(parts.values()), dict.fromkeys(sorted(parts), 0), []
+    for t in range(slots):
+        ready = [(-(-(n + 1) * total // parts[s]), n * total // parts[s], s) for s, n in sent.items() if n * total // parts[s] <= t]
+        s = min(ready)[2]
         out.append((s, sent[s]))
         sent[s] += 1
     return out
 
 
-@pytest.mark.parametrize("parts", [{"+a": 1}, {"+a": 3, "+b": 1, "-": 2}, {f"+s{i}": 1 + i * i % 17 for i in range(12)}])
-def test_cycle_is_edf_and_fair(spark, parts):
-    df = spark.createDataFrame(list(parts.items()), "_source string, parts int")
-    got = [(r["source"], r["j"]) for r in mixing.cycle_slots(df).orderBy("slot").collect()]
-    assert got == plain_schedule(parts)
-    total, sent = sum(parts.values()), Counter()
-    for t, (s, _) in enumerate(got, 1):
+def skewed(seed):
+    rng = random.Random(seed)
+    return [int(10 ** rng.uniform(0, 7)) + 1 for _ in range(40)]
+
+
+@pytest.mark.parametrize("sizes", [[1], [3, 1, 2], [1 + i * i % 17 for i in range(12)], [1, 10**6], [2**27, 2**26, 1], [7] * 33, skewed(4), skewed(5), [1000, *[1] * 300]])
+def test_schedule_is_edf_and_less_than_one_block_off(spark, sizes, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 64)  # many chunks, so assumed states are wrong and run again
+    parts = {f"+s{i:03}": p for i, p in enumerate(sizes)}
+    total, slots = sum(sizes), 2000
+    got = sorted((r["slot"], r["_source"], r["q"]) for r in mixing.schedule(spark.createDataFrame(list(parts.items()), "_source string, parts long"), slots).collect())
+    assert [t for t, _, _ in got] == list(range(len(got))) and len(got) >= slots
+    assert [(s, q) for _, s, q in got] == plain_schedule(parts, len(got))
+    sent = Counter()
+    for t, s, _ in got:
         sent[s] += 1
-        assert all(abs(sent[x] - t * p / total) < 1 for x, p in parts.items())
+        assert all(abs(sent[x] * total - (t + 1) * p) < total for x, p in parts.items())
 
 
 def fair(got, docs_in):
@@ -53,7 +62,7 @@ def test_mixture_is_whole(spark):
             by[slots[t]] += 1
     # blocks without a document (a long text spans several) leave empty slots; the others keep to the weights from above
     for s, p in (("web", 0.5), ("book", 1 / 3), (None, 1 / 6)):
-        assert by[s] < end * p + 1.5
+        assert by[s] < end * p + 1
 
 
 def test_default_weights_fill_every_prefix(spark):
@@ -90,6 +99,7 @@ def test_long_tail_keeps_the_weights(spark):
     tail, each = 600, 2
     table = [(i, "x" * 100, "hot") for i in range(tail * each // 2)] + [(10**6 + i, "x" * 100, f"s{i % tail}") for i in range(tail * each)]
     df = spark.createDataFrame(table, "doc_id long, text string, source string").repartition(4)
+    # weights are exact to 2^-28
     chars = {s: sum(100 for r in table if r[2] == s) for s in {r[2] for r in table}}
     total = sum(c**mixing.TEMPER for c in chars.values())
     true = {s: c**mixing.TEMPER / total for s, c in chars.items()}
@@ -101,7 +111,7 @@ def test_long_tail_keeps_the_weights(spark):
     for t, s in slots:
         sent[s] += 1
         if t % 37 == 0 or t == len(slots) - 1:
-            assert all(abs(sent[x] - (t + 1) * w) < 1.5 for x, w in true.items())
+            assert all(abs(sent[x] - (t + 1) * w) < 1 + 1e-4 for x, w in true.items())
 
 
 def test_small_and_missing_weights(spark):
@@ -113,20 +123,3 @@ def test_small_and_missing_weights(spark):
     n = len(slots) - 1  # d, left out, comes once, at the end
     assert sent["d"] == 1 and slots[-1][1] == "d" and sum(r["source"] == "d" for r in got) == 2
     assert sent["c"] == 2 and abs(sent["a"] - 0.6 * n) < 1 and abs(sent["b"] - 0.399 * n) < 1
-
-
-def test_slots_are_a_permutation_near_the_weights(spark):
-    import random
-
-    rng = random.Random(4)
-    for sizes in ([1, 10**6], [2**27, 2**26, 1], [int(10 ** rng.uniform(0, 7)) + 1 for _ in range(40)], [7] * 33):
-        parts = {f"+s{i:02}": p for i, p in enumerate(sizes)}
-        total = sum(sizes)
-        df = mixing.paths(spark.createDataFrame(list(parts.items()), "_source string, parts long"))
-        q = df.selectExpr("*", f"explode(sequence(0L, cast(ceil(2000D * parts / {total}) + 2 as bigint))) as q")
-        sends = sorted((r["slot"], r["_source"]) for r in q.select("_source", mixing.slot_of(q["path"], q["q"]).alias("slot")).where("slot < 2000").collect())
-        assert [t for t, _ in sends] == list(range(2000))
-        sent = Counter()
-        for t, s in sends:
-            sent[s] += 1
-            assert all(abs(sent[x] - (t + 1) * p / total) < (1 if len(sizes) <= 3 else 1.5) for x, p in parts.items())
