@@ -91,6 +91,15 @@ def examples(formatted: DataFrame) -> DataFrame:
     return formatted.select("conv_id", F.explode("examples").alias("e")).select("conv_id", "e.*")
 
 
+def with_examples(formatted: DataFrame, rows: DataFrame) -> DataFrame:
+    """``formatted`` with the examples that ``rows`` holds, in turn order;
+    conversations without one get an empty array."""
+    mine = rows.groupBy(F.col("conv_id").alias("_c")).agg(F.sort_array(F.collect_list(F.struct("turn_no", "context_end", "loss_end"))).alias("examples"))
+    both = formatted.select("conv_id", "formatted").join(mine, F.col("conv_id").eqNullSafe(F.col("_c")), "left")
+    none = F.array().cast("array<struct<turn_no:int,context_end:int,loss_end:int>>")
+    return both.select("conv_id", "formatted", F.coalesce("examples", none).alias("examples"))
+
+
 def example_texts(formatted: DataFrame) -> DataFrame:
     """Examples with their whole ``text``; loss on [context_end, loss_end)."""
     cut = formatted.select("conv_id", "formatted", F.explode("examples").alias("e"))

@@ -54,7 +54,9 @@ def op6_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(said).alias("text"),
     )
     turns = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    read = chat.parse(freeze(chat.format_conversations(turns), "chat"))
+    made = freeze(chat.format_conversations(turns), "chat")
+    examples = freeze(chat.examples(made), "chat-examples")  # one row an assistant turn
+    read = chat.parse(chat.with_examples(made, examples))
     return read.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),

@@ -42,7 +42,12 @@ def test_round_trip_and_loss(spark):
         reply = e["text"][e["context_end"] : e["loss_end"]]
         assert reply.replace("\\\\", "\0").replace("\\", "").replace("\0", "\\") == target
         assert e["text"].count("\n### ") + 1 >= no + 1 and e["text"].endswith(reply)
-    assert chat.examples(made).count() == len(texts)
+    rows = chat.examples(made)
+    assert rows.count() == len(texts)
+    again = {r["conv_id"]: r["loss"] for r in chat.parse(chat.with_examples(made, rows.repartition(5))).collect()}
+    assert again == {c: "".join(t for r, t in turns if r == "assistant") for c, turns in want.items()}
+    some = chat.parse(chat.with_examples(made, rows.where("turn_no <> 3 or conv_id is null"))).collect()
+    assert {r["conv_id"]: r["loss"] for r in some}[2] == ""  # a conversation without examples stays
 
 
 def test_empty(spark):
