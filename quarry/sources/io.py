@@ -6,6 +6,7 @@ import re
 import uuid
 from functools import reduce
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DateType, DecimalType, DoubleType, FloatType, MapType, StructType, TimestampNTZType, TimestampType
@@ -134,90 +135,55 @@ def dataset_retention(catalog: DataFrame, created_at: str, cutoff: str, days: in
 
 
 # ---------------------------------------------------------------- S11 ------
-# Statements, readers and reflection that a user SELECT may not name.
-FORBIDDEN_SQL = (
-    "copy attach install load pragma create insert update delete drop alter export import read_csv read_parquet read_json "
-    "merge truncate msck reflect java_method try_reflect"
-).split()
-
-_TOKEN = re.compile(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|--[^\n]*|/\*.*?\*/|\w+|\S", re.DOTALL)
-
-
-def checked_select(sql: str, view: str) -> str:
-    """The text with the relation ``dataset`` bound to ``view``; raises
-    ValueError unless it is one SELECT (or WITH) that reads nothing else than
-    ``dataset`` and its own common table expressions.  Literals are not touched."""
-    tokens = [(m.group(), m.start(), m.end()) for m in _TOKEN.finditer(sql)]
-    tokens = [t for t in tokens if not t[0].startswith(("--", "/*"))]
-    while tokens and tokens[-1][0] == ";":
-        tokens.pop()
-    words = [t[0].lower() for t in tokens]
-    if not words or words[0] not in ("select", "with"):
-        raise ValueError("only a SELECT may run")
-    bad = sorted({w for w in words if w in FORBIDDEN_SQL or w in (";", "`")})
-    if bad:
-        raise ValueError(f"not allowed in a SELECT: {', '.join(bad)}")
-    own = {words[i] for i in range(len(words) - 2) if words[i + 1] == "as" and words[i + 2] == "(" and words[i - 1] in ("with", ",", "recursive")}
-    out, at, depth, listing = [], 0, 0, {}
-    # a relation stands after FROM, JOIN or TABLE, or after a comma of that FROM list
-    closing = {"where", "group", "order", "having", "select", "union", "on", "using", "limit", "window", "lateral", "intersect", "except", "qualify"}
-    for i, (text, start, end) in enumerate(tokens):
-        w = words[i]
-        before = words[i - 1] if i else ""
-        relation = before in ("from", "join", "table") or (before == "," and listing.get(depth))
-        if w == "from" and words[max(i - 3, 0) : i].count("distinct"):
-            relation = False  # IS [NOT] DISTINCT FROM: followed by a value
-            listing.setdefault(depth, False)
-        elif w == "from":
-            listing[depth] = True
-        elif w in closing:
-            listing[depth] = False
-        if w == "(":
-            depth += 1
-            listing[depth] = False
-        elif w == ")":
-            depth -= 1
-        elif relation and before == "from" and words[max(i - 4, 0) : i - 1].count("distinct") and "is" in words[max(i - 4, 0) : i - 1]:
-            pass
-        elif relation and before == "from" and _inside_call(words, i):
-            pass  # EXTRACT(x FROM y), TRIM(x FROM y), SUBSTRING(x FROM y)
-        elif relation and w not in ("(", "lateral", "select"):
-            if w not in own | {"dataset"} or (i + 1 < len(words) and words[i + 1] in (".", "(")):
-                raise ValueError(f"only dataset may be read, not {text}")
-            if w == "dataset":
-                out += [sql[at:start], f"{view} AS dataset" if i + 1 >= len(words) or words[i + 1] not in ("as",) and not _alias(words, i + 1) else view]
-                at = end
-    last = tokens[-1][2]
-    return "".join(out) + sql[at:last]
-
-
-def _alias(words: list[str], i: int) -> bool:
-    """A plain word after a relation is its alias, unless it goes on with the query."""
-    follows = "where group order having join inner left right full cross on using limit union natural semi anti window intersect except lateral qualify tablesample offset".split()
-    return i < len(words) and re.fullmatch(r"[a-z_]\w*", words[i]) is not None and words[i] not in follows
-
-
-def _inside_call(words: list[str], i: int) -> bool:
-    """Whether the FROM before token i belongs to EXTRACT, TRIM or the like."""
-    depth = 0
-    for j in range(i - 2, -1, -1):
-        depth += (words[j] == ")") - (words[j] == "(")
-        if depth < 0:
-            return j > 0 and words[j - 1] in ("extract", "trim", "substring", "substr", "overlay", "position")
-    return False
+# Leaves that the analysed plan of a user SELECT may have where the
+# relation dataset is one row without a table, and nodes that it may not have.
+ALLOWED_LEAVES = ["OneRowRelation", "CTERelationRef", "UnionLoopRef"]
+REFUSED_NODES = ["ScriptTransformation", "CallMethodViaReflection", "TryReflect", "StaticInvoke", "PythonUDF"]
+
+
+def _check_plan(found: DataFrame) -> None:
+    """ValueError unless the analysed plan of ``found``, subqueries included,
+    reads nothing and calls no outside code."""
+    plan = found._jdf.queryExecution().analyzed()
+    below = plan.subqueriesAll()
+    for p in [plan, *[below.apply(i) for i in range(below.size())]]:
+        leaves = p.collectLeaves()
+        kinds = {leaves.apply(i).getClass().getSimpleName().rstrip("$") for i in range(leaves.size())}
+        if kinds - set(ALLOWED_LEAVES):
+            raise ValueError(f"only dataset may be read, not {', '.join(sorted(kinds - set(ALLOWED_LEAVES)))}")
+        # names of classes stand in quotes of their own, which a literal's text cannot hold
+        used = {name.rsplit(".", 1)[-1] for name in re.findall(r'(?<!\\)"class":"([\w.$]+)"', p.toJSON())}
+        if used & set(REFUSED_NODES):
+            raise ValueError(f"not allowed in a SELECT: {', '.join(sorted(used & set(REFUSED_NODES)))}")
 
 
 def guarded_select(df: DataFrame, sql: str, limit: int | None = None) -> DataFrame:
     """A user's SELECT over the relation ``dataset`` and nothing else.
-    The frame is bound as a uniquely named view for the time of analysis only;
-    all rows come back unless a ``limit`` is given."""
+
+    Spark analyses the text as a subquery, so it can only be one query, in a
+    session of its own that reads no files by path.  There ``dataset`` is first
+    an empty stand-in: whatever the plan then reads beside it is refused (other
+    tables, views, files, table functions).  The same text is then bound to the
+    frame.  The caller's session gets no view and no setting.  All rows come
+    back unless a ``limit`` is given."""
     spark = df.sparkSession
-    view = f"dataset_{uuid.uuid4().hex}"
-    text = checked_select(sql, view)
-    df.createOrReplaceTempView(view)
+    text = f"SELECT * FROM (\n{sql.strip().rstrip(';')}\n)"
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if key.startswith("spark.sql.") and own.conf.isModifiable(key):
+            own.conf.set(key, value)
+    own.conf.set("spark.sql.runSQLOnFiles", "false")
+    stand_in = own.sql("SELECT 1").select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema])
+    stand_in.createOrReplaceTempView("dataset")
+    try:
+        _check_plan(own.sql(text))
+    except PySparkException as e:
+        raise ValueError(f"only a SELECT over dataset may run: {e}") from e
+    name = f"dataset_{uuid.uuid4().hex}"
+    df.createGlobalTempView(name)
     try:
-        found = spark.sql(text)
-        found.schema  # noqa: B018  analysed while the view exists
+        own.table(f"global_temp.{name}").createOrReplaceTempView("dataset")
+        found = own.sql(text)
     finally:
-        spark.catalog.dropTempView(view)
+        spark.catalog.dropGlobalTempView(name)
     return found if limit is None else found.limit(max(1, int(limit)))

@@ -124,6 +124,8 @@ def test_long_case_names_stay_apart(spark):
 def test_guarded_select(spark):
     df = spark.createDataFrame([("dataset", 1), ("x", 2)], "source string, n int")
     spark.createDataFrame([("secret",)], "tok string").createOrReplaceTempView("other_tenant")
+    spark.createDataFrame([("secret",)], "tok string").createOrReplaceGlobalTempView("shared_secret")
+    spark.sql("CREATE TABLE IF NOT EXISTS saved_table USING parquet AS SELECT 1 AS id")
     before = spark.conf.get("spark.sql.runSQLOnFiles", None)
     ok = {
         "SELECT count(*) AS c FROM dataset WHERE source = 'dataset'": 1,
@@ -132,6 +134,9 @@ def test_guarded_select(spark):
         "SELECT sum(dataset.n) AS c FROM dataset JOIN (SELECT n FROM dataset) y ON dataset.n = y.n": 3,
         "SELECT max(extract(year FROM DATE '2024-01-01')) AS c FROM dataset -- drop": 2024,
         "SELECT count(*) AS c FROM dataset WHERE source IS DISTINCT FROM 'x'": 1,
+        "SELECT count(*) AS c FROM dataset WHERE n < (SELECT max(n) FROM dataset) OR source = '\"class\":\"a.PythonUDF\" reflect( other_tenant'": 1,
+        "SELECT trim(LEADING 'd' FROM source) AS c FROM dataset ORDER BY n LIMIT 1": "ataset",
+        "SELECT sum(y) AS c FROM dataset LATERAL VIEW explode(array(n, 10)) t AS y": 23,
     }
     for sql, want in ok.items():
         assert io.guarded_select(df, sql).first()["c"] == want, sql
@@ -145,13 +150,24 @@ def test_guarded_select(spark):
         "SELECT * FROM range(5)",
         "SELECT 1; SELECT 2",
         "DROP TABLE dataset",
+        "SELECT 1) UNION ALL (SELECT tok FROM other_tenant",
+        "SELECT (SELECT max(tok) FROM other_tenant) FROM dataset",
+        "SELECT * FROM dataset d WHERE EXISTS (WITH dataset AS (SELECT * FROM other_tenant) SELECT 1 FROM dataset)",
+        "SELECT tok FROM global_temp.shared_secret",
+        "SELECT id FROM saved_table",
+        "FROM dataset SELECT TRANSFORM(n) USING 'cat' AS (n)",
+        "SELECT n FROM dataset WHERE n = (SELECT reflect('java.lang.Math', 'abs', 1))",
+        "SELECT java_method('java.lang.Math', 'abs', n) FROM dataset",
+        "SELECT missing FROM dataset",
+        "INSERT INTO dataset SELECT * FROM dataset",
         "SELECT reflect('java.lang.System', 'exit', 1)",
         "",
     ):
         with pytest.raises(ValueError):
             io.guarded_select(df, sql)
     assert spark.conf.get("spark.sql.runSQLOnFiles", None) == before
-    assert not [t for t in spark.catalog.listTables() if t.name.startswith("dataset_")]
+    assert not [t for t in spark.catalog.listTables() + spark.catalog.listTables("global_temp") if t.name.startswith("dataset")]
+    spark.sql("DROP TABLE saved_table")
     many = spark.range(700).select(F.col("id").alias("n"))
     assert io.guarded_select(many, "SELECT n FROM dataset").count() == 700
 
