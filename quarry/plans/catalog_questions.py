@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quarry.operators import analysis as A
 from quarry.operators import profile as P
 from quarry.operators import questions as R
+from quarry.plans.catalog_profile import CUSTOMER_COLS, _types_sql
 from quarry.plans.registry import query
 from quarry.sources.views import Views
 
@@ -80,56 +81,52 @@ def r3_classify_aggregation(spark, sf_dir):
     return q.select("q_id", R.classify_aggregation("question", R.classify_goal("question")).alias("aggregation"))
 
 
-def _template_sql(saas: bool, sales: bool, pipe: bool) -> str:
-    q = _Q
-    b = lambda x: "TRUE" if x else "FALSE"
-    S, L, P = b(saas), b(sales), b(pipe)
-    a = lambda w: _any(q, w)
-    return f"""CASE WHEN {P} AND {a(['pipeline', '商机', '赢单', '加权'])} AND {a(['金额', '销售负责人', '负责人', '排序', '总'])} THEN 'pipeline_summary'
- WHEN {a(['账款', '逾期', '支付失败', '付款', '发票', '催收', '应收风险'])} AND ({a(['续约', '风险', '联动'])} OR NOT {S}) THEN 'payment_renewal_risk'
- WHEN {S} AND {a(['客户成功', '客户经理', '优先处理', '优先级'])} AND {a(['风险', 'mrr', '客户'])} THEN 'customer_success_priority'
- WHEN {S} AND {a(['获客渠道', '渠道复盘', '投放'])} AND {a(['mrr', '流失', '风险', '贡献', '加大'])} THEN 'channel_performance_risk'
- WHEN {S} AND contains({q}, '行业') AND {a(['市场', '重点', '谨慎', '适合', '选择'])} THEN 'industry_market_selection'
- WHEN {S} AND {a(['客户分层', '套餐', '客群', '群体'])} THEN 'segment_plan_strategy'
- WHEN {S} AND {a(['扩张', '收缩', '净变化', '变化', '对比'])} AND contains({q}, 'mrr') THEN 'expansion_contraction'
- WHEN {S} AND {a(['使用时长', '工单', 'nps', 'csat', '健康'])} AND {a(['关系', '相关', '风险', 'mrr'])} THEN 'health_signal_analysis'
- WHEN {L} AND (contains({q}, '经营总览') OR contains({q}, '已完成订单') OR contains({q}, '全部订单') OR (contains({q}, '总销售额') AND {a(['总利润', '整体利润率', '区分', '口径'])})) THEN 'sales_overview_status'
- WHEN {L} AND contains({q}, '订单状态') AND {a(['影响', '统计', '取消', '退货', '销售额', '利润'])} THEN 'order_status_impact'
- WHEN {L} AND {a(['集中度', 'pareto', '贡献', '主要销售额', '主要利润'])} THEN 'product_pareto'
- WHEN {L} AND contains({q}, '折扣') AND {a(['利润率', '异常', '关系', '负利润'])} THEN 'discount_profit_sensitivity'
- WHEN {L} AND contains({q}, '支付方式') AND {a(['结构', '贡献', '占比'])} THEN 'payment_mix'
- WHEN {L} AND {a(['渠道策略', '销售渠道', '哪个渠道'])} AND {a(['销售额', '利润率', '取消率', '退货率'])} THEN 'sales_channel_strategy' END"""
+def _template_sql() -> str:
+    rules = [
+        " AND ".join([{None: "TRUE"}.get(flag, (flag or "").replace("!", "NOT ")), *[_any(_Q, words) for words in groups]]) + f" THEN '{name}'"
+        for name, flag, groups in R.TEMPLATE_RULES
+    ]
+    return "CASE " + " ".join(f"WHEN {r}" for r in rules) + " END"
 
 
 _SUBS_COLS = ["row_key", "customer_id", "company", "month", "mrr", "renewal_risk", "manager", "payment_status", "invoice_amount", "overdue_days",
               "channel", "industry", "segment", "plan", "churn", "nps", "csat", "usage_hours", "active_users", "tickets", "sla_breaches"]
 
 
-@query("r4_classify_template", f"SELECT q_id, {_template_sql(**{'saas': True, 'sales': False, 'pipe': False})} AS template FROM v_q")
+@query(
+    "r4_classify_template",
+    f"""SELECT q_id, dataset, {_template_sql()} AS template FROM v_ask,
+ (VALUES ('subscriptions', TRUE, FALSE, FALSE), ('sales', FALSE, TRUE, FALSE), ('pipeline', FALSE, FALSE, TRUE)) AS f(dataset, has_saas, has_sales, has_pipeline)""",
+)
 def r4_classify_template(spark, sf_dir):
-    """Business template of every question against the v_subs dataset flags
-    (flags table joined to the questions)."""
+    """Business template of every question against three datasets (a flags row
+    for each, from its column names)."""
     v = Views(spark, sf_dir)
-    fl = R.dataset_flags(v.v_subs.columns)
-    flags = spark.createDataFrame([(fl["has_saas"], fl["has_sales"], fl["has_pipeline"])], "has_saas boolean, has_sales boolean, has_pipeline boolean")
-    j = v.v_q.crossJoin(F.broadcast(flags))
-    return j.select("q_id", R.classify_template("question", F.col("has_saas"), F.col("has_sales"), F.col("has_pipeline")).alias("template"))
+    datasets = {
+        "subscriptions": v.v_subs.columns,
+        "sales": v.v_sales.withColumnsRenamed({"status": "订单状态", "product": "商品名称"}).columns,
+        "pipeline": v.v_pipe.withColumnsRenamed({"amount": "商机金额", "stage": "销售阶段"}).columns,
+    }
+    rows = [(name, *[R.dataset_flags(cols)[k] for k in ("has_saas", "has_sales", "has_pipeline")]) for name, cols in datasets.items()]
+    flags = spark.createDataFrame(rows, "dataset string, has_saas boolean, has_sales boolean, has_pipeline boolean")
+    j = v.v_ask.crossJoin(F.broadcast(flags))  # one row a dataset
+    return j.select("q_id", "dataset", R.classify_template("question", F.col("has_saas"), F.col("has_sales"), F.col("has_pipeline")).alias("template"))
 
 
 _MONTH_RE2 = r"(1[0-2]|[1-9])\s*月"
 
 
-@query(
-    "r5_extract_periods",
-    f"""WITH m AS (SELECT q_id, question, regexp_extract_all(question, '{R.PERIOD_RE}|{_MONTH_RE2}') AS both_m, regexp_extract(question, '{R.YEAR_RE}', 1) AS yr,
+_R5_SQL = f"""WITH m AS (SELECT q_id, question, regexp_extract_all(question, '{R.PERIOD_RE}|{_MONTH_RE2}') AS both_m, regexp_extract(question, '{R.YEAR_RE}', 1) AS yr,
  len(regexp_extract_all(question, '{_MONTH_RE2}', 1)) AS n_months FROM v_q),
 p AS (SELECT q_id, pl FROM (SELECT q_id, list_filter(list_transform(both_m, lambda x: CASE WHEN regexp_extract(x, '{R.PERIOD_RE}', 1) <> ''
  THEN printf('%04d-%02d', CAST(regexp_extract(x, '{R.PERIOD_RE}', 1) AS INTEGER), CAST(regexp_extract(x, '{R.PERIOD_RE}', 2) AS INTEGER))
  WHEN yr <> '' AND n_months >= 2 THEN printf('%04d-%02d', CAST(yr AS INTEGER), CAST(regexp_extract(x, '{_MONTH_RE2}', 1) AS INTEGER)) END), lambda y: y IS NOT NULL) AS pl FROM m)),
 d AS (SELECT q_id, list_filter(pl, lambda x, i: list_position(pl, x) = i) AS list_distinct_ordered FROM p)
 SELECT q_id, array_to_string(list_distinct_ordered, '|') AS periods, CASE WHEN len(list_distinct_ordered) >= 2 THEN list_distinct_ordered[1] END AS start_period,
- CASE WHEN len(list_distinct_ordered) >= 2 THEN list_distinct_ordered[-1] END AS end_period FROM d""",
-)
+ CASE WHEN len(list_distinct_ordered) >= 2 THEN list_distinct_ordered[-1] END AS end_period FROM d"""
+
+
+@query("r5_extract_periods", _R5_SQL)
 def r5_extract_periods(spark, sf_dir):
     """Year-month mentions of every question."""
     q = Views(spark, sf_dir).v_q
@@ -137,6 +134,14 @@ def r5_extract_periods(spark, sf_dir):
     return p.select("q_id", F.array_join("p.periods", "|").alias("periods"), "p.start_period", "p.end_period")
 
 
+@query("r5_extract_periods_ask", _R5_SQL.replace("v_q", "v_ask"))
+def r5_extract_periods_ask(spark, sf_dir):
+    """Year-month mentions of business questions: two months of one year, with
+    start and end, single months, and none."""
+    p = Views(spark, sf_dir).v_ask.select("q_id", R.extract_periods("question").alias("p"))
+    return p.select("q_id", F.array_join("p.periods", "|").alias("periods"), "p.start_period", "p.end_period")
+
+
 @query(
     "r6_extract_month",
     "SELECT q_id, CASE WHEN regexp_extract(question, '" + _MONTH_RE2 + "', 1) <> '' THEN CAST(regexp_extract(question, '" + _MONTH_RE2 + "', 1) AS INTEGER) "
@@ -160,10 +165,6 @@ def r7_split_questions(spark, sf_dir):
     return q.select("q_id", F.posexplode(R.split_questions("question")).alias("pos", "part"))
 
 
-def _catalog(v):
-    return list(dict.fromkeys(v.v_sales.columns + v.v_subs.columns))
-
-
 def _r8_sql() -> str:
     cols = list(dict.fromkeys(
         ["order_id", "line_no", "order_date", "city", "category", "product", "status", "quantity", "unit_price", "discount_rate", "sales", "cost",
@@ -202,63 +203,99 @@ def r9_link_values(spark, sf_dir):
     return R.link_values(v.v_q, "q_id", "question", known, ["n_name"])
 
 
-@query(
-    "r10_metric_notes",
+_R10_SQL = (
     "SELECT q_id, m.name AS metric FROM (SELECT q_id, unnest(list_filter(["
     + ", ".join("{'name': " + _lit(n) + ", 'aliases': [" + ", ".join(_lit(a.lower()) for a in al) + "]}" for n, al, _, _ in R.METRICS)
-    + "], lambda m: list_bool_or(list_transform(m.aliases, lambda a: contains(lower(coalesce(question, '')), a))))) AS m FROM v_q)",
+    + "], lambda m: list_bool_or(list_transform(m.aliases, lambda a: contains(lower(coalesce(question, '')), a))))) AS m FROM v_q)"
 )
+
+
+@query("r10_metric_notes", _R10_SQL)
 def r10_metric_notes(spark, sf_dir):
     """Registry metrics mentioned by each question."""
     q = Views(spark, sf_dir).v_q
     return q.select("q_id", F.explode(R.metric_notes(F.col("question"))).alias("metric"))
 
 
+@query("r10_metric_notes_ask", _R10_SQL.replace("v_q", "v_ask"))
+def r10_metric_notes_ask(spark, sf_dir):
+    """Registry metrics mentioned by each business question (all nine)."""
+    q = Views(spark, sf_dir).v_ask
+    return q.select("q_id", F.explode(R.metric_notes(F.col("question"))).alias("metric"))
+
+
+# places in name order; the first one in the question counts
+_PLACES_SQL = """p AS (SELECT name, row_number() OVER (ORDER BY name) AS pos FROM (SELECT n_name AS name FROM nation UNION SELECT r_name FROM region)),
+h AS (SELECT q_id, arg_min(name, pos) AS city FROM v_ask, p WHERE regexp_matches(lower(question), CASE WHEN regexp_matches(lower(name), '^[a-z0-9_.-]+$')
+ THEN '(^|[^a-z0-9_])' || lower(name) || '([^a-z0-9_]|$)' ELSE lower(name) END) GROUP BY q_id)"""
+
+
+def _places(v):
+    """Nation and region names, numbered in name order (a few dozen rows)."""
+    names = v.nation.select(F.col("n_name").alias("value")).union(v.region.select("r_name")).distinct()
+    one = names.agg(F.array_sort(F.collect_list("value")).alias("_all"))
+    return one.select(F.posexplode("_all").alias("pos", "value"))
+
+
+def _geo_column(columns):
+    return next((c for w in R.GEO_WORDS for c in columns if w in c.lower()), None)
+
+
+@query("r11_missing_value_check", f"WITH {_PLACES_SQL} SELECT q_id, city, 'no_geo_column' AS issue FROM h")
+def r11_missing_value_check(spark, sf_dir):
+    """Places asked for on the customer table, which has no geo column."""
+    v = Views(spark, sf_dir)
+    return R.missing_value_check(v.v_ask, "q_id", "question", _places(v), _geo_column(v.customer.columns))
+
+
 @query(
-    "r11_missing_value_check",
-    """WITH c AS (SELECT list_sort(list(n_name)) AS cities FROM nation)
-SELECT q_id, city, issue FROM (SELECT q_id, list_filter(cities, lambda x: contains(question, x))[1] AS city, CASE WHEN list_filter(cities, lambda x: contains(question, x))[1] IS NOT NULL THEN 'no_geo_column' END AS issue FROM v_q, c)
-WHERE issue IS NOT NULL""",
+    "r11_missing_value_check_region",
+    f"WITH {_PLACES_SQL} SELECT q_id, city, 'value_not_found' AS issue FROM h WHERE lower(city) NOT IN (SELECT lower(r_name) FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)",
 )
-def r11_missing_value_check(spark, sf_dir):
-    """Nation names asked for on the customer table, which has no geo column."""
+def r11_missing_value_check_region(spark, sf_dir):
+    """Places asked for on the suppliers by region: regions are there, nations not."""
     v = Views(spark, sf_dir)
-    cities = v.nation.agg(F.array_sort(F.collect_list("n_name")).alias("cities"))
-    geo = next((c for w in R.GEO_WORDS for c in v.customer.columns if w in c.lower()), None)
-    j = v.v_q.crossJoin(F.broadcast(cities))
-    chk = R.missing_value_check("question", geo, F.array().cast("array<string>"), F.lit(0), F.col("cities"))
-    return j.select("q_id", chk.alias("c")).select("q_id", "c.city", "c.issue").where(F.col("issue").isNotNull())
+    suppliers = v.supplier.join(v.nation, F.col("s_nationkey") == F.col("n_nationkey")).join(v.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    suppliers = suppliers.select("s_suppkey", F.col("r_name").alias("region"))
+    geo = _geo_column(suppliers.columns)
+    return R.missing_value_check(v.v_ask, "q_id", "question", _places(v), geo, P.known_values(suppliers, [geo]))
 
 
 @query(
     "r12_missing_role_check",
-    f"""SELECT q_id, 'unanswerable_missing_product_name' AS issue FROM v_q WHERE ({_goal_sql()}) = 'top_records'
- AND {_any(_Q, [w.lower() for w in R.PRODUCT_NAME_ASK])}""",
+    f"""SELECT q_id, CASE WHEN ({_goal_sql()}) = 'top_records' AND {_any(_Q, [w.lower() for w in R.PRODUCT_NAME_ASK])} THEN 'unanswerable_missing_product_name' END AS issue FROM v_ask""",
 )
 def r12_missing_role_check(spark, sf_dir):
-    """Top-records questions asking for a product name on customer (none)."""
+    """Top-records questions asking for a product name on customer, which has
+    none; the others have no issue."""
     v = Views(spark, sf_dir)
     chk = R.missing_role_check("question", R.classify_goal("question"), v.customer.columns)
-    return v.v_q.select("q_id", chk.alias("issue")).where(F.col("issue").isNotNull())
+    return v.v_ask.select("q_id", chk.alias("issue"))
 
 
-_CUST_COLS = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
+_CUST_COLS = [c for c, _ in CUSTOMER_COLS]
 
 
 @query(
     "r13_needs_clarification",
-    f"""WITH g AS (SELECT q_id, question, {_goal_sql()} AS goal FROM v_q)
-SELECT q_id, goal = 'time_trend' AS needs_clarification, CASE WHEN goal = 'time_trend' THEN 'clarification' ELSE goal END AS analysis_goal,
- CASE WHEN len(list_filter([{', '.join(_lit(c) for c in _CUST_COLS)}], lambda c: contains(lower(question), lower(c)))) > 0 THEN CAST(0.65 AS DOUBLE) ELSE CAST(0.45 AS DOUBLE) END AS confidence FROM g""",
+    f"""WITH t AS (SELECT count_if(logical_type = 'numeric') AS nn, count_if(logical_type = 'categorical') AS nc, count_if(logical_type = 'datetime') AS nd FROM ({_types_sql('customer', CUSTOMER_COLS, 'c_custkey')})),
+g AS (SELECT q_id, question, {_goal_sql()} AS goal FROM v_ask),
+n AS (SELECT *, (goal = 'correlation' AND nn < 2) OR (goal IN ('group_aggregate', 'count_by_dimension', 'top_records', 'market_recommendation') AND nc = 0)
+ OR (goal IN ('group_aggregate', 'distribution', 'outlier', 'top_records', 'market_recommendation', 'mrr_snapshot_vs_cumulative', 'risk_customer_ranking', 'describe') AND nn = 0)
+ OR (goal = 'time_trend' AND (nd = 0 OR nn = 0)) AS need FROM g, t)
+SELECT q_id, need AS needs_clarification, CASE WHEN need THEN 'clarification' ELSE goal END AS analysis_goal,
+ CASE WHEN len(list_filter([{', '.join(_lit(c) for c in _CUST_COLS)}], lambda c: contains(lower(question), lower(c)))) > 0 THEN CAST(0.65 AS DOUBLE) ELSE CAST(0.45 AS DOUBLE) END AS confidence FROM n""",
 )
 def r13_needs_clarification(spark, sf_dir):
-    """Clarification need of each question against the customer profile
-    (3 numeric, 2 categorical, 0 datetime columns → trends need a time field)."""
+    """Clarification need of each question against the customer table's P2
+    rows: it has no time column, so trends lack one."""
     v = Views(spark, sf_dir)
+    roles = R.role_counts(P.logical_types(v.customer, ["c_custkey"]))  # one row
     goal = R.classify_goal("question")
     mentioned = R.link_columns("question", v.customer.columns)
-    chk = R.needs_clarification(goal, mentioned, 3, 2, 0)
-    return v.v_q.select("q_id", chk.alias("c")).select("q_id", "c.needs_clarification", "c.analysis_goal", "c.confidence")
+    chk = R.needs_clarification(goal, mentioned, F.col("n_numeric"), F.col("n_categorical"), F.col("n_datetime"))
+    asked = v.v_ask.crossJoin(F.broadcast(roles))
+    return asked.select("q_id", chk.alias("c")).select("q_id", "c.needs_clarification", "c.analysis_goal", "c.confidence")
 
 
 @query(

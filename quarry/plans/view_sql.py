@@ -37,6 +37,13 @@ FROM events""",
  WHEN 1 THEN concat('Predict next month for ', n_name) WHEN 2 THEN concat('top customer name in ', n_name) WHEN 3 THEN 'Does price cause churn?'
  WHEN 4 THEN concat('数据质量有哪些明显问题？', n_name, '的总金额；', CAST(year(o_orderdate) AS VARCHAR(4)), '年3月趋势') WHEN 5 THEN 'hello' WHEN 6 THEN 'correlation of price and quantity' ELSE concat('count orders by status in ', n_name) END AS question
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""",
+    "v_ask": """SELECT q_id, CASE q_id % 16 WHEN 0 THEN n_name || '的续约和账款逾期风险怎样联动' WHEN 1 THEN '各客户分层和套餐的MRR' WHEN 2 THEN '客户成功应优先处理哪些高风险客户，' || r_name
+ WHEN 3 THEN n_name || '的获客渠道投放贡献复盘' WHEN 4 THEN '哪些行业适合重点拓展，' || r_name || '市场' WHEN 5 THEN y || '年' || m || '月和' || (13 - m) || '月MRR扩张收缩对比'
+ WHEN 6 THEN 'NPS、CSAT和工单与风险有什么关系' WHEN 7 THEN '已完成订单经营总览，' || y || '-' || m || '，满意度' WHEN 8 THEN '订单状态对销售额的影响；利润最高的商品名称是什么，' || n_name
+ WHEN 9 THEN '主要利润的集中度 Pareto' WHEN 10 THEN '折扣与利润率的关系' WHEN 11 THEN '支付方式的结构占比' WHEN 12 THEN '销售渠道的退货率和复购率，流失率'
+ WHEN 13 THEN 'pipeline 商机总金额按负责人排序' WHEN 14 THEN 'top product name by c_acctbal in ' || r_name ELSE 'monthly trend of c_acctbal in ' || n_name || ' ' || y || '/' || m END AS question
+FROM (SELECT o_orderkey AS q_id, n_name, r_name, year(o_orderdate) AS y, month(o_orderdate) AS m FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+ JOIN region ON n_regionkey = r_regionkey)""",
     "v_dirty": """SELECT * FROM (WITH base AS (SELECT o_orderkey AS order_id, o_custkey AS customer_id, CAST(date_trunc('month', o_orderdate) AS DATE) AS month,
  CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderpriority END AS priority, CASE WHEN o_orderkey % 29 = 0 THEN -o_totalprice ELSE o_totalprice END AS mrr,
  CAST(1 + o_orderkey % 10 AS DOUBLE) AS quantity, CAST(5 + o_orderkey % 20 AS DOUBLE) AS unit_price,

@@ -9,6 +9,8 @@ are in :mod:`quarry.plans.view_sql`.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -156,6 +158,36 @@ def v_q(t: Tables) -> DataFrame:
     return j.select(F.col("o_orderkey").alias("q_id"), question.alias("question"))
 
 
+def v_ask(t: Tables) -> DataFrame:
+    """One business question an order: every template, role and place rule of
+    R4, R5, R10-R13 meets questions that it takes and questions that it does not."""
+    o, c, n, r = t.orders, t.customer, t.nation, t.region
+    j = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
+    nation, region = F.col("n_name"), F.col("r_name")
+    year, month = F.year("o_orderdate").cast("string"), F.month("o_orderdate")
+    asks = [
+        F.concat(nation, F.lit("的续约和账款逾期风险怎样联动")),
+        F.lit("各客户分层和套餐的MRR"),
+        F.concat(F.lit("客户成功应优先处理哪些高风险客户，"), region),
+        F.concat(nation, F.lit("的获客渠道投放贡献复盘")),
+        F.concat(F.lit("哪些行业适合重点拓展，"), region, F.lit("市场")),
+        F.concat(year, F.lit("年"), month.cast("string"), F.lit("月和"), (13 - month).cast("string"), F.lit("月MRR扩张收缩对比")),
+        F.lit("NPS、CSAT和工单与风险有什么关系"),
+        F.concat(F.lit("已完成订单经营总览，"), year, F.lit("-"), month.cast("string"), F.lit("，满意度")),
+        F.concat(F.lit("订单状态对销售额的影响；利润最高的商品名称是什么，"), nation),
+        F.lit("主要利润的集中度 Pareto"),
+        F.lit("折扣与利润率的关系"),
+        F.lit("支付方式的结构占比"),
+        F.lit("销售渠道的退货率和复购率，流失率"),
+        F.lit("pipeline 商机总金额按负责人排序"),
+        F.concat(F.lit("top product name by c_acctbal in "), region),
+        F.concat(F.lit("monthly trend of c_acctbal in "), nation, F.lit(" "), year, F.lit("/"), month.cast("string")),
+    ]
+    which = F.col("o_orderkey") % len(asks)
+    question = reduce(lambda done, i: done.when(which == i, asks[i]), range(1, len(asks)), F.when(which == 0, asks[0]))
+    return j.select(F.col("o_orderkey").alias("q_id"), question.alias("question"))
+
+
 def v_dirty(t: Tables) -> DataFrame:
     o = t.orders
     k = F.col("o_orderkey")
@@ -193,6 +225,7 @@ VIEWS = {
     "v_log": v_log,
     "v_tok": v_tok,
     "v_q": v_q,
+    "v_ask": v_ask,
     "v_dirty": v_dirty,
 }
 

@@ -152,3 +152,31 @@ def test_multiple_periods():
     assert start_end_periods(["2025-12", "2025-11"]) == ("2025-11-01", "2025-12-01")
     assert start_end_periods(["2025-11"]) == ("2025-11-01", None)
     assert start_end_periods(["2025-11", "2025-12"], end="2026-01") == ("2025-11-01", "2026-01-01")
+
+
+def test_question_rules_meet_questions_on_both_sides(spark):
+    """The registered inputs make every rule decide both ways."""
+    import __spark_entry__ as E
+
+    run = lambda name: E.queries()[name](spark, "/root/testdata/sf0.001")
+    from quarry.operators import questions as R
+
+    templates = {r["template"] for r in run("r4_classify_template").select("template").distinct().collect()}
+    assert templates == {name for name, _, _ in R.TEMPLATE_RULES} | {None}
+    assert {r[0] for r in run("r10_metric_notes_ask").select("metric").distinct().collect()} == {name for name, *_ in R.METRICS}
+    assert run("r12_missing_role_check").select("issue").distinct().count() == 2
+    assert run("r13_needs_clarification").select("needs_clarification").distinct().count() == 2
+    assert 0 < run("r11_missing_value_check_region").count() < run("r11_missing_value_check").count()
+    assert {r[0] is None for r in run("r5_extract_periods_ask").select("start_period").distinct().collect()} == {True, False}
+
+
+def test_place_checks(spark):
+    from quarry.operators import questions as R
+
+    asks = spark.createDataFrame([(1, "上海和北京的市场"), (2, "北京"), (3, "没有"), (4, None), (5, "Xian"), (6, "xians")], "q_id long, question string")
+    places = spark.createDataFrame([("北京", 1), ("上海", 0), ("xian", 2)], "value string, pos int")
+    got = {r["q_id"]: (r["city"], r["issue"]) for r in R.missing_value_check(asks, "q_id", "question", places, None).collect()}
+    assert got == {1: ("上海", "no_geo_column"), 2: ("北京", "no_geo_column"), 5: ("xian", "no_geo_column")}
+    known = spark.createDataFrame([("城市", "上海"), ("城市", "XIAN"), ("other", "北京")], "column string, value string")
+    got = R.missing_value_check(asks, "q_id", "question", places, "城市", known).collect()
+    assert [(r["q_id"], r["city"], r["issue"]) for r in got] == [(2, "北京", "value_not_found")]
