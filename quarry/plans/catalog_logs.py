@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators import logs as O
@@ -104,6 +107,29 @@ def o8_payload_metrics(spark, sf_dir):
     return O.payload_metrics(p, "url", "html").select("page_id", "input_chars", "output_chars", "output_bytes", "output_rows")
 
 
+# a task payload for every turn: two result tables, a preview, a profile and a report
+def _payload(cat: str, num: str) -> str:
+    parts = [
+        """'{"task":'""", num.format("conv_id"), """',"dataset_preview":['""", "repeat('{\"a\":1},', CAST(conv_id % 3 AS INT))",
+        """'{"a":2}],"profile":{"row_count":'""", num.format("conv_id * 10"), """',"column_count":2,"columns":[{"name":"a","dtype":"int"},{"name":"b"}]},"execution_result":{"kind":"table","source":"sql","tables":[{"name":"t1","rows":['""",
+        "repeat('\"r\",', CAST(turn AS INT))", """'"r"]},{"name":"t2","rows":[]}]},"report_markdown":"'""", "repeat('x', CAST(conv_id % 700 AS INT))", """'"}'""",
+    ]
+    return f" {cat} ".join(parts)
+
+
+_PAYLOAD = _payload("||", "CAST({} AS VARCHAR)")
+
+
+@query(
+    "o8_payload_metrics_json",
+    f"SELECT conv_id, turn, length(text) AS input_chars, length(p) AS output_chars, octet_length(encode(p)) AS output_bytes, CAST(turn + 1 AS INTEGER) AS output_rows FROM (SELECT *, {_PAYLOAD} AS p FROM conversations)",
+)
+def o8_payload_metrics_json(spark, sf_dir):
+    """The same of result payloads, one a conversation turn, with their result rows."""
+    c = Views(spark, sf_dir).conversations.withColumn("payload", F.expr(_payload("||", "CAST({} AS STRING)")))
+    return O.payload_metrics(c, "text", "payload").select("conv_id", "turn", "input_chars", "output_chars", "output_bytes", "output_rows")
+
+
 @query("o9_trace_listing", "SELECT * FROM v_log WHERE task_id = 21 ORDER BY ts, sequence_id")
 def o9_trace_listing(spark, sf_dir):
     """Events of task 21 by time."""
@@ -180,6 +206,30 @@ def o15_log_retention_deleted(spark, sf_dir):
     return O.log_retention_cascade(v.v_log, _tasks(v), "2024-02-05 00:00:00", 7)[1]
 
 
+@query(
+    "o15_log_retention_children",
+    f"""WITH {_TASKS_SQL}, gone AS ({_EXPIRED})
+SELECT 'token_usage' AS child, count(*) AS kept_rows, count(DISTINCT task_id) AS kept_tasks FROM v_tok WHERE task_id NOT IN (SELECT task_id FROM gone)
+UNION ALL SELECT 'payload_metrics', count(*), count(DISTINCT task_id) FROM v_log WHERE payload IS NOT NULL AND task_id NOT IN (SELECT task_id FROM gone)
+UNION ALL SELECT 'spans', count(*), count(DISTINCT task_id) FROM v_log WHERE event_type = 'node_completed' AND task_id NOT IN (SELECT task_id FROM gone)""",
+)
+def o15_log_retention_children(spark, sf_dir):
+    """What the cascade keeps of token usage, payload metrics and spans."""
+    v = Views(spark, sf_dir)
+    log = v.v_log
+    children = {
+        "token_usage": v.v_tok,
+        "payload_metrics": O.payload_metrics(log.where(F.col("payload").isNotNull()), None, "payload"),
+        "spans": log.where(F.col("event_type") == "node_completed"),
+    }
+    _, _, kept = O.log_retention_cascade(log, _tasks(v), "2024-02-05 00:00:00", 7, children)
+    counted = [
+        rows.agg(F.count(F.lit(1)).alias("kept_rows"), F.countDistinct("task_id").alias("kept_tasks")).select(F.lit(name).alias("child"), "kept_rows", "kept_tasks")
+        for name, rows in kept.items()
+    ]
+    return reduce(DataFrame.unionByName, counted)
+
+
 @query("o16_task_listing", f"WITH {_TASKS_SQL} SELECT * FROM tasks WHERE tenant_id = 'tenant_3' ORDER BY updated_at DESC, task_id LIMIT 100")
 def o16_task_listing(spark, sf_dir):
     """One tenant's tasks, newest first."""
@@ -292,3 +342,15 @@ def o22_redact_payload(spark, sf_dir):
     """Conversation turns as payloads, redacted: whole, and cut for display."""
     c = Views(spark, sf_dir).conversations
     return c.select("conv_id", "turn", O.redact_payload(F.col("text")).alias("payload"), O.redact_payload(F.col("text"), O.PAYLOAD_MAX_CHARS).alias("summary"))
+
+
+_REDACTED = """'{"task":' || CAST(conv_id AS VARCHAR) || ',"dataset_preview":{"redacted":true,"row_count":' || CAST(conv_id % 3 + 1 AS VARCHAR)
+ || '},"profile":{"column_count":2,"columns":["a","b"],"row_count":' || CAST(conv_id * 10 AS VARCHAR) || '},"execution_result":{"kind":"table","source":"sql","tables":[{"name":"t1","row_count":'
+ || CAST(turn + 1 AS VARCHAR) || '},{"name":"t2","row_count":0}]},"report_markdown":{"characters":' || CAST(conv_id % 700 AS VARCHAR) || ',"redacted":true}}'"""
+
+
+@query("o22_redact_payload_json", f"SELECT conv_id, turn, {_REDACTED} AS payload FROM conversations")
+def o22_redact_payload_json(spark, sf_dir):
+    """Result payloads, one a conversation turn, with all four parts redacted."""
+    c = Views(spark, sf_dir).conversations.withColumn("payload", F.expr(_payload("||", "CAST({} AS STRING)")))
+    return c.select("conv_id", "turn", O.redact_payload(F.col("payload")).alias("payload"))

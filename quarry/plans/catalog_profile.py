@@ -172,6 +172,15 @@ def p8_key_candidates_dirty(spark, sf_dir):
     return P.key_candidates(Views(spark, sf_dir).v_dirty)
 
 
+_CLEAN = "(SELECT DISTINCT * FROM v_dirty)"
+
+
+@query("p8_key_candidates_clean", _cand_sql(_CLEAN, [["order_id"], ["customer_id"], ["order_id", "month"], ["customer_id", "month"]]))
+def p8_key_candidates_clean(spark, sf_dir):
+    """Key candidates of v_dirty without its copies: order_id, alone and with the month."""
+    return P.key_candidates(Views(spark, sf_dir).v_dirty.distinct())
+
+
 @query(
     "p9_duplicate_key_count",
     "SELECT CAST(coalesce(sum(CASE WHEN n > 1 THEN n END), 0) AS BIGINT) AS duplicate_key_count FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber)",
@@ -196,7 +205,8 @@ def _cands_list(table: str, cands: list[list[str]]) -> str:
     f"""SELECT 'customer_time_snapshot' AS grain_type, 'customer_id+month' AS grain_columns,
  {_cands_list('v_subs', [['customer_id'], ['customer_id', 'month']])} AS primary_key_candidates, 'month' AS time_field,
  (SELECT CAST(min(month) AS TIMESTAMP) FROM v_subs) AS time_min, (SELECT CAST(max(month) AS TIMESTAMP) FROM v_subs) AS time_max,
- (SELECT CAST(coalesce(sum(CASE WHEN n > 1 THEN n END), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM v_subs GROUP BY customer_id, month)) AS duplicate_key_count""",
+ (SELECT CAST(coalesce(sum(CASE WHEN n > 1 THEN n END), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM v_subs GROUP BY customer_id, month)) AS duplicate_key_count,
+ 'customer_time_not_unique_customer;duplicate_keys;time_range' AS notes""",
 )
 def p11_grain_inference(spark, sf_dir):
     """Grain of v_subs: a customer-month snapshot with duplicate keys."""
@@ -208,7 +218,7 @@ def p11_grain_inference(spark, sf_dir):
     f"""SELECT 'detail' AS grain_type, 'event_id' AS grain_columns,
  {_cands_list('events', [['event_id'], ['user_id'], ['event_id', 'ts'], ['user_id', 'ts']])} AS primary_key_candidates, 'ts' AS time_field,
  CAST(min(ts) AS TIMESTAMP) AS time_min, CAST(max(ts) AS TIMESTAMP) AS time_max,
- (SELECT CAST(coalesce(sum(CASE WHEN n > 1 THEN n END), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM events GROUP BY event_id)) AS duplicate_key_count FROM events""",
+ (SELECT CAST(coalesce(sum(CASE WHEN n > 1 THEN n END), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM events GROUP BY event_id)) AS duplicate_key_count, 'key_candidate;time_range' AS notes FROM events""",
 )
 def p11_grain_inference_events(spark, sf_dir):
     """Grain of the event log: detail rows keyed by event_id."""

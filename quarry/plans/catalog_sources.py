@@ -218,14 +218,10 @@ def f8_scope_month_or_all(spark, sf_dir):
     "SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS month FROM orders",
 )
 def f9_month_bucket(spark, sf_dir):
-    """Order dates rendered as text in three formats, parsed back to months."""
+    """Order dates rendered as text in seven formats, parsed back to months."""
     o = Views(spark, sf_dir).orders
-    k = F.col("o_orderkey") % 3
-    text = (
-        F.when(k == 0, F.date_format("o_orderdate", "yyyy-MM-dd"))
-        .when(k == 1, F.date_format("o_orderdate", "yyyy/MM/dd"))
-        .otherwise(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
-    )
+    formats = ["yyyy-MM-dd", "yyyy/MM/dd", "yyyy-MM-dd HH:mm:ss", "yyyy-M-d", "yyyy年M月", "yyyy-MM-dd'T'HH:mm:ss", "yyyy年M月d日"]
+    text = F.coalesce(*[F.when(F.col("o_orderkey") % len(formats) == i, F.date_format("o_orderdate", f)) for i, f in enumerate(formats)])
     t = o.select("o_orderkey", text.alias("d"))
     return t.select("o_orderkey", month_of(t, "d").alias("month"))
 

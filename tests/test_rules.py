@@ -180,3 +180,30 @@ def test_place_checks(spark):
     known = spark.createDataFrame([("城市", "上海"), ("城市", "XIAN"), ("other", "北京")], "column string, value string")
     got = R.missing_value_check(asks, "q_id", "question", places, "城市", known).collect()
     assert [(r["q_id"], r["city"], r["issue"]) for r in got] == [(2, "北京", "value_not_found")]
+
+
+def test_month_texts(spark):
+    from quarry.functions.columns import month_of
+
+    texts = ["2026-1-5", "2026年1月", "2026-01-05T10:00:00", " 2026/1/31 ", "2026.01.05 23:59:59", "2026年1月5日", "202601", "20260105", "05.01.2026", "2026-13-01", "2026-1-32", "soon", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r["i"]: str(r["m"]) if r["m"] else None for r in df.select("i", month_of(df, "t").alias("m")).collect()}
+    assert [got[i] for i in range(len(texts))] == ["2026-01-01"] * 6 + [None] + ["2026-01-01"] * 2 + [None] * 5
+
+
+def test_key_search_tests_only_what_is_open(spark):
+    from quarry.operators.profile import KeySearch, grain_inference, key_candidates
+
+    rows = [(i, i % 10, i // 10, i % 3, None if i == 4 else i, 7) for i in range(60)]
+    df = spark.createDataFrame(rows, "row_id int, user_id int, month int, date int, half_id int, void_id int")
+    s = KeySearch(df, ["row_id", "user_id", "half_id"], ["month", "date"])
+    assert [c for _, c in s.keys()] == [("row_id",), ("row_id", "month"), ("row_id", "date"), ("user_id", "month")]
+    # pairs of a unique id, of a column with nulls, and too few dates for a user's six rows are not counted
+    assert set(s.counts) == {("row_id",), ("user_id",), ("month",), ("date",), ("user_id", "month")}
+    assert [r["key_columns"] for r in key_candidates(df.drop("row_id"), ["month"]).collect()] == ["user_id+month"]
+    assert key_candidates(df.limit(0), ["month"]).count() == len(key_candidates(df.limit(0), ["month"]).collect())
+    g = grain_inference(df.drop("row_id", "user_id")).first()
+    assert (g["grain_columns"], g["duplicate_key_count"], g["notes"].split(";")[0]) == ("half_id", 0, "key_candidate")
+    g = grain_inference(df.select("void_id")).first()
+    assert (g["grain_columns"], g["duplicate_key_count"], g["notes"]) == ("void_id", 60, "key_candidate;duplicate_keys")
+    assert grain_inference(df.select(df.date.alias("x"))).first()["notes"] == "no_stable_key"
