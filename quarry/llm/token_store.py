@@ -28,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.llm.common import bucket_of, id_bounds
 from quarry.llm.pretokens import PieceCache
 
 SPAN = 512  # bits between two entries of a rank directory
@@ -136,8 +137,13 @@ def encoder(tokenizer: str) -> Encoder:
 
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> None:
     """Encodes ``docs`` (doc_id, text) and writes the store at ``path``.  The
-    texts, smaller than their ids, are dealt by ranges of doc_id."""
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    texts, smaller than their ids, are dealt by ranges of doc_id, whose bounds
+    are read from the ids alone: the texts are scanned once."""
+    shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = id_bounds(docs, "doc_id", shards)  # one row
+    placed = docs.select("doc_id", "text").crossJoin(F.broadcast(bounds))
+    placed = placed.withColumn("_shard", bucket_of(F.col("doc_id"), F.col("_bounds"), shards)).select("doc_id", "text", "_shard")
+    ordered = placed.repartitionById(shards, F.col("_shard")).drop("_shard").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc, shard, block = encoder(tokenizer), TaskContext.get().partitionId(), 0
