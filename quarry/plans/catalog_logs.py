@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from quarry.operators import logs as O
 from quarry.plans.registry import query
+from quarry.session import scratch_path
 from quarry.sources.views import Views
+from quarry.streaming.upserts import UpsertTable
 
 _TASKS_SQL = """tasks AS (SELECT task_id, arg_max(tenant_id, sequence_id) AS tenant_id, arg_max(status, sequence_id) AS status,
  min(ts) AS started_at, max(ts) AS updated_at FROM v_log GROUP BY task_id)"""
@@ -289,6 +291,29 @@ def o19_upsert_by_key(spark, sf_dir):
     return O.upsert_by_key(n, upd.unionByName(new), ["n_nationkey"])
 
 
+@query(
+    "o19_upsert_batches",
+    """SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 2 = 0 THEN c_mktsegment || '-1' ELSE c_mktsegment END AS c_mktsegment,
+ CASE WHEN c_custkey % 7 = 0 THEN 2 WHEN c_custkey % 2 = 0 THEN 1 ELSE 0 END AS batch FROM customer
+UNION ALL SELECT -1 - c_custkey, c_mktsegment, 3 FROM customer""",
+)
+def o19_upsert_batches(spark, sf_dir):
+    """customer as a table of four upserted batches: all rows, new values for
+    half of them, then a seventh, then as many new keys; the last batch merges."""
+    c = Views(spark, sf_dir).customer
+    k, segment = F.col("c_custkey"), F.col("c_mktsegment")
+    table = UpsertTable(spark, scratch_path(spark, "o19"), ["c_custkey"])
+    batches = [
+        c.select(k, segment, F.lit(0).alias("batch")),
+        c.where(k % 2 == 0).select(k, F.concat(segment, F.lit("-1")).alias("c_mktsegment"), F.lit(1).alias("batch")),
+        c.where(k % 7 == 0).select(k, F.lit(None).cast("string").alias("c_mktsegment"), F.lit(2).alias("batch")),
+        c.select((-1 - k).alias("c_custkey"), segment, F.lit(3).alias("batch")),
+    ]
+    for number, changes in enumerate(batches):
+        table.apply(changes, number)
+    return table.rows()
+
+
 @query(
     "o20_eval_failure_sync",
     """WITH lg AS (SELECT 'eval-failure-' || CAST(doc_id AS VARCHAR) AS log_id, CASE WHEN doc_id % 3 = 0 THEN 'open' ELSE 'resolved' END AS status FROM labels WHERE toxic = 1),

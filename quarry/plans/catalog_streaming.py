@@ -86,7 +86,7 @@ def st2_replay_until_terminal(spark, sf_dir):
 def st3_live_status(spark, sf_dir):
     """Streaming current status per task (update mode, upserted) equals O2."""
     out, ck = scratch_path(spark, "st3-out"), scratch_path(spark, "st3-ck")
-    ST.upsert_to_table(ST.live_status(v_log(_stream_tables(spark, sf_dir))), out, ck)
+    ST.upsert_to_table(ST.live_status(v_log(_stream_tables(spark, sf_dir))), out, ck, ["task_id"])
     return ST.latest_rows(spark, out, ["task_id"])
 
 
@@ -96,8 +96,9 @@ def st4_request_metrics_stream(spark, sf_dir):
     from quarry.plans.catalog_logs import _http
 
     out, ck = scratch_path(spark, "st4-out"), scratch_path(spark, "st4-ck")
-    ST.upsert_to_table(ST.request_metrics(_http(_stream_tables(spark, sf_dir))), out, ck)
-    return ST.latest_rows(spark, out, ["method", "route", "status"])
+    keys = ["method", "route", "status"]
+    ST.upsert_to_table(ST.request_metrics(_http(_stream_tables(spark, sf_dir))), out, ck, keys)
+    return ST.latest_rows(spark, out, keys)
 
 
 @query("st5_sliding_rate_limiter")

@@ -27,6 +27,7 @@ from quarry.functions.sequential import keyed_lag
 from quarry.session import scratch_path
 from quarry.sources.tables import Tables
 from quarry.streaming.ordered import Rule, append_to_table, ordered_state, run_available_now  # noqa: F401
+from quarry.streaming.upserts import UpsertTable
 
 # Terminal event types and final statuses of a task, heartbeat period, limiter.
 TERMINAL_EVENTS = ["task_completed", "task_failed", "task_cancelled"]
@@ -113,23 +114,19 @@ def replay_until_terminal_stream(log_stream: DataFrame, after_sequence: int = 0,
 
 
 # ---------------------------------------------------------------- ST3/ST4 --
-def upsert_to_table(agg: DataFrame, out: str, checkpoint: str) -> None:
-    """Keeps an aggregate as a table of changes: every batch writes the groups
-    that it changed (update mode) to a directory of its own, overwritten if the
-    batch is replayed.  :func:`latest_rows` reads the current rows."""
+def upsert_to_table(agg: DataFrame, out: str, checkpoint: str, keys: list[str]) -> None:
+    """Keeps an aggregate as a table: every batch upserts the groups that it
+    changed (update mode).  :func:`latest_rows` reads the current rows."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        UpsertTable(batch.sparkSession, out, keys).apply(batch, batch_id)
 
     run_available_now(agg.writeStream.outputMode("update").foreachBatch(write), checkpoint)
 
 
 def latest_rows(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
-    """The newest version of every key of an upserted table."""
-    changes = spark.read.parquet(out)
-    values = [c for c in changes.columns if c not in (*keys, "batch_id")]
-    newest = changes.groupBy(*keys).agg(F.max_by(F.struct(*values), F.col("batch_id")).alias("_v"))
-    return newest.select(*keys, *[F.col("_v")[c].alias(c) for c in values])
+    """The current rows of an upserted table."""
+    return UpsertTable(spark, out, keys).rows()
 
 
 def live_status(log_stream: DataFrame) -> DataFrame:

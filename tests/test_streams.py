@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quarry.session import scratch_path
 from quarry.streaming import ordered
 from quarry.streaming import streams as ST
+from quarry.streaming.upserts import UpsertTable
 
 
 def plain_limiter(rows, limit, window):
@@ -111,10 +112,55 @@ def test_upserted_table_holds_the_newest_rows(spark):
     path, df = _events(spark, 3)
     out, ck = scratch_path(spark, "ups"), scratch_path(spark, "ups-ck")
     counts = ST.event_stream(spark, path, df.schema, files_per_trigger=1).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last"))
-    ST.upsert_to_table(counts, out, ck)
+    ST.upsert_to_table(counts, out, ck, ["user_id"])
     got = {tuple(r) for r in ST.latest_rows(spark, out, ["user_id"]).collect()}
     assert got == {tuple(r) for r in df.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last")).collect()}
-    assert spark.read.parquet(out).select("batch_id").distinct().count() >= 3
+    assert spark.read.parquet(f"{out}/state/*").count() >= 3
+
+
+def _kv(spark, *rows):
+    return spark.createDataFrame(rows, "k long, v string")
+
+
+def test_upsert_table_reads_base_and_changes(spark):
+    t = UpsertTable(spark, scratch_path(spark, "upsert"), ["k"])
+    assert t.state() is None
+    with pytest.raises(ValueError):
+        t.rows()
+    assert t.apply(spark.range(10).selectExpr("id AS k", "'a' AS v"), 0)
+    assert t.state()["base"] == 0 and not t.state()["changes"]
+    assert t.apply(_kv(spark, (1, "b"), (None, "n"), (20, None)), 1)
+    assert t.apply(_kv(spark, (1, "c"), (1, "d")), 2)  # greatest row of a key wins
+    assert [tuple(c) for c in t.state()["changes"]] == [(1, 3), (2, 2)]
+    want = {k: "a" for k in range(10)} | {1: "d", None: "n", 20: None}
+    assert dict(map(tuple, t.rows().collect())) == want
+    assert t.apply(_kv(spark, (None, "m")), 3)  # more than half the base: merged
+    assert t.state()["base"] == 3 and t.state()["base_rows"] == 12 and not t.state()["changes"]
+    assert dict(map(tuple, t.rows().collect())) == want | {None: "m"}
+    assert "Exchange" not in t.rows()._jdf.queryExecution().toString()
+
+
+def test_upsert_table_replays_change_nothing(spark):
+    path = scratch_path(spark, "replay")
+    t = UpsertTable(spark, path, ["k"])
+    t.apply(_kv(spark, (1, "a"), (2, "a"), (3, "a"), (4, "a")), 0)
+    t.apply(_kv(spark, (1, "b")), 1)
+    before = t.state()
+    assert not t.apply(_kv(spark, (1, "other")), 1)
+    assert t.state() == before and dict(map(tuple, t.rows().collect())) == {1: "b", 2: "a", 3: "a", 4: "a"}
+    # a try that wrote its changes, but no state, is not seen and is overwritten
+    _kv(spark, (9, "torn")).write.parquet(f"{path}/changes/2")
+    assert t.rows().count() == 4
+    assert t.apply(_kv(spark), 2) and t.rows().count() == 4
+
+
+def test_upsert_table_work_follows_the_table_not_its_history(spark):
+    t = UpsertTable(spark, scratch_path(spark, "long"), ["k"])
+    for batch in range(6):
+        t.apply(spark.range(4).selectExpr("id AS k", f"'{batch}' AS v"), batch)
+        state = t.state()
+        assert sum(c["rows"] for c in state["changes"]) <= 0.5 * state["base_rows"]
+    assert {r["v"] for r in t.rows().collect()} == {"5"}
 
 
 def test_rows_of_a_batch_may_come_in_any_order(spark):
