@@ -194,31 +194,36 @@ def quantile_row(df: DataFrame, values: dict[str, Column], probs: list[float], a
     few = both.select(F.explode(F.filter(F.array(*inside), lambda s: s.isNotNull())).alias("_e")).select("_e.*")
     few = few.groupBy("k", "v").agg(F.count(F.lit(1)).alias("c"))
     upto = F.sum("c").over(W.partitionBy("k").orderBy("v").rowsBetween(W.unboundedPreceding, 0))
-    known = counts.select(F.map_from_arrays(F.array(*[F.lit(k) for k in range(size * m)]), F.array(*[F.struct(F.col(f"_n{k // m}").alias("n"), F.col(f"_c{k // m}_{k % m}").alias("c"), F.col(f"_u{k // m}_{k % m}").alias("u"), F.col(f"_o{k // m}_{k % m}").alias("o")) for k in range(size * m)])).alias("_known"))
-    prob = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.pmod("k", F.lit(m)).cast("int") + 1)
-    placed = few.withColumn("upto", upto).crossJoin(F.broadcast(known)).withColumn("s", F.col("_known")[F.col("k")])
-    at = prob * (F.col("s.n") - 1)
-    last = F.col("upto") + F.col("s.c")
+    ranks = [
+        F.struct(
+            F.lit(i * m + j).alias("k"), F.lit(float(p)).alias("p"), F.col(f"_n{i}").alias("n"),
+            F.col(f"_c{i}_{j}").alias("below"), F.col(f"_u{i}_{j}").alias("u"), F.col(f"_o{i}_{j}").alias("o"),
+        )
+        for i in range(size)
+        for j, p in enumerate(probs)
+    ]
+    known = counts.select(F.inline(F.array(*ranks)))  # one row a rank, so the rest is one expression for all of them
+    at = F.col("p") * (F.col("n") - 1)
+    last = F.col("upto") + F.col("below")
 
     def holds(rank: Column) -> Column:
         return F.max(F.when((rank >= last - F.col("c")) & (rank < last), F.col("v")))
 
+    placed = few.withColumn("upto", upto).join(F.broadcast(known), "k")
     picked = placed.groupBy("k").agg(holds(F.floor(at)).alias("low"), holds(F.ceil(at)).alias("high"), F.max("upto").alias("held"))
-    picked = picked.agg(F.map_from_entries(F.collect_list(F.struct("k", F.struct("low", "high", "held")))).alias("_picked"))
-    row = known.crossJoin(F.broadcast(picked))
-
-    def quantile(k: int) -> Column:
-        s, g = F.col("_known")[k], F.col("_picked")[k]
-        at, rank = _rank(s["n"], probs[k % m])
-        lost = F.raise_error(F.lit("rank outside the sketch's bracket")).cast("double")
-
-        def value(found: Column, r: Column) -> Column:
-            held = F.coalesce(g["held"], F.lit(0))
-            return F.when(found.isNotNull(), found).when(r == s["c"] - 1, s["u"]).when(r == s["c"] + held, s["o"]).otherwise(lost)
-
-        return F.when(s["n"] > 0, _between(value(g["low"], rank), value(g["high"], F.ceil(at)), at, rank))
-
-    return row.select(F.array(*[F.array(*[quantile(i * m + j) for j in range(m)]) for i in range(size)]).alias("_q"))
+    lost = F.raise_error(F.lit("rank outside the sketch's bracket")).cast("double")
+
+    def value(found: str, r: Column) -> Column:
+        held = F.coalesce("held", F.lit(0))
+        return F.when(F.col(found).isNotNull(), F.col(found)).when(r == F.col("below") - 1, F.col("u")).when(r == F.col("below") + held, F.col("o")).otherwise(lost)
+
+    done = known.join(F.broadcast(picked), "k", "left").where("n > 0")
+    done = done.select("k", at.alias("at"), value("low", F.floor(at)).alias("_low"), value("high", F.ceil(at)).alias("_high"))
+    done = done.select("k", _between(F.col("_low"), F.col("_high"), F.col("at"), F.floor("at")).alias("q"))
+    found = done.agg(F.map_from_entries(F.collect_list(F.struct("k", "q"))).alias("_m"))
+    return found.select(
+        F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda j: F.try_element_at("_m", i * m + j))).alias("_q")
+    )
 
 
 def column_quantiles(df: DataFrame, columns: list[str], probs: list[float], names: list[str] | None = None, approx: bool = False) -> DataFrame:

@@ -5,7 +5,7 @@ Plan shape (independent of the number of columns or rules):
     rules need (exact only for text columns; min = max elsewhere),
   * one sort for all IQR quartiles (:mod:`quarry.functions.quantiles`) plus
     one pass counting outliers against the broadcast bound table,
-  * one grouped count per duplicate rule (whole row, each business key),
+  * one grouped count per duplicate rule (row fingerprints, each business key),
   * ONE aggregate holding every row-level business rule as ``count_if``,
 then all candidate issues are stacked, filtered to those that fire, and
 ordered by the reference's position (rows, keys, per-column, business).
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, NumericType, StringType, TimestampNTZType, TimestampType
 
 from quarry.functions.columns import latest_complete_period, month_of, num, percent_normalise, best_match
+from quarry.functions.fingerprints import PRINT, fingerprint, repeated_rows, same_row
 from quarry.functions.quantiles import quantile_row
 
 # Keyword lists the audit uses to find business columns.
@@ -49,7 +50,29 @@ EXTREME_DISCOUNT = 0.5
 AMOUNT_TOLERANCE = 0.01
 RATE_TOLERANCE = 0.0001
 
-ISSUE_SCHEMA = "position int, issue_type string, column string, severity string, metric string, value double"
+# What an issue's ``affected`` counts, and what to do about it.
+ISSUE_TEXTS = {
+    "duplicate_rows": ("rows repeat an earlier row", "Find out whether the source delivers rows twice, then keep one row per business key."),
+    "duplicate_key": ("rows repeat an earlier key", "Decide per key whether these are repeats, snapshots or versions to keep."),
+    "missing": ("values are missing", "Settle what a missing value means before filling, dropping or marking it."),
+    "constant": ("distinct values", "Leave the column out of models unless it is filtered or grouped by."),
+    "high_cardinality": ("distinct values, like an id or free text", "Use it to name rows or bucket it; do not group by it."),
+    "iqr_outliers": ("values lie outside the IQR fences", "Check for entry errors and rare cases before trimming."),
+    "future_period": ("rows lie after the latest complete month", "Report them apart from closed months."),
+    "negative_mrr": ("rows have negative recurring revenue", "Check for refunds and credits booked as revenue."),
+    "extreme_discount": ("rows have a discount above one half", "Check approvals and whether the rate is a percentage."),
+    "zero_amount": ("rows have a zero amount", "Separate trials and cancelled orders from sales."),
+    "negative_profit": ("rows have negative profit", "Check discounts, costs and returns; report these rows apart."),
+    "sales_formula": ("rows differ from quantity x price x (1 - discount)", "Check the four columns' sources before using discounts."),
+    "profit_formula": ("rows differ from sales - cost", "Check how cost and profit are made before using profit."),
+    "rate_formula": ("rows differ from profit / sales", "Check whether the rate is a percentage or has another base."),
+    "no_issue": ("issues found", "Value ranges, allowed values and keys still need business rules."),
+}
+
+ISSUE_SCHEMA = (
+    "position int, issue_type string, column string, severity string, metric string, value double, "
+    "affected long, detail string, suggestion string"
+)
 
 
 def _roles(df: DataFrame) -> dict[str, str | None]:
@@ -147,14 +170,15 @@ def _audit_stats(df: DataFrame, approx: bool = False) -> DataFrame:
 
 
 def quality_issues(df: DataFrame, approx: bool = False) -> DataFrame:
-    """Q15 (with Q1–Q14): one row per fired issue, or a single "no issue" row."""
+    """Q15 (with Q1–Q14): one row per fired issue, or a single "no issue" row.
+    ``affected`` is the number that ``detail`` states: rows, or distinct values."""
     spark = df.sparkSession
     cols = df.columns
     parts: list[DataFrame] = []
 
     # Q1 duplicate rows and Q2 duplicate business keys: sum(n - 1) over groups
     rows = df.agg(F.count(F.lit(1)).alias("_rows"))
-    dup = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("v"))
+    dup = repeated_rows(df).agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("v"))
     dup = dup.crossJoin(rows).select(
         F.lit(0).alias("position"), F.lit("duplicate_rows").alias("issue_type"), F.lit("__row__").alias("column"),
         F.when(F.col("v") / F.greatest(F.col("_rows"), F.lit(1)) < DUP_HIGH_SHARE, "warning").otherwise("high").alias("severity"),
@@ -177,17 +201,19 @@ def quality_issues(df: DataFrame, approx: bool = False) -> DataFrame:
         (base_pos + 0).alias("position"), F.lit("missing").alias("issue_type"), "column",
         F.when(F.col("missing_count") >= MISSING_HIGH_RATE * F.col("row_count"), "high").otherwise("warning").alias("severity"),
         F.lit("missing_rate").alias("metric"), F.col("missing_rate").alias("value"), (F.col("missing_count") > 0).alias("_fire"),
+        F.col("missing_count").alias("affected"),
     )
     constant = stats.select(
         (base_pos + 1).alias("position"), F.lit("constant").alias("issue_type"), "column", F.lit("info").alias("severity"),
         F.lit("unique_count").alias("metric"), F.col("unique_count").cast("double").alias("value"),
-        ((F.col("row_count") > 1) & (F.col("unique_count") <= 1)).alias("_fire"),
+        ((F.col("row_count") > 1) & (F.col("unique_count") <= 1)).alias("_fire"), F.col("unique_count").alias("affected"),
     )
     rate = F.round(F.col("unique_count") / nonnull, 4)
     highcard = stats.select(
         (base_pos + 2).alias("position"), F.lit("high_cardinality").alias("issue_type"), "column", F.lit("info").alias("severity"),
         F.lit("unique_rate").alias("metric"), rate.alias("value"),
         (F.col("column").isin(text_cols) & (F.col("unique_count") / nonnull >= HIGH_CARDINALITY_RATE) & (F.col("row_count") >= HIGH_CARDINALITY_MIN_ROWS)).alias("_fire"),
+        F.col("unique_count").alias("affected"),
     )
     for p in (missing, constant, highcard):
         parts.append(p.where("_fire").drop("_fire"))
@@ -226,7 +252,7 @@ def quality_issues(df: DataFrame, approx: bool = False) -> DataFrame:
         ]
         parts.append(agg.select(F.explode(F.array(*structs)).alias("r")).select("r.*"))
 
-    issues = reduce(DataFrame.unionByName, parts)
+    issues = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     # missing / constant / high-cardinality rows are already filtered; the
     # count-based rules fire when their count is positive
     fired = issues.where(F.col("issue_type").isin("missing", "constant", "high_cardinality") | (F.col("value") > 0))
@@ -234,18 +260,42 @@ def quality_issues(df: DataFrame, approx: bool = False) -> DataFrame:
         F.lit(10**9).alias("position"), F.lit("no_issue").alias("issue_type"), F.lit("__dataset__").alias("column"),
         F.lit("info").alias("severity"), F.lit("quality_scan").alias("metric"), F.lit(0.0).alias("value"),
     )
-    return fired.unionByName(none).withColumn("position", F.col("position").cast("int"))
+    texts = spark.createDataFrame([(kind, *t) for kind, t in ISSUE_TEXTS.items()], "issue_type string, _unit string, suggestion string")
+    whole = fired.unionByName(none, allowMissingColumns=True).withColumn("position", F.col("position").cast("int"))
+    affected = F.coalesce(F.col("affected"), F.col("value").cast("long"))
+    return whole.join(F.broadcast(texts), "issue_type").select(
+        "position", "issue_type", "column", "severity", "metric", "value", affected.alias("affected"),
+        F.concat("column", F.lit(": "), affected.cast("string"), F.lit(" "), "_unit").alias("detail"), "suggestion",
+    )
+
+
+def audit_metrics(df: DataFrame, issues: DataFrame | None = None) -> DataFrame:
+    """Q15's summary: rows, columns, issues, duplicate rows, and the rows that
+    Q16 lists."""
+    issues = quality_issues(df) if issues is None else issues
+    real = F.col("issue_type") != "no_issue"
+    found = issues.agg(
+        F.count_if(real).alias("issue_count"),
+        F.coalesce(F.max(F.when(F.col("issue_type") == "duplicate_rows", F.col("affected"))), F.lit(0)).alias("duplicate_count"),
+    )
+    rows = df.agg(F.count(F.lit(1)).alias("row_count"), F.lit(len(df.columns)).alias("column_count"))
+    listed = quality_detail_rows(df, []).agg(F.count(F.lit(1)).alias("detail_row_count"))
+    return rows.crossJoin(found).crossJoin(listed)  # one row each
 
 
 def quality_detail_rows(df: DataFrame, key: list[str], per_issue: int | None = None) -> DataFrame:
-    """Q16: the rows of every row-level issue in issue order, all or the first
-    ``per_issue`` (by ``key``) of each.  Each row carries the array of issues
-    it matches; duplicate flags come from joins with the duplicate groups."""
+    """Q16: the whole rows of every row-level issue, in issue order and by
+    ``key``: all, or the first ``per_issue`` of each.  Repeated rows are found
+    by fingerprint and compared where fingerprints meet, repeated keys by a join
+    with the keys that occur more than once."""
     cols = df.columns
     flagged, tcol = _with_future_flag(df)
     named: list[tuple[str, Column]] = []
-    dup_groups = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*cols, F.lit(True).alias("_dup_row"))
-    flagged = flagged.join(dup_groups, [flagged[c].eqNullSafe(dup_groups[c]) for c in cols], "left").select(*[flagged[c] for c in flagged.columns], "_dup_row")
+    again = repeated_rows(df)
+    again = again.select(*[F.col(p).alias(f"{p}_b") for p in PRINT], *[F.col(c).alias(f"_r{i}") for i, c in enumerate(cols)], F.lit(True).alias("_dup_row"))
+    flagged = flagged.select("*", *fingerprint(cols))
+    flagged = flagged.join(again, same_row(flagged, again, cols, [f"_r{i}" for i in range(len(cols))]), "left")
+    flagged = flagged.drop(*PRINT, *[f"{p}_b" for p in PRINT], *[f"_r{i}" for i in range(len(cols))])
     named.append(("duplicate_rows", F.coalesce(F.col("_dup_row"), F.lit(False))))
     for j, k in enumerate(business_keys(df)):
         g = df.groupBy(*k).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*[F.col(c).alias(f"_k{j}_{c}") for c in k], F.lit(True).alias(f"_dk{j}"))
@@ -255,10 +305,11 @@ def quality_detail_rows(df: DataFrame, key: list[str], per_issue: int | None = N
         named.append(("future_period", F.col("_future")))
     named += [(it, F.coalesce(pred, F.lit(False))) for it, _, _, _, pred in _row_rules(df)]
     tags = F.array(*[F.when(pred, F.struct(F.lit(i).alias("p"), F.lit(name).alias("issue_type"))) for i, (name, pred) in enumerate(named)])
-    exploded = flagged.select(*key, F.explode(F.filter(tags, lambda x: x.isNotNull())).alias("_t")).select("_t.p", "_t.issue_type", *key)
+    exploded = flagged.select(*cols, F.explode(F.filter(tags, lambda x: x.isNotNull())).alias("_t"))
     if per_issue is not None:
-        exploded = exploded.withColumn("_rn", F.row_number().over(W.partitionBy("p").orderBy(*key))).where(F.col("_rn") <= per_issue)
-    return exploded.orderBy("p", *key).select(F.col("p").alias("issue_position"), "issue_type", *key)
+        exploded = exploded.withColumn("_rn", F.row_number().over(W.partitionBy("_t.p").orderBy(*key))).where(F.col("_rn") <= per_issue)
+    out = exploded.orderBy("_t.p", *key) if key else exploded
+    return out.select(F.col("_t.p").alias("issue_position"), F.col("_t.issue_type").alias("issue_type"), *cols)
 
 
 def severity_summary(issues: DataFrame) -> DataFrame:
