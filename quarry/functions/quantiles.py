@@ -210,15 +210,15 @@ def quantile_row(df: DataFrame, values: dict[str, Column], probs: list[float], a
         return F.max(F.when((rank >= last - F.col("c")) & (rank < last), F.col("v")))
 
     placed = few.withColumn("upto", upto).join(F.broadcast(known), "k")
-    picked = placed.groupBy("k").agg(holds(F.floor(at)).alias("low"), holds(F.ceil(at)).alias("high"), F.max("upto").alias("held"))
+    # a bracket's ends are values of the column, so every rank of a column with values has rows here
+    picked = placed.groupBy(*known.columns).agg(holds(F.floor(at)).alias("low"), holds(F.ceil(at)).alias("high"), F.max("upto").alias("held"))
     lost = F.raise_error(F.lit("rank outside the sketch's bracket")).cast("double")
 
     def value(found: str, r: Column) -> Column:
-        held = F.coalesce("held", F.lit(0))
-        return F.when(F.col(found).isNotNull(), F.col(found)).when(r == F.col("below") - 1, F.col("u")).when(r == F.col("below") + held, F.col("o")).otherwise(lost)
+        inside = F.when(F.col(found).isNotNull(), F.col(found))
+        return inside.when(r == F.col("below") - 1, F.col("u")).when(r == F.col("below") + F.col("held"), F.col("o")).otherwise(lost)
 
-    done = known.join(F.broadcast(picked), "k", "left").where("n > 0")
-    done = done.select("k", at.alias("at"), value("low", F.floor(at)).alias("_low"), value("high", F.ceil(at)).alias("_high"))
+    done = picked.select("k", at.alias("at"), value("low", F.floor(at)).alias("_low"), value("high", F.ceil(at)).alias("_high"))
     done = done.select("k", _between(F.col("_low"), F.col("_high"), F.col("at"), F.floor("at")).alias("q"))
     found = done.agg(F.map_from_entries(F.collect_list(F.struct("k", "q"))).alias("_m"))
     return found.select(
