@@ -26,7 +26,7 @@ from quarry.functions.quantiles import range_partition_count
 from quarry.functions.sequential import keyed_lag
 from quarry.session import scratch_path
 from quarry.sources.tables import Tables
-from quarry.streaming.ordered import Rule, append_to_table, ordered_state, run_available_now  # noqa: F401
+from quarry.streaming.ordered import Rule, append_to_table, ordered_state, run_available_now
 from quarry.streaming.upserts import UpsertTable
 
 # Terminal event types and final statuses of a task, heartbeat period, limiter.
@@ -79,7 +79,7 @@ def by_id(col: str = "sequence_id") -> Column:
 def event_log_append(stream: DataFrame, out: str, checkpoint: str) -> None:
     """ST1: durable ordered append of the log to a Parquet table (the order
     key is (ts, sequence id); Spark has no global auto-increment)."""
-    run_available_now(stream.writeStream.format("parquet").option("path", out).outputMode("append"), checkpoint)
+    append_to_table(stream, out, checkpoint)
 
 
 # ---------------------------------------------------------------- ST2 ------
@@ -92,7 +92,7 @@ def cursor_reader(stream: DataFrame, out: str, checkpoint: str, run: int) -> Non
         # failure (before its offsets were committed) replaces its own output
         batch.withColumn("run", F.lit(run)).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
-    run_available_now(stream.writeStream.foreachBatch(write), checkpoint)
+    run_available_now(stream, lambda w: w.foreachBatch(write), checkpoint)
 
 
 def replay_until_terminal_stream(log_stream: DataFrame, after_sequence: int = 0, delay_ms: int = 0, end: DataFrame | None = None) -> DataFrame:
@@ -121,7 +121,7 @@ def upsert_to_table(agg: DataFrame, out: str, checkpoint: str, keys: list[str])
     def write(batch: DataFrame, batch_id: int) -> None:
         UpsertTable(batch.sparkSession, out, keys).apply(batch, batch_id)
 
-    run_available_now(agg.writeStream.outputMode("update").foreachBatch(write), checkpoint)
+    run_available_now(agg, lambda w: w.outputMode("update").foreachBatch(write), checkpoint)
 
 
 def latest_rows(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:

@@ -224,3 +224,21 @@ def test_replay_of_a_long_log_of_shuffled_files(spark, monkeypatch):
     gone = {(k, st) for k, (t, st) in last.items() if st in ("succeeded", "failed") and (end - t).total_seconds() > CS.RETENTION_DAYS * 86400}
     got = CS.st8_retention_stream(spark, sf).collect()
     assert {(r["task_id"], r["status"]) for r in got} == gone and len(got) == len(gone)
+
+
+def test_ordered_streams_run_after_an_upserted_one(spark):
+    """A foreachBatch function may leave its batch's session the active one."""
+    from pyspark.sql import SparkSession
+
+    path, df = _events(spark, 1)
+    stream = lambda: ST.event_stream(spark, path, df.schema)
+    out, ck = scratch_path(spark, "first"), scratch_path(spark, "first-ck")
+    ST.upsert_to_table(stream().groupBy("user_id").agg(F.count(F.lit(1)).alias("n")), out, ck, ["user_id"])
+    other = spark.newSession()
+    other.createDataFrame([(1,)], "x int").count()
+    assert not SparkSession.getActiveSession()._jsparkSession.equals(spark._jsparkSession)
+    log = lambda: stream().select(F.col("user_id").alias("task_id"), F.col("event_id").alias("sequence_id"), "ts", F.lit("failed").alias("status"))
+    out, ck = scratch_path(spark, "then"), scratch_path(spark, "then-ck")
+    late = ordered.replay_to_end(spark, lambda end: ST.retention_stream(log(), 1, 3_000_000, end), out, ck, 1_700_100_000_000_000)
+    assert late == 0 and spark.read.parquet(out).count() == df.select("user_id").distinct().count()
+    spark.createDataFrame([(1,)], "x int").count()
