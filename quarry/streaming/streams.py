@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import collections
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -100,13 +101,15 @@ def replay_until_terminal_stream(log_stream: DataFrame, after_sequence: int = 0,
     stopping after the first terminal event (later events are not sent).
     State per task = one flag."""
 
-    def step(task: int, rows: pd.DataFrame, state: tuple) -> tuple[list[tuple], tuple]:
+    def step(task: int, rows: dict[str, list], state: tuple) -> tuple[list[tuple], tuple]:
         if state[0]:
             return [], state
-        stops = rows["event_type"].isin(TERMINAL_EVENTS).to_numpy()
-        n = int(stops.argmax()) + 1 if stops.any() else len(rows)
-        sent = rows.iloc[:n]
-        return [(int(task), int(q), e, s) for q, e, s in zip(sent["sequence_id"], sent["event_type"], sent["status"])], (bool(stops.any()),)
+        out = []
+        for q, e, s in zip(rows["sequence_id"], rows["event_type"], rows["status"]):
+            out.append((task, q, e, s))
+            if e in TERMINAL_EVENTS:
+                return out, (True,)
+        return out, (False,)
 
     rule = Rule("done boolean", (False,), "task_id long, sequence_id long, event_type string, status string", step)
     src = log_stream.where(F.col("sequence_id") > after_sequence)
@@ -177,10 +180,10 @@ def sliding_rate_limiter_stream(
     window (≤ limit values), forgotten when the window has passed.  Event time
     replaces the wall clock."""
 
-    def step(k: int, rows: pd.DataFrame, state: tuple) -> tuple[list[tuple], tuple]:
-        t = rows["row_order"].to_numpy(np.float64) / 1e6
+    def step(k: int, rows: dict[str, list], state: tuple) -> tuple[list[tuple], tuple]:
+        t = np.array(rows["row_order"], np.float64) / 1e6
         allowed, retry, accepted = _limit_events(t, list(state[0]), limit, window)
-        return list(zip([int(k)] * len(t), rows["event_id"].tolist(), t.tolist(), allowed.tolist(), retry.tolist())), (accepted,)
+        return list(zip([k] * len(t), rows["event_id"], t.tolist(), allowed.tolist(), retry.tolist())), (accepted,)
 
     rule = Rule("accepted array<double>", ([],), LIMITER_OUT, step, idle_us=int(window * 1e6))
     src = stream.where(F.col(key).isNotNull()).withColumn("event_id", F.col("event_id").cast("long"))
@@ -299,12 +302,13 @@ def idle_heartbeat_batch(log: DataFrame, period: int = HEARTBEAT_SECONDS) -> Dat
 def idle_heartbeat_stream(log_stream: DataFrame, period: int = HEARTBEAT_SECONDS, delay_ms: int = 0, end: DataFrame | None = None) -> DataFrame:
     """ST6 streaming: state per task = (time and type of its last event)."""
 
-    def step(task: int, rows: pd.DataFrame, state: tuple) -> tuple[list[tuple], tuple]:
-        t = np.concatenate([[np.nan if state[0] is None else state[0]], rows["t"].to_numpy(np.float64)])
-        kind = pd.Series([state[1], *rows["event_type"]])
-        owed = np.maximum(np.floor(np.diff(t) / 1e6 / period), 0)
-        owed[np.isnan(owed) | kind.isin(TERMINAL_EVENTS).to_numpy()[:-1]] = 0
-        return [(int(task), int(owed.sum()))], (int(t[-1]), kind.iat[-1])
+    def step(task: int, rows: dict[str, list], state: tuple) -> tuple[list[tuple], tuple]:
+        owed, (before, kind) = 0, state
+        for t, e in zip(rows["t"], rows["event_type"]):
+            if before is not None and t is not None and kind not in TERMINAL_EVENTS:
+                owed += max(0, math.floor((t - before) / 1e6 / period))
+            before, kind = t, e
+        return [(task, owed)], (before, kind)
 
     rule = Rule("last_t long, last_type string", (None, None), "task_id long, heartbeats long", step)
     src = log_stream.withColumn("t", micros("ts"))
@@ -316,14 +320,15 @@ def budget_guard_stream(usage_stream: DataFrame, budget: int, delay_ms: int = 0,
     """ST7: emit once per task when its running token total passes the
     budget.  State per task = (running total, emitted)."""
 
-    def step(task: int, rows: pd.DataFrame, state: tuple) -> tuple[list[tuple], tuple]:
-        total = state[0] + rows["tokens"].fillna(0).astype("int64").cumsum()
-        over = (total > budget).to_numpy()
+    def step(task: int, rows: dict[str, list], state: tuple) -> tuple[list[tuple], tuple]:
+        total, emitted = state
         out = []
-        if over.any() and not state[1]:
-            at = int(over.argmax())
-            out = [(int(task), int(rows["usage_id"].iat[at]), int(total.iat[at]))]
-        return out, (int(total.iat[-1]), bool(state[1] or over.any()))
+        for usage, tokens in zip(rows["usage_id"], rows["tokens"]):
+            total += tokens or 0
+            if total > budget and not emitted:
+                emitted = True
+                out.append((task, usage, total))
+        return out, (total, emitted)
 
     rule = Rule("total long, emitted boolean", (0, False), "task_id long, usage_id long, running_tokens long", step)
     src = usage_stream.withColumn("tokens", F.col("prompt_tokens") + F.col("completion_tokens"))
@@ -337,11 +342,11 @@ def retention_stream(log_stream: DataFrame, days: float, delay_ms: int = 0, end:
     status), dropped with the task, so state stays bounded by the tasks active
     in that time."""
 
-    def step(task: int, rows: pd.DataFrame, state: tuple) -> tuple[list[tuple], tuple]:
-        return [], (int(rows["row_order"].iat[-1]) // 1000, rows["status"].iat[-1])
+    def step(task: int, rows: dict[str, list], state: tuple) -> tuple[list[tuple], tuple]:
+        return [], (rows["row_order"][-1] // 1000, rows["status"][-1])
 
     def leave(task: int, state: tuple) -> list[tuple]:
-        return [(int(task), *state)] if state[1] in FINISHED else []
+        return [(task, *state)] if state[1] in FINISHED else []
 
     rule = Rule("last_ms long, status string", (None, None), "task_id long, last_event_ms long, status string", step, int(days * 86_400_000_000), leave)
     return ordered_state(log_stream, "task_id", micros("ts"), ["sequence_id", "status"], ["sequence_id"], rule, delay_ms, end)

@@ -242,3 +242,64 @@ def test_ordered_streams_run_after_an_upserted_one(spark):
     late = ordered.replay_to_end(spark, lambda end: ST.retention_stream(log(), 1, 3_000_000, end), out, ck, 1_700_100_000_000_000)
     assert late == 0 and spark.read.parquet(out).count() == df.select("user_id").distinct().count()
     spark.createDataFrame([(1,)], "x int").count()
+
+
+class _Calls:
+    """A list state in memory that counts its calls; also the handle."""
+
+    def __init__(self):
+        self.rows, self.calls, self.timers, self.made = [], 0, [], []
+
+    def getListState(self, name, schema):  # noqa: N802
+        self.made.append(_Calls())
+        return self.made[-1]
+
+    def registerTimer(self, ms):  # noqa: N802
+        self.timers.append(ms)
+
+    def appendValue(self, value):  # noqa: N802
+        self.calls += 1
+        self.rows.append(value)
+
+    def put(self, values):
+        self.calls += 1
+        self.rows = list(values)
+
+    def get(self):
+        self.calls += 1
+        return iter(self.rows)
+
+    def clear(self):
+        self.calls += 1
+        self.rows = []
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return self.now
+
+
+def test_state_calls_do_not_grow_with_keys():
+    """300 keys of a bucket, one of them null, ids beyond 2**53: a few calls in all."""
+    import pandas as pd
+
+    def step(key, rows, state):
+        return [(key, q) for q in rows["q"]], (state[0] + len(rows["q"]),)
+
+    rule = ordered.Rule("n long", (0,), "k long, q long", step, idle_us=5_000_000, leave=lambda key, state: [(key, -state[0])])
+    p, handle = ordered._Ordered(rule, ["row_order", "q", "row_key"], {"row_order": "bigint", "q": "bigint", "row_key": "bigint"}, 1, ["q", "row_key"]), _Calls()
+    p.init(handle)
+    big = 2**53
+    keys = [None, *range(big, big + 299)]
+    rows = [(1_000_000 * s, str(big + 1 + s), k if k is None else str(k), False) for s in (3, 1, 2) for k in keys] + [(0, None, None, True)]
+    frame = pd.DataFrame(rows, columns=["row_order", "q", "row_key", "end_mark"], dtype=object).astype({"row_order": "int64"})
+    assert not list(p.handleInputRows((1,), iter([frame]), handle)) and handle.timers == [1000]
+    got = []
+    for handle.now in (2000, 3000, 8000, 8001):
+        p.released.clear()
+        for _ in range(2):  # two timers of one batch
+            for out in p.handleExpiredTimer((1,), handle, None):
+                got.append([tuple(r) for r in out.itertuples(index=False)])
+    first, second, last = got
+    assert first == [(k, big + 1 + s) for k in keys for s in (1, 2)]
+    assert second == [(k, big + 4) for k in keys] and last == [(k, -3) for k in keys]
+    assert handle.timers == [1000, 3000, 8001, 8001] and not any(s.rows for s in handle.made)
+    assert sum(s.calls for s in handle.made) < 20
