@@ -207,3 +207,19 @@ def test_key_search_tests_only_what_is_open(spark):
     g = grain_inference(df.select("void_id")).first()
     assert (g["grain_columns"], g["duplicate_key_count"], g["notes"]) == ("void_id", 60, "key_candidate;duplicate_keys")
     assert grain_inference(df.select(df.date.alias("x"))).first()["notes"] == "no_stable_key"
+
+
+def test_numbers_in_text_are_told_by_their_form(spark):
+    """num_in equals num for every text, and casts no text that is plainly none."""
+    from pyspark.sql import functions as F
+
+    from quarry.functions.columns import num, num_in
+
+    texts = ["1", " -2.5\t", "+.5", "5.", "1e5", "1.5E-3d", "2f", "0x1.8p1", "-0X.8P-2D", "NaN", "inf", "-Infinity", "+INF", "iNfInItY"]
+    texts += ["", " ", ".", "-", "e5", "1e", "0x1", "ref-12", "1-URGENT", "4-NOT SPECIFIED", "EUR", "1,5", "1 2", "1\n", "\n1", "\x7f1", "١", "ｅ1", None]
+    df = spark.createDataFrame([(t, 1.5) for t in texts], "t string, d double")
+    got = df.select("t", num("t").alias("a"), num_in(df, "t").alias("b"), F.struct(num_in(df, "d")).alias("d")).collect()
+    assert len(got) == len(texts) and all(r["a"] == r["b"] and r["d"][0] == 1.5 for r in got)
+    assert sum(r["b"] is not None for r in got) >= 12
+    plan = lambda c: df.select(num_in(df, c))._jdf.queryExecution().analyzed().toString()
+    assert "RLIKE" in plan("t") and "RLIKE" not in plan("d")
