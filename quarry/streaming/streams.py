@@ -98,7 +98,8 @@ def cursor_reader(stream: DataFrame, out: str, checkpoint: str, run: int) -> Non
 
 def replay_until_terminal_stream(log_stream: DataFrame, after_sequence: int = 0, delay_ms: int = 0, end: DataFrame | None = None) -> DataFrame:
     """ST2 replay rule: per task, events after the cursor in sequence order,
-    stopping after the first terminal event (later events are not sent).
+    stopping after the first terminal event (later events are not sent; rows
+    without a task are no one's).
     State per task = one flag."""
 
     def step(task: int, rows: dict[str, list], state: tuple) -> tuple[list[tuple], tuple]:
@@ -112,7 +113,7 @@ def replay_until_terminal_stream(log_stream: DataFrame, after_sequence: int = 0,
         return out, (False,)
 
     rule = Rule("done boolean", (False,), "task_id long, sequence_id long, event_type string, status string", step)
-    src = log_stream.where(F.col("sequence_id") > after_sequence)
+    src = log_stream.where((F.col("sequence_id") > after_sequence) & F.col("task_id").isNotNull())
     return ordered_state(src, "task_id", by_id(), ["sequence_id", "event_type", "status"], ["sequence_id"], rule, delay_ms, end)
 
 

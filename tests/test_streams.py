@@ -303,3 +303,25 @@ def test_state_calls_do_not_grow_with_keys():
     assert second == [(k, big + 4) for k in keys] and last == [(k, -3) for k in keys]
     assert handle.timers == [1000, 3000, 8001, 8001] and not any(s.rows for s in handle.made)
     assert sum(s.calls for s in handle.made) < 20
+
+
+def test_replay_and_budget_with_null_keys_and_values(spark):
+    """Nulls beside whole numbers: the rules see the numbers as they are."""
+    path = scratch_path(spark, "nulls")
+    rows = [(s, None if s % 5 == 0 else s % 3, None if s % 7 == 0 else 10, "step", "running") for s in range(1, 41)]
+    df = spark.createDataFrame(rows, "usage_id long, task_id long, prompt_tokens long, event_type string, status string")
+    df = df.withColumn("created_at", F.timestamp_seconds(1_700_000_000 + F.col("usage_id"))).withColumn("completion_tokens", F.lit(1).cast("long"))
+    df = df.withColumn("sequence_id", F.col("usage_id"))
+    df.coalesce(1).write.parquet(path)
+    stream = lambda: ST.event_stream(spark, path, df.schema)
+    out, ck = scratch_path(spark, "nulls-out"), scratch_path(spark, "nulls-ck")
+    ordered.replay_to_end(spark, lambda end: ST.replay_until_terminal_stream(stream(), 5, 60_000, end), out, ck, 100_000_000)
+    assert sorted((r["sequence_id"], r["task_id"]) for r in spark.read.parquet(out).collect()) == [r[:2] for r in rows if r[0] > 5 and r[1] is not None]
+    out, ck = scratch_path(spark, "nulls-out"), scratch_path(spark, "nulls-ck")
+    ordered.replay_to_end(spark, lambda end: ST.budget_guard_stream(stream(), 60, 60_000, end), out, ck, 1_700_000_900_000_000)
+    want, total = {}, {}
+    for s, task, tokens, *_ in rows:
+        total[task] = total.get(task, 0) + (tokens + 1 if tokens else 0)
+        if total[task] > 60:
+            want.setdefault(task, (task, s, total[task]))
+    assert {tuple(r) for r in spark.read.parquet(out).collect()} == set(want.values()) and None in want
