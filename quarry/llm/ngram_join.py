@@ -4,19 +4,19 @@ A document's set holds the hashes of its distinct runs of ``words`` words (A-Z
 lower-cased, words are ``[^\\x20\\x09-\\x0D]+``; a shorter text is one run).
 Documents link when ``100 * intersection >= percent * union``.
 
-Equal sets are one class.  Sets that link share ``ceil(percent * n / 100)``
-elements of a set of n at least, so k = n minus that may be missing.  Of the
-elements in hash order, the first k + f share f common ones at least, f(n) being
-half of ``100 - percent`` hundredths of n, plus one.  Among these the rarest
-k + f(n) - f(least partner) + 1 must hold a common one again: first elements by
-rarity, though only a seventh of the elements (at 90 percent) are ever counted.
-One more of them, and they hold two, if the least partner shares two of the
-first; so two classes of one element that nobody else has, and no other such
-element, do not link by it.
-Classes that share such an element, of sizes that the threshold lets meet (a set
-stands in two neighbouring size classes), may link.  The connected groups of
-this relation (or, if a group would fall into more than ``prefix_tree.MOST_BLOCKS`` blocks,
-the classes of each element) are joined exactly by
+Equal sets are one class.  Two sets of a and b elements that link differ in
+``(100 - percent) * (a + b) / (100 + percent)`` elements at most.  Sets meet in
+size classes (``size_classes``): the classes cut the sizes at bounds that grow by
+half, and each bound has a class of its own for the sets that a link can lead
+across it.  A class whose sets differ in d elements at most cuts the hash range
+into d + 1 + z parts.  Of two sets that link, z + 1 parts at least are equal, so
+the fullest of these is not among the z emptiest parts of either, which are left
+out.  The class, the part and a hash of all its elements make a key; classes that
+share a key may link.  A part holds some eight elements (at 90 percent), all of
+which have to agree, so what meets are near copies at any size of the corpus, and
+a common passage, or single elements that others have too, bring nothing together.
+The connected groups of this relation (or, if a group would fall into more than
+``prefix_tree.MOST_BLOCKS`` blocks, the classes of each key) are joined exactly by
 :mod:`quarry.llm.prefix_tree`, on full sets; links found there are the result's
 links.
 
@@ -42,16 +42,48 @@ from quarry.llm.graph import components
 from quarry.llm.shingles import full_sets, shingles, text_steps
 
 WORDS, PERCENT = 3, 90
-
-
-def least_common(n: int | np.ndarray, percent: int) -> int | np.ndarray:
-    """Elements that a set of ``n`` shares with any partner, at least."""
-    return -(-percent * n // 100)
-
-
-def surplus(n: int | np.ndarray, percent: int) -> int | np.ndarray:
-    """f: common elements that the counted part of a set of ``n`` holds at least."""
-    return np.minimum(1 + n * (100 - percent) // 200, least_common(n, percent))
+_MUL = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _bounds() -> np.ndarray:
+    """First sizes of the size classes, each half as much again as the last."""
+    out = [1]
+    while out[-1] < 1 << 40:
+        out.append(out[-1] * 3 // 2 + 1)
+    return np.array(out, np.int64)
+
+
+BOUNDS = _bounds()
+
+
+def size_classes(n: int, percent: int) -> list[tuple[int, int]]:
+    """(class, d) of a set of ``n`` elements: every set that it links with shares
+    one, and differs in d elements at most.  Class 2i + 1 holds the sizes from
+    bound i to the next, class 2i those that a link can lead across bound i."""
+    home = int(np.searchsorted(BOUNDS, n, side="right")) - 1
+    most = 2 * (int(BOUNDS[home + 1]) - 1)  # elements of two sets below the next bound
+    out = [(2 * home + 1, (100 - percent) * most // (100 + percent))]
+    # a link leads from a to a * 100 / percent at most
+    for i in np.flatnonzero((100 * n >= percent * BOUNDS) & (percent * n < 100 * BOUNDS)):
+        below = int(BOUNDS[i]) - 1
+        if below:
+            out.append((2 * int(i), (100 - percent) * below // percent))
+    return out
+
+
+def part_keys(s: np.ndarray, percent: int) -> np.ndarray:
+    """Keys of a sorted set, d + 1 for each of its size classes."""
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(s * _MUL ^ (s >> np.uint64(32)), dtype=np.uint64)])
+    out = []
+    for c, d in size_classes(len(s), percent):
+        spare = 1 + d // 8
+        parts = d + 1 + spare
+        at = np.searchsorted((s >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64))
+        full = np.sort(np.argsort(np.diff(at), kind="stable")[spare:])  # of equal parts the first are left out
+        h = (sums[at[full + 1]] - sums[at[full]]) ^ (np.uint64(c << 40) + full.astype(np.uint64)) * _MUL
+        h = (h ^ (h >> np.uint64(29))) * _MUL
+        out.append(h ^ (h >> np.uint64(32)))
+    return np.concatenate(out)
 
 
 def _set_hash(s: np.ndarray) -> np.ndarray:
@@ -60,9 +92,9 @@ def _set_hash(s: np.ndarray) -> np.ndarray:
     return np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8")
 
 
-def prefixes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def keyed_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, th (hash of the text), n (set size), h1, h2 (hash of the set),
-    part (the first elements of the set in hash order)."""
+    keys (by which the set meets others)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
@@ -70,61 +102,34 @@ def prefixes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
                 out = []
                 for text in b["text"]:
                     s = shingles(text if isinstance(text, str) else None, words)
-                    n = len(s)
-                    m = n - least_common(n, percent) + surplus(n, percent) if n else 0
-                    out.append((n, *_set_hash(s), s[:m].tobytes()))
-                made = pd.DataFrame(out, columns=["n", "h1", "h2", "part"])
+                    out.append((len(s), *_set_hash(s), part_keys(s, percent).tobytes() if len(s) else b""))
+                made = pd.DataFrame(out, columns=["n", "h1", "h2", "keys"])
                 made.insert(0, "doc_id", pd.array([None if pd.isna(x) else int(x) for x in b["doc_id"]], "Int64"))
                 made.insert(1, "th", b["th"].to_numpy())
                 yield made
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    return rows.mapInPandas(lean(run), "doc_id long, th long, n long, h1 long, h2 long, part binary")
+    return rows.mapInPandas(lean(run), "doc_id long, th long, n long, h1 long, h2 long, keys binary")
 
 
-def _elements(classes: DataFrame) -> DataFrame:
-    """node, e: a row for each element of a part."""
+def shared_keys(classes: DataFrame) -> DataFrame:
+    """node, e: the keys that two classes or more have, a row for each of these."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
             for at in range(0, len(whole), 500):
                 b = whole.iloc[at : at + 500]
-                m = np.array([len(x) // 8 for x in b["part"]], np.int64)
-                yield pd.DataFrame({"node": np.repeat(b["node"].to_numpy(), m), "e": np.frombuffer(b"".join(b["part"]), "<i8")})
-
-    return classes.select("node", "part").mapInPandas(lean(run), "node long, e long")
-
+                m = np.array([len(x) // 8 for x in b["keys"]], np.int64)
+                yield pd.DataFrame({"node": np.repeat(b["node"].to_numpy(), m), "e": np.frombuffer(b"".join(b["keys"]), "<i8")})
 
-def shared_elements(classes: DataFrame, percent: int) -> DataFrame:
-    """node, n, e, sure: the elements by which classes may link, of two classes or
-    more; ``sure`` if partners share two of them at least."""
-    rows = _elements(classes)
-    often = rows.groupBy("e").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
-    by_rarity = Window.partitionBy("node").orderBy("often", "e")  # at most a set's elements
-    whole = Window.partitionBy("node")
-    ranked = rows.join(often, "e").select("node", "e", F.row_number().over(by_rarity).alias("_r"), F.count(F.lit(1)).over(whole).alias("_c"))
-    # k + f elements less f(least partner) - 1; those of one class alone, which are not here, come first
-    least = F.ceil(F.col("n") * percent / 100)
-    f_least = F.least(1 + F.floor(least * (100 - percent) / 200), F.ceil(least * percent / 100))
-    sure = f_least > 1
-    take = F.col("_c") + 1 - f_least + sure.cast("int")
-    return ranked.join(classes.select("node", "n"), "node").where(F.col("_r") <= take).select("node", "n", "e", sure.alias("sure"))
+    rows = classes.select("node", "keys").mapInPandas(lean(run), "node long, e long")
+    one_key = Window.partitionBy("e")  # at most one row a class: near copies, held on disk if many
+    return rows.select("node", "e", F.min("node").over(one_key).alias("lo"), F.max("node").over(one_key).alias("hi")).where("lo < hi").select("node", "e")
 
 
 def link_classes(classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (a, b) of classes (node, n, part, doc_id and th of a text)."""
-    step = F.floor(F.log(F.col("n").cast("double")) / (float(np.log(100 / percent)) if percent < 100 else 1e-9))
-    sized = F.explode(F.array(step, step + 1)).alias("_s")
-    rows = shared_elements(classes, percent).select("node", "e", "sure", sized).withColumn("key", F.xxhash64("e", "_s"))
-    rows = freeze(rows.select("node", "e", "key", "sure"), "ngram-shared")
-    keys = rows.groupBy("key").agg(
-        F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("c"), F.min("e").alias("e"), F.every("sure").alias("sure")
-    )
-    # a key of two classes counts if they share another element of their own, or one of more classes (which stays)
-    two = keys.where("c = 2 and sure")
-    again = two.groupBy("lo", "hi").agg((F.min("e") < F.max("e")).alias("again")).where("again").select("lo", "hi")
-    kept = keys.where("c > 2 or (c = 2 and not sure)").select("key").unionByName(two.join(again, ["lo", "hi"], "left_semi").select("key"))
-    rows = freeze(rows.join(kept, "key", "left_semi").select("node", F.col("key").alias("e")), "ngram-keys")
+    """Links (a, b) of classes (node, n, keys, doc_id and th of a text)."""
+    rows = freeze(shared_keys(classes), "ngram-keys")
     groups = freeze(prefix_tree.groups_of(rows, classes.select("node", "n"), "ngram"), "ngram-groups")
     reps = freeze(groups.select("node").distinct().join(classes.select("node", "doc_id", "th"), "node"), "ngram-reps")
     full = full_sets(docs, reps, words, "ngram-sets")
@@ -136,9 +141,9 @@ def near_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Da
     every row of ``docs``."""
     if not 60 <= percent <= 100:
         raise ValueError("percent must lie between 60 and 100")
-    rows = freeze(prefixes(docs, words, percent), "ngram-parts")
+    rows = freeze(keyed_sets(docs, words, percent), "ngram-parts")
     one = rows.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("h1", "h2")
-    rep = F.min(F.struct("doc_id", "th", "n", "part")).alias("rep")
+    rep = F.min(F.struct("doc_id", "th", "n", "keys")).alias("rep")
     named = one.agg(rep).select("h1", "h2", "rep.*").withColumn("node", F.monotonically_increasing_id())
     classes = freeze(named, "ngram-classes")  # written once, so the numbers stay
     found = components(freeze(link_classes(classes, docs, words, percent), "ngram-links"))
@@ -148,4 +153,4 @@ def near_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Da
     name = classes.select("h1", "h2", F.col("doc_id").alias("_own")).join(linked, ["h1", "h2"], "left")
     name = name.select("h1", "h2", F.coalesce("component_id", "_own").alias("_named"))
     component = F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("_named"))
-    return rows.drop("part").join(name, ["h1", "h2"], "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return rows.drop("keys").join(name, ["h1", "h2"], "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))

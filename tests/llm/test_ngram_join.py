@@ -108,6 +108,42 @@ def test_tree_equals_all_pairs(percent):
         assert groups(label, got) == groups(label, every)
 
 
+@pytest.mark.parametrize("percent", [60, 75, 90, 100])
+def test_linked_sets_share_a_key(percent):
+    """Every pair that the threshold links shares a key, across size bounds too."""
+    rng = np.random.default_rng(percent)
+    linked = 0
+    for trial in range(1500):
+        n = int(rng.choice(ngram_join.BOUNDS[:14])) + int(rng.integers(-1, 2)) if trial % 2 else int(rng.integers(1, 400))
+        a = np.unique(rng.integers(0, 1 << 64, max(n, 1), dtype=np.uint64))
+        drop = rng.integers(0, 1 + len(a) * (100 - percent) // 100)
+        add = rng.integers(0, 1 + len(a) * (100 - percent) // 100)
+        b = np.union1d(rng.permutation(a)[drop:], rng.integers(0, 1 << (64 if trial % 3 else 40), add, dtype=np.uint64))
+        common = len(np.intersect1d(a, b))
+        if 100 * common >= percent * (len(a) + len(b) - common):
+            linked += 1
+            assert len(np.intersect1d(ngram_join.part_keys(a, percent), ngram_join.part_keys(b, percent)))
+    assert linked > 300
+
+
+def test_common_elements_bring_nothing_together(spark):
+    """A text's keys are shared by near copies alone: neither a passage that many
+    texts have nor elements that each two of them share make rows or groups."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(4000)]
+    passage = words[:60]
+    table = []
+    for i in range(60):
+        own = [rng.choice(words) for _ in range(120)]
+        for j in range(8):  # triples that a neighbour has too
+            own[j * 10 : j * 10 + 3] = words[(i + j) % 60 * 3 + 100 : (i + j) % 60 * 3 + 103]
+        table.append((i, " ".join(passage + own)))
+    df = spark.createDataFrame(table, "doc_id long, text string")
+    sets = ngram_join.keyed_sets(df).withColumnRenamed("doc_id", "node")
+    assert ngram_join.shared_keys(sets).count() == 0
+    assert found(ngram_join.near_sets(df)) == plain(table)
+
+
 def groups(label, links):
     root = {i: i for i in range(len(label))}
 
