@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import array
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -120,17 +120,13 @@ def _steps(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
         at = end
 
 
-def _with(df: DataFrame, name: str, kind: T.DataType) -> tuple[T.StructType, list[str]]:
-    kept = [f for f in df.schema.fields if f.name != name]
+def _with(schema: T.StructType, name: str, kind: T.DataType) -> tuple[T.StructType, list[str]]:
+    kept = [f for f in schema.fields if f.name != name]
     return T.StructType([*kept, T.StructField(name, kind)]), [f.name for f in kept]
 
 
-def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", out: str = "ids", keep_text: bool = False) -> DataFrame:
-    """Adds ``out`` array<int>, the ids of ``text``; drops ``text`` unless kept."""
-    schema, kept = _with(df, out, T.ArrayType(T.IntegerType(), False))
-    if not keep_text:
-        kept = [c for c in kept if c != text]
-        schema = T.StructType([f for f in schema.fields if f.name != text])
+def _encoded(vocabulary: str, pattern: str, text: str, kept: list[str], out: str) -> Callable[[Iterator], Iterator]:
+    """Batches -> their columns ``kept`` and ``out``, the ids of ``text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocabulary, pattern)
@@ -142,12 +138,11 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", out
                 yield pa.RecordBatch.from_arrays([b.column(k) for k in kept] + [ids], names=[*kept, out])
         c.cache.forget()  # a worker outlives its task
 
-    return df.mapInArrow(lean(run), schema)
+    return run
 
 
-def decode(df: DataFrame, vocabulary: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """Adds ``out`` binary, the bytes of the id array ``ids`` (null: empty)."""
-    schema, kept = _with(df, out, T.BinaryType())
+def _decoded(vocabulary: str, pattern: str, ids: str, kept: list[str], out: str) -> Callable[[Iterator], Iterator]:
+    """Batches -> their columns ``kept`` and ``out``, the bytes of ``ids``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocabulary, pattern)
@@ -161,4 +156,34 @@ def decode(df: DataFrame, vocabulary: str, pattern: str, ids: str = "ids", out:
                 done = pa.array([c.decode(flat[s:e]) for s, e in zip(starts, ends, strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column(k) for k in kept] + [done], names=[*kept, out])
 
-    return df.mapInArrow(lean(run), schema)
+    return run
+
+
+def _encoding(df: DataFrame, text: str, out: str, keep_text: bool) -> tuple[T.StructType, list[str]]:
+    schema, kept = _with(df.schema, out, T.ArrayType(T.IntegerType(), False))
+    if not keep_text:
+        kept = [c for c in kept if c != text]
+        schema = T.StructType([f for f in schema.fields if f.name != text])
+    return schema, kept
+
+
+def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", out: str = "ids", keep_text: bool = False) -> DataFrame:
+    """Adds ``out`` array<int>, the ids of ``text``; drops ``text`` unless kept."""
+    schema, kept = _encoding(df, text, out, keep_text)
+    return df.mapInArrow(lean(_encoded(vocabulary, pattern, text, kept, out)), schema)
+
+
+def decode(df: DataFrame, vocabulary: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """Adds ``out`` binary, the bytes of the id array ``ids`` (null: empty)."""
+    schema, kept = _with(df.schema, out, T.BinaryType())
+    return df.mapInArrow(lean(_decoded(vocabulary, pattern, ids, kept, out)), schema)
+
+
+def round_trip(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids: str = "ids", out: str = "decoded", keep_text: bool = False) -> DataFrame:
+    """:func:`encode`, then :func:`decode` of its ids, by one worker a task: two
+    operators in one stage keep two, and both stay for the stages after it."""
+    schema, kept = _encoding(df, text, ids, keep_text)
+    to_ids = _encoded(vocabulary, pattern, text, kept, ids)
+    schema, kept = _with(schema, out, T.BinaryType())
+    back = _decoded(vocabulary, pattern, ids, kept, out)
+    return df.mapInArrow(lean(lambda batches: back(to_ids(batches))), schema)

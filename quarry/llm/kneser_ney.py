@@ -48,7 +48,8 @@ VARIETY_MARGIN = 0.1  # of the log share of different n-grams
 POOLED = 30  # documents that the line of all languages counts as in a language's fit
 NOISE = 0.05  # spread of the root in long texts
 SLOPE, SLOPE_WEIGHT = 0.25, 1.0  # of prose; decides where trusted documents have one size
-_CHARS = 1 << 21  # characters whose n-grams are sorted together
+_CHARS = 1 << 21  # characters whose n-grams are sent together
+_STEP = 1 << 18  # of them, characters whose places are held at once
 _SUMS = 1 << 21  # partial sums a task holds before it sends them on
 _BITS = 21
 
@@ -87,6 +88,24 @@ def _trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return doc, gram[at]
 
 
+def _steps(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """``texts`` in steps of about ``_STEP`` characters, with their first number:
+    a place costs some ninety bytes, a different n-gram of a text far fewer."""
+    at, held = 0, 0
+    for i, t in enumerate(texts):
+        if held and held + len(t) > _STEP:
+            yield at, texts[at:i]
+            at, held = i, 0
+        held += len(t)
+    if at < len(texts):
+        yield at, texts[at:]
+
+
+def _edges(key: np.ndarray) -> np.ndarray:
+    """First places of the different values of sorted keys."""
+    return np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+
+
 def count_grams(marked: DataFrame) -> DataFrame:
     """lang, gram, n (in all texts), c (in trusted texts)."""
 
@@ -95,11 +114,18 @@ def count_grams(marked: DataFrame) -> DataFrame:
             b = b[b["text"].str.len() > 0]
             if not len(b):
                 continue
-            doc, gram = _trigrams(b["text"].tolist())
-            key = np.sort((gram << 1) | b["trusted"].to_numpy(bool)[doc])
-            edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            n = np.diff(np.append(edge, len(key)))
-            gram, good = key[edge] >> 1, key[edge] & 1
+            trusted, keys, counts = b["trusted"].to_numpy(bool), [], []
+            for at, texts in _steps(b["text"].tolist()):
+                doc, gram = _trigrams(texts)
+                key = np.sort((gram << 1) | trusted[at + doc])
+                edge = _edges(key)
+                keys.append(key[edge])
+                counts.append(np.diff(np.append(edge, len(key))))
+            key, n = np.concatenate(keys), np.concatenate(counts)
+            order = np.argsort(key, kind="stable")
+            edge = _edges(key[order])
+            n, key = np.add.reduceat(n[order], edge), key[order][edge]
+            gram, good = key >> 1, key & 1
             yield pd.DataFrame({"lang": lang, "gram": gram, "n": n, "c": n * good})
 
     grams = marked.select("lang", "text", "trusted").mapInPandas(lean(run), "lang string, gram long, n long, c long")
@@ -167,14 +193,20 @@ def _sparse(marked: DataFrame) -> DataFrame:
             types = np.zeros(len(texts), np.int64)
             rows = []
             if len(some):
-                doc, gram = _trigrams([texts[i] for i in some])
-                known, code = np.unique(gram, return_inverse=True)
-                key = np.sort(code.astype(np.int64) * len(some) + doc)
-                edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-                n = np.diff(np.append(edge, len(key))).astype("<u4")
-                code, doc = key[edge] // len(some), some[key[edge] % len(some)].astype("<u2")
+                parts = []
+                for at, step in _steps([texts[i] for i in some]):
+                    doc, gram = _trigrams(step)
+                    known, code = np.unique(gram, return_inverse=True)
+                    key = np.sort(code.astype(np.int64) * len(step) + doc)
+                    edge = _edges(key)
+                    n = np.diff(np.append(edge, len(key))).astype("<u4")
+                    parts.append((known[key[edge] // len(step)], some[at + key[edge] % len(step)].astype("<u2"), n))
+                gram, doc, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+                order = np.argsort(gram, kind="stable")  # a later step has later documents
+                gram, doc, n = gram[order], doc[order], n[order]
                 types = np.bincount(doc, minlength=len(texts))
-                at = np.append(np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])), len(code))
+                known = gram[_edges(gram)]
+                at = np.append(_edges(gram), len(gram))
                 small = np.minimum(n, 255).astype(np.uint8)
                 docs, counts = doc.tobytes(), small.tobytes()
                 rows.append(

@@ -31,8 +31,7 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_sentencepiece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    ids = bpe.encode(load(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary, pattern)
-    both = bpe.decode(ids, vocabulary, pattern)
+    both = bpe.round_trip(load(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary, pattern)
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -2,7 +2,9 @@
 
 import math
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from docs_fixture import docs, none, rows
 
@@ -153,3 +155,35 @@ def test_word_repeats_in_rare_sizes_and_languages(spark):
     assert all(low[10**6 + i] for i in range(len(junk)))
     assert not any(r["keep"] for r in got if 10**6 <= r["doc_id"] < 2 * 10**6 and r["lang"] != "none")
     assert sum(low[d] for d in good) <= 0.01 * len(good) and sum(low[2 * 10**6 + i] for i in range(len(clean))) <= 1
+
+
+class Steps:
+    """Stands for a table: keeps the function that runs over its batches."""
+
+    def select(self, *_):
+        return self
+
+    def mapInPandas(self, run, _):
+        self.run = run
+        raise StopIteration
+
+
+def test_places_are_held_in_steps(monkeypatch):
+    """No more places at once than a step has, and the same rows as in one step."""
+    table = pd.DataFrame({"lang": "+en", "doc_id": range(50), "text": [f"text {i} " * 30 + "\u00e9" * i for i in range(50)], "trusted": [i % 3 == 0 for i in range(50)]})
+    table.loc[[3, 49], "text"] = [None, ""]
+    monkeypatch.setattr(kn, "lean", lambda run: run)
+    monkeypatch.setattr(kn, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 2)))
+    seen, whole = [], kn._trigrams
+    monkeypatch.setattr(kn, "_trigrams", lambda texts: seen.append(sum(map(len, texts))) or whole(texts))
+    for make in (kn.count_grams, kn._sparse):
+        made = []
+        for step in (1 << 18, 1000):
+            monkeypatch.setattr(kn, "_STEP", step)
+            seen.clear()
+            caught = Steps()
+            with pytest.raises(StopIteration):
+                make(caught)
+            made.append(pd.concat(caught.run(iter([table.copy()])), ignore_index=True))
+        assert len(seen) > 5 and max(seen) <= 1000
+        pd.testing.assert_frame_equal(*made)

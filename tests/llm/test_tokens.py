@@ -13,6 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+import corpus_pipeline as cp
 from quarry.llm import bpe, queries, token_store
 from quarry.session import scratch_path
 
@@ -101,3 +102,17 @@ def test_queries(spark, reference, plain):
         ids = [*plain.encode(d["text"] or "", add_special_tokens=False).ids, 2]
         assert tuple(store[d["doc_id"]])[1:] == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
+
+
+def test_round_trip_in_one_worker(spark, capsys):
+    """The two steps give what the two operators give, by one Python step a stage."""
+    df = docs(spark)
+    two = bpe.decode(bpe.encode(df, VOCABULARY, P.PATTERN, keep_text=True), VOCABULARY, P.PATTERN)
+    one = bpe.round_trip(df, VOCABULARY, P.PATTERN, keep_text=True)
+    assert one.schema == two.schema
+    assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+    assert bpe.round_trip(df, VOCABULARY, P.PATTERN).columns == bpe.decode(bpe.encode(df, VOCABULARY, P.PATTERN), VOCABULARY, P.PATTERN).columns
+    for out in (cp.tokens(spark, df, SF), queries.QUERIES["op4_sentencepiece_bpe"](spark, SF)):
+        capsys.readouterr()
+        out.explain()
+        assert capsys.readouterr().out.count("MapInArrow") == 1
